@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import orc_tokens, packing, sharding
+from lumenfold.llm import language, orc_tokens, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +28,31 @@ def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_to_orc(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word")
 
 
+def held_out(id_col: str = "doc_id"):
+    """The fold that is never learned from: crc32 of the id as text, mod 5, is 0."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels.where(~held_out()))
+    out = toxicity.score(docs, weights)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.fit(docs.where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op10_lpt_sharding)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op7_toxicity_mil, op8_language_cnn, op10_lpt_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
