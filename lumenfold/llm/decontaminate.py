@@ -83,9 +83,14 @@ class Benchmark:
         band = diagonal // self.width[item]
         # Each hit counts in two bands that overlap by half; a band holds all diagonals of one occurrence.
         key = np.concatenate([self._key(item, band), self._key(item, band - 1)])
-        keys, count = np.unique(key, return_counts=True)
+        order = np.argsort(key)
+        key, place = key[order], np.tile(self.place[hit], 2)[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        keys, count = key[first], np.diff(np.append(first, len(key)))
         item_of = (keys >> np.uint64(44)).astype(np.int64)
         enough = count >= self.least[item_of]
+        for j in np.flatnonzero(enough):  # a gram of the item counts once, however often the place repeats it
+            enough[j] = len(np.unique(place[first[j] : first[j] + count[j]])) >= self.least[item_of[j]]
         spans: dict[tuple[int, int], tuple[int, int, int]] = {}
         for key_, it in zip(keys[enough].tolist(), item_of[enough].tolist(), strict=True):
             low = (key_ & ((1 << 44) - 1)) * int(self.width[it]) - 4096 * Q

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import language, orc_tokens, packing, sharding, toxicity
+from lumenfold.llm import ann, decontaminate, language, orc_tokens, packing, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,73 @@ def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_to_orc(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word")
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A log of list entries for the hosts of ``pages``, by a rule on their letters: the tables hold no list of their own.
+
+    A third of hosts are blocked for a while, some of them twice; every seventh is allowed; each
+    parent domain of two labels is blocked for a month.
+    """
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).where("key is not null").distinct()
+    n = F.length("key") * 31 + F.ascii("key") * 7 + F.ascii(F.substr("key", F.lit(3), F.lit(1))) * 3
+    hosts = hosts.withColumn("n", n.cast("int"))
+    entry = lambda name, policy, action, day: F.struct(F.lit(name).alias("list_name"), F.lit(policy).alias("policy"), F.lit(action).alias("action"), day.alias("day"))
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c)
+    n = F.col("n")
+    blocked = hosts.where("n % 3 = 0").select("key", F.explode(F.array(
+        entry("spam", "block", "add", day(n % 200)), entry("spam", "block", "remove", day(n % 200 + 60)), entry("spam", "block", "add", day(n % 200 + 90)),
+    )).alias("e"))
+    allowed = hosts.where("n % 7 = 0").select("key", entry("partners", "allow", "add", day(n % 100)).alias("e"))
+    parents = hosts.select(F.array_join(F.slice(F.split("key", r"\."), -2, 2), ".").alias("key")).where("key like '%.%'").distinct()
+    monthly = parents.select("key", F.explode(F.array(
+        entry("abuse", "block", "add", day(F.length("key") * 9)), entry("abuse", "block", "remove", day(F.length("key") * 9 + 30)),
+    )).alias("e"))
+    return blocked.unionByName(allowed).unionByName(monthly).select("key", "e.*")
+
+
+def op4_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = pages.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    return url_filter.judge(fetched, dated_entries(pages)).withColumn("day", F.col("day").cast("string"))
+
+
+OP4_SQL = r"""
+WITH captures AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+         CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day
+  FROM pages
+), hosts AS (
+  SELECT DISTINCT host AS key, length(host) * 31 + ascii(host) * 7 + ascii(substr(host, 3, 1)) * 3 AS n FROM captures WHERE host IS NOT NULL
+), parents AS (
+  SELECT DISTINCT regexp_extract(key, '([^.]+[.][^.]+)$', 1) AS key FROM hosts
+), entries AS (
+  SELECT key, 'spam' AS list_name, 'block' AS policy, unnest(['add', 'remove', 'add']) AS action, unnest([n % 200, n % 200 + 60, n % 200 + 90]) AS after FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT key, 'partners', 'allow', 'add', n % 100 FROM hosts WHERE n % 7 = 0
+  UNION ALL SELECT key, 'abuse', 'block', unnest(['add', 'remove']), unnest([length(key) * 9, length(key) * 9 + 30]) FROM parents WHERE key LIKE '%.%'
+), dated AS (
+  SELECT key, list_name, policy, action, CAST(DATE '2024-01-01' + CAST(after AS INTEGER) AS DATE) AS day FROM entries
+), spans AS (
+  SELECT *, min(CASE WHEN action = 'remove' THEN day END) OVER (
+    PARTITION BY list_name, policy, key ORDER BY day, CASE WHEN action = 'remove' THEN 0 ELSE 1 END ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until
+  FROM dated
+), judged AS (
+  SELECT c.page_id, s.key, s.list_name, s.policy,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.key) DESC, s.key, CASE WHEN s.policy = 'block' THEN 0 ELSE 1 END, s.list_name) AS rn
+  FROM captures c JOIN spans s ON s.action = 'add' AND s.day <= c.day AND (s.until IS NULL OR c.day < s.until)
+    AND (c.host = s.key OR (ends_with(c.host, '.' || s.key) AND s.key LIKE '%.%'))
+)
+SELECT c.page_id, c.host, CAST(c.day AS VARCHAR) AS day, coalesce(j.policy = 'block', false) AS blocked, j.list_name, j.key AS entry_key
+FROM captures c LEFT JOIN judged j ON j.page_id = c.page_id AND j.rn = 1
+"""
+
+
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that is never learned from: crc32 of the id as text, mod 5, is 0."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
@@ -52,8 +119,8 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op7_toxicity_mil, op8_language_cnn, op10_lpt_sharding)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op4_temporal_url_lists, op5_qgram_decontamination, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_temporal_url_lists": OP4_SQL}
