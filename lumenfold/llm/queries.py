@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, decontaminate, language, orc_tokens, packing, sharding, toxicity, url_filter
+from lumenfold.llm import ann, decontaminate, language, orc_tokens, packing, sharding, substring, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,10 @@ def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_countmin_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), 50, 5)
 
@@ -119,7 +123,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op4_temporal_url_lists, op5_qgram_decontamination, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op4_temporal_url_lists, op5_qgram_decontamination, op6_countmin_substring, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
