@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, decontaminate, language, orc_tokens, packing, sharding, substring, toxicity, url_filter
+from lumenfold.llm import ann, decontaminate, language, minhash, orc_tokens, packing, sharding, substring, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op4_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(fetched, dated_entries(pages)).withColumn("day", F.col("day").cast("string"))
 
 
+def op3_icws_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH captures AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
@@ -123,7 +127,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op4_temporal_url_lists, op5_qgram_decontamination, op6_countmin_substring, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op3_icws_minhash, op4_temporal_url_lists, op5_qgram_decontamination, op6_countmin_substring, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -245,7 +245,7 @@ def _decide(table: pa.Table) -> pa.Table:
 
 def _remove(bits: int, exact_bits: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if with_text else pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "kept_text" if with_text else "kept_sha256"]
         if not table.num_rows:
             return _rows(names, [], types)
@@ -267,6 +267,9 @@ def _remove(bits: int, exact_bits: int, with_text: bool) -> Callable[[pa.Table,
         for i, (doc, text) in enumerate(zip(block.ids, block.texts, strict=True)):
             s, e = int(at[i]), int(at[i + 1])
             left, words = int(total[e] - total[s]), text.split()
+            if with_text and left == e - s:
+                rows.append((doc, e - s, 0, text.decode()))
+                continue
             out = b" ".join(words if left == e - s else itertools.compress(words, kept[s:e].tolist()))
             rows.append((doc, e - s, e - s - left, out.decode() if with_text else hashlib.sha256(out).hexdigest()))
         return _rows(names, rows, types)
@@ -274,8 +277,11 @@ def _remove(bits: int, exact_bits: int, with_text: bool) -> Callable[[pa.Table,
     return run
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str, int]:
-    """Rows dealt to blocks, in a table bucketed by block so that passes need no shuffle of texts: table, its name, its path, bytes of text."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str, number: bool = False) -> tuple[DataFrame, str, str, int]:
+    """Rows dealt to blocks, in a table bucketed by block so that passes need no shuffle of texts: table, its name, its path, bytes of text.
+
+    ``number`` adds ``uid``, a number of each row that stays as written.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -290,12 +296,17 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
     numbers = F.array(*[F.lit(of[b]).cast("long") for b in range(n)])
     dealt = rows.withColumn("block", F.element_at(numbers, (F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) + 1).cast("int")))
     name, path = f"lumenfold_{uuid.uuid4().hex}", new_path(spark, "blocks")
-    dealt.repartition(n, "block").write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    dealt = dealt.repartition(n, "block")
+    if number:
+        dealt = dealt.withColumn("uid", F.monotonically_increasing_id())
+    dealt.write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name), name, path, size
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed and kept_text (or kept_sha256 of it).
+    """One row per row of ``docs``: doc_id, n_words, n_removed and kept_text, or kept_sha256 of the kept words joined by a space.
+
+    kept_text is the text as it was where nothing is removed, else the kept words joined by a space.
 
     Words are runs of bytes other than ASCII white space. Earlier means a smaller id (null is the
     smallest), or an earlier start in the same row; rows that share an id are ordered among
