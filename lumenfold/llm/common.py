@@ -101,3 +101,19 @@ def running_positions(df: DataFrame, order: list[str], weight: str, out: str, gr
     on = by if group else ["_part"]
     joined = done.join(F.broadcast(offsets), on)  # a row per task (and group)
     return joined.withColumn(out, F.col("_before") + F.col("_base")).drop("_part", "_before", "_base", "_none"), path
+
+
+def add_column(df: DataFrame, text_col: str, name: str, kind: T.DataType, arrow: pa.DataType, make: Callable[[], Callable[[list[str | None]], list]]) -> DataFrame:
+    """``df`` with a column made from its texts in Python; all other columns pass through as they are, in the same task.
+
+    ``make`` runs once a task and returns the function from a batch's texts to its values. A column called ``name`` is replaced.
+    """
+    kept = df.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f(b.column(text_col).to_pylist()), arrow)], names=[*b.schema.names, name])
+
+    return kept.mapInArrow(run, schema)

@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lumenfold.llm.common import add_column
 from lumenfold.llm.words import mix
 
 Q = 8
@@ -148,24 +150,55 @@ def banded(item: bytes, raw: bytes, low: int, width: int, most: int, a: int, b:
     return (int(begin[j]), int(d[j] + m), int(row[j])) if row[j] <= most else None
 
 
+def search_texts(index: Benchmark, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+    """(number of the text, item id, start, end, edits) of every item found."""
+    found, run, size, base = [], [], 0, 0
+    for i, t in enumerate(texts):
+        run.append(normal(t))
+        size += len(run[-1])
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in run])])
+            found += [(base + d, index.ids[it], s, e, edits) for d, it, s, e, edits in index.search(b"\x00".join(run) + b"\x00", at)]
+            run, size, base = [], 0, i + 1
+    return found
+
+
 def _search(items: list[tuple[int, str]], budget: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Benchmark(items, budget)
         for b in batches:
-            ids, texts, found = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), []
-            run_, size, base = [], 0, 0
-            for i, t in enumerate(texts):
-                run_.append(normal(t))
-                size += len(run_[-1])
-                if size >= SLICE_BYTES or i == len(texts) - 1:
-                    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in run_])])
-                    found += [(ids[base + d], index.ids[it], s, e, edits) for d, it, s, e, edits in index.search(b"\x00".join(run_) + b"\x00", at)]
-                    run_, size, base = [], 0, i + 1
+            ids = b.column("doc_id").to_pylist()
+            found = [(ids[x[0]], *x[1:]) for x in search_texts(index, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
 
     return run
 
 
+def benchmark_items(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> list[tuple[int, str]]:
+    """The benchmark's rows on the driver, after a check of their size."""
+    size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    if size > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK_BYTES} are sent to tasks")
+    rows = benchmark.where(F.col(f"`{item_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    return sorted({(r[0], r[1]) for r in rows.collect()})
+
+
+def add_flag(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, text_col: str = "text", out: str = "contaminated") -> DataFrame:
+    """``docs`` with a column that is true where the text holds a benchmark item; nothing is joined or moved."""
+    items = benchmark_items(benchmark)
+
+    def make():
+        index = Benchmark(items, budget)
+
+        def flags(texts):
+            hit = {x[0] for x in search_texts(index, texts)}
+            return [i in hit for i in range(len(texts))]
+
+        return flags
+
+    return add_column(docs, text_col, out, T.BooleanType(), pa.bool_(), make)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, start, end (bytes of the normal form), edits.
 
@@ -174,10 +207,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET,
     they come. Only the named columns are read. A benchmark of over 64 MB is refused rather than
     sent to every task.
     """
-    size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK_BYTES} are sent to tasks")
-    rows = benchmark.where(F.col(f"`{item_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    items = sorted({(r[0], r[1]) for r in rows.collect()})
+    items = benchmark_items(benchmark, text_col, item_col)
     found = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return found.mapInArrow(_search(items, budget), "doc_id long, item_id long, start long, end long, edits long")

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lumenfold.llm.common import add_column
 from lumenfold.llm.words import PUNCT, Words, mix
 
 BITS = 18
@@ -163,6 +165,11 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     return rows.mapInArrow(_score(weights), "doc_id long, score double")
 
 
+def add_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column of scores; nothing is joined or moved."""
+    return add_column(docs, text_col, out, T.DoubleType(), pa.float64(), lambda: lambda texts: score_texts(texts, weights))
+
+
 def _locate(weights: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
