@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import retrieval
+from lumenfold.plans import pages, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, pages)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
