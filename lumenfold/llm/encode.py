@@ -15,6 +15,15 @@ MEMO_LIMIT = 1_000_000  # entries a worker keeps, of about 200 bytes each
 LONGEST_PIECE = 64  # characters of a piece that is kept
 
 
+class Memo(dict):
+    """ids by piece; notes what it doesn't know."""
+
+    unknown: dict[str, None]
+
+    def __missing__(self, piece: str) -> None:
+        self.unknown[piece] = None
+
+
 class PieceEncoder:
     """ids of texts as bytes (little-endian, ``width`` bytes an id)."""
 
@@ -25,7 +34,7 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.limit, self.dtype = kind, limit, np.dtype(f"<u{width}")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         if kind == "byte":
             # A space starts a new piece unless other white space touches it; so does a line's end,
             # which stays at the head of its piece in the memo.
@@ -60,31 +69,27 @@ class PieceEncoder:
         """ids of each text; none for a null or empty one."""
         import numpy as np
 
-        memo, unsafe = self.memo, self.unsafe.search
+        memo, unsafe, get = self.memo, self.unsafe.search, self.memo.__getitem__
         split = [[] if not t else None if unsafe(t) else (t.replace("\n", " \n") if self.lead else t).split(self.cut) for t in texts]
         heads: dict[str, bytes] = {}
         if self.lead:  # the first piece has no space before it
-            firsts = list(dict.fromkeys(ps[0] for ps in split if ps))
-            heads = self._learn(firsts, "") if firsts else {}
-        new = set()
-        for ps in split:
-            if ps:
-                new.update(ps[1:] if self.lead else ps)
-        new = [p for p in new if p not in memo]
-        extra = self._learn(new, self.lead) if new else {}
-        memo.update(extra)
-        get = memo.__getitem__
+            heads = self._learn(list(dict.fromkeys(ps[0] for ps in split if ps)), "")
+        memo.unknown = {}
+        rest = [ps and list(map(get, ps[1:] if self.lead else ps)) for ps in split]  # one look-up a piece; unknown ones give None
+        extra = self._learn(list(memo.unknown), self.lead) if memo.unknown else {}
         out = []
-        for t, ps in zip(texts, split, strict=True):
+        for t, ps, ids in zip(texts, split, rest, strict=True):
             if ps is None:
                 out.append(np.array(self._library([t])[0], dtype=self.dtype).tobytes())
-            elif ps and self.lead:
-                out.append(heads[ps[0]] + b"".join(map(get, ps[1:])))
-            else:
-                out.append(b"".join(map(get, ps)))
-        for p in extra:
-            if len(p) > LONGEST_PIECE or len(memo) > self.limit:
-                del memo[p]
+                continue
+            if None in ids:
+                off = 1 if self.lead else 0
+                ids = [extra[ps[i + off]] if x is None else x for i, x in enumerate(ids)]
+            if ps and self.lead:
+                ids.insert(0, heads[ps[0]])
+            out.append(b"".join(ids))
+        if (room := self.limit - len(memo)) > 0:
+            memo.update([(p, x) for p, x in extra.items() if len(p) <= LONGEST_PIECE][:room])
         return out
 
 

@@ -56,11 +56,11 @@ def document_points(flat, cut):
     """Grid points of documents, given their ids one after another and where each ends."""
     import numpy as np
 
-    rows = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    h = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.arange(int(flat.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bucket = (h >> np.uint64(56)).astype(np.int64)  # FEATURES = 256
     sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    v = np.bincount(rows * FEATURES + bucket, sign, (len(cut) - 1) * FEATURES).reshape(-1, FEATURES)
+    rows = np.repeat(np.arange(0, (len(cut) - 1) * FEATURES, FEATURES), np.diff(cut))
+    v = np.bincount(rows + bucket[flat], sign[flat], (len(cut) - 1) * FEATURES).reshape(-1, FEATURES)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     y = v @ np.random.default_rng(17).standard_normal((FEATURES, DIMS))
     top = 1 << BITS
