@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import pages, retrieval
+from lumenfold.plans import operations, pages, retrieval
 
-MODULES = (retrieval, pages)
+MODULES = (retrieval, pages, operations)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers: XML publications, HTML pages, sitemaps, logs and registers."""
