@@ -9,9 +9,11 @@ below the threshold. Document frequencies are counted over all documents in a sk
 and are verified by exact weighted Jaccard similarity. Equal texts are one from the start.
 
 Candidates never become all pairs of a bucket. The first of a bucket is compared with each other
-member, which settles buckets of true copies. Where members stay apart from the first, the rest of that bucket is
-compared by samples in its task, and pairs that may reach the threshold and aren't yet in one class are
-verified: first the best few for each document and class, then, where classes are still apart, every one.
+member, which settles most buckets of true copies. Where members stay apart from the first, their
+whole shingle sets meet in the bucket's task: a document is compared exactly with the members that
+may reach the threshold by their samples and aren't yet in its class, most alike first, and a link joins two
+classes at once. A bucket so gives fewer links than it has members, however many pairs it has. Large buckets
+are worked off in pairs of chunks of bounded size.
 
 Texts lie in a bucketed table; verification sends a text once to each block that needs it.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import drop_path, materialise
-from lumenfold.llm.substring import bucketed
+from lumenfold.llm.substring import bucketed, pack, unpack
 from lumenfold.llm.words import PUNCT, Words, mix, per_text
 
 SHINGLE, LEAST = 5, 0.8
@@ -35,6 +37,7 @@ SAMPLES = BANDS * ROWS
 IDF = 0.25
 DF_BITS, DF_PARTS = 20, 16
 MAYBE = 0.55  # share of equal samples below which a pair can't reach LEAST: over four standard deviations
+CHUNK = 4096  # members of a bucket that are compared in one task
 POOL = 16
 SLICE_BYTES = 2 << 20
 ID_BITS = 40  # of a shingle's hash, within a document
@@ -251,31 +254,73 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, str]:
 PAIR = "a long, b long, block_a long, block_b long"
 
 
-def _rest(most: int | None) -> Callable[[pa.Table], pa.Table]:
+def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(uid, n, shingles) of the wanted rows of a block: ids and counts, packed."""
+    found = _texts(table, wanted)
+    ids, rows, base = found["uid"].to_pylist(), [], 0
+    for part in slices([t or b"" for t in found["text"].to_pylist()]):
+        doc, sid, count = shingles(part)
+        cut = np.searchsorted(doc, np.arange(len(part) + 1))
+        low, high, count = sid.astype(np.uint32), (sid >> np.uint64(32)).astype(np.uint8), count.astype(np.uint32)
+        rows += [(ids[base + k], int(j - i), pack(low[i:j], high[i:j], count[i:j])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+        base += len(part)
+    return pa.table({"uid": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int32()), "shingles": pa.array([r[2] for r in rows], pa.binary())})
+
+
+class Postings:
+    """Which members of a bucket hold a shingle, and with what weight: overlaps of one member with all come from its shingles' lists."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        sid, weight = np.concatenate([x[0] for x in sets]), np.concatenate([x[1] for x in sets])
+        order = np.argsort(sid, kind="stable")
+        self.sid, self.weight = sid[order], weight[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets])[order]
+        self.total = np.array([x[1].sum(dtype=np.float64) for x in sets])
+
+    def similarities(self, i: int, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        low, high = np.searchsorted(self.sid, own[0], "left"), np.searchsorted(self.sid, own[0], "right")
+        many = high - low
+        at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        shared = np.bincount(self.owner[at], np.minimum(np.repeat(own[1], many), self.weight[at]).astype(np.float64), len(self.total))
+        return shared / (self.total + self.total[i] - shared)
+
+
+def _rest(weights) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        uid, block, label, apart, far = (table[c].to_numpy() for c in ("uid", "block", "label", "apart", "far"))
+        uid, label, apart, far = (table[c].to_numpy() for c in ("uid", "label", "apart", "far"))
         s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        found: set[tuple[int, int]] = set()
-        for u in np.flatnonzero(apart):
-            for i in range(0, len(uid), 65536):
-                part = slice(i, i + 65536)
-                alike = (s[part] == s[u]).mean(axis=1)
-                # By the triangle inequality, distances to the bucket's first differ by no more than a linked pair is apart.
-                ok = (alike >= MAYBE) & (label[part] != label[u]) & (far[part] >= far[u] - (1 - LEAST) - 1e-9)
-                hit = np.flatnonzero(ok)
-                if most is not None and len(hit):
-                    hit = hit[np.argsort(-alike[hit], kind="stable")]
-                    seen: dict[int, int] = {}
-                    keep = []
-                    for j in hit:
-                        of = int(label[i + j])
-                        seen[of] = seen.get(of, 0) + 1
-                        if seen[of] <= most:
-                            keep.append(j)
-                    hit = np.array(keep, np.int64)
-                found.update((min(int(u), i + int(j)), max(int(u), i + int(j))) for j in hit)
-        rows = sorted((int(uid[i]), int(uid[j]), int(block[i]), int(block[j])) if uid[i] < uid[j] else (int(uid[j]), int(uid[i]), int(block[j]), int(block[i])) for i, j in found)
-        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "block_a", "block_b"))})
+        sets = []
+        for n, raw in zip(table["n"].to_pylist(), table["shingles"].to_pylist(), strict=True):
+            low, high, count = unpack(raw, n, "u4", "u1", "u4")
+            sid = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+            sets.append((sid, weights.value(sid, count)))
+        lists, (_, group) = None, np.unique(label, return_inverse=True)
+        links: list[tuple[int, int, float]] = []
+
+        def link(i: int, j: int, sim: float) -> None:
+            links.append((min(int(uid[i]), int(uid[j])), max(int(uid[i]), int(uid[j])), sim))
+            group[group == group[j]] = group[i]
+
+        # Those nearest to most others first: a hub joins the most classes.
+        common = np.array([np.bincount(np.unique(c, return_inverse=True)[1])[np.unique(c, return_inverse=True)[1]] for c in s.T]).sum(axis=0)
+        for u in sorted(np.flatnonzero(apart).tolist(), key=lambda i: (-int(common[i]), int(uid[i]))):
+            # By the triangle inequality, distances to the bucket's first differ by no more than a linked pair is apart.
+            near = np.flatnonzero((group != group[u]) & (far >= far[u] - (1 - LEAST) - 1e-9))
+            alike = (s[near] == s[u]).mean(axis=1)
+            near = near[alike >= MAYBE][np.argsort(-alike[alike >= MAYBE], kind="stable")]
+            for j in near[:8].tolist():  # pair by pair while that is cheaper
+                if group[j] != group[u] and (sim := similarity(sets[u], sets[j])) >= LEAST:
+                    link(u, j, sim)
+            near = near[8:][group[near[8:]] != group[u]]
+            if len(near):
+                lists = lists or Postings(sets)
+                sims = lists.similarities(u, sets[u])[near]
+                for k in np.argsort(-sims, kind="stable").tolist():
+                    if sims[k] < LEAST:
+                        break
+                    if group[near[k]] != group[u]:
+                        link(u, int(near[k]), float(sims[k]))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64()), "sim": pa.array([x[2] for x in links], pa.float64())})
 
     return run
 
@@ -310,23 +355,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, l_at = components(spark, edges.where(F.col("sim") >= LEAST))
     # A lower bound of each member's distance to its bucket's first, exact where it was verified.
     known = alike.join(checked, ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("uid"), F.coalesce(1 - F.col("sim"), F.greatest(F.lit(1 - LEAST), 1 - F.col("alike") - F.lit(0.25))).alias("far"))
-    for most in (4, None):
-        own = members.join(labels, "uid", "left").select("bucket", "head", "uid", F.coalesce("label", "uid").alias("label"))
-        heads = labels.select(F.col("uid").alias("head"), F.col("label").alias("head_label"))
-        own = own.join(heads, "head", "left").withColumn("apart", F.col("label") != F.coalesce("head_label", "head"))
-        open_ = own.join(known, ["head", "uid"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).where("uid <> head")
-        lows = open_.where("apart").groupBy("bucket").agg(F.min("far").alias("low"), F.count("*").alias("several"))
-        rest = open_.join(lows, "bucket").where(F.col("far") >= F.col("low") - (1 - LEAST) - 1e-9)
-        rest = rest.join(of, "uid").select("bucket", "uid", "block", "label", "apart", "far", "sketch")
-        pairs = rest.groupBy("bucket").applyInArrow(_rest(most), PAIR).distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        pairs, p_at = materialise(pairs, "rest")
-        tables.append(p_at)
-        if not pairs.limit(1).count():
-            break
-        more, e_at = materialise(verify(stored, pairs, weights), "verified")
-        tables += [e_at, l_at]
-        edges = edges.unionByName(more)
-        labels, l_at = components(spark, edges.where(F.col("sim") >= LEAST))
+    heads = labels.select(F.col("uid").alias("head"), F.col("label").alias("head_label"))
+    own = members.where("uid <> head").join(labels, "uid", "left").select("bucket", "head", "uid", F.coalesce("label", "uid").alias("label"))
+    own = own.join(heads, "head", "left").withColumn("apart", F.col("label") != F.coalesce("head_label", "head"))
+    open_ = own.join(known, ["head", "uid"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    lows = open_.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("far"))).alias("low"), F.count("*").alias("several")).where("low is not null")
+    rest = open_.join(lows, "bucket").where(F.col("far") >= F.col("low") - (1 - LEAST) - 1e-9).where("several > 1").select("bucket", "uid", "label", "apart", "far", "several")
+    rest, r_at = materialise(rest, "rest")
+    blocks = stored.groupBy("block")
+    wanted = rest.select("uid").distinct().join(of, "uid").select("uid", "block")
+    sets = blocks.cogroup(wanted.groupBy("block")).applyInArrow(_sets, "uid long, n int, shingles binary").join(of.select("uid", "sketch"), "uid")
+    chunks = F.ceil(F.col("several") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("uid"), chunks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(chunk, c).alias("i"), F.greatest(chunk, c).alias("j")))
+    celled = rest.withColumn("cell", F.explode(cells)).drop("several").join(sets, "uid")
+    more, e_at = materialise(celled.groupBy("bucket", "cell").applyInArrow(_rest(weights), "a long, b long, sim double"), "links")
+    tables += [r_at, e_at, l_at]
+    labels, l_at = components(spark, edges.unionByName(more).where(F.col("sim") >= LEAST))
     tables.append(l_at)
     named = ones.select("key", "uid").join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
     rows = sketched.select("doc_id", "key").join(named, "key").select("doc_id", "label")
