@@ -55,7 +55,7 @@ def asked_about(c: Column, now: Column) -> Column:
     end = F.last_day(first)
     by_month = F.when(contains_any(head, BEFORE), F.date_sub(first, 1)).otherwise(F.when(year <= F.year(now), F.least(end, now)).otherwise(end))
     only = F.nullif(F.regexp_extract(f, r"\b(20\d{2})\b", 1), F.lit("")).cast("int")
-    by_year = F.least(make(only, F.lit(12), F.lit(31)), now)
+    by_year = F.when(only.isNotNull(), F.least(make(only, F.lit(12), F.lit(31)), now))
     last = F.when(F.contains(f, F.lit("last year")) | F.contains(f, F.lit("annee derniere")), make(F.year(now) - 1, F.lit(12), F.lit(31)))
     on = F.coalesce(iso, by_month, by_year, last, now)
     return F.struct(on.alias("on"), (on < now).alias("historical"), contains_any(f, CHANGED).alias("about_change"))
