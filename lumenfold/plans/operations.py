@@ -11,11 +11,13 @@ from lumenfold.operators import claimcheck as V
 from lumenfold.operators import decisions as D
 from lumenfold.operators import lookup as L
 from lumenfold.operators import pages as P
+from lumenfold.operators import reports as O
 from lumenfold.operators import retrieval as R
 from lumenfold.operators import telemetry as T
 from lumenfold.plans.retrieval import ANY, TOKENS
 from lumenfold.plans.tables import quoted, table
 from lumenfold.sources import html as H
+from lumenfold.sources import publications as X
 from lumenfold.streaming import stateful
 
 QUERIES, SQL = {}, {}
@@ -378,3 +380,86 @@ def clarification_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.length("text") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("message"), (F.length("text") % 3 == 0).alias("answers"),
     )
     return stateful.clarifications(t)
+
+
+# ------------------------------------------------------------------ publications and reports
+
+XML = """CASE WHEN p_partkey % 17 = 0 THEN concat('<Publication ID="F', p_partkey, '">') WHEN p_partkey % 13 = 0 THEN '<Menu/>' ELSE concat('<Publication xmlns:dc="http://purl.org/dc/elements/1.1/" ID="', CASE p_partkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'N' ELSE 'Z' END, p_partkey, '"><dc:title>', p_name, '</dc:title><dc:date>modified ', CASE WHEN p_partkey % 5 = 0 THEN '0205' ELSE '2024' END, '-05-0', 1 + p_partkey % 9, '</dc:date>
+ <Texte><Chapitre><Titre>', p_type, '</Titre><Paragraphe>Le <Valeur>prix</Valeur> est ', p_size, '.</Paragraphe><Liste type="numero"><Item>un</Item><Item>deux</Item></Liste><Inconnu>reste</Inconnu></Chapitre></Texte></Publication>') END"""
+
+
+def _publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xml")).alias("source_file"), F.lit("part").alias("segment"), F.expr(XML).alias("xml"))
+    return X.read_publications(rows)
+
+
+@query("""SELECT concat(p_partkey, '.xml') AS source_file, CASE WHEN p_partkey % 17 = 0 THEN 'failure' WHEN p_partkey % 13 = 0 THEN 'skipped' ELSE 'document' END AS status,
+ CASE WHEN p_partkey % 17 > 0 AND p_partkey % 13 > 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'fiche' WHEN 1 THEN 'dossier' ELSE 'autre' END END AS doc_kind, CASE WHEN p_partkey % 17 > 0 AND p_partkey % 13 > 0 THEN trim(regexp_replace(p_name, '\\s+', ' ', 'g')) END AS title,
+ CASE WHEN p_partkey % 17 > 0 AND p_partkey % 13 > 0 THEN p_partkey % 5 > 0 ELSE false END AS plausible FROM part""")
+def xml_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _publications(spark, sf_dir).select("source_file", "status", "doc_kind", "title", X.is_plausible(F.col("last_updated"), F.lit("2024-06-01").cast("date")).alias("plausible"))
+
+
+@query("""SELECT concat(CASE p_partkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'N' ELSE 'Z' END, p_partkey) AS doc_id, 0 AS section, p_type AS title, concat('Le prix est ', p_size, '.', chr(10), chr(10), '1. un', chr(10), '2. deux', chr(10), chr(10), 'reste') AS body FROM part WHERE p_partkey % 17 > 0 AND p_partkey % 13 > 0""")
+def xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sections(_publications(spark, sf_dir)).select("doc_id", "section", "title", "body")
+
+
+@query("SELECT 'Inconnu' AS tag, count(*) AS n FROM part WHERE p_partkey % 17 > 0 AND p_partkey % 13 > 0")
+def xml_unknown_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.unknown_tags(_publications(spark, sf_dir))
+
+
+@query("""WITH h AS (SELECT o_custkey AS answer, o_orderkey AS position FROM orders)
+ SELECT answer, string_agg(concat('[', position, '] T', position % 3, ' (p', position % 5, ')', CASE WHEN position % 2 = 0 THEN ' — situation: S' ELSE '' END, chr(10), 'text ', position), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY position) AS passages FROM h GROUP BY answer""")
+def passage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "orders").selectExpr("o_custkey AS answer", "o_orderkey AS position", "concat('T', o_orderkey % 3) AS title", "concat('p', o_orderkey % 5) AS page", "CASE WHEN o_orderkey % 2 = 0 THEN 'S' ELSE '' END AS situation", "concat('text ', o_orderkey) AS text")
+    return O.passages(h, "answer")
+
+
+@query("""WITH u AS (SELECT o_custkey AS answer, o_orderkey AS position, o_orderkey % 3 AS k, concat('https://s', o_orderkey % 4, '.gouv.fr/x') AS url FROM orders), f AS (SELECT answer, url, arg_min(position, position) AS position FROM u WHERE k < 2 GROUP BY answer, url)
+ SELECT answer, row_number() OVER (PARTITION BY answer ORDER BY position) AS rank, concat('Service ', position) AS title, url FROM f QUALIFY rank <= 3""")
+def official_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "concat('Service ', o_orderkey, '\n\n', CASE WHEN o_orderkey % 3 < 2 THEN concat('- https://s', o_orderkey % 4, '.gouv.fr/x.') ELSE 'https://gouv.fr.evil.com/x' END)"
+    h = table(spark, sf_dir, "orders").selectExpr("o_custkey AS answer", "o_orderkey AS position", f"{text} AS text")
+    return O.service_links(h, "answer", ["gouv.fr"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'update date unavailable' WHEN p_size % 4 = 1 THEN 'last updated 0205-01-01 (date as published; appears mistyped)' ELSE 'last updated 2024-01-01' END AS label FROM part""")
+def updated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.expr("CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '0205-01-01' ELSE '2024-01-01' END")
+    return table(spark, sf_dir, "part").select("p_partkey", O.updated_label(day, X.is_plausible(day, F.lit("2024-06-01").cast("date"))).alias("label"))
+
+
+@query("""SELECT concat('Bail ', n_nationkey) AS term, concat('r', n_nationkey) AS ref, CASE n_nationkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'unqualified' ELSE 'prefix' END AS how FROM nation""")
+def official_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    official = n.selectExpr("n_nationkey AS ord", "concat('r', n_nationkey) AS ref", "concat('bail ', n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' (location)' ELSE ' commercial mixte' END) AS title")
+    return O.match_official(n.selectExpr("concat('Bail ', n_nationkey) AS term"), official)
+
+
+@query("""SELECT 'change' AS kind, o_orderkey AS id, o_custkey AS source FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'conflict', s_suppkey, s_nationkey FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'stale_claim', p_partkey, p_size FROM part WHERE p_size < 5
+ UNION ALL SELECT 'incident', event_id, user_id FROM events WHERE event_type = 'error'""")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda name, key, source, test, status: table(spark, sf_dir, name).selectExpr(f"{key} AS id", f"CAST({source} AS BIGINT) AS source", f"CASE WHEN {test} THEN '{status}' ELSE 'resolved' END AS status")
+    return O.review_queue(of("orders", "o_orderkey", "o_custkey", "o_orderstatus = 'O'", "open"), of("supplier", "s_suppkey", "s_nationkey", "s_acctbal < 0", "open"), of("part", "p_partkey", "p_size", "p_size < 5", "stale_pending_review"), of("events", "event_id", "user_id", "event_type = 'error'", "open"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'resolved' ELSE lower(o_orderstatus) END AS status FROM orders""")
+def status_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "lower(o_orderstatus) AS status")
+    return O.set_status(o, o.where("id % 7 = 0").select("id", F.lit("resolved").alias("status")), "id", ["open", "resolved"])
+
+
+@query("""WITH c AS (SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM nation) AS pages, 0 AS conflicts)
+ SELECT 'log' AS capability, CASE WHEN events >= 100 THEN 'production_verified' ELSE 'mechanism_verified' END AS status, concat(events, ' events') AS evidence FROM c UNION ALL SELECT 'versions', 'mechanism_verified', concat(pages, ' pages') FROM c UNION ALL SELECT 'conflicts', 'not_observed', '0 conflicts'""")
+def capability_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, pages = table(spark, sf_dir, "events").agg(F.count("*").alias("events")), table(spark, sf_dir, "nation").agg(F.count("*").alias("pages"))
+    counts = events.crossJoin(pages).withColumn("conflicts", F.lit(0))  # one row each
+    return O.scorecard(counts, {"log": ("events", 100), "versions": ("pages", 1000), "conflicts": ("conflicts", 1)})
+
+
+@query("SELECT count(*) AS documents, CAST(CAST(min(CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END) AS DATE) AS VARCHAR) AS oldest, CAST(CAST(max(CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END) AS DATE) AS VARCHAR) AS newest FROM orders")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("day"), (F.col("o_orderkey") % 3 > 0).alias("ok"))
+    return O.corpus_stats(o, "day", "ok")
