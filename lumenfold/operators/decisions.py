@@ -121,3 +121,55 @@ def verdict_key(question: Column, chunks: Column) -> Column:
 
 def may_ask_for(filled: Column, field: Column) -> Column:
     return ~F.array_contains(filled, field)
+
+
+def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
+    """How many keywords a text holds: a phrase counts two, a word one."""
+    folded = fold_hyphen_underscore(F.translate(text, "/", " "))
+    words = F.array_distinct(F.regexp_extract_all(folded, F.lit("([a-z0-9]{3,})"), 1))
+    return sum((F.when(F.contains(folded, F.lit(k)), 2).otherwise(0) if " " in k else F.array_contains(words, k).cast("int") for k in keywords), F.lit(0))
+
+
+def candidate_score(path: Column, anchor: Column, title: Column, kind: Column, depth: Column, keywords: tuple[str, ...], serving: tuple[str, ...], editorial: tuple[str, ...], language: str, wants_news: bool = False) -> Column:
+    """How well a linked page is likely to answer: its label counts most, then its path and title; then its kind, depth and language."""
+    hits = keyword_hits(anchor, keywords) * 4.0 + keyword_hits(path, keywords) * 3.0 + keyword_hits(title, keywords) * 2.0
+    of_kind = F.when(kind.isin(*serving), 6.0).when(kind.isin("official_procedure", "requirements"), 2.0).otherwise(0.0)
+    news = F.when(kind.isin(*editorial), 5.0 if wants_news else -8.0).otherwise(0.0)
+    portal = F.when(kind == "application_portal", -1.0).otherwise(0.0)
+    parts = F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
+    length = F.when(parts.between(1, 4), 1.0).when(parts > 6, -1.0).otherwise(0.0)
+    home = F.when(F.contains(path, F.lit(f"/{language}/")), 0.5).otherwise(0.0)
+    far = F.when(depth <= 1, 0.0).when(depth == 2, -0.5).otherwise(-2.0)
+    return hits + of_kind + news + portal + length + home + far
+
+
+TRIAGE = "title string, translation string, category string, severity string, expected string, actual string, likely_cause string, suggested_fix string, affected_feature string, confidence string, notes string, reproduction_steps array<string>, needs_more_info boolean"
+
+
+def read_triage(reply: Column) -> Column:
+    """struct of the known keys of a JSON reply, inside a fence or bare; null where it can't be read. Unknown keys fall away, texts are trimmed."""
+    text = F.regexp_replace(F.trim(F.coalesce(reply, F.lit(""))), r"(?s)^```(?:json)?\s*(.*?)```.*$", "$1")
+    return F.from_json(F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), text), TRIAGE, {"mode": "PERMISSIVE"})
+
+
+def triage_error(reply: Column) -> Column:
+    """Why a reply gives no triage; null where it does."""
+    parsed = read_triage(reply)
+    empty = parsed.isNull() | F.forall(F.array(*[parsed[c].isNull() for c in ("title", "category", "severity", "notes")]), lambda x: x)
+    return F.when(empty, "the model did not return readable JSON")
+
+
+def subject(severity: Column, report_id: Column, title: Column, prefix: str) -> Column:
+    """The subject line of a report."""
+    level = F.lower(F.coalesce(severity, F.lit("")))
+    shout = F.when(level.isin("critical", "high", "medium", "low"), F.upper(level)).otherwise("UNTRIAGED")
+    short = F.substring(F.trim(F.regexp_replace(F.coalesce(title, F.lit("New report")), r"(?U)\s+", " ")), 1, 80)
+    return F.concat(F.lit(f"[{prefix}]["), shout, F.lit("] "), F.coalesce(report_id, F.lit("BUG-?")), F.lit(" — "), short)
+
+
+def translate(strings, rows, language: str, key: str):
+    """``rows`` with ``text``: the string of its language, else the English one, else the key. ``strings`` is a small table (language, key, text)."""
+    own = strings.select(F.col("language").alias(language), F.col("key").alias(key), F.col("text").alias("_own"))
+    english = strings.where("language = 'en'").select(F.col("key").alias(key), F.col("text").alias("_en"))
+    both = rows.join(own, [language, key], "left").join(english, key, "left")
+    return both.withColumn("text", F.coalesce(F.nullif("_own", F.lit("")), "_en", key)).drop("_own", "_en")

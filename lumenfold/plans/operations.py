@@ -463,3 +463,31 @@ def capability_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("day"), (F.col("o_orderkey") % 3 > 0).alias("ok"))
     return O.corpus_stats(o, "day", "ok")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 4 AS d, p_partkey % 5 AS k FROM part)
+ SELECT p_partkey, round(CASE k WHEN 0 THEN 4.0 + 3.0 + 6.0 WHEN 1 THEN 8.0 + 2.0 WHEN 2 THEN -8.0 WHEN 3 THEN -1.0 ELSE 0 END + CASE k WHEN 4 THEN -1.0 ELSE 1.0 END + CASE WHEN k < 2 THEN 0.5 ELSE 0 END + CASE WHEN d <= 1 THEN 0 WHEN d = 2 THEN -0.5 ELSE -2 END, 3)::DOUBLE AS score FROM p""")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("d"), (F.col("p_partkey") % 5).alias("k"))
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("k") + 1).cast("int"))
+    path = pick("/fr/visa/page", "/fr/page", "/news/x", "/portal", "/a/b/c/d/e/f/g")
+    anchor, title = pick("Visa", "titre de séjour", "", "", ""), pick("", "", "", "", "")
+    kind = pick("fees", "requirements", "news", "application_portal", "unknown")
+    score = D.candidate_score(path, anchor, title, kind, F.col("d"), ("visa", "titre de sejour"), ("fees",), ("news",), "fr")
+    return p.select("p_partkey", F.round(score, 3).alias("score"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN concat('T', o_orderkey) END AS title, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS steps, CASE WHEN o_orderkey % 3 = 2 THEN 'the model did not return readable JSON' END AS error,
+ concat('[BUGS][', CASE WHEN o_orderkey % 3 < 2 THEN 'HIGH' ELSE 'UNTRIAGED' END, '] BUG-', o_orderkey, ' — ', CASE WHEN o_orderkey % 3 < 2 THEN concat('T', o_orderkey) ELSE 'New report' END) AS subject FROM orders""")
+def bug_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN concat('```json\n{"title": "T', o_orderkey, '", "severity": "high", "reproduction_steps": ["a", "b"], "other": 1}\n```') WHEN 1 THEN concat('{"title": "T', o_orderkey, '", "severity": "High", "reproduction_steps": []}') ELSE 'Sorry, no.' END""")
+    t = table(spark, sf_dir, "orders").select("o_orderkey", D.read_triage(reply).alias("t"), D.triage_error(reply).alias("error"))
+    subject = D.subject(F.col("t.severity"), F.concat(F.lit("BUG-"), F.col("o_orderkey").cast("string")), F.col("t.title"), "BUGS")
+    return t.select("o_orderkey", "t.title", F.when(F.col("t").isNotNull(), F.size("t.reproduction_steps")).alias("steps"), "error", subject.alias("subject"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Bonjour' WHEN 1 THEN 'Bye' ELSE 'missing' END AS text FROM nation""")
+def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = spark.createDataFrame([("fr", "hi", "Bonjour"), ("en", "hi", "Hello"), ("en", "bye", "Bye"), ("fr", "bye", "")], "language string, key string, text string")
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "'fr' AS language", "CASE n_nationkey % 3 WHEN 0 THEN 'hi' WHEN 1 THEN 'bye' ELSE 'missing' END AS key")
+    return D.translate(strings, rows, "language", "key").select("n_nationkey", "text")
