@@ -10,9 +10,11 @@ characters), the whole text goes to the library as it is.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 MEMO_LIMIT = 1_000_000  # entries a worker keeps, of about 200 bytes each
 LONGEST_PIECE = 64  # characters of a piece that is kept
+MARKS = (".", ",", ";", ":", "!", "?")
 
 
 class Memo(dict):
@@ -42,6 +44,7 @@ class PieceEncoder:
         else:
             # White space is dropped; these control characters are white space to Python only.
             self.unsafe, self.cut, self.lead, self.sep = re.compile("[\x1c-\x1f\x01]"), None, "", " \x01 "
+        self.tails = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in MARKS}
         self.sep_id = self.tok.encode(self.sep, add_special_tokens=False).ids[0]
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -65,6 +68,21 @@ class PieceEncoder:
                 found.update(zip(block, (np.array(x, self.dtype).tobytes() for x in self._library(led)), strict=True))
         return found
 
+    def _learn_split(self, pieces: list[str]) -> dict[str, bytes]:
+        """As :meth:`_learn`, by the words that are left without a last mark: letters and a mark never merge, and the word is often known."""
+        letters = str.isalpha if self.lead else lambda w: unicodedata.normalize("NFC", w.lower()).isalpha()  # as the library sees them
+        based = [p for p in pieces if p[-1:] in MARKS and letters(p[:-1])]
+        if not based:
+            return self._learn(pieces, self.lead)
+        memo, marked = self.memo, set(based)
+        new = dict.fromkeys([p for p in pieces if p not in marked])
+        new.update(dict.fromkeys([p[:-1] for p in based if p[:-1] not in memo]))
+        found, tail = self._learn(list(new), self.lead), self.tails
+        for p in based:
+            word = memo.get(p[:-1])
+            found[p] = (found[p[:-1]] if word is None else word) + tail[p[-1]]
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text; none for a null or empty one."""
         import numpy as np
@@ -76,7 +94,7 @@ class PieceEncoder:
             heads = self._learn(list(dict.fromkeys(ps[0] for ps in split if ps)), "")
         memo.unknown = {}
         rest = [ps and list(map(get, ps[1:] if self.lead else ps)) for ps in split]  # one look-up a piece; unknown ones give None
-        extra = self._learn(list(memo.unknown), self.lead) if memo.unknown else {}
+        extra = self._learn_split(list(memo.unknown)) if memo.unknown else {}
         out = []
         for t, ps, ids in zip(texts, split, rest, strict=True):
             if ps is None:

@@ -57,10 +57,12 @@ def document_points(flat, cut):
     import numpy as np
 
     h = np.arange(int(flat.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = (h >> np.uint64(56)).astype(np.int64)  # FEATURES = 256
-    sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    rows = np.repeat(np.arange(0, (len(cut) - 1) * FEATURES, FEATURES), np.diff(cut))
-    v = np.bincount(rows + bucket[flat], sign[flat], (len(cut) - 1) * FEATURES).reshape(-1, FEATURES)
+    # A token's bucket and sign in one number; counts of either sign are subtracted.
+    cell = ((h >> np.uint64(56)) * np.uint64(2) + ((h >> np.uint64(40)) & np.uint64(1))).astype(np.int64)  # FEATURES = 256
+    rows = np.repeat(np.arange(0, (len(cut) - 1) * FEATURES * 2, FEATURES * 2), np.diff(cut))
+    rows += cell[flat]
+    v = np.bincount(rows, minlength=(len(cut) - 1) * FEATURES * 2).reshape(-1, FEATURES, 2)
+    v = (v[:, :, 1] - v[:, :, 0]).astype(float)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     y = v @ np.random.default_rng(17).standard_normal((FEATURES, DIMS))
     top = 1 << BITS
@@ -72,17 +74,16 @@ def _tokens(path: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         import numpy as np
         import zstandard
 
-        enc, uid, squeeze = encoder(path, kind), TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(1)
-        end = np.array([END_ID], "<u4").tobytes()
+        enc, uid, squeeze = encoder(path, kind, 2), TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(1)
+        end = np.array([END_ID], "<u2").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
                 raw = [x + end for x in enc.encode(b.column("text").to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-                cut, flat = np.concatenate([[0], np.cumsum(n)]), np.frombuffer(b"".join(raw), "<u4")
+                n = np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw))
+                cut, flat = np.concatenate([[0], np.cumsum(n)]), np.frombuffer(b"".join(raw), "<u2")
                 key = hilbert_key(document_points(flat, cut), BITS)
-                # Planes of equal bytes pack well: the upper bytes of ids are mostly zero.
-                packed = [squeeze.compress(np.ascontiguousarray(flat[i:j].view(np.uint8).reshape(-1, 4).T).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                packed = [squeeze.compress(x) for x in raw]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").cast(pa.int64()), pa.array(uid + np.arange(len(n))), pa.array(key), pa.array(n), pa.array(packed, pa.binary())],
                     names=["doc_id", "uid", "key", "doc_tokens", "ids"],
@@ -106,7 +107,7 @@ def _pieces(length: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 doc, at_, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_at", "doc_tokens"))
                 rows, starts, lengths, crc, ids = [], [], [], [], []
                 for i, z in enumerate(b.column("ids").to_pylist()):
-                    flat = np.ascontiguousarray(np.frombuffer(open_up.decompress(z), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+                    flat = np.frombuffer(open_up.decompress(z), "<u2").astype("<u4")
                     s = 0
                     while s < n[i]:
                         m = min(int(n[i]) - s, length - (int(at_[i]) + s) % length)
@@ -137,7 +138,7 @@ def _pieces(length: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", length: int = 2048, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Every whole text is encoded, with the end id behind it; a null or empty text is the end id
+    The vocabulary has at most 65,536 ids: between the passes an id takes two bytes. Every whole text is encoded, with the end id behind it; a null or empty text is the end id
     alone. Equal keys are ordered by id, so ties and copies still spread over tasks. Repeated rows
     and null ids are documents of their own. Only the two named columns are read. An empty table
     gives an empty table.
