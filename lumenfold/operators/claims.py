@@ -134,3 +134,10 @@ def resolve(df: DataFrame, on: Column) -> DataFrame:
 
 def conflict_id(a: Column, b: Column) -> Column:
     return F.concat(F.lit("CONF-"), F.substring(F.sha2(F.array_join(F.array_sort(F.array(a, b)), "|").cast("binary"), 256), 1, 12))
+
+
+def mark_stale(claims: DataFrame, moved: DataFrame) -> DataFrame:
+    """``claims`` with those that are current and in ``moved`` (source_id, claim_id) put up for review."""
+    hit = moved.select("source_id", "claim_id", F.lit(True).alias("_moved")).distinct()
+    both = claims.join(hit, ["source_id", "claim_id"], "left")
+    return both.withColumn("status", F.when(F.col("_moved") & (F.col("status") == "current"), "stale_pending_review").otherwise(F.col("status"))).drop("_moved")

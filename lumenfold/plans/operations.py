@@ -491,3 +491,42 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings = spark.createDataFrame([("fr", "hi", "Bonjour"), ("en", "hi", "Hello"), ("en", "bye", "Bye"), ("fr", "bye", "")], "language string, key string, text string")
     rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "'fr' AS language", "CASE n_nationkey % 3 WHEN 0 THEN 'hi' WHEN 1 THEN 'bye' ELSE 'missing' END AS key")
     return D.translate(strings, rows, "language", "key").select("n_nationkey", "text")
+
+
+@query("""WITH a AS (SELECT c_custkey AS answer, CASE WHEN c_custkey % 3 = 0 THEN concat('s', c_custkey % 10) END AS entity, CASE WHEN c_custkey % 4 = 0 THEN 'a1' END AS area, CASE WHEN c_custkey % 29 = 0 THEN 1 ELSE 0 END AS conflicts FROM customer),
+ e AS (SELECT o_custkey AS answer, count(*) FILTER (o_orderkey % 31 = 0) AS untraced, list(concat('s', o_orderkey % 10)) AS cited, list(CASE o_orderkey % 3 WHEN 0 THEN 'a1' WHEN 1 THEN 'a2' END) AS areas, count(*) FILTER (o_orderkey % 19 = 0) AS old FROM orders GROUP BY 1),
+ c AS (SELECT o_custkey AS answer, count(*) FILTER (o_orderdate > TIMESTAMP '1998-06-01') AS lapsed FROM orders GROUP BY 1)
+ SELECT answer, array_to_string(list_filter([CASE WHEN coalesce(untraced, 0) > 0 THEN 'provenance' END, CASE WHEN entity IS NOT NULL AND NOT coalesce(list_contains(cited, entity), false) THEN 'entity' END, CASE WHEN area IS NOT NULL AND coalesce(list_contains(areas, 'a2'), false) THEN 'jurisdiction' END,
+  CASE WHEN coalesce(lapsed, 0) > 0 THEN 'effective_dates' END, CASE WHEN coalesce(old, 0) > 0 THEN 'freshness' END, CASE WHEN conflicts > 0 THEN 'conflicts' END], lambda x: x IS NOT NULL), ',') AS failures FROM a LEFT JOIN e USING (answer) LEFT JOIN c USING (answer)""")
+def evidence_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    answers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS answer", "CASE WHEN c_custkey % 3 = 0 THEN concat('s', c_custkey % 10) END AS entity", "CASE WHEN c_custkey % 4 = 0 THEN 'a1' END AS area", "CASE WHEN c_custkey % 29 = 0 THEN 1 ELSE 0 END AS conflicts")
+    evidence = o.selectExpr("o_custkey AS answer", "concat('s', o_orderkey % 10) AS source_id", "CASE o_orderkey % 3 WHEN 0 THEN 'a1' WHEN 1 THEN 'a2' ELSE '' END AS area", "o_orderkey % 31 > 0 AS traceable", "o_orderkey % 19 = 0 AS stale")
+    claims = o.selectExpr("o_custkey AS answer", "date_add(CAST(o_orderdate AS DATE), CASE WHEN o_orderdate > TIMESTAMP'1998-06-01 00:00:00' THEN 40000 ELSE 0 END) AS effective_from", "CAST(NULL AS DATE) AS effective_until")
+    got = V.validate_evidence(answers, evidence, claims, F.lit("2024-01-01").cast("date"))
+    return got.select("answer", F.array_join("failures", ",").alias("failures"))
+
+
+@query("""SELECT s_suppkey, concat('s', s_nationkey) AS source_id, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 3 > 0 THEN 'stale_pending_review' WHEN s_suppkey % 3 = 0 THEN 'superseded' ELSE 'current' END AS status FROM supplier""")
+def claims_marked_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.operators import claims as C
+
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('s', s_nationkey) AS source_id", "concat('c', s_suppkey) AS claim_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'superseded' ELSE 'current' END AS status")
+    return C.mark_stale(s, s.where("s_suppkey % 4 = 0")).select("s_suppkey", "source_id", "status")
+
+
+@query("""WITH i AS (SELECT n_nationkey, lower(replace(n_name, '_', '-')) AS slug FROM nation) SELECT n_nationkey, slug AS source_id FROM i WHERE n_nationkey % 2 = 0""")
+def institution_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    register = n.select("n_nationkey", F.concat(F.lit("École "), F.translate("n_name", "_", " ")).alias("name"), F.col("n_name").alias("acronym"))
+    sources = n.where("n_nationkey % 2 = 0").select(L.slug(F.col("n_name")).alias("source_id"))
+    return L.by_slug(register, sources).select("n_nationkey", "source_id")
+
+
+@query("""WITH q AS (SELECT conv_id, turn, length(text) AS n FROM conversations), v AS (SELECT DISTINCT conv_id % 50 AS k FROM conversations WHERE conv_id % 3 = 0)
+ SELECT conv_id, turn, conv_id % 50 IN (SELECT k FROM v) AS cached FROM q""")
+def verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda q, c: D.verdict_key(q, F.array(c, F.lit("z")))
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", key(F.concat(F.lit("Où "), (F.col("conv_id") % 50).cast("string")), F.lit("a")).alias("key"))
+    stored = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select(key(F.concat(F.lit("ou, "), (F.col("conv_id") % 50).cast("string")), F.lit("a")).alias("key"), F.lit(True).alias("hit")).distinct()
+    return q.join(stored, "key", "left").select("conv_id", "turn", F.coalesce("hit", F.lit(False)).alias("cached"))
