@@ -114,7 +114,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Documents and questions borrow the vector whose number is their own, modulo how many there are.
 HITS = f"""WITH {BM25}, ne AS (SELECT count(*) AS n FROM embeddings), e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
- ds AS MATERIALIZED (SELECT i.item_id AS query, x.doc_id AS doc, {COS} AS dense_score FROM benchmark i, documents x, ne, e a, e b WHERE a.vec_id = i.item_id % ne.n AND b.vec_id = x.doc_id % ne.n),
+ qv AS MATERIALIZED (SELECT i.item_id AS query, e.v FROM benchmark i, ne JOIN e ON e.vec_id = i.item_id % ne.n), dv AS MATERIALIZED (SELECT x.doc_id AS doc, e.v FROM documents x, ne JOIN e ON e.vec_id = x.doc_id % ne.n),
+ ds AS MATERIALIZED (SELECT a.query, b.doc, {COS} AS dense_score FROM qv a, dv b),
  de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(dense_score, 9) DESC, doc) AS dense_rank FROM ds) WHERE dense_rank <= 25),
  fu AS MATERIALIZED (SELECT query, doc, dense_rank, keyword_rank, coalesce(1.0 / (60 + dense_rank), 0)::DOUBLE + coalesce(1.0 / (60 + keyword_rank), 0)::DOUBLE AS fused_score,
    coalesce(de.dense_score, ds.dense_score) AS dense_score FROM de FULL JOIN kw USING (query, doc) JOIN ds USING (query, doc)),

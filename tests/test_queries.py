@@ -8,7 +8,6 @@ from lumenfold.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"rrf_fuse", "relevance_gate", "evidence_verdict", "best_passage_per_doc"}  # their plan is that of hybrid_diversify
 
 
 def shown(v):
@@ -25,7 +24,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries())))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     rows = df.collect()
