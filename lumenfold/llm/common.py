@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumenfold.llm.encode import forget
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
@@ -112,6 +114,7 @@ def add_column(df: DataFrame, text_col: str, name: str, kind: T.DataType, arrow:
     schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         f = make()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f(b.column(text_col).to_pylist()), arrow)], names=[*b.schema.names, name])

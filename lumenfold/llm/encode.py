@@ -119,3 +119,8 @@ def encoder(path: str, kind: str, width: int = 4) -> PieceEncoder:
     if (key := (path, kind, width)) not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(path, kind, width)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Frees the memos of a worker that goes on to other work; workers are reused between stages."""
+    _ENCODERS.clear()

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import drop_path, materialise
+from lumenfold.llm.encode import forget
 from lumenfold.llm.substring import bucketed, pack, unpack
 from lumenfold.llm.words import PUNCT, Words, mix, per_text
 
@@ -125,6 +126,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
+    forget()
     df, seen = np.zeros(1 << DF_BITS, np.uint32), 0
     for b in batches:
         for run in slices([t or b"" for t in b.column("text").to_pylist()]):
@@ -163,6 +165,7 @@ def _sketch(weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        forget()
         for b in batches:
             texts, raw = [t or b"" for t in b.column("text").to_pylist()], []
             for part in slices(texts):
@@ -200,6 +203,7 @@ def _texts(table: pa.Table, wanted: pa.Table) -> pa.Table:
 
 def _verify(weights) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, needs: pa.Table) -> pa.Table:
+        forget()
         out: list[tuple[int, int, float]] = []
         if table.num_rows and needs.num_rows:
             given = needs.filter(pa.compute.is_valid(needs["text"]))
@@ -287,6 +291,7 @@ class Postings:
 
 def _rest(weights) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        forget()
         uid, label, apart, far = (table[c].to_numpy() for c in ("uid", "label", "apart", "far"))
         s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
         sets = []
