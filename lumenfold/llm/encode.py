@@ -17,12 +17,34 @@ LONGEST_PIECE = 64  # characters of a piece that is kept
 MARKS = (".", ",", ";", ":", "!", "?")
 
 
+#: White space besides the space and the line's end, ASCII and other.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TOUCHING = re.compile(r"\s\s|^\s|\s$")
+#: White space to Python's split but not to the library, and the separator's own character.
+NO_SPLIT = "\x1c\x1d\x1e\x1f\x01"
+
+
+def touching(t: str) -> bool:
+    """White space touches other white space or an end. Searches for single characters are far quicker than one pattern."""
+    if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n":
+        return True
+    odd = any(c in t for c in OTHER_SPACE) or (not t.isascii() and any(c in t for c in WIDE_SPACE))
+    return odd and bool(TOUCHING.search(t))
+
+
+def no_split(t: str) -> bool:
+    return any(c in t for c in NO_SPLIT)
+
+
 class Memo(dict):
     """ids by piece; notes what it doesn't know."""
 
     unknown: dict[str, None]
+    misses = 0
 
     def __missing__(self, piece: str) -> None:
+        self.misses += 1
         self.unknown[piece] = None
 
 
@@ -40,10 +62,10 @@ class PieceEncoder:
         if kind == "byte":
             # A space starts a new piece unless other white space touches it; so does a line's end,
             # which stays at the head of its piece in the memo.
-            self.unsafe, self.cut, self.lead, self.sep = re.compile(r"\s\s|^\s|\s$"), " ", " ", "\t"
+            self.unsafe, self.cut, self.lead, self.sep = touching, " ", " ", "\t"
         else:
             # White space is dropped; these control characters are white space to Python only.
-            self.unsafe, self.cut, self.lead, self.sep = re.compile("[\x1c-\x1f\x01]"), None, "", " \x01 "
+            self.unsafe, self.cut, self.lead, self.sep = no_split, None, "", " \x01 "
         self.tails = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in MARKS}
         self.sep_id = self.tok.encode(self.sep, add_special_tokens=False).ids[0]
 
@@ -87,20 +109,24 @@ class PieceEncoder:
         """ids of each text; none for a null or empty one."""
         import numpy as np
 
-        memo, unsafe, get = self.memo, self.unsafe.search, self.memo.__getitem__
+        memo, unsafe, get = self.memo, self.unsafe, self.memo.__getitem__
         split = [[] if not t else None if unsafe(t) else (t.replace("\n", " \n") if self.lead else t).split(self.cut) for t in texts]
         heads: dict[str, bytes] = {}
         if self.lead:  # the first piece has no space before it
             heads = self._learn(list(dict.fromkeys(ps[0] for ps in split if ps)), "")
         memo.unknown = {}
-        rest = [ps and list(map(get, ps[1:] if self.lead else ps)) for ps in split]  # one look-up a piece; unknown ones give None
+        rest, gaps = [], []
+        for ps in split:  # one look-up a piece; unknown ones give None
+            before = memo.misses
+            rest.append(ps and list(map(get, ps[1:] if self.lead else ps)))
+            gaps.append(memo.misses > before)
         extra = self._learn_split(list(memo.unknown)) if memo.unknown else {}
         out = []
-        for t, ps, ids in zip(texts, split, rest, strict=True):
+        for t, ps, ids, gap in zip(texts, split, rest, gaps, strict=True):
             if ps is None:
                 out.append(np.array(self._library([t])[0], dtype=self.dtype).tobytes())
                 continue
-            if None in ids:
+            if gap:
                 off = 1 if self.lead else 0
                 ids = [extra[ps[i + off]] if x is None else x for i, x in enumerate(ids)]
             if ps and self.lead:
