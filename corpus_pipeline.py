@@ -25,16 +25,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class, the document with the smallest id stays. Rows that share an id count as one document."""
-    named = minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each near-duplicate class, one row stays: that with the smallest id, null ids last. Rows that share an id or have none are documents of their own."""
+    return minhash.one_of_each_class(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier window of 20 words go; every document stays, its n_chars anew."""
-    kept = substring.remove_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
-    out = docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    kept = substring.remove_repeats(docs, whole=True).select("others.*", F.col("kept_text").alias("text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,6 +341,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     stored, name, path, _ = bucketed(docs, id_col, text_col, number=True)
+    rows, tables = labelled(stored)
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    out, _ = materialise(rows.join(least, "label").select("doc_id", "class_id"), "classes")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path, *tables)
+    return out
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of ``docs`` for each class of ``near_duplicates``: that with the smallest id.
+
+    Rows count one by one, whatever their ids: different texts that share an id or have none each stay
+    in their own class. A null id comes after all others; of equal ids, one text is taken by its hash.
+    """
+    spark = docs.sparkSession
+    stored, name, path, _ = bucketed(docs, id_col, text_col, number=True, whole=True)
+    rows, tables = labelled(stored.select("doc_id", "text", "block", "uid"))
+    first = F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "key", "uid")).alias("uid")
+    kept, at = materialise(rows.groupBy("label").agg(first).select("uid"), "kept")
+    drop_path(spark, *tables)
+    text = F.col("text").cast("string").cast(docs.schema[text_col].dataType)
+    found = stored.join(kept, "uid", "left_semi").select(*[(text if c == text_col else F.col("others").getField(c)).alias(c) for c in docs.columns])
+    out, _ = materialise(found, "kept-rows")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path, at)
+    return out
+
+
+def labelled(stored: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(uid, doc_id, key, label) of each row of a bucketed table, key a hash of its text and label its class; and the tables that this reads."""
+    spark = stored.sparkSession
     weights = spark.sparkContext.broadcast(frequencies(stored))  # 4 MB
     sketched, s_at = materialise(stored.select("uid", "doc_id", "block", "text").mapInArrow(_sketch(weights), "uid long, doc_id long, block long, key binary, sketch binary"), "sketches")
     ones, o_at = materialise(sketched.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("block", "uid").alias("block"), F.min_by("sketch", "uid").alias("sketch")), "texts")
@@ -379,9 +410,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, l_at = components(spark, edges.unionByName(more).where(F.col("sim") >= LEAST))
     tables.append(l_at)
     named = ones.select("key", "uid").join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
-    rows = sketched.select("doc_id", "key").join(named, "key").select("doc_id", "label")
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    out, _ = materialise(rows.join(least, "label").select("doc_id", "class_id"), "classes")
-    spark.sql(f"DROP TABLE {name}")
-    drop_path(spark, path, *tables)
-    return out
+    return sketched.select("uid", "doc_id", "key").join(named, "key").select("uid", "doc_id", "key", "label"), tables

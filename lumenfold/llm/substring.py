@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenfold.llm.common import drop_path, materialise, new_path
 from lumenfold.llm.words import SPACE, Words, mix
@@ -83,7 +85,7 @@ class Block:
 
     def __init__(self, table: pa.Table, bits: int):
         ids = table["doc_id"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
         texts = table["text"].to_pylist()
         self.ids, self.texts = [ids[i] for i in order], [texts[i] or b"" for i in order]
         self.words, self.bits = Words(self.texts, SPACE), bits
@@ -243,12 +245,12 @@ def _decide(table: pa.Table) -> pa.Table:
     return _answers([(x, 2, bank, bits_of(later[i:j])) for x, i, j in zip(blocks, cut[:-1], cut[1:], strict=True)])
 
 
-def _remove(bits: int, exact_bits: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _remove(bits: int, exact_bits: int, with_text: bool, others: pa.DataType | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "kept_text" if with_text else "kept_sha256"]
         if not table.num_rows:
-            return _rows(names, [], types)
+            return _rows([*names, "others"], [], [*types, others]) if others else _rows(names, [], types)
         block = Block(table, bits)
         gone = np.zeros(len(block.words.start) + 1, np.int64)
         if replies.num_rows:
@@ -272,18 +274,20 @@ def _remove(bits: int, exact_bits: int, with_text: bool) -> Callable[[pa.Table,
                 continue
             out = b" ".join(words if left == e - s else itertools.compress(words, kept[s:e].tolist()))
             rows.append((doc, e - s, e - s - left, out.decode() if with_text else hashlib.sha256(out).hexdigest()))
-        return _rows(names, rows, types)
+        out = _rows(names, rows, types)
+        return out.append_column("others", table["others"].take(pa.array(block.order))) if others else out
 
     return run
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, number: bool = False) -> tuple[DataFrame, str, str, int]:
+def bucketed(docs: DataFrame, id_col: str, text_col: str, number: bool = False, whole: bool = False) -> tuple[DataFrame, str, str, int]:
     """Rows dealt to blocks, in a table bucketed by block so that passes need no shuffle of texts: table, its name, its path, bytes of text.
 
-    ``number`` adds ``uid``, a number of each row that stays as written.
+    ``number`` adds ``uid``, a number of each row that stays as written; ``whole`` adds ``others``, a row's other columns and its id as one value.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("others")] if whole else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), *others)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     # A number for each bucket that hashes to it, so that every bucket holds one block.
@@ -303,7 +307,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, number: bool = False)
     return spark.table(name), name, path, size
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed and kept_text, or kept_sha256 of the kept words joined by a space.
 
     kept_text is the text as it was where nothing is removed, else the kept words joined by a space.
@@ -311,10 +315,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     Words are runs of bytes other than ASCII white space. Earlier means a smaller id (null is the
     smallest), or an earlier start in the same row; rows that share an id are ordered among
     themselves in some way. Null and empty texts have no words and are kept as empty texts. Only the two named
-    columns are read. An empty table gives an empty table.
+    columns are read, unless ``whole`` asks for ``others``: all columns of the same row but its text, as one value. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    table, name, path, size = bucketed(docs, id_col, text_col)
+    rows, name, path, size = bucketed(docs, id_col, text_col, whole=whole)
+    table = rows.select("doc_id", "text", "block")
     windows = max(1, size // 6)
     bits = max(BANK_BITS, (CELLS_PER_WINDOW * windows - 1).bit_length())
     exact_bits = min(EXACT_BITS, max(1, (size // BLOCK_BYTES).bit_length()))
@@ -324,7 +329,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     proposed = texts.cogroup(sketch.groupBy("block")).applyInArrow(_propose(bits, exact_bits), MESSAGE)
     exact, at2 = materialise(proposed.groupBy("bank").applyInArrow(_decide, REPLY), "exact")
     kept = "kept_text string" if with_text else "kept_sha256 string"
-    out = texts.cogroup(sketch.unionByName(exact).groupBy("block")).applyInArrow(_remove(bits, exact_bits, with_text), f"doc_id long, n_words long, n_removed long, {kept}")
+    schema = T.StructType.fromDDL(f"doc_id long, n_words long, n_removed long, {kept}")
+    others = None
+    if whole:
+        schema = schema.add(rows.schema["others"])
+        others = to_arrow_schema(schema).field("others").type
+    out = rows.groupBy("block").cogroup(sketch.unionByName(exact).groupBy("block")).applyInArrow(_remove(bits, exact_bits, with_text, others), schema)
     done, _ = materialise(out, "substring")
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, path, at1, at2)

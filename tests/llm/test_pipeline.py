@@ -1,5 +1,8 @@
 """The pipeline's stages, each on its own input."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline as P
 from lumenfold.llm import decontaminate, minhash
 from lumenfold.llm.queries import table
@@ -34,3 +37,20 @@ def test_stages(spark, tmp_path):
     pieces = P.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(pieces["doc_id"]) == set(b) and (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all()
     assert minhash.LEAST == 0.8
+
+
+def test_rows_without_an_id_or_with_a_shared_one_stay(spark):
+    from tests.llm.test_dedup import words
+
+    rnd = random.Random(3)
+    a, b, c, d, e = (" ".join(words(rnd, 60)) for _ in range(5))
+    rows = [(None, a, "n"), (None, b, "n"), (7, c, "x"), (7, d, "y"), (8, d, "z"), (9, e, "x"), (9, e, "x"), (None, e, "n"), (10, None, "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.keep_one_of_each_class(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == Counter([(None, a, "n"), (None, b, "n"), (7, c, "x"), (7, d, "y"), (9, e, "x"), (10, None, "t")])
+    got = P.cut_repeats(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), r["source"]) for r in got) == sorted((str(i), s) for i, _, s in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert {(r["doc_id"], r["source"]): r["text"] for r in got if r["text"] and r["text"] in (c, d)} == {(7, "x"): c, (7, "y"): d}
+    assert {r["text"] for r in got if r["doc_id"] is None} >= {a, b} and sum(r["text"] == e for r in got) == 1
