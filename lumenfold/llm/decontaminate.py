@@ -25,6 +25,7 @@ Q = 8
 BUDGET = 0.1  # edits allowed, as a share of an item's bytes
 MAX_BENCHMARK_BYTES = 64 << 20
 TABLE_BITS = 24
+BAND_BITS = 40  # of a key; the rest numbers items: 64 MB hold 2 ** 23 of 8 bytes
 SLICE_BYTES = 4 << 20
 
 
@@ -50,6 +51,8 @@ class Benchmark:
         self.k = np.maximum(0, np.minimum((size * budget).astype(np.int64), (size + 1 - Q) // Q - 1))
         self.least = size + 1 - Q * (self.k + 1)
         self.width = self.k + 1
+        # Added to diagonals, so that no band is negative however far into an item a gram at the text's start lies.
+        self.offset = int((size + self.width).max(initial=0))
         g = [grams(t) for t in self.texts]
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
         place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
@@ -77,7 +80,7 @@ class Benchmark:
         many = self.first[k + 1] - self.first[k]
         hit = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         pos, item = np.repeat(pos, many), self.item[hit]
-        diagonal = pos - self.place[hit] + 4096 * Q  # over 0 even where the item starts before the text
+        diagonal = pos - self.place[hit] + self.offset  # over 0 even where the item starts before the text
         doc = np.searchsorted(at, pos, "right") - 1
         found: list[tuple[int, int, int, int, int]] = []
         if not len(pos):
@@ -89,15 +92,17 @@ class Benchmark:
         key, place = key[order], np.tile(self.place[hit], 2)[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         keys, count = key[first], np.diff(np.append(first, len(key)))
-        item_of = (keys >> np.uint64(44)).astype(np.int64)
+        item_of = (keys >> np.uint64(BAND_BITS)).astype(np.int64)
         enough = count >= self.least[item_of]
         for j in np.flatnonzero(enough):  # a gram of the item counts once, however often the place repeats it
             enough[j] = len(np.unique(place[first[j] : first[j] + count[j]])) >= self.least[item_of[j]]
         spans: dict[tuple[int, int], tuple[int, int, int]] = {}
         for key_, it in zip(keys[enough].tolist(), item_of[enough].tolist(), strict=True):
-            low = (key_ & ((1 << 44) - 1)) * int(self.width[it]) - 4096 * Q
+            low = (key_ & ((1 << BAND_BITS) - 1)) * int(self.width[it]) - self.offset
             for lo, d in self._documents(low, it, at):
                 a, b = int(at[d]), int(at[d + 1]) - 1
+                if b - a < len(self.texts[it]) - int(self.k[it]):
+                    continue  # too short to hold the item
                 got = banded(self.texts[it], raw, lo, 2 * int(self.width[it]), int(self.k[it]), a, b)
                 if got and (got[2], got[0]) < (lambda x: (x[2], x[0]))(spans.get((d, it), (1 << 60, 0, 1 << 60))):
                     spans[d, it] = got
@@ -112,7 +117,7 @@ class Benchmark:
 
     @staticmethod
     def _key(item: np.ndarray, band: np.ndarray) -> np.ndarray:
-        return item.astype(np.uint64) << np.uint64(44) | band.astype(np.uint64)
+        return item.astype(np.uint64) << np.uint64(BAND_BITS) | band.astype(np.uint64)
 
 
 def banded(item: bytes, raw: bytes, low: int, width: int, most: int, a: int, b: int) -> tuple[int, int, int] | None:
@@ -174,13 +179,13 @@ def _search(items: list[tuple[int, str]], budget: float) -> Callable[[Iterator[p
     return run
 
 
-def benchmark_items(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> list[tuple[int, str]]:
+def benchmark_items(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> list[tuple[int | None, str]]:
     """The benchmark's rows on the driver, after a check of their size."""
     size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     if size > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK_BYTES} are sent to tasks")
-    rows = benchmark.where(F.col(f"`{item_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return sorted({(r[0], r[1]) for r in rows.collect()})
+    rows = benchmark.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    return sorted({(r[0], r[1]) for r in rows.collect()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def add_flag(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, text_col: str = "text", out: str = "contaminated") -> DataFrame:
@@ -202,7 +207,9 @@ def add_flag(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, text
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, start, end (bytes of the normal form), edits.
 
-    Every whole text is searched for every item. Null and empty texts hold nothing; items under
+    Every whole text is searched for every item, of any length; one whose id is null is reported with
+    a null item_id. An item may differ by a tenth of its bytes, but an item of m <= 70 bytes by no more than
+    ``(m - 7) // 8 - 1`` edits (none under 23 bytes), so that it still shares a gram with its place. Null and empty texts hold nothing; items under
     8 bytes are left out, as they say nothing about leakage. Repeated rows are reported as often as
     they come. Only the named columns are read. A benchmark of over 64 MB is refused rather than
     sent to every task.

@@ -149,6 +149,18 @@ def test_leaks_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and len(got) == len(want) > 20
 
 
+def test_long_items_and_items_without_an_id_are_searched(spark):
+    rnd = random.Random(6)
+    long = " ".join(words(rnd, 8000))
+    assert len(long) > 40 << 10
+    tail = long[-60:]  # at the start of a text: its diagonals lie over 40 KiB below 0
+    docs = spark.createDataFrame([(1, tail), (2, "before " + long + " after"), (3, "so the nameless item of the benchmark lies in here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, long), (None, "the nameless item of the benchmark"), (2, "a short item that nobody holds")], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.contaminated(docs.coalesce(1), bench).collect()]
+    assert got == [(2, 1, 7, 7 + len(long), 0), (3, None, 3, 37, 0)]
+    assert {r["doc_id"] for r in decontaminate.add_flag(docs, bench).where("contaminated").collect()} == {2, 3}
+
+
 def test_odd_rows_leak_nothing(spark, odd):
     bench = spark.createDataFrame([(1, "a benchmark passage that nobody holds")], "item_id long, text string")
     assert decontaminate.contaminated(odd, bench).count() == 0
