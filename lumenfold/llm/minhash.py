@@ -3,7 +3,9 @@
 A document is a weighted set of five-word shingles; a shingle weighs its count in the document times
 a mild inverse document frequency, ``1 + IDF * ln(N / df) / ln(N)``, so that weights of rare and common
 shingles differ by a quarter at most and a large group of near copies can't push its own shingles
-below the threshold. Document frequencies are counted over all documents in a sketch of fixed size.
+below the threshold. Document frequencies are counted over all documents for each shingle number of
+40 bits: blocks tell them to banks, and banks answer each block. Two different shingles share a number
+(and so a count) with probability 2 ** -40: of 5 billion different ones, as about 30 GB may hold, one in 200 does.
 
 ``SAMPLES`` weighted samples of each document are banded; documents that share a band are candidates
 and are verified by exact weighted Jaccard similarity. Equal texts are one from the start.
@@ -15,11 +17,13 @@ may reach the threshold by their samples and aren't yet in its class, most alike
 classes at once. A bucket so gives fewer links than it has members, however many pairs it has. Large buckets
 are worked off in pairs of chunks of bounded size.
 
-Texts lie in a bucketed table; verification sends a text once to each block that needs it.
+Texts lie in a bucketed table, and so do their packed shingles with counts; verification sends a document's
+shingles once to each block that needs them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,16 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_path, materialise
+from lumenfold.llm.common import drop_path, materialise, new_path
 from lumenfold.llm.encode import forget
-from lumenfold.llm.substring import bucketed, pack, unpack
+from lumenfold.llm.substring import BLOCK_BYTES, MESSAGE, _messages, bucketed, pack, runs, unpack
 from lumenfold.llm.words import PUNCT, Words, mix, per_text
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 IDF = 0.25
-DF_BITS, DF_PARTS = 20, 16
+DF_BITS = 24  # of a table of counts in memory
+BANK_SHINGLES = 4 << 20  # about so many shingles are told to a bank
 MAYBE = 0.55  # share of equal samples below which a pair can't reach LEAST: over four standard deviations
 CHUNK = 4096  # members of a bucket that are compared in one task
 POOL = 16
@@ -80,14 +85,20 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (both >> np.uint64(ID_BITS)).astype(np.int64), both & np.uint64((1 << ID_BITS) - 1), count
 
 
+def idf(df: np.ndarray, docs: int) -> np.ndarray:
+    """Inverse document frequencies of shingles that ``df`` of ``docs`` documents hold."""
+    return (1 + IDF * np.log((docs + 1) / (np.minimum(df, docs) + 1)) / np.log(docs + 1) if docs else np.ones(len(df))).astype(np.float32)
+
+
 def df_cell(sid: np.ndarray) -> np.ndarray:
     return (sid >> np.uint64(ID_BITS - DF_BITS)).astype(np.int64)
 
 
 class Weights:
+    """Weights by a table of counts in memory, for small corpora; operators get each shingle's own count from its bank."""
+
     def __init__(self, df: np.ndarray, docs: int):
-        top = np.log(docs + 1)
-        self.idf = (1 + IDF * np.log((docs + 1) / (np.minimum(df, docs) + 1)) / top if docs else np.ones(len(df))).astype(np.float32)
+        self.idf = idf(df, docs)
 
     def __call__(self, sid: np.ndarray, count: np.ndarray) -> np.ndarray:
         return count * self.idf[df_cell(sid)]
@@ -123,63 +134,92 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low))
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _told(sids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a block in order, and how many of its documents hold each."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *sids]), return_counts=True)
 
-    forget()
-    df, seen = np.zeros(1 << DF_BITS, np.uint32), 0
-    for b in batches:
-        for run in slices([t or b"" for t in b.column("text").to_pylist()]):
-            _, sid, _ = shingles(run)
-            df += np.bincount(df_cell(sid), minlength=1 << DF_BITS).astype(np.uint32)
-            seen += len(run)
-    parts = [zstandard.ZstdCompressor(1).compress(p.tobytes()) for p in np.split(df, DF_PARTS)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(DF_PARTS), pa.int32()), pa.array([seen] * DF_PARTS, pa.int64()), pa.array(parts, pa.binary())], names=["part", "docs", "counts"])
 
+def _block(table: pa.Table) -> list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Shingles of a block's texts, slice by slice: texts in the slice, and what ``shingles`` gives."""
+    return [(len(part), shingles(part)) for part in slices([t or b"" for t in table["text"].to_pylist()])]
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
 
-    total: dict[int, np.ndarray] = {}
-    docs: dict[int, int] = {}
-    for b in batches:
-        for part, n, raw in zip(*(b.column(c).to_pylist() for c in ("part", "docs", "counts")), strict=True):
-            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32)
-            total[part] = total.get(part, 0) + got.astype(np.int64)
-            docs[part] = docs.get(part, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([docs[p] for p in total], pa.int64()), pa.array([total[p].tobytes() for p in total], pa.binary())], names=["part", "docs", "counts"])
-
-
-def frequencies(table: DataFrame) -> Weights:
-    """Document frequencies over all rows: a sketch of 2 ** DF_BITS counts, added up by parts; 8 MB reach the driver whatever the corpus."""
-    got = table.select("text").mapInArrow(_frequencies, "part int, docs long, counts binary")
-    rows = got.repartition(DF_PARTS, "part").mapInArrow(_add, "part int, docs long, counts binary").collect()
-    df = np.zeros(1 << DF_BITS, np.int64)
-    for r in rows:
-        at = r["part"] * (len(df) // DF_PARTS)
-        df[at : at + len(df) // DF_PARTS] = np.frombuffer(r["counts"], np.int64)
-    return Weights(df, rows[0]["docs"] if rows else 0)
-
-
-def _sketch(weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bank(sid: np.ndarray, bits: int) -> np.ndarray:
+    return (sid >> np.uint64(ID_BITS - bits)).astype(np.int64)
+
+
+def _tell(bits: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        forget()
+        sid, n = _told([x[1][1] for x in _block(table)])
+        block = table["block"][0].as_py()
+        return _messages([(bank, block, j - i, pack(np.diff(sid[i:j], prepend=np.uint64(0)), n[i:j].astype(np.uint32))) for bank, i, j in runs(_bank(sid, bits))])
+
+    return run
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    """Answers each block with the documents over all blocks that hold each of its shingles."""
+    bank, blocks, sizes = table["bank"][0].as_py(), table["block"].to_pylist(), table["n"].to_pylist()
+    parts = [unpack(raw, n, "u8", "u4") for n, raw in zip(sizes, table["payload"].to_pylist(), strict=True)]
+    sid, count = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(sid, kind="stable")
+    new = np.concatenate([[True], sid[order][1:] != sid[order][:-1]])
+    total = np.empty(len(sid), np.uint32)
+    total[order] = np.add.reduceat(count[order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    return _messages([(bank, b, n, pack(total[i:j])) for b, n, i, j in zip(blocks, sizes, cut[:-1], cut[1:], strict=True)])
+
+
+SET = "u4", "u1", "u4", "u4"  # low and high bits of shingles, counts in the document, documents that hold them
+
+
+def _weigh(docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         import hashlib
 
         forget()
-        for b in batches:
-            texts, raw = [t or b"" for t in b.column("text").to_pylist()], []
-            for part in slices(texts):
-                doc, sid, count = shingles(part)
-                some = np.zeros(len(part), bool)
-                some[doc] = True
-                got = samples(doc, sid, weights.value(sid, count), len(part))
-                raw += [row.tobytes() if ok else None for row, ok in zip(got, some.tolist(), strict=True)]
-            keys = [hashlib.sha256(t).digest()[:16] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("block"), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["uid", "doc_id", "block", "key", "sketch"])
+        names = ["uid", "doc_id", "block", "key", "n", "shingles", "sketch"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        found = _block(table)
+        known, _ = _told([x[1][1] for x in found])
+        got = sorted(zip(*(replies[c].to_pylist() for c in ("bank", "n", "payload")), strict=True)) if replies.num_rows else []
+        df = np.concatenate([np.zeros(0, np.uint32), *(unpack(raw, n, "u4")[0] for _, n, raw in got)])
+        size, sets, sketch = [], [], []
+        for many, (doc, sid, count) in found:
+            d = df[np.searchsorted(known, sid)]
+            cut = np.searchsorted(doc, np.arange(many + 1))
+            low, high, n = sid.astype(np.uint32), (sid >> np.uint64(32)).astype(np.uint8), count.astype(np.uint32)
+            size += np.diff(cut).tolist()
+            sets += [pack(low[i:j], high[i:j], n[i:j], d[i:j]) if i < j else None for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            rows = samples(doc, sid, count * idf(d, docs), many)
+            sketch += [row.tobytes() if i < j else None for row, i, j in zip(rows, cut[:-1], cut[1:], strict=True)]
+        keys = [hashlib.sha256(t or b"").digest()[:16] for t in table["text"].to_pylist()]
+        return pa.table([table["uid"], table["doc_id"], table["block"], *(pa.array(x, t) for x, t in zip((keys, size, sets, sketch), types[3:], strict=True))], names=names)
 
     return run
 
 
+def weighed(stored: DataFrame, size: int) -> tuple[DataFrame, str, str, int]:
+    """Each row's key, weighted shingles and samples, in a table bucketed as ``stored`` is: table, its name, its path, and the number of rows.
+
+    A block tells banks of shingles which it holds and in how many documents; a bank adds up and
+    answers. Counts are exact for each of the 2 ** ID_BITS shingle numbers, however large the corpus.
+    """
+    spark, docs = stored.sparkSession, stored.count()
+    bits = max(1, (size // 6 // BANK_SHINGLES).bit_length())
+    n = max(1, -(-size // BLOCK_BYTES))
+    texts = stored.select("uid", "doc_id", "block", "text").groupBy("block")
+    sums, at = materialise(texts.applyInArrow(_tell(bits), MESSAGE).groupBy("bank").applyInArrow(_sum, MESSAGE), "frequencies")
+    out = texts.cogroup(sums.groupBy("block")).applyInArrow(_weigh(docs), "uid long, doc_id long, block long, key binary, n int, shingles binary, sketch binary")
+    name, path = f"lumenfold_{uuid.uuid4().hex}", new_path(spark, "sketches")
+    out.write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    drop_path(spark, at)
+    return spark.table(name), name, path, docs
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
@@ -196,43 +236,47 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((x == y).mean(axis=1))], names=[*b.schema.names[:4], "alike"])
 
 
-def _texts(table: pa.Table, wanted: pa.Table) -> pa.Table:
+def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(uid, n, shingles) of the wanted rows of a block."""
     mask = pa.compute.is_in(table["uid"], value_set=wanted["uid"].combine_chunks()) if wanted.num_rows and table.num_rows else None
-    return (table.filter(mask) if mask is not None else table.slice(0, 0)).select(["uid", "text"])
+    if not table.num_rows:
+        return pa.table({"uid": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "shingles": pa.array([], pa.binary())})
+    return (table.filter(mask) if mask is not None else table.slice(0, 0)).select(["uid", "n", "shingles"])
 
 
-def _verify(weights) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def weighted_sets(table: pa.Table, docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and weights of the packed shingles of each row."""
+    out = []
+    for n, raw in zip(table["n"].to_pylist(), table["shingles"].to_pylist(), strict=True):
+        low, high, count, df = unpack(raw, n, *SET)
+        out.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), count * idf(df, docs)))
+    return out
+
+
+def _verify(docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, needs: pa.Table) -> pa.Table:
         forget()
         out: list[tuple[int, int, float]] = []
         if table.num_rows and needs.num_rows:
-            given = needs.filter(pa.compute.is_valid(needs["text"]))
-            pairs = needs.filter(pa.compute.is_null(needs["text"]))
-            own = _texts(table, pa.table({"uid": pairs["b"]}))
-            ids, texts = given["a"].to_pylist() + own["uid"].to_pylist(), given["text"].to_pylist() + own["text"].to_pylist()
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            base = 0
-            for part in slices([t or b"" for t in texts]):
-                doc, sid, count = shingles(part)
-                w, cut = weights.value(sid, count), np.searchsorted(doc, np.arange(len(part) + 1))
-                for i in range(len(part)):
-                    sets[ids[base + i]] = sid[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
-                base += len(part)
+            given = needs.filter(pa.compute.is_valid(needs["shingles"]))
+            pairs = needs.filter(pa.compute.is_null(needs["shingles"]))
+            own = _sets(table, pa.table({"uid": pairs["b"]}))
+            sets = dict(zip(given["a"].to_pylist(), weighted_sets(given, docs), strict=True)) | dict(zip(own["uid"].to_pylist(), weighted_sets(own, docs), strict=True))
             out = [(a, b, similarity(sets[a], sets[b])) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "sim": pa.array([x[2] for x in out], pa.float64())})
 
     return run
 
 
-def verify(table: DataFrame, pairs: DataFrame, weights) -> DataFrame:
-    """(a, b, sim) of pairs (a, b, block_a, block_b). A text goes once to each block that compares something with it."""
+def verify(table: DataFrame, pairs: DataFrame, docs: int) -> DataFrame:
+    """(a, b, sim) of pairs (a, b, block_a, block_b). A document's shingles go once to each block that compares something with them."""
     blocks = table.groupBy("block")
     sources = pairs.select(F.col("block_a").alias("block"), F.col("a").alias("uid")).distinct()
-    texts = blocks.cogroup(sources.groupBy("block")).applyInArrow(_texts, "uid long, text binary")
+    sets = blocks.cogroup(sources.groupBy("block")).applyInArrow(_sets, "uid long, n int, shingles binary")
     to = pairs.select(F.col("a").alias("uid"), F.col("block_b").alias("block")).distinct()
-    sent = to.join(texts, "uid").select("block", F.col("uid").alias("a"), F.lit(None).cast("long").alias("b"), F.coalesce("text", F.lit(b"")).alias("text"))
-    asked = pairs.select(F.col("block_b").alias("block"), "a", "b", F.lit(None).cast("binary").alias("text"))
-    return blocks.cogroup(sent.unionByName(asked).groupBy("block")).applyInArrow(_verify(weights), "a long, b long, sim double")
+    sent = to.join(sets, "uid").select("block", F.col("uid").alias("a"), F.lit(None).cast("long").alias("b"), "n", "shingles")
+    asked = pairs.select(F.col("block_b").alias("block"), "a", "b", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("shingles"))
+    return blocks.cogroup(sent.unionByName(asked).groupBy("block")).applyInArrow(_verify(docs), "a long, b long, sim double")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, str]:
@@ -258,19 +302,6 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, str]:
 PAIR = "a long, b long, block_a long, block_b long"
 
 
-def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
-    """(uid, n, shingles) of the wanted rows of a block: ids and counts, packed."""
-    found = _texts(table, wanted)
-    ids, rows, base = found["uid"].to_pylist(), [], 0
-    for part in slices([t or b"" for t in found["text"].to_pylist()]):
-        doc, sid, count = shingles(part)
-        cut = np.searchsorted(doc, np.arange(len(part) + 1))
-        low, high, count = sid.astype(np.uint32), (sid >> np.uint64(32)).astype(np.uint8), count.astype(np.uint32)
-        rows += [(ids[base + k], int(j - i), pack(low[i:j], high[i:j], count[i:j])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
-        base += len(part)
-    return pa.table({"uid": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int32()), "shingles": pa.array([r[2] for r in rows], pa.binary())})
-
-
 class Postings:
     """Which members of a bucket hold a shingle, and with what weight: overlaps of one member with all come from its shingles' lists."""
 
@@ -289,16 +320,12 @@ class Postings:
         return shared / (self.total + self.total[i] - shared)
 
 
-def _rest(weights) -> Callable[[pa.Table], pa.Table]:
+def _rest(docs: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         forget()
         uid, label, apart, far = (table[c].to_numpy() for c in ("uid", "label", "apart", "far"))
         s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        sets = []
-        for n, raw in zip(table["n"].to_pylist(), table["shingles"].to_pylist(), strict=True):
-            low, high, count = unpack(raw, n, "u4", "u1", "u4")
-            sid = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-            sets.append((sid, weights.value(sid, count)))
+        sets = weighted_sets(table, docs)
         lists, (_, group) = None, np.unique(label, return_inverse=True)
         links: list[tuple[int, int, float]] = []
 
@@ -340,11 +367,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named columns are read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    stored, name, path, _ = bucketed(docs, id_col, text_col, number=True)
-    rows, tables = labelled(stored)
+    stored, name, path, size = bucketed(docs, id_col, text_col, number=True)
+    rows, sketches, tables = labelled(stored, size)
     least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out, _ = materialise(rows.join(least, "label").select("doc_id", "class_id"), "classes")
-    spark.sql(f"DROP TABLE {name}")
+    for table in (name, sketches):
+        spark.sql(f"DROP TABLE {table}")
     drop_path(spark, path, *tables)
     return out
 
@@ -356,10 +384,11 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     in their own class. A null id comes after all others; of equal ids, one text is taken by its hash.
     """
     spark = docs.sparkSession
-    stored, name, path, _ = bucketed(docs, id_col, text_col, number=True, whole=True)
-    rows, tables = labelled(stored.select("doc_id", "text", "block", "uid"))
+    stored, name, path, size = bucketed(docs, id_col, text_col, number=True, whole=True)
+    rows, sketches, tables = labelled(stored.select("doc_id", "text", "block", "uid"), size)
     first = F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "key", "uid")).alias("uid")
     kept, at = materialise(rows.groupBy("label").agg(first).select("uid"), "kept")
+    spark.sql(f"DROP TABLE {sketches}")
     drop_path(spark, *tables)
     text = F.col("text").cast("string").cast(docs.schema[text_col].dataType)
     found = stored.join(kept, "uid", "left_semi").select(*[(text if c == text_col else F.col("others").getField(c)).alias(c) for c in docs.columns])
@@ -369,11 +398,11 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out
 
 
-def labelled(stored: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(uid, doc_id, key, label) of each row of a bucketed table, key a hash of its text and label its class; and the tables that this reads."""
+def labelled(stored: DataFrame, size: int) -> tuple[DataFrame, str, list[str]]:
+    """(uid, doc_id, key, label) of each row of a bucketed table, key a hash of its text and label its class; the name and paths of the tables that this reads."""
     spark = stored.sparkSession
-    weights = spark.sparkContext.broadcast(frequencies(stored))  # 4 MB
-    sketched, s_at = materialise(stored.select("uid", "doc_id", "block", "text").mapInArrow(_sketch(weights), "uid long, doc_id long, block long, key binary, sketch binary"), "sketches")
+    sketched, sketches, s_at, docs = weighed(stored, size)
+    packed = sketched.select("uid", "block", "n", "shingles")
     ones, o_at = materialise(sketched.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("block", "uid").alias("block"), F.min_by("sketch", "uid").alias("sketch")), "texts")
     held = ones.where("sketch is not null")
     # Where several documents share a band.
@@ -386,7 +415,7 @@ def labelled(stored: DataFrame) -> tuple[DataFrame, list[str]]:
     right = of.select(F.col("uid").alias("b"), F.col("block").alias("block_b"), F.col("sketch").alias("sketch_b"))
     alike = stars.join(left, "a").join(right, "b").select("a", "b", "block_a", "block_b", "sketch_a", "sketch_b").mapInArrow(_alike, PAIR + ", alike double")
     alike, a_at = materialise(alike, "stars")
-    checked, c_at = materialise(verify(stored, alike.where(F.col("alike") >= MAYBE).drop("alike"), weights), "verified")
+    checked, c_at = materialise(verify(packed, alike.where(F.col("alike") >= MAYBE).drop("alike"), docs), "verified")
     tables, edges = [s_at, o_at, m_at, a_at, c_at], checked
     labels, l_at = components(spark, edges.where(F.col("sim") >= LEAST))
     # A lower bound of each member's distance to its bucket's first, exact where it was verified.
@@ -398,16 +427,16 @@ def labelled(stored: DataFrame) -> tuple[DataFrame, list[str]]:
     lows = open_.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("far"))).alias("low"), F.count("*").alias("several")).where("low is not null")
     rest = open_.join(lows, "bucket").where(F.col("far") >= F.col("low") - (1 - LEAST) - 1e-9).where("several > 1").select("bucket", "uid", "label", "apart", "far", "several")
     rest, r_at = materialise(rest, "rest")
-    blocks = stored.groupBy("block")
+    blocks = packed.groupBy("block")
     wanted = rest.select("uid").distinct().join(of, "uid").select("uid", "block")
     sets = blocks.cogroup(wanted.groupBy("block")).applyInArrow(_sets, "uid long, n int, shingles binary").join(of.select("uid", "sketch"), "uid")
     chunks = F.ceil(F.col("several") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("uid"), chunks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(chunk, c).alias("i"), F.greatest(chunk, c).alias("j")))
     celled = rest.withColumn("cell", F.explode(cells)).drop("several").join(sets, "uid")
-    more, e_at = materialise(celled.groupBy("bucket", "cell").applyInArrow(_rest(weights), "a long, b long, sim double"), "links")
+    more, e_at = materialise(celled.groupBy("bucket", "cell").applyInArrow(_rest(docs), "a long, b long, sim double"), "links")
     tables += [r_at, e_at, l_at]
     labels, l_at = components(spark, edges.unionByName(more).where(F.col("sim") >= LEAST))
     tables.append(l_at)
     named = ones.select("key", "uid").join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
-    return sketched.select("uid", "doc_id", "key").join(named, "key").select("uid", "doc_id", "key", "label"), tables
+    return sketched.select("uid", "doc_id", "key").join(named, "key").select("uid", "doc_id", "key", "label"), sketches, tables

@@ -65,6 +65,29 @@ def test_classes_equal_brute_force(spark, corpus, monkeypatch, chunk):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == classes(corpus)
 
 
+def test_document_frequencies_are_each_shingles_own(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 1 << 17)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 17)
+    monkeypatch.setattr(minhash, "BANK_SHINGLES", 1 << 14)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(words(rnd, 300))) for i in range(400)]  # 120,000 different shingles
+    rows += [(1000 + i, rows[i % 3][1] + f" and {i}") for i in range(30)]
+    stored, _, _, size = substring.bucketed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", number=True)
+    table, _, _, n = minhash.weighed(stored, size)
+    texts = dict(rows)
+    got = table.collect()
+    assert n == len(got) == len(rows) and table.select("block").distinct().count() > 4
+    held = {}
+    for r in got:
+        w = texts[r["doc_id"]].split()
+        for s in {tuple(w[j : j + 5]) for j in range(len(w) - 4)}:
+            held[s] = held.get(s, 0) + 1
+    for r in got:
+        w = texts[r["doc_id"]].split()
+        low, high, count, df = minhash.unpack(r["shingles"], r["n"], *minhash.SET)
+        assert sorted(df.tolist()) == sorted(held[s] for s in {tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+
+
 def test_odd_rows_have_classes(spark, odd):
     got = [(r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
