@@ -13,6 +13,7 @@ from lumenfold.functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 MAX_QUERY_BYTES = 64 << 20
+QUERY_CHUNK, DOC_CHUNK, SHARD = 1024, 8192, 1 << 16  # queries and documents scored at once, documents in a shard
 
 
 def top(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -56,14 +57,31 @@ def _dense(ids: list[int], matrix: bytes, dim: int, k: int) -> Callable[[Iterato
                 continue
             v = np.asarray(b.column("v").flatten(), np.float64).reshape(b.num_rows, dim)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            doc, sims = b.column("doc").to_numpy(), np.maximum(0.0, q @ v.T)
+            doc = b.column("doc").to_numpy()
             kept = min(len(doc), 4 * k + 16)  # enough of a batch for ties at the k-th place to be seen by rank
-            part = np.argsort(-np.round(sims, 9), axis=1, kind="stable")
-            rows = part[:, :kept] if kept < len(doc) else part
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, np.int64), rows.shape[1])), pa.array(doc[rows].ravel()), pa.array(np.take_along_axis(sims, rows, 1).ravel())],
-                names=["query", "doc", "dense_score"],
-            )
+            for at in range(0, len(q), QUERY_CHUNK):
+                sims = np.maximum(0.0, q[at : at + QUERY_CHUNK] @ v.T)
+                part = np.argsort(-np.round(sims, 9), axis=1, kind="stable")
+                rows = part[:, :kept] if kept < len(doc) else part
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(ids[at : at + QUERY_CHUNK], np.int64), rows.shape[1])), pa.array(doc[rows].ravel()), pa.array(np.take_along_axis(sims, rows, 1).ravel())],
+                    names=["query", "doc", "dense_score"],
+                )
+
+    return run
+
+
+def _dense_block(dim: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        import numpy as np
+
+        none = pa.table({"query": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "dense_score": pa.array([], pa.float64())})
+        if not queries.num_rows or not docs.num_rows:
+            return none
+        q = np.asarray(queries["q"].combine_chunks().flatten(), np.float64).reshape(queries.num_rows, dim)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        search = _dense(queries["query"].to_pylist(), q.tobytes(), dim, k)
+        return pa.concat_tables([none, *(pa.Table.from_batches([b]) for b in search(iter(docs.sort_by("doc").combine_chunks().to_batches(DOC_CHUNK))))])
 
     return run
 
@@ -71,21 +89,30 @@ def _dense(ids: list[int], matrix: bytes, dim: int, k: int) -> Callable[[Iterato
 def dense_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, id_col: str, vec_col: str, query_vec: str) -> DataFrame:
     """(query, doc, dense_score, dense_rank): exact cosine, floored at 0, ties to the smaller doc.
 
-    The queries are the bounded side: their size is checked, and they go to every task as one
-    matrix; each batch of documents gives its best of each query.
+    Queries of up to 64 MB go to every task as one matrix; each batch of documents gives its best of
+    each query. More queries are dealt to blocks of about that size, documents to shards, and each
+    block meets each shard in a task.
     """
     rows = queries.select(F.col(query_id).cast("long"), F.col(query_vec)).where(F.col(query_vec).isNotNull())
-    n = rows.count()
-    if n * 64 * 8 > MAX_QUERY_BYTES:
-        raise ValueError(f"{n} queries are too many to send to every task; search them in blocks")
+    n, dim = rows.agg(F.count("*"), F.max(F.size(query_vec))).first()
+    found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(vec_col).alias("v"))
+    best = [F.desc("_s"), F.asc("doc")]
+    if n * (dim or 1) * 8 > MAX_QUERY_BYTES:
+        found = found.where(F.size("v") == dim)
+        blocks, shards = -(-n * dim * 8 // MAX_QUERY_BYTES), max(1, -(-found.count() // SHARD))
+        number = lambda name, many: F.pmod(F.xxhash64(name), F.lit(many)).cast("int")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        asked = rows.toDF("query", "q").withColumn("block", number("query", blocks)).withColumn("shard", every(shards)).groupBy("block", "shard")
+        held = found.withColumn("shard", number("doc", shards)).withColumn("block", every(blocks)).groupBy("block", "shard")
+        scored = asked.cogroup(held).applyInArrow(_dense_block(dim, k), "query long, doc long, dense_score double")
+        return top(scored.withColumn("_s", F.round("dense_score", 9)), "query", best, k, "dense_rank").drop("_s")
     import numpy as np
 
     got = rows.collect()
     q = np.array([r[1] for r in got], np.float64)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(got) else np.zeros((0, 1))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(vec_col).alias("v")).where(F.size("v") == q.shape[1]).sortWithinPartitions("doc")
-    found = docs.mapInArrow(_dense([r[0] for r in got], q.tobytes(), q.shape[1], k), "query long, doc long, dense_score double")
-    return top(found.withColumn("_s", F.round("dense_score", 9)), "query", [F.desc("_s"), F.asc("doc")], k, "dense_rank").drop("_s")
+    found = found.where(F.size("v") == q.shape[1]).sortWithinPartitions("doc").mapInArrow(_dense([r[0] for r in got], q.tobytes(), q.shape[1], k), "query long, doc long, dense_score double")
+    return top(found.withColumn("_s", F.round("dense_score", 9)), "query", best, k, "dense_rank").drop("_s")
 
 
 def rrf(dense: DataFrame, keyword: DataFrame, dense_weight: float = 1.0, keyword_weight: float = 1.0) -> DataFrame:

@@ -160,3 +160,12 @@ def test_logs_and_resumed_index(spark, tmp_path):
     logs.append_index(spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int"), path)
     logs.append_index(spark.createDataFrame([("b", 3), ("c", 4)], "chunk_id string, v int"), path)
     assert sorted((r["chunk_id"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_dense_search_takes_any_number_of_queries(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    search = lambda: {(r["query"], r["dense_rank"]): r["doc"] for r in R.dense_topk(e, e, 6, "vec_id", "vec_id", "embedding", "embedding").collect()}
+    whole = search()
+    monkeypatch.setattr(R, "MAX_QUERY_BYTES", 100 * 64 * 8)
+    monkeypatch.setattr(R, "SHARD", 150)
+    assert search() == whole and len(whole) == 6 * e.count()
