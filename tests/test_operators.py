@@ -9,6 +9,7 @@ from lumenfold.operators import chunking as K
 from lumenfold.operators import claimcheck as V
 from lumenfold.operators import claims as C
 from lumenfold.operators import decisions as D
+from lumenfold.operators import lookup as L
 from lumenfold.operators import pages as P
 from lumenfold.operators import retrieval as R
 from lumenfold.sources import html as H
@@ -169,3 +170,12 @@ def test_dense_search_takes_any_number_of_queries(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_QUERY_BYTES", 100 * 64 * 8)
     monkeypatch.setattr(R, "SHARD", 150)
     assert search() == whole and len(whole) == 6 * e.count()
+
+
+def test_a_register_of_any_size_is_searched(spark):
+    none = F.lit(None).cast("string")
+    register = spark.range(1_000_001).select(F.concat(F.lit("School "), F.col("id").cast("string")).alias("name"), none.alias("acronym"), F.array(none).alias("aliases"), F.lit("Lyon").alias("commune"))
+    queries = spark.createDataFrame([("school 1000000",), ("School 77",)], "query string")
+    got = {(r["query"], r["rank"]): (r["name"], r["tier"]) for r in L.search_institutions(queries, register, 3).collect()}
+    assert got[("school 1000000", 1)] == ("School 1000000", 0)
+    assert [got[("School 77", i)] for i in (1, 2, 3)] == [("School 77", 0), ("School 770", 1), ("School 771", 1)]
