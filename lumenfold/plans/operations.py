@@ -352,7 +352,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     claims = o.select((F.col("o_orderkey") % 300).alias("answer"), F.col("o_orderkey").alias("claim"), F.expr(ANSWER).alias("text"))
     page = F.expr("concat('Apply within ', 1 + o_orderkey % 9, ' months after your arrival in France.\nThe fee is ', 100 + (o_orderkey + o_orderkey % 2) % 90, ' euros. Bring your passport and a photo to the office.')")
-    evidence = V.sentences(o.where("o_orderkey % 4 = 1").select((F.col("o_orderkey") % 300).alias("answer"), F.col("o_orderkey").alias("page"), page.alias("t")), ["answer", "page"], "t")
+    evidence = V.sentences(o.select((F.col("o_orderkey") % 300).alias("answer"), F.col("o_orderkey").alias("page"), page.alias("t")), ["answer", "page"], "t")
     return V.judge(claims, evidence)
 
 
