@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import new_path, shuffle_width
-from lumenfold.llm.encode import encoder
+from lumenfold.llm.encode import by_bytes, encoder
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
-SLICE = 1000  # texts that are encoded at once
 FIELDS = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
@@ -28,14 +27,13 @@ def _encode(path: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         import numpy as np
 
         enc, part, start = encoder(path, kind), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                raw = [x + end for x in enc.encode(b.column("text").to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-                cut = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+            texts = whole.column("text").to_pylist()
+            for at, to in by_bytes([len(t or "") for t in texts]):
+                b = whole.slice(at, to - at)
+                flat, cut = enc.flat(texts[at:to], END_ID)
+                n = np.diff(cut)
+                ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(start + cut[:-1]), pa.array(n), ids],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],

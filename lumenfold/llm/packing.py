@@ -8,6 +8,7 @@ key. Documents are put in order of key, their ids form one stream, and the strea
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import drop_path, materialise, running_positions
-from lumenfold.llm.encode import encoder
+from lumenfold.llm.encode import by_bytes, encoder
 
 END_ID = 1
 FEATURES, DIMS, BITS = 256, 4, 10
@@ -52,19 +53,27 @@ def hilbert_key(points, bits: int):
     return key
 
 
+@functools.cache
+def _projection():
+    """A token's bucket and sign in one number, for every 16-bit id, and the Gaussian matrix."""
+    import numpy as np
+
+    h = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    cell = ((h >> np.uint64(56)) * np.uint64(2) + ((h >> np.uint64(40)) & np.uint64(1))).astype(np.int64)  # FEATURES = 256
+    return cell, np.random.default_rng(17).standard_normal((FEATURES, DIMS))
+
+
 def document_points(flat, cut):
     """Grid points of documents, given their ids one after another and where each ends."""
     import numpy as np
 
-    h = np.arange(int(flat.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    # A token's bucket and sign in one number; counts of either sign are subtracted.
-    cell = ((h >> np.uint64(56)) * np.uint64(2) + ((h >> np.uint64(40)) & np.uint64(1))).astype(np.int64)  # FEATURES = 256
+    cell, matrix = _projection()
     rows = np.repeat(np.arange(0, (len(cut) - 1) * FEATURES * 2, FEATURES * 2), np.diff(cut))
-    rows += cell[flat]
+    rows += cell[flat]  # counts of either sign are subtracted
     v = np.bincount(rows, minlength=(len(cut) - 1) * FEATURES * 2).reshape(-1, FEATURES, 2)
     v = (v[:, :, 1] - v[:, :, 0]).astype(float)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    y = v @ np.random.default_rng(17).standard_normal((FEATURES, DIMS))
+    y = v @ matrix
     top = 1 << BITS
     return np.clip((0.5 + y / 6) * top, 0, top - 1).astype(np.int64)  # +-3 standard deviations of a projection of a unit vector
 
@@ -75,15 +84,14 @@ def _tokens(path: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         import zstandard
 
         enc, uid, squeeze = encoder(path, kind, 2), TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(1)
-        end = np.array([END_ID], "<u2").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                raw = [x + end for x in enc.encode(b.column("text").to_pylist())]
-                n = np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw))
-                cut, flat = np.concatenate([[0], np.cumsum(n)]), np.frombuffer(b"".join(raw), "<u2")
+            texts = whole.column("text").to_pylist()
+            for at, to in by_bytes([len(t or "") for t in texts]):
+                b = whole.slice(at, to - at)
+                flat, cut = enc.flat(texts[at:to], END_ID)
+                n = np.diff(cut)
                 key = hilbert_key(document_points(flat, cut), BITS)
-                packed = [squeeze.compress(x) for x in raw]
+                packed = [squeeze.compress(flat[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").cast(pa.int64()), pa.array(uid + np.arange(len(n))), pa.array(key), pa.array(n), pa.array(packed, pa.binary())],
                     names=["doc_id", "uid", "key", "doc_tokens", "ids"],

@@ -16,19 +16,34 @@ FILES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 
 def library(kind, texts):
     t = Tokenizer.from_file(public_tokenizers.path(FILES[kind]))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("kind", ["byte", "word"])
 def test_pieces_give_the_ids_of_whole_texts(kind):
-    parts = ["a", " ", "\n", "'s", "é", "1", "!", "́", "\t", "the", "\x1d", "<|endoftext|>", "Σ", "İ", " ", "क़", ".", " .", ","]
+    parts = ["a", " ", "\n", "'s", "é", "1", "!", "́", "\t", "the", "\x1d", "<|endoftext|>", "<|startoftext|>", "<|", "\0", "averylongwordofmorethantwentythreebytes", "Σ", "İ", " ", "क़", ".", " .", ","]
     rnd = random.Random(4)
     texts = ["", *("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14))) for _ in range(2000))]
     enc = PieceEncoder(public_tokenizers.path(FILES[kind]), kind, limit=50)
-    got = [x for i in range(0, len(texts), 100) for x in enc.encode(texts[i : i + 100])]
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library(kind, texts)
-    assert len(enc.memo) <= 50
+    got = []
+    for i in range(0, len(texts), 100):
+        flat, cut = enc.flat(texts[i : i + 100], 1)
+        got += [flat[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    assert got == [[*x, 1] for x in library(kind, texts)]
+    assert enc.memo.n <= 50
+
+
+def test_added_tokens_are_the_librarys():
+    """An untouched tokenizer takes the string of an added token as that token."""
+    enc = PieceEncoder(public_tokenizers.path(FILES["byte"]), "byte")
+    assert enc.flat(["hi <|endoftext|> x"])[0].tolist() == [5303, 220, 50256, 2124]
+
+
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_documents_have_the_ids_of_whole_texts(docs, kind):
+    texts = [r["text"] for r in docs.select("text").collect()]
+    flat, cut = PieceEncoder(public_tokenizers.path(FILES[kind]), kind).flat(texts)
+    assert [flat[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == library(kind, texts)
 
 
 def test_hilbert_neighbours_are_grid_neighbours():
