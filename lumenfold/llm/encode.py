@@ -18,7 +18,7 @@ from lumenfold.llm.words import FIRST, mix
 
 MEMO_LIMIT = 2_000_000  # pieces a worker keeps, of about 60 bytes each
 KEY_BYTES = 23  # a longer piece isn't kept
-BATCH_BYTES = 4 << 20  # of texts that are encoded at once
+BATCH_BYTES = 1 << 20  # of texts that are encoded at once
 BLOCK = 256  # unknown pieces that the library gets as one text
 MARKS = ".,;:!?"
 HARD = 1 << 62  # set in no piece's key
