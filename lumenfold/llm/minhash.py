@@ -1,19 +1,23 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is a weighted set of five-word shingles; a shingle weighs its count in the document times
-a mild inverse document frequency, ``1 + IDF * ln(N / df) / ln(N)``, so that weights of rare and common
-shingles differ by a quarter at most and a large group of near copies can't push its own shingles
-below the threshold. Document frequencies are counted over all documents for each shingle number of
-40 bits: blocks tell them to banks, and banks answer each block. Two different shingles share a number
-(and so a count) with probability 2 ** -40: of 5 billion different ones, as about 30 GB may hold, one in 200 does.
+a mild inverse document frequency, ``1 + IDF * ln(N / df) / ln(N)``. The plain one, ``ln(N / df)``, would make the
+shingles that a group of near copies shares the lighter the larger the group is, while what each copy has of its own keeps its full
+weight: copies that differ in one shingle of ten would fall under 0.8 once the group has some hundreds of
+members. Damped so, weights of the rarest and the commonest shingle differ by a quarter, and a pair's similarity by 0.03 at
+most at 0.8 from the unweighted one. Document frequencies are counted over all documents for each shingle number of
+48 bits: blocks tell them to banks, and banks answer each block. Two different shingles share a number
+(and so a count) with probability 2 ** -48: of 5 billion different ones, as about 30 GB may hold, one in 50,000 does, and one in 15 at 100 TB.
 
-``SAMPLES`` weighted samples of each document are banded; documents that share a band are candidates
-and are verified by exact weighted Jaccard similarity. Equal texts are one from the start.
+``SAMPLES`` weighted samples of each document are banded; documents that share a band are candidates,
+and all candidates are decided by exact weighted Jaccard similarity or by a bound that proves them below it. Equal texts are one from the start.
 
 Candidates never become all pairs of a bucket. The first of a bucket is compared with each other
-member, which settles most buckets of true copies. Where members stay apart from the first, their
-whole shingle sets meet in the bucket's task: a document is compared exactly with the members that
-may reach the threshold by their samples and aren't yet in its class, most alike first, and a link joins two
+member whose total weight allows 0.8, which settles most buckets of true copies. Where members stay apart from the first, their
+whole shingle sets meet in the bucket's task. There, two members can reach 0.8 only if they share one of their rarest
+shingles (those beyond which less than 0.8 of a member's weight is left), if their total weights differ
+by a fifth at most, and if their distances to the bucket's first, which is a metric's, differ by 0.2 at most. Who passes is compared
+exactly unless it is in the same class already, and a link joins two
 classes at once. A bucket so gives fewer links than it has members, however many pairs it has. Large buckets
 are worked off in pairs of chunks of bounded size.
 
@@ -33,20 +37,19 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import drop_path, materialise, new_path
 from lumenfold.llm.encode import forget
-from lumenfold.llm.substring import BLOCK_BYTES, MESSAGE, _messages, bucketed, pack, runs, unpack
+from lumenfold.llm.substring import MESSAGE, MOST_BUCKETS, _messages, blocks_of, bucketed, grown, pack, runs, unpack
 from lumenfold.llm.words import PUNCT, Words, mix, per_text
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 IDF = 0.25
-DF_BITS = 24  # of a table of counts in memory
 BANK_SHINGLES = 4 << 20  # about so many shingles are told to a bank
-MAYBE = 0.55  # share of equal samples below which a pair can't reach LEAST: over four standard deviations
-CHUNK = 4096  # members of a bucket that are compared in one task
+CHUNK, CHUNK_SHINGLES = 4096, 4 << 20  # members of a bucket, and shingles of theirs, that a task holds twice
 POOL = 16
-SLICE_BYTES = 2 << 20
-ID_BITS = 40  # of a shingle's hash, within a document
+SLICE_BYTES, SLICE_TEXTS = 2 << 20, 1 << 15
+ID_BITS = 48  # of a shingle's hash; the rest numbers the texts of a slice
+EPS = 1e-6  # bounds are given this much room, as weights are summed in 32 bits
 
 _RNG = np.random.default_rng(48)
 _TERMS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,7 +64,7 @@ def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
     for t in texts:
         run.append(t)
         size += len(t)
-        if size >= SLICE_BYTES:
+        if size >= SLICE_BYTES or len(run) >= SLICE_TEXTS:
             yield run
             run, size = [], 0
     if run:
@@ -90,20 +93,6 @@ def idf(df: np.ndarray, docs: int) -> np.ndarray:
     return (1 + IDF * np.log((docs + 1) / (np.minimum(df, docs) + 1)) / np.log(docs + 1) if docs else np.ones(len(df))).astype(np.float32)
 
 
-def df_cell(sid: np.ndarray) -> np.ndarray:
-    return (sid >> np.uint64(ID_BITS - DF_BITS)).astype(np.int64)
-
-
-class Weights:
-    """Weights by a table of counts in memory, for small corpora; operators get each shingle's own count from its bank."""
-
-    def __init__(self, df: np.ndarray, docs: int):
-        self.idf = idf(df, docs)
-
-    def __call__(self, sid: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return count * self.idf[df_cell(sid)]
-
-
 def samples(doc: np.ndarray, sid: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """SAMPLES consistent weighted samples of each of n documents (zeros where there is no shingle)."""
     out = np.zeros((n, SAMPLES), np.uint32)
@@ -112,11 +101,13 @@ def samples(doc: np.ndarray, sid: np.ndarray, weight: np.ndarray, n: int) -> np.
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     who, log_s = doc[first], np.log(weight).astype(np.float32)
     place = np.arange(len(doc), dtype=np.uint64)
+    low = np.uint64((1 << POOL) - 1)
     for k in range(SAMPLES):
-        i = ((sid * _TURN[k]) >> np.uint64(64 - POOL)).astype(np.int64)
-        r, beta = _R[i], _BETA[i]
+        # Three places of one hash pick r, beta and c, each from its own pool of 65,536 values.
+        x = sid * _TURN[k]
+        r, beta, log_c = _R[x >> np.uint64(48)], _BETA[x >> np.uint64(32) & low], _LOG_C[x >> np.uint64(16) & low]
         t = np.floor(log_s / r + beta)
-        log_a = _LOG_C[i] - r * (t - beta) - r
+        log_a = log_c - r * (t - beta) - r
         bits = log_a.view(np.uint32)
         bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))  # orders as the numbers do
         best = (np.minimum.reduceat(bits.astype(np.uint64) << np.uint64(32) | place, first) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -171,7 +162,7 @@ def _sum(table: pa.Table) -> pa.Table:
     return _messages([(bank, b, n, pack(total[i:j])) for b, n, i, j in zip(blocks, sizes, cut[:-1], cut[1:], strict=True)])
 
 
-SET = "u4", "u1", "u4", "u4"  # low and high bits of shingles, counts in the document, documents that hold them
+SET = "u4", "u2", "u4", "u4"  # low and high bits of shingles, counts in the document, documents that hold them
 
 
 def _weigh(docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -179,25 +170,27 @@ def _weigh(docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         import hashlib
 
         forget()
-        names = ["uid", "doc_id", "block", "key", "n", "shingles", "sketch"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["uid", "doc_id", "block", "key", "n", "total", "shingles", "sketch"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary()]
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         found = _block(table)
         known, _ = _told([x[1][1] for x in found])
         got = sorted(zip(*(replies[c].to_pylist() for c in ("bank", "n", "payload")), strict=True)) if replies.num_rows else []
         df = np.concatenate([np.zeros(0, np.uint32), *(unpack(raw, n, "u4")[0] for _, n, raw in got)])
-        size, sets, sketch = [], [], []
+        size, total, sets, sketch = [], [], [], []
         for many, (doc, sid, count) in found:
             d = df[np.searchsorted(known, sid)]
             cut = np.searchsorted(doc, np.arange(many + 1))
-            low, high, n = sid.astype(np.uint32), (sid >> np.uint64(32)).astype(np.uint8), count.astype(np.uint32)
+            low, high, n = sid.astype(np.uint32), (sid >> np.uint64(32)).astype(np.uint16), count.astype(np.uint32)
             size += np.diff(cut).tolist()
             sets += [pack(low[i:j], high[i:j], n[i:j], d[i:j]) if i < j else None for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            rows = samples(doc, sid, count * idf(d, docs), many)
+            weight = count * idf(d, docs)
+            total += np.bincount(doc, weight, many).tolist()
+            rows = samples(doc, sid, weight, many)
             sketch += [row.tobytes() if i < j else None for row, i, j in zip(rows, cut[:-1], cut[1:], strict=True)]
         keys = [hashlib.sha256(t or b"").digest()[:16] for t in table["text"].to_pylist()]
-        return pa.table([table["uid"], table["doc_id"], table["block"], *(pa.array(x, t) for x, t in zip((keys, size, sets, sketch), types[3:], strict=True))], names=names)
+        return pa.table([table["uid"], table["doc_id"], table["block"], *(pa.array(x, t) for x, t in zip((keys, size, total, sets, sketch), types[3:], strict=True))], names=names)
 
     return run
 
@@ -209,11 +202,11 @@ def weighed(stored: DataFrame, size: int) -> tuple[DataFrame, str, str, int]:
     answers. Counts are exact for each of the 2 ** ID_BITS shingle numbers, however large the corpus.
     """
     spark, docs = stored.sparkSession, stored.count()
-    bits = max(1, (size // 6 // BANK_SHINGLES).bit_length())
-    n = max(1, -(-size // BLOCK_BYTES))
+    bits = max(1, (size // 6 // (BANK_SHINGLES * grown(size))).bit_length())
+    n = min(MOST_BUCKETS, blocks_of(size))
     texts = stored.select("uid", "doc_id", "block", "text").groupBy("block")
     sums, at = materialise(texts.applyInArrow(_tell(bits), MESSAGE).groupBy("bank").applyInArrow(_sum, MESSAGE), "frequencies")
-    out = texts.cogroup(sums.groupBy("block")).applyInArrow(_weigh(docs), "uid long, doc_id long, block long, key binary, n int, shingles binary, sketch binary")
+    out = texts.cogroup(sums.groupBy("block")).applyInArrow(_weigh(docs), "uid long, doc_id long, block long, key binary, n int, total double, shingles binary, sketch binary")
     name, path = f"lumenfold_{uuid.uuid4().hex}", new_path(spark, "sketches")
     out.write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
     drop_path(spark, at)
@@ -230,12 +223,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(uid)], names=["bucket", "uid"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, SAMPLES) for c in ("sketch_a", "sketch_b"))
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((x == y).mean(axis=1))], names=[*b.schema.names[:4], "alike"])
-
-
 def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
     """(uid, n, shingles) of the wanted rows of a block."""
     mask = pa.compute.is_in(table["uid"], value_set=wanted["uid"].combine_chunks()) if wanted.num_rows and table.num_rows else None
@@ -244,13 +231,14 @@ def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
     return (table.filter(mask) if mask is not None else table.slice(0, 0)).select(["uid", "n", "shingles"])
 
 
-def weighted_sets(table: pa.Table, docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and weights of the packed shingles of each row."""
-    out = []
+def weighted_sets(table: pa.Table, docs: int, with_df: bool = False):
+    """Ids and weights of the packed shingles of each row; with them, how many documents hold each."""
+    out, held = [], []
     for n, raw in zip(table["n"].to_pylist(), table["shingles"].to_pylist(), strict=True):
         low, high, count, df = unpack(raw, n, *SET)
         out.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), count * idf(df, docs)))
-    return out
+        held.append(df)
+    return (out, held) if with_df else out
 
 
 def _verify(docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -299,59 +287,37 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, str]:
             return labels, at
 
 
-PAIR = "a long, b long, block_a long, block_b long"
-
-
-class Postings:
-    """Which members of a bucket hold a shingle, and with what weight: overlaps of one member with all come from its shingles' lists."""
-
-    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
-        sid, weight = np.concatenate([x[0] for x in sets]), np.concatenate([x[1] for x in sets])
-        order = np.argsort(sid, kind="stable")
-        self.sid, self.weight = sid[order], weight[order]
-        self.owner = np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets])[order]
-        self.total = np.array([x[1].sum(dtype=np.float64) for x in sets])
-
-    def similarities(self, i: int, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        low, high = np.searchsorted(self.sid, own[0], "left"), np.searchsorted(self.sid, own[0], "right")
-        many = high - low
-        at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        shared = np.bincount(self.owner[at], np.minimum(np.repeat(own[1], many), self.weight[at]).astype(np.float64), len(self.total))
-        return shared / (self.total + self.total[i] - shared)
+def rarest(own: tuple[np.ndarray, np.ndarray], df: np.ndarray) -> np.ndarray:
+    """Places of the shingles one of which any set at LEAST or nearer shares: the rarest, until less than LEAST of the weight is left."""
+    order = np.lexsort((own[0], df))
+    left = np.cumsum(own[1][order][::-1], dtype=np.float64)[::-1]  # the weight from each on
+    return order[left >= LEAST * left[0] - EPS * left[0]] if len(order) else order
 
 
 def _rest(docs: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         forget()
-        uid, label, apart, far = (table[c].to_numpy() for c in ("uid", "label", "apart", "far"))
-        s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        sets = weighted_sets(table, docs)
-        lists, (_, group) = None, np.unique(label, return_inverse=True)
+        uid, label, apart, low, high = (table[c].to_numpy() for c in ("uid", "label", "apart", "low", "high"))
+        sets, frequencies = weighted_sets(table, docs, with_df=True)
+        total = np.array([x[1].sum(dtype=np.float64) for x in sets])
+        heads = [x[0][rarest(x, df)] for x, df in zip(sets, frequencies, strict=True)]
+        # Who holds a shingle among its rarest, in order of shingle.
+        sid, owner = np.concatenate(heads), np.repeat(np.arange(len(sets)), [len(x) for x in heads])
+        order = np.argsort(sid, kind="stable")
+        sid, owner = sid[order], owner[order]
+        _, group = np.unique(label, return_inverse=True)
         links: list[tuple[int, int, float]] = []
-
-        def link(i: int, j: int, sim: float) -> None:
-            links.append((min(int(uid[i]), int(uid[j])), max(int(uid[i]), int(uid[j])), sim))
-            group[group == group[j]] = group[i]
-
-        # Those nearest to most others first: a hub joins the most classes.
-        common = np.array([np.bincount(np.unique(c, return_inverse=True)[1])[np.unique(c, return_inverse=True)[1]] for c in s.T]).sum(axis=0)
-        for u in sorted(np.flatnonzero(apart).tolist(), key=lambda i: (-int(common[i]), int(uid[i]))):
-            # By the triangle inequality, distances to the bucket's first differ by no more than a linked pair is apart.
-            near = np.flatnonzero((group != group[u]) & (far >= far[u] - (1 - LEAST) - 1e-9))
-            alike = (s[near] == s[u]).mean(axis=1)
-            near = near[alike >= MAYBE][np.argsort(-alike[alike >= MAYBE], kind="stable")]
-            for j in near[:8].tolist():  # pair by pair while that is cheaper
-                if group[j] != group[u] and (sim := similarity(sets[u], sets[j])) >= LEAST:
-                    link(u, j, sim)
-            near = near[8:][group[near[8:]] != group[u]]
-            if len(near):
-                lists = lists or Postings(sets)
-                sims = lists.similarities(u, sets[u])[near]
-                for k in np.argsort(-sims, kind="stable").tolist():
-                    if sims[k] < LEAST:
-                        break
-                    if group[near[k]] != group[u]:
-                        link(u, int(near[k]), float(sims[k]))
+        for u in np.flatnonzero(apart)[np.argsort(uid[apart], kind="stable")].tolist():
+            first, end = np.searchsorted(sid, heads[u], "left"), np.searchsorted(sid, heads[u], "right")
+            shared = np.bincount(owner[np.repeat(first - np.cumsum(end - first) + (end - first), end - first) + np.arange((end - first).sum())], minlength=len(sets))
+            fits = (shared > 0) & (group != group[u]) & (np.minimum(total, total[u]) >= (LEAST - EPS) * np.maximum(total, total[u]))
+            # By the triangle inequality: distances to the bucket's first differ by no more than a linked pair is apart.
+            fits &= (low <= high[u] + 1 - LEAST + EPS) & (high >= low[u] - (1 - LEAST) - EPS)
+            near = np.flatnonzero(fits)
+            for v in near[np.argsort(-shared[near], kind="stable")].tolist():
+                if group[v] != group[u] and (sim := similarity(sets[u], sets[v])) >= LEAST:
+                    links.append((min(int(uid[u]), int(uid[v])), max(int(uid[u]), int(uid[v])), sim))
+                    group[group == group[v]] = group[u]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64()), "sim": pa.array([x[2] for x in links], pa.float64())})
 
     return run
@@ -369,8 +335,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     stored, name, path, size = bucketed(docs, id_col, text_col, number=True)
     rows, sketches, tables = labelled(stored, size)
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    rows, r_at = materialise(rows.select("doc_id", "label"), "labelled")
+    least, at = materialise(rows.groupBy("label").agg(F.min("doc_id").alias("class_id")), "named")
     out, _ = materialise(rows.join(least, "label").select("doc_id", "class_id"), "classes")
+    drop_path(spark, r_at, at)
     for table in (name, sketches):
         spark.sql(f"DROP TABLE {table}")
     drop_path(spark, path, *tables)
@@ -399,44 +367,53 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def labelled(stored: DataFrame, size: int) -> tuple[DataFrame, str, list[str]]:
-    """(uid, doc_id, key, label) of each row of a bucketed table, key a hash of its text and label its class; the name and paths of the tables that this reads."""
+    """(uid, doc_id, key, label) of each row of a bucketed table, key a hash of its text and label its class; the name and paths of the tables that this reads.
+
+    Small sides of joins on a key that may be hot (a bucket, a class) are written tables, so that the other side can be split.
+    """
     spark = stored.sparkSession
     sketched, sketches, s_at, docs = weighed(stored, size)
     packed = sketched.select("uid", "block", "n", "shingles")
-    ones, o_at = materialise(sketched.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("block", "uid").alias("block"), F.min_by("sketch", "uid").alias("sketch")), "texts")
+    tables = [s_at]
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        out, at = materialise(df, tag)
+        tables.append(at)
+        return out
+
+    ones = kept(sketched.groupBy("key").agg(F.min("uid").alias("uid"), *[F.min_by(c, "uid").alias(c) for c in ("block", "n", "total", "sketch")]), "texts")
     held = ones.where("sketch is not null")
     # Where several documents share a band.
     band = held.select("uid", "sketch").mapInArrow(_bands, "bucket long, uid long")
-    shared = band.groupBy("bucket").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members, m_at = materialise(band.join(shared, "bucket").select("bucket", "head", "uid"), "buckets")
-    of = held.select("uid", "block", "sketch")
-    stars = members.where("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")).distinct()
-    left = of.select(F.col("uid").alias("a"), F.col("block").alias("block_a"), F.col("sketch").alias("sketch_a"))
-    right = of.select(F.col("uid").alias("b"), F.col("block").alias("block_b"), F.col("sketch").alias("sketch_b"))
-    alike = stars.join(left, "a").join(right, "b").select("a", "b", "block_a", "block_b", "sketch_a", "sketch_b").mapInArrow(_alike, PAIR + ", alike double")
-    alike, a_at = materialise(alike, "stars")
-    checked, c_at = materialise(verify(packed, alike.where(F.col("alike") >= MAYBE).drop("alike"), docs), "verified")
-    tables, edges = [s_at, o_at, m_at, a_at, c_at], checked
-    labels, l_at = components(spark, edges.where(F.col("sim") >= LEAST))
-    # A lower bound of each member's distance to its bucket's first, exact where it was verified.
-    known = alike.join(checked, ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("uid"), F.coalesce(1 - F.col("sim"), F.greatest(F.lit(1 - LEAST), 1 - F.col("alike") - F.lit(0.25))).alias("far"))
+    shared = kept(band.groupBy("bucket").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1"), "shared")
+    members = kept(band.join(shared, "bucket").select("bucket", "head", "uid").where("uid <> head"), "buckets")
+    of = held.select("uid", "block", "total")
+    stars = members.select(F.col("head").alias("a"), F.col("uid").alias("b")).distinct()
+    left = of.select(F.col("uid").alias("a"), F.col("block").alias("block_a"), F.col("total").alias("total_a"))
+    right = of.select(F.col("uid").alias("b"), F.col("block").alias("block_b"), F.col("total").alias("total_b"))
+    # No pair is more alike than its lighter document's share of the heavier one's weight.
+    stars = kept(stars.join(left, "a").join(right, "b").withColumn("most", F.least("total_a", "total_b") / F.greatest("total_a", "total_b")), "stars")
+    checked = kept(verify(packed, stars.where(F.col("most") >= LEAST - EPS).select("a", "b", "block_a", "block_b"), docs), "verified")
+    labels, at = components(spark, checked.where(F.col("sim") >= LEAST))
+    tables.append(at)
+    # Bounds of each member's distance to its bucket's first, equal where the pair was verified.
+    known = stars.join(checked, ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("uid"), F.coalesce(1 - F.col("sim"), 1 - F.col("most")).alias("low"), F.coalesce(1 - F.col("sim"), F.lit(1.0)).alias("high"))
     heads = labels.select(F.col("uid").alias("head"), F.col("label").alias("head_label"))
-    own = members.where("uid <> head").join(labels, "uid", "left").select("bucket", "head", "uid", F.coalesce("label", "uid").alias("label"))
+    own = members.join(labels, "uid", "left").select("bucket", "head", "uid", F.coalesce("label", "uid").alias("label"))
     own = own.join(heads, "head", "left").withColumn("apart", F.col("label") != F.coalesce("head_label", "head"))
-    open_ = own.join(known, ["head", "uid"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    lows = open_.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("far"))).alias("low"), F.count("*").alias("several")).where("low is not null")
-    rest = open_.join(lows, "bucket").where(F.col("far") >= F.col("low") - (1 - LEAST) - 1e-9).where("several > 1").select("bucket", "uid", "label", "apart", "far", "several")
-    rest, r_at = materialise(rest, "rest")
+    open_ = kept(own.join(known, ["head", "uid"]).join(held.select("uid", "n"), "uid").select("bucket", "uid", "label", "apart", "low", "high", "n"), "open")
+    least = open_.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("low"))).alias("least"), F.count("*").alias("members"), F.sum("n").alias("weight")).where("least is not null and members > 1")
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
+    least = kept(least.select("bucket", "least", chunks.alias("chunks")), "least")
+    rest = open_.join(least, "bucket").where(F.col("high") >= F.col("least") - (1 - LEAST) - EPS)
+    chunk = F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(chunk, c).alias("i"), F.greatest(chunk, c).alias("j")))
+    rest = kept(rest.select("bucket", "uid", "label", "apart", "low", "high", F.explode(cells).alias("cell")), "rest")
     blocks = packed.groupBy("block")
     wanted = rest.select("uid").distinct().join(of, "uid").select("uid", "block")
-    sets = blocks.cogroup(wanted.groupBy("block")).applyInArrow(_sets, "uid long, n int, shingles binary").join(of.select("uid", "sketch"), "uid")
-    chunks = F.ceil(F.col("several") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("uid"), chunks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(chunk, c).alias("i"), F.greatest(chunk, c).alias("j")))
-    celled = rest.withColumn("cell", F.explode(cells)).drop("several").join(sets, "uid")
-    more, e_at = materialise(celled.groupBy("bucket", "cell").applyInArrow(_rest(docs), "a long, b long, sim double"), "links")
-    tables += [r_at, e_at, l_at]
-    labels, l_at = components(spark, edges.unionByName(more).where(F.col("sim") >= LEAST))
-    tables.append(l_at)
+    sets = blocks.cogroup(wanted.groupBy("block")).applyInArrow(_sets, "uid long, n int, shingles binary")
+    more = kept(rest.join(sets, "uid").groupBy("bucket", "cell").applyInArrow(_rest(docs), "a long, b long, sim double"), "links")
+    labels, at = components(spark, checked.unionByName(more).where(F.col("sim") >= LEAST))
+    tables.append(at)
     named = ones.select("key", "uid").join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
     return sketched.select("uid", "doc_id", "key").join(named, "key").select("uid", "doc_id", "key", "label"), sketches, tables

@@ -14,7 +14,12 @@ shared folder, and three passes read it without moving texts again:
 3. Each block removes what is covered and emits the kept words.
 
 All traffic is a few bytes a window, every task's work is bounded by a block or a bank, and a window
-that a third of all documents share costs one row a block.
+that a third of all documents share costs one row a block. Beyond ``GROW_FROM`` bytes, blocks and banks both grow
+with the square root of the corpus, so that messages (blocks times banks) stay in proportion to it; at
+``MOST_GROWN`` times their size, from 2 TB on, messages get smaller instead, down to a cell each.
+
+Windows are compared by two 64-bit hashes, each of word hashes of its own seed: two different
+windows are taken as one with a probability of 2 ** -128 a pair.
 """
 
 from __future__ import annotations
@@ -36,10 +41,11 @@ from lumenfold.llm.words import SPACE, Words, mix
 
 WINDOW = 20
 BLOCK_BYTES = 8 << 20
+GROW_FROM, MOST_GROWN = 64 << 30, 8  # a grown block has 64 MB of text and a bank 128 million cells
+MOST_BUCKETS = 1 << 16  # of a table: beyond, a bucket holds several blocks
 BANK_BITS = 24  # cells of a bank of the sketch
 CELLS_PER_WINDOW = 8
 CHUNK = 1 << 15
-EXACT_BITS = 16  # fingerprints' leading bits that pick the exact bank
 
 _RNG = np.random.default_rng(20)
 _TERMS = _RNG.integers(1, 2**63, (2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,15 +86,24 @@ def unpack(raw: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def grown(size: int) -> int:
+    """How many times larger blocks and banks are for so many bytes of text: a power of two."""
+    return 1 << min(MOST_GROWN.bit_length() - 1, max(0, (size // GROW_FROM).bit_length() // 2))
+
+
+def blocks_of(size: int) -> int:
+    return max(1, -(-size // (BLOCK_BYTES * grown(size))))
+
+
 class Block:
     """Words and windows of a block's rows, in order of document."""
 
-    def __init__(self, table: pa.Table, bits: int):
+    def __init__(self, table: pa.Table, bits: int, bank_bits: int):
         ids = table["doc_id"].to_pylist()
         self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
         texts = table["text"].to_pylist()
         self.ids, self.texts = [ids[i] for i in order], [texts[i] or b"" for i in order]
-        self.words, self.bits = Words(self.texts, SPACE), bits
+        self.words, self.bits, self.bank_bits = Words(self.texts, SPACE), bits, bank_bits
         w, n = self.words, np.diff(self.words.first)
         whole = np.ones(len(w.start), bool)
         # The last WINDOW - 1 words of a document start no window.
@@ -97,8 +112,7 @@ class Block:
             at = ends - j
             whole[at[j <= n]] = False
         self.starts = np.flatnonzero(whole)
-        self.hashes = w.hashes()
-        self.h1 = window_hashes(self.hashes, self.starts, 0)
+        self.h1 = window_hashes(w.hashes(), self.starts, 0)
 
     def cells(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct cells of a row of the sketch in order, which windows fall in more than once, and each window's number in that list."""
@@ -118,7 +132,7 @@ class Block:
         for row in (0, 1):
             cells, _, number = self.cells(row)
             flags = np.zeros(len(cells), np.uint8)
-            bank = (cells >> np.uint64(BANK_BITS)).astype(np.int64)
+            bank = (cells >> np.uint64(self.bank_bits)).astype(np.int64)
             for b, i, j in runs(bank):
                 flags[i:j] = unbits(replies[row, b], j - i)
             keep &= flags[number] > 0
@@ -126,7 +140,7 @@ class Block:
 
     def grouped(self, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Candidates in order of fingerprint, then place: numbers, both halves, and where a new fingerprint begins."""
-        h1, h2 = self.h1[cand], window_hashes(self.hashes, self.starts[cand], 1)
+        h1, h2 = self.h1[cand], window_hashes(self.words.hashes(1), self.starts[cand], 1)
         order = np.argsort(h1, kind="stable")
         a, b = h1[order], h2[order]
         if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
@@ -175,13 +189,13 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return _rows(["block", "kind", "bank", "payload"], rows, [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
 
 
-def _count(bits: int) -> Callable[[pa.Table], pa.Table]:
+def _count(bits: int, bank_bits: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        block, no, rows = Block(table, bits), table["block"][0].as_py(), []
+        block, no, rows = Block(table, bits, bank_bits), table["block"][0].as_py(), []
         for row in (0, 1):
             cells, twice, _ = block.cells(row)
-            for bank, i, j in runs((cells >> np.uint64(BANK_BITS)).astype(np.int64)):
-                low = (cells[i:j] & np.uint64((1 << BANK_BITS) - 1)).astype(np.uint32)
+            for bank, i, j in runs((cells >> np.uint64(bank_bits)).astype(np.int64)):
+                low = (cells[i:j] & np.uint64((1 << bank_bits) - 1)).astype(np.uint32)
                 # Rows of the sketch have banks of their own: even and odd numbers.
                 rows.append((bank * 2 + row, no, j - i, pack(np.diff(low, prepend=np.uint32(0)), twice[i:j].astype(np.uint8))))
         return _messages(rows)
@@ -189,18 +203,21 @@ def _count(bits: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    counts, bank = np.zeros(1 << BANK_BITS, np.uint8), table["bank"][0].as_py()
-    blocks, sizes, payloads = (table[c].to_pylist() for c in ("block", "n", "payload"))
-    for n, raw in zip(sizes, payloads, strict=True):
-        step, twice = unpack(raw, n, "u4", "u1")
-        at = np.cumsum(step, dtype=np.int64)
-        counts[at] = np.minimum(2, counts[at] + 1 + twice)
-    rows = []
-    for no, n, raw in zip(blocks, sizes, payloads, strict=True):
-        at = np.cumsum(unpack(raw, n, "u4", "u1")[0], dtype=np.int64)
-        rows.append((no, bank & 1, bank >> 1, bits_of(counts[at] >= 2)))
-    return _answers(rows)
+def _merge(bank_bits: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        counts, bank = np.zeros(1 << bank_bits, np.uint8), table["bank"][0].as_py()
+        blocks, sizes, payloads = (table[c].to_pylist() for c in ("block", "n", "payload"))
+        for n, raw in zip(sizes, payloads, strict=True):
+            step, twice = unpack(raw, n, "u4", "u1")
+            at = np.cumsum(step, dtype=np.int64)
+            counts[at] = np.minimum(2, counts[at] + 1 + twice)
+        rows = []
+        for no, n, raw in zip(blocks, sizes, payloads, strict=True):
+            at = np.cumsum(unpack(raw, n, "u4", "u1")[0], dtype=np.int64)
+            rows.append((no, bank & 1, bank >> 1, bits_of(counts[at] >= 2)))
+        return _answers(rows)
+
+    return run
 
 
 def _replies(table: pa.Table) -> tuple[dict[tuple[int, int], bytes], dict[int, bytes]]:
@@ -217,11 +234,11 @@ def exact_bank(h1: np.ndarray, bits: int) -> np.ndarray:
     return (h1 >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _propose(bits: int, exact_bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _propose(bits: int, bank_bits: int, exact_bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return _messages([])
-        block, no = Block(table, bits), table["block"][0].as_py()
+        block, no = Block(table, bits, bank_bits), table["block"][0].as_py()
         who, a, b, new = block.grouped(block.candidates(_replies(replies)[0]))
         who, a, b = who[new], a[new], b[new]
         doc = block.document(who)
@@ -245,13 +262,13 @@ def _decide(table: pa.Table) -> pa.Table:
     return _answers([(x, 2, bank, bits_of(later[i:j])) for x, i, j in zip(blocks, cut[:-1], cut[1:], strict=True)])
 
 
-def _remove(bits: int, exact_bits: int, with_text: bool, others: pa.DataType | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _remove(bits: int, bank_bits: int, exact_bits: int, with_text: bool, others: pa.DataType | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "kept_text" if with_text else "kept_sha256"]
         if not table.num_rows:
             return _rows([*names, "others"], [], [*types, others]) if others else _rows(names, [], types)
-        block = Block(table, bits)
+        block = Block(table, bits, bank_bits)
         gone = np.zeros(len(block.words.start) + 1, np.int64)
         if replies.num_rows:
             sketch, exact = _replies(replies)
@@ -289,21 +306,20 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, number: bool = False,
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("others")] if whole else []
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), *others)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    # A number for each bucket that hashes to it, so that every bucket holds one block.
-    of: dict[int, int] = {}
-    tries = 8 * n + 64
-    while len(of) < n:
-        for r in spark.range(tries).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("b")).groupBy("b").agg(F.min("id").alias("id")).collect():  # a row a block
-            of[r["b"]] = r["id"]
-        tries *= 4
-    numbers = F.array(*[F.lit(of[b]).cast("long") for b in range(n)])
-    dealt = rows.withColumn("block", F.element_at(numbers, (F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) + 1).cast("int")))
+    n = blocks_of(size)
+    buckets = min(n, MOST_BUCKETS)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"))
+    if n == buckets:
+        # A number for each bucket that hashes to it, so that every bucket holds one block: a row a bucket, at most MOST_BUCKETS.
+        # So many tries miss a bucket with a probability of e ** -30, and a missed one shares another's.
+        tries = n * (n.bit_length() + 30)
+        of = spark.range(0, tries, 1, 4).select(F.col("id").alias("own"), F.pmod(F.hash("id"), F.lit(n)).cast("long").alias("block")).groupBy("block").agg(F.min("own").alias("own"))
+        dealt = dealt.join(F.broadcast(of), "block", "left").withColumn("block", F.coalesce("own", "block")).drop("own")
     name, path = f"lumenfold_{uuid.uuid4().hex}", new_path(spark, "blocks")
-    dealt = dealt.repartition(n, "block")
+    dealt = dealt.select(*rows.columns, "block").repartition(buckets, "block")
     if number:
         dealt = dealt.withColumn("uid", F.monotonically_increasing_id())
-    dealt.write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    dealt.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name), name, path, size
 
 
@@ -321,12 +337,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     rows, name, path, size = bucketed(docs, id_col, text_col, whole=whole)
     table = rows.select("doc_id", "text", "block")
     windows = max(1, size // 6)
-    bits = max(BANK_BITS, (CELLS_PER_WINDOW * windows - 1).bit_length())
-    exact_bits = min(EXACT_BITS, max(1, (size // BLOCK_BYTES).bit_length()))
+    bank_bits = BANK_BITS + grown(size).bit_length() - 1
+    bits = max(bank_bits, (CELLS_PER_WINDOW * windows - 1).bit_length())
+    exact_bits = blocks_of(size).bit_length()  # of a fingerprint, to pick its exact bank
     texts = table.groupBy("block")
-    counted = texts.applyInArrow(_count(bits), MESSAGE)
-    sketch, at1 = materialise(counted.groupBy("bank").applyInArrow(_merge, REPLY), "sketch")
-    proposed = texts.cogroup(sketch.groupBy("block")).applyInArrow(_propose(bits, exact_bits), MESSAGE)
+    counted = texts.applyInArrow(_count(bits, bank_bits), MESSAGE)
+    sketch, at1 = materialise(counted.groupBy("bank").applyInArrow(_merge(bank_bits), REPLY), "sketch")
+    proposed = texts.cogroup(sketch.groupBy("block")).applyInArrow(_propose(bits, bank_bits, exact_bits), MESSAGE)
     exact, at2 = materialise(proposed.groupBy("bank").applyInArrow(_decide, REPLY), "exact")
     kept = "kept_text string" if with_text else "kept_sha256 string"
     schema = T.StructType.fromDDL(f"doc_id long, n_words long, n_removed long, {kept}")
@@ -334,7 +351,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     if whole:
         schema = schema.add(rows.schema["others"])
         others = to_arrow_schema(schema).field("others").type
-    out = rows.groupBy("block").cogroup(sketch.unionByName(exact).groupBy("block")).applyInArrow(_remove(bits, exact_bits, with_text, others), schema)
+    out = rows.groupBy("block").cogroup(sketch.unionByName(exact).groupBy("block")).applyInArrow(_remove(bits, bank_bits, exact_bits, with_text, others), schema)
     done, _ = materialise(out, "substring")
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, path, at1, at2)

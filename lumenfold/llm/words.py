@@ -41,8 +41,9 @@ class Words:
         """The first n (at most 8) bytes of each word as an integer."""
         return self.load[self.start] & FIRST[np.minimum(self.length, n)]
 
-    def hashes(self) -> np.ndarray:
-        h = mix(self.prefix(8) ^ (self.length.astype(np.uint64) << np.uint64(56)))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word's bytes and length; hashes of two seeds are as two independent functions."""
+        h = mix(mix(self.prefix(8) ^ np.uint64(seed * 0xA0761D6478BD642F & 2**64 - 1)) + self.length.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
         left, at = np.flatnonzero((self.length > 8) & (self.length <= LONG)), 8
         while len(left):
             chunk = self.load[self.start[left] + at] & FIRST[np.minimum(self.length[left] - at, 8)]
@@ -53,7 +54,7 @@ class Words:
             import xxhash
 
             raw = self.buf.tobytes()
-            h[long] = [xxhash.xxh3_64_intdigest(raw[self.start[i] : self.end[i]]) for i in long]
+            h[long] = [xxhash.xxh3_64_intdigest(raw[self.start[i] : self.end[i]], seed=seed) for i in long]
         return h
 
 

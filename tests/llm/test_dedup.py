@@ -1,10 +1,13 @@
 """Near-duplicate classes, substring removal and decontamination against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenfold.llm import decontaminate, minhash, substring
@@ -36,14 +39,24 @@ def corpus():
     return list(enumerate(texts))
 
 
+def weighted_sets(rows):
+    """Shingles and weights of each text, from its words alone."""
+    counts = []
+    for _, t in rows:
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        counts.append(Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])))
+    df, n = Counter(s for c in counts for s in c), len(rows)
+    return [{s: k * (1 + minhash.IDF * math.log((n + 1) / (df[s] + 1)) / math.log(n + 1)) for s, k in c.items()} for c in counts]
+
+
+def jaccard(a, b):
+    low = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    return low / (sum(a.values()) + sum(b.values()) - low) if a and b else 0.0
+
+
 def classes(rows):
     """Connected components of equal texts and of exact similarity at the threshold."""
-    raw = [(t or "").encode() for _, t in rows]
-    doc, sid, count = minhash.shingles(raw)
-    df = np.bincount(minhash.df_cell(sid), minlength=1 << minhash.DF_BITS)
-    w, cut = minhash.Weights(df, len(rows))(sid, count), np.searchsorted(doc, np.arange(len(rows) + 1))
-    sets = [(sid[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    root = list(range(len(rows)))
+    sets, root = weighted_sets(rows), list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
@@ -52,7 +65,7 @@ def classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if raw[i] == raw[j] or minhash.similarity(sets[i], sets[j]) >= minhash.LEAST:
+            if (rows[i][1] or "") == (rows[j][1] or "") or jaccard(sets[i], sets[j]) >= minhash.LEAST:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
@@ -67,7 +80,6 @@ def test_classes_equal_brute_force(spark, corpus, monkeypatch, chunk):
 
 def test_document_frequencies_are_each_shingles_own(spark, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_BYTES", 1 << 17)
-    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 17)
     monkeypatch.setattr(minhash, "BANK_SHINGLES", 1 << 14)
     rnd = random.Random(4)
     rows = [(i, " ".join(words(rnd, 300))) for i in range(400)]  # 120,000 different shingles
@@ -95,6 +107,40 @@ def test_odd_rows_have_classes(spark, odd):
     assert minhash.near_duplicates(odd.where("doc_id = -1")).count() == 0
 
 
+def test_members_that_meet_only_beside_the_first_are_linked():
+    """Two texts near each other and each far from the bucket's first, however their samples agree."""
+    rnd = random.Random(8)
+    head = words(rnd, 300)
+    u = head[:200] + words(rnd, 100)
+    v = u[:285] + words(rnd, 15)
+    texts = [" ".join(x) for x in (head, u, v)]
+    doc, sid, count = minhash.shingles([t.encode() for t in texts])
+    cut, df = np.searchsorted(doc, np.arange(4)), np.array([(sid == s).sum() for s in sid], np.uint32)
+    packed = [minhash.pack(sid[i:j].astype(np.uint32), (sid[i:j] >> np.uint64(32)).astype(np.uint16), count[i:j].astype(np.uint32), df[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    sets = weighted_sets(list(enumerate(texts)))
+    far = [1 - jaccard(sets[0], s) for s in sets]
+    assert 0 < far[2] < 1 and jaccard(sets[1], sets[2]) > 0.8 > jaccard(sets[0], sets[1])
+    for low, high in ((far, far), ([0.0] * 3, [0.0, 1.0, 1.0])):
+        t = pa.table({"uid": [0, 1, 2], "label": [0, 1, 2], "apart": [False, True, True], "low": low, "high": high, "n": pa.array(np.diff(cut), pa.int32()), "shingles": packed})
+        got = minhash._rest(3)(t).to_pylist()
+        assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and abs(got[0]["sim"] - jaccard(sets[1], sets[2])) < 1e-6
+
+
+def test_sets_at_the_threshold_share_one_of_their_rarest_shingles():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(400):
+        n = int(rng.integers(5, 60))
+        a, b = (np.sort(rng.choice(70, n, replace=False)).astype(np.uint64) for _ in "ab")
+        b = np.unique(np.concatenate([a[: n - n // 12], b[:2]]))
+        df, weight = rng.integers(1, 9, 70), rng.integers(1, 5, 70)
+        x, y = ((s, weight[s.astype(int)].astype(np.float32)) for s in (a, b))
+        if minhash.similarity(x, y) >= minhash.LEAST:
+            met += 1
+            assert set(a[minhash.rarest(x, df[a.astype(int)])]) & set(b[minhash.rarest(y, df[b.astype(int)])])
+    assert met > 50
+
+
 def test_weighted_samples_agree_as_often_as_documents_are_similar():
     rnd = random.Random(2)
     a = words(rnd, 400)
@@ -128,6 +174,29 @@ def test_repeats_equal_brute_force(spark, corpus, monkeypatch, block):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == removed(rows)
 
 
+def test_words_that_end_in_control_characters_differ(spark):
+    """Words of eight bytes whose last is that of another word's length are words of their own."""
+    rows = [(1, "abcdefg " * 25), (2, "abcdefg\x0f " * 25), (3, "abcdefg " * 25)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == removed(rows)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_buckets_may_hold_several_blocks(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 1 << 13)
+    monkeypatch.setattr(substring, "MOST_BUCKETS", most)
+    monkeypatch.setattr(minhash, "MOST_BUCKETS", most)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df, with_text=False).collect()} == removed(corpus)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == classes(corpus)
+
+
+def test_blocks_and_banks_grow_with_the_square_root():
+    gb = 1 << 30
+    assert [substring.grown(s * gb) for s in (0, 30, 64, 255, 256, 1024, 4096, 100 << 10)] == [1, 1, 1, 2, 2, 4, 8, 8]
+    assert substring.blocks_of(0) == 1 and substring.blocks_of(100 << 40) < 2_000_000
+
+
 def test_documents_table_equals_brute_force(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs, with_text=False).collect()} == removed(rows)
