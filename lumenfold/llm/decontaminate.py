@@ -4,8 +4,10 @@ A benchmark item of m bytes that occurs in a document with at most k edits share
 ``m + 1 - q * (k + 1)`` of its q-grams with that place, on diagonals (place in the document minus
 place in the item) that are at most k apart. Shared q-grams are therefore counted in diagonal
 bands of width 2(k + 1) that overlap by half; a band that reaches the bound is aligned with the
-item, inside the band only. The benchmark is the bounded side: its size is checked before it is
-sent along.
+item, inside the band only. q is 8, or as much less as a short item needs for a bound of one.
+
+The benchmark is cut into parts of bounded size. A part's index is built once and sent to all
+workers; documents are searched for the parts one after another, and never move.
 """
 
 from __future__ import annotations
@@ -14,19 +16,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm.common import add_column
-from lumenfold.llm.words import mix
+from lumenfold.llm.words import FIRST
 
 Q = 8
 BUDGET = 0.1  # edits allowed, as a share of an item's bytes
-MAX_BENCHMARK_BYTES = 64 << 20
+PART_BYTES = 4 << 20  # of items in one index, which takes about 24 bytes for each of theirs
 TABLE_BITS = 24
-BAND_BITS = 40  # of a key; the rest numbers items: 64 MB hold 2 ** 23 of 8 bytes
+BAND_BITS = 40  # of a key; the rest numbers items of a part
 SLICE_BYTES = 4 << 20
+HITS = 4 << 20  # shared q-grams that are counted at once
 
 
 def normal(text: str | None) -> bytes:
@@ -34,71 +38,93 @@ def normal(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode()
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """Every run of Q = 8 bytes as an integer."""
-    n = len(raw) - Q + 1
-    return np.ndarray((n,), "<u8", raw, strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
+def grams(raw: bytes, q: int = Q) -> np.ndarray:
+    """Every run of q (at most 8) bytes as an integer."""
+    n = len(raw) - q + 1
+    return np.ndarray((n,), "<u8", raw + bytes(8), strides=(1,)) & FIRST[q] if n > 0 else np.zeros(0, np.uint64)
 
 
-class Benchmark:
-    """q-gram index of the items. Items too short for the lemma to say anything are matched by their whole text's grams with fewer edits."""
+class Grams:
+    """Where items have each q-gram, for one q."""
 
-    def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET):
-        seen = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= Q]
-        self.ids, self.texts = [i for i, _ in seen], [t for _, t in seen]
-        size = np.array([len(t) for t in self.texts], np.int64)
-        # The bound has to stay positive: k < (m + 1) / q - 1.
-        self.k = np.maximum(0, np.minimum((size * budget).astype(np.int64), (size + 1 - Q) // Q - 1))
-        self.least = size + 1 - Q * (self.k + 1)
-        self.width = self.k + 1
-        # Added to diagonals, so that no band is negative however far into an item a gram at the text's start lies.
-        self.offset = int((size + self.width).max(initial=0))
-        g = [grams(t) for t in self.texts]
-        item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
-        code = np.concatenate(g) if g else np.zeros(0, np.uint64)
+    def __init__(self, q: int, items: np.ndarray, texts: list[bytes]):
+        g = [grams(texts[i], q) for i in items]
+        item = np.repeat(items.astype(np.int32), [len(x) for x in g])
+        place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in g])
+        code = np.concatenate(g)
         order = np.argsort(code, kind="stable")
-        self.code, first = np.unique(code[order], return_index=True)
+        self.q, (self.code, first) = q, np.unique(code[order], return_index=True)
         self.item, self.place = item[order], place[order]
         self.first = np.append(first, len(order))
-        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.bits = min(TABLE_BITS, max(12, (8 * len(self.code)).bit_length()))
+        self.table = np.zeros(1 << self.bits, bool)
         self.table[self._slot(self.code)] = True
 
-    @staticmethod
-    def _slot(code: np.ndarray) -> np.ndarray:
-        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def search(self, raw: bytes, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first byte, end, edits) of the best place for each document and item. ``at``: where the documents of ``raw`` start, and its end."""
-        code = grams(raw)
-        if not len(code) or not len(self.code):
-            return []
+    def hits(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in ``raw``, item, place in the item) of shared q-grams, about HITS at a time: repetitive texts share many times their bytes."""
+        code = grams(raw, self.q)
         pos = np.flatnonzero(self.table[self._slot(code)])
         k = np.minimum(np.searchsorted(self.code, code[pos]), len(self.code) - 1)
         real = self.code[k] == code[pos]
         pos, k = pos[real], k[real]
         many = self.first[k + 1] - self.first[k]
-        hit = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pos, item = np.repeat(pos, many), self.item[hit]
-        diagonal = pos - self.place[hit] + self.offset  # over 0 even where the item starts before the text
-        doc = np.searchsorted(at, pos, "right") - 1
-        found: list[tuple[int, int, int, int, int]] = []
-        if not len(pos):
-            return found
-        band = diagonal // self.width[item]
-        # Each hit counts in two bands that overlap by half; a band holds all diagonals of one occurrence.
-        key = np.concatenate([self._key(item, band), self._key(item, band - 1)])
-        order = np.argsort(key)
-        key, place = key[order], np.tile(self.place[hit], 2)[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        keys, count = key[first], np.diff(np.append(first, len(key)))
-        item_of = (keys >> np.uint64(BAND_BITS)).astype(np.int64)
-        enough = count >= self.least[item_of]
-        for j in np.flatnonzero(enough):  # a gram of the item counts once, however often the place repeats it
-            enough[j] = len(np.unique(place[first[j] : first[j] + count[j]])) >= self.least[item_of[j]]
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1
+        for p, f, m in zip(np.split(pos, cuts), np.split(self.first[k], cuts), np.split(many, cuts), strict=True):
+            hit = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield np.repeat(p, m), self.item[hit], self.place[hit]
+
+
+class Benchmark:
+    """q-gram index of items: those of Q bytes or more are found with edits, shorter ones as whole texts."""
+
+    def __init__(self, items: list[tuple[int | None, str]], budget: float = BUDGET):
+        seen = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
+        self.ids, self.texts = [i for i, _ in seen], [t for _, t in seen]
+        size = np.array([len(t) for t in self.texts], np.int64)
+        self.whole: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(size < Q).tolist():
+            self.whole.setdefault(self.texts[i], []).append(i)
+        self.k = np.where(size < Q, 0, (size * budget + 1e-9).astype(np.int64))
+        q = np.clip(size // (self.k + 1), 1, Q)  # so that the bound is one at least
+        self.least = size + 1 - q * (self.k + 1)
+        self.width = self.k + 1
+        # Added to diagonals, so that no band is negative however far into an item a gram at the text's start lies.
+        self.offset = int((size + self.width).max(initial=0))
+        self.grams = [Grams(x, np.flatnonzero((q == x) & (size >= Q)), self.texts) for x in np.unique(q[size >= Q]).tolist()]
+
+    def _bands(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (item and band) whose shared q-grams reach the bound, and their items."""
+        keys, counts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+        for g in self.grams:
+            for pos, item, place in g.hits(raw):
+                # Each hit counts in two bands that overlap by half; a band holds all diagonals of one occurrence.
+                band = (pos - place + self.offset) // self.width[item]
+                key = np.concatenate([self._key(item, band), self._key(item, band - 1)])
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+                count = np.diff(np.append(first, len(key)))
+                keys.append(key[first])
+                counts.append(count)
+                places = (np.tile(place, 2)[order], first) if places is None else ()
+        key, of = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(of, np.concatenate(counts), len(key))
+        item = (key >> np.uint64(BAND_BITS)).astype(np.int64)
+        enough = count >= self.least[item]
+        if places:  # all came at once: a gram of the item counts once, however often the place repeats it
+            place, first = places
+            for j in np.flatnonzero(enough):
+                enough[j] = len(np.unique(place[first[j] : first[j] + int(count[j])])) >= self.least[item[j]]
+        return key[enough], item[enough]
+
+    def search(self, raw: bytes, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, first byte, end, edits) of the best place for each document and item. ``at``: where the documents of ``raw`` start, and its end."""
         spans: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for key_, it in zip(keys[enough].tolist(), item_of[enough].tolist(), strict=True):
-            low = (key_ & ((1 << BAND_BITS) - 1)) * int(self.width[it]) - self.offset
+        for key, it in zip(*(x.tolist() for x in self._bands(raw)), strict=True):
+            low = (key & ((1 << BAND_BITS) - 1)) * int(self.width[it]) - self.offset
             for lo, d in self._documents(low, it, at):
                 a, b = int(at[d]), int(at[d + 1]) - 1
                 if b - a < len(self.texts[it]) - int(self.k[it]):
@@ -106,8 +132,10 @@ class Benchmark:
                 got = banded(self.texts[it], raw, lo, 2 * int(self.width[it]), int(self.k[it]), a, b)
                 if got and (got[2], got[0]) < (lambda x: (x[2], x[0]))(spans.get((d, it), (1 << 60, 0, 1 << 60))):
                     spans[d, it] = got
-        found = [(d, it, s - int(at[d]), e - int(at[d]), edits) for (d, it), (s, e, edits) in sorted(spans.items())]
-        return found
+        if self.whole:
+            for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                spans |= {(d, it): (a, b - 1, 0) for it in self.whole.get(raw[a : b - 1], ())}
+        return [(d, it, s - int(at[d]), e - int(at[d]), edits) for (d, it), (s, e, edits) in sorted(spans.items())]
 
     def _documents(self, low: int, it: int, at: np.ndarray) -> list[tuple[int, int]]:
         """A band crosses into the documents that its places lie in."""
@@ -168,52 +196,62 @@ def search_texts(index: Benchmark, texts: list[str | None]) -> list[tuple[int, i
     return found
 
 
-def _search(items: list[tuple[int, str]], budget: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(index: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Benchmark(items, budget)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            found = [(ids[x[0]], *x[1:]) for x in search_texts(index, b.column("text").to_pylist())]
+            found = [(ids[x[0]], *x[1:]) for x in search_texts(index.value, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
 
     return run
 
 
-def benchmark_items(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> list[tuple[int | None, str]]:
-    """The benchmark's rows on the driver, after a check of their size."""
-    size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK_BYTES} are sent to tasks")
-    rows = benchmark.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return sorted({(r[0], r[1]) for r in rows.collect()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+def indexes(benchmark: DataFrame, budget: float, text_col: str, item_col: str) -> list[Broadcast]:
+    """An index of each part of the benchmark, sent to all workers. A part comes to the driver by itself: about PART_BYTES, or one longer item."""
+    spark, text = benchmark.sparkSession, F.col(f"`{text_col}`").cast("string")
+    items = benchmark.where(text.isNotNull()).select(F.col(f"`{item_col}`").cast("long").alias("item"), text.alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    part: Column = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    out = []
+    for p in range(parts):
+        rows = sorted(map(tuple, items.where(part == p).collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        out.append(spark.sparkContext.broadcast(Benchmark(rows, budget)))
+    return out
 
 
-def add_flag(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, text_col: str = "text", out: str = "contaminated") -> DataFrame:
+def add_flag(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, text_col: str = "text", out: str = "contaminated", item_col: str = "item_id") -> DataFrame:
     """``docs`` with a column that is true where the text holds a benchmark item; nothing is joined or moved."""
-    items = benchmark_items(benchmark)
-
-    def make():
-        index = Benchmark(items, budget)
+    found = docs.drop(out)
+    names = []
+    for n, index in enumerate(indexes(benchmark, budget, text_col, item_col)):
 
-        def flags(texts):
-            hit = {x[0] for x in search_texts(index, texts)}
-            return [i in hit for i in range(len(texts))]
+        def make(index=index):
+            def flags(texts):
+                hit = {x[0] for x in search_texts(index.value, texts)}
+                return [i in hit for i in range(len(texts))]
 
-        return flags
+            return flags
 
-    return add_column(docs, text_col, out, T.BooleanType(), pa.bool_(), make)
+        names.append(f"{out}_{n}_" if n else out)
+        found = add_column(found, text_col, names[-1], T.BooleanType(), pa.bool_(), make)
+    if len(names) > 1:
+        found = found.withColumn(out, F.array_contains(F.array(*names), True)).drop(*names[1:])
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, start, end (bytes of the normal form), edits.
 
-    Every whole text is searched for every item, of any length; one whose id is null is reported with
-    a null item_id. An item may differ by a tenth of its bytes, but an item of m <= 70 bytes by no more than
-    ``(m - 7) // 8 - 1`` edits (none under 23 bytes), so that it still shares a gram with its place. Null and empty texts hold nothing; items under
-    8 bytes are left out, as they say nothing about leakage. Repeated rows are reported as often as
-    they come. Only the named columns are read. A benchmark of over 64 MB is refused rather than
-    sent to every task.
+    Every whole text is searched for every item, of any length and number; one whose id is null is reported with
+    a null item_id. An item may differ by a tenth of its bytes (rounded down). An item under 8 bytes is found only where it
+    is the whole text, as it occurs by chance in others; an empty or null one is never found. Null and empty texts hold nothing.
+    Repeated rows are reported as often as they come, repeated items once. Only the named columns are read. Texts
+    are read once for each PART_BYTES of benchmark.
     """
-    items = benchmark_items(benchmark, text_col, item_col)
-    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return found.mapInArrow(_search(items, budget), "doc_id long, item_id long, start long, end long, edits long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = None
+    for index in indexes(benchmark, budget, text_col, item_col):
+        found = rows.mapInArrow(_search(index), "doc_id long, item_id long, start long, end long, edits long")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -218,7 +218,8 @@ def infix_edits(item, text):
     return int(row.min())
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize(("part", "hits"), [(decontaminate.PART_BYTES, decontaminate.HITS), (600, 5000)])
+def test_leaks_equal_brute_force(spark, monkeypatch, part, hits):
     rnd = random.Random(5)
     items = [(i, " ".join(words(rnd, rnd.randint(8, 40)))) for i in range(12)]
     texts = []
@@ -229,16 +230,30 @@ def test_leaks_equal_brute_force(spark):
             k = rnd.randrange(len(leak))
             leak[k : k + rnd.randint(0, 1)] = rnd.choice(["z", "", "qq"])
         texts.append((n, " ".join(words(rnd, rnd.randint(0, 80))) + " " + "".join(leak).upper() + "\n" + " ".join(words(rnd, 20))))
-    texts += [(100, None), (101, ""), (102, items[0][1])]
-    index = decontaminate.Benchmark(items)
-    want = {}
+    items += [(20 + m, "".join(rnd.choice("abcdefghij") for _ in range(m))) for m in (8, 9, 10, 12, 15, 16, 20, 23, 24, 30, 31, 40, 60)]
+    for i, item in items[12:]:  # short items with as many edits as they may have, and one more
+        for more in (0, 1):
+            leak = list(item)
+            for _ in range(len(item) // 10 + more):
+                k = rnd.randrange(len(leak))
+                leak[k : k + rnd.randint(0, 1)] = rnd.choice(["z", "", "zz"])
+            texts.append((200 + 2 * i + more, "xyz " + "".join(leak) + " uvw"))
+    texts += [(100, None), (101, ""), (102, items[0][1]), (103, "Short"), (104, "not short"), (105, "aaaaaaaa" * 500)]
+    items.append((60, "a" * 300))
+    want = {(103, 51): 0}
     for n, t in texts:
-        for i, item, k in zip(index.ids, index.texts, index.k, strict=True):
-            if (e := infix_edits(item, decontaminate.normal(t))) <= k:
+        for i, item in items:
+            raw = decontaminate.normal(item)
+            if (e := infix_edits(raw, decontaminate.normal(t))) <= len(raw) // 10:
                 want[n, i] = e
-    bench = spark.createDataFrame([*items, (50, None), (51, "short"), (None, "x" * 50)], "item_id long, text string")
-    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
-    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and len(got) == len(want) > 20
+    bench = spark.createDataFrame([*items, *items[:2], (50, None), (51, "short"), (52, " "), (None, "x" * 50)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and len(got) == len(want) > 40
+    flagged = decontaminate.add_flag(df, bench)
+    assert flagged.columns == ["doc_id", "text", "contaminated"] and {r["doc_id"] for r in flagged.where("contaminated").collect()} == {n for n, _ in want}
 
 
 def test_long_items_and_items_without_an_id_are_searched(spark):
