@@ -6,24 +6,31 @@ a neighbour only if none that is kept already is nearer to it by the factor ``AL
 edges point in diverse directions. A query runs a beam search in every shard, what it meets is scored
 exactly in double precision, and shards' best are merged.
 
-Equal vectors would fill each other's edges, so a graph holds each vector once, with the smallest
-``k + 1`` of its ids; no larger id of the group can be among the k nearest.
+Vectors of one direction would fill each other's edges, so a graph holds each direction once (the vector divided
+by its largest component), with the smallest ``k + 1`` of its ids; no larger id of the group can be among the k nearest.
+
+The index is a table of one row a shard. Queries are the side of known size: blocks of at most ``QUERY_BYTES`` are
+sent to all workers, and each pass reads the index once, where it lies; only each task's best go through a shuffle.
+Work is queries times shards, as every query is searched in every shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialise
+from lumenfold.llm.common import drop_path, materialise, new_path
 
 SHARD, DEGREE, BEAM, ALPHA = 4096, 24, 64, 1.2
+SHARD_BYTES = 64 << 20  # vectors of a shard take no more: long ones make smaller shards
 BATCH, EXPAND = 256, 4
-QUERY_BLOCK = 2048
+QUERY_BYTES = 32 << 20
+MOST_TASKS = 1 << 14
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,49 +118,86 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("first_id").reset_index(drop=True)
-    graph, start = build_graph(_unit(np.stack(pdf["embedding"]).astype(np.float64)))
-    return pdf.assign(pos=np.arange(len(pdf)), start=start, edges=list(graph.astype(np.int32)))[["shard", "pos", "start", "ids", "embedding", "edges"]]
+INDEX = "shard int, dim int, n int, start int, vectors binary, edges binary, ids binary, many binary"
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """The row of a shard: its vectors (doubles), edges, ids (one vector's after another's) and how many ids each vector has."""
+    order = np.lexsort((table["first_id"].to_numpy(),))
+    dim, ids = table["dim"][0].as_py(), [table["ids"][int(i)].as_py() for i in order]
+    x = np.concatenate([np.zeros(0), table["embedding"].combine_chunks().flatten().to_numpy()]).reshape(len(order), dim)[order]
+    graph, start = build_graph(_unit(x))
+    cols = [table["shard"][0].as_py(), dim, len(x), start, x.tobytes(), graph.astype(np.int32).tobytes(), np.array([i for g in ids for i in g], np.int64).tobytes(), np.array([len(g) for g in ids], np.int32).tobytes()]
+    kinds = [*[pa.int32()] * 4, *[pa.binary()] * 4]
+    return pa.table([pa.array([v], t) for v, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in INDEX.split(", ")])
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, embedding) of rows whose vector isn't null, empty or zero and has finite components only; repeated rows once."""
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    """(vec_id, embedding) of rows whose vector isn't null, empty or zero and has finite components only; repeated rows once.
+
+    The embedding is the vector's direction: divided by its largest absolute component, in double precision.
+    """
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return rows.where(finite & F.exists("embedding", lambda e: e != 0)).dropDuplicates(["vec_id", "embedding"])
+    rows = rows.where(finite).withColumn("_top", F.array_max(F.transform("embedding", F.abs))).where("_top > 0")
+    return rows.select("vec_id", F.transform("embedding", lambda e: e / F.col("_top") + F.lit(0.0)).alias("embedding")).dropDuplicates(["vec_id", "embedding"])
 
 
-def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The index of every usable row: (shard, pos, start, ids, embedding, edges), a row for each different vector."""
-    w = Window.partitionBy("embedding").orderBy("vec_id")  # each task keeps k + 1 rows of a vector before the shuffle
+def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, str]:
+    """The index of every usable row, a row a shard, and the path of its table. Vectors of different lengths lie in different shards."""
+    spark = vectors.sparkSession
+    w = Window.partitionBy("embedding").orderBy("vec_id")  # each task keeps k + 1 rows of a direction before the shuffle
     kept = usable(vectors, id_col, vec_col).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
     once = kept.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    once, _ = materialise(once, "ann-vectors")
-    shards = max(1, -(-once.count() // SHARD))
-    dealt = once.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.col("ids")[0].alias("first_id"), "ids", "embedding")
-    built = dealt.groupBy("shard").applyInPandas(_build, "shard int, pos int, start int, ids array<long>, embedding array<float>, edges array<int>")
-    return materialise(built, "ann-index")[0]
-
-
-def _search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(index) and len(queries):
-            index = index.sort_values("pos")
-            raw, q = np.stack(index["embedding"]).astype(np.float64), np.stack(queries["embedding"]).astype(np.float64)
-            norm, ids = np.linalg.norm(raw, axis=1), index["ids"].tolist()
-            graph, start, own = np.stack(index["edges"]), int(index["start"].iloc[0]), queries["query_id"].to_numpy()
-            for i in range(0, len(q), BATCH):
-                met, _ = beam_search(_unit(raw), graph, start, _unit(q[i : i + BATCH]), BEAM)
-                for j, row in enumerate(met):
-                    row = row[row >= 0]
-                    v = q[i + j]
-                    score = (raw[row] @ v) / (norm[row] * np.linalg.norm(v))
-                    best = np.argsort(-score, kind="stable")[: k + 2]
-                    pairs = sorted((-score[b], int(x)) for b in best for x in ids[row[b]] if x != own[i + j])
-                    out += [(int(own[i + j]), x, -s) for s, x in pairs[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    once, at = materialise(once, "ann-vectors")
+    size = once.agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 8).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // SHARD), -(-(size["bytes"] or 0) // SHARD_BYTES))
+    dealt = once.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"), F.col("ids")[0].alias("first_id"), "ids", "embedding")
+    built = dealt.repartition(min(shards, MOST_TASKS), "shard").groupBy("shard", "dim").applyInArrow(_build, INDEX)
+    index, path = materialise(built, "ann-index")
+    drop_path(spark, at)
+    return index, path
+
+
+def merged(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best, an id once, ties to the smaller id."""
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    _, first = np.unique(np.stack([query, vec]), axis=1, return_index=True)
+    keep = np.zeros(len(query), bool)
+    keep[first] = True  # the best row of an id, as rows are in order of score
+    query, vec, score = query[keep], vec[keep], score[keep]
+    new = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+    rank = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
+    return query[rank < k], vec[rank < k], score[rank < k]
+
+
+def _search(k: int, block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for r in (r for b in batches for r in b.to_pylist()):
+            own, q = block.value.get(r["dim"], (np.zeros(0, np.int64), None))
+            x = np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"])
+            graph, many = np.frombuffer(r["edges"], np.int32).reshape(r["n"], DEGREE), np.frombuffer(r["many"], np.int32)
+            ids, first, norm, unit = np.frombuffer(r["ids"], np.int64), np.cumsum(many) - many, np.linalg.norm(x, axis=1), _unit(x)
+            found = [best]
+            for i in range(0, len(own), BATCH):
+                v, asks = q[i : i + BATCH], own[i : i + BATCH]
+                met, _ = beam_search(unit, graph, r["start"], _unit(v), BEAM)
+                near = np.maximum(met, 0)
+                score = np.einsum("mbd,md->mb", x[near], v) / (norm[near] * np.linalg.norm(v, axis=1)[:, None])
+                score[met < 0] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 2]
+                # Where more than these tie, all that tie are looked at.
+                last = np.take_along_axis(score, top[:, -1:], 1)
+                row, col = np.nonzero((score >= last) & np.isfinite(score))
+                vec = near[row, col]
+                each = many[vec]
+                flat = np.repeat(first[vec] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                who, vec, s = np.repeat(asks[row], each), ids[flat], np.repeat(score[row, col], each)
+                found.append(merged(who[who != vec], vec[who != vec], s[who != vec], k))
+            best = merged(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -161,26 +205,37 @@ def _search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
 def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (query_id, embedding), ties to the smaller vec_id.
 
-    Queries are searched in blocks; each (shard, block) is a task's work of bounded size.
+    A query is compared with vectors of its own length. A query id with several vectors is asked with each, and its best count.
     """
-    spark = index.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    shards = index.agg(F.max("shard")).first()[0]
-    if shards is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copies.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score double")
+    spark, path = index.sparkSession, new_path(index.sparkSession, "ann-found")
+    size = queries.agg(F.sum(F.size("embedding") * 8 + 16)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    for b in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("query_id", "embedding"), F.lit(blocks)) == b).select("query_id", F.size("embedding").alias("dim"), "embedding").toArrow()
+        block = {}
+        for dim in got["dim"].unique().to_pylist():
+            of = got.filter(pa.compute.equal(got["dim"], dim))
+            block[dim] = of["query_id"].to_numpy(), of["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        sent = spark.sparkContext.broadcast(block)
+        index.mapInArrow(_search(k, sent), "query_id long, vec_id long, score double").write.mode("append").parquet(path)
+        sent.unpersist()
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out, _ = materialise(best.select("query_id", "rank", "vec_id", "score"), "ann-nearest")
+    drop_path(spark, path)
+    return out
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest of each row whose id is divisible by ``every``, among all other rows.
 
-    Vectors that are null, empty, zero or hold a null or non-finite component take no part. An
-    empty table gives an empty result. Other columns aren't read.
+    Vectors that are null, empty, zero or hold a null or non-finite component take no part; those of different
+    lengths are never compared. Components may have any size: a vector counts by its direction. Repeated rows count once.
+    An empty table gives an empty result. Other columns aren't read.
     """
     queries = usable(vectors, id_col, vec_col).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return search(build_index(vectors, k, id_col, vec_col), queries, k)
+    index, path = build_index(vectors, k, id_col, vec_col)
+    out = search(index, queries, k)
+    drop_path(vectors.sparkSession, path)
+    return out
