@@ -47,7 +47,7 @@ IDF = 0.25
 BANK_SHINGLES = 4 << 20  # about so many shingles are told to a bank
 CHUNK, CHUNK_SHINGLES = 4096, 4 << 20  # members of a bucket, and shingles of theirs, that a task holds twice
 POOL = 16
-SLICE_BYTES, SLICE_TEXTS = 2 << 20, 1 << 15
+SLICE_BYTES, SLICE_TEXTS = 1 << 19, 1 << 15  # arrays of a slice fit the processor's cache
 ID_BITS = 48  # of a shingle's hash; the rest numbers the texts of a slice
 EPS = 1e-6  # bounds are given this much room, as weights are summed in 32 bits
 
@@ -100,17 +100,20 @@ def samples(doc: np.ndarray, sid: np.ndarray, weight: np.ndarray, n: int) -> np.
         return out
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     who, log_s = doc[first], np.log(weight).astype(np.float32)
-    place = np.arange(len(doc), dtype=np.uint64)
-    low = np.uint64((1 << POOL) - 1)
+    place, low = np.arange(len(doc)), np.int64((1 << POOL) - 1)
     for k in range(SAMPLES):
         # Three places of one hash pick r, beta and c, each from its own pool of 65,536 values.
         x = sid * _TURN[k]
-        r, beta, log_c = _R[x >> np.uint64(48)], _BETA[x >> np.uint64(32) & low], _LOG_C[x >> np.uint64(16) & low]
+        places = x.view(np.int64)
+        r, beta, log_a = _R.take((x >> np.uint64(48)).view(np.int64)), _BETA.take((places >> 32) & low), _LOG_C.take((places >> 16) & low)
         t = np.floor(log_s / r + beta)
-        log_a = log_c - r * (t - beta) - r
-        bits = log_a.view(np.uint32)
-        bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))  # orders as the numbers do
-        best = (np.minimum.reduceat(bits.astype(np.uint64) << np.uint64(32) | place, first) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        beta -= t
+        beta -= 1
+        beta *= r
+        log_a += beta  # ln c - r (t - beta) - r
+        bits = log_a.view(np.int32)
+        bits ^= (bits >> 31) & np.int32(0x7FFFFFFF)  # orders as the numbers do
+        best = np.minimum.reduceat(bits.astype(np.int64) << 32 | place, first) & np.int64(0xFFFFFFFF)
         out[who, k] = (mix(sid[best] * np.uint64(64) + t[best].astype(np.int64).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     return out
 
@@ -175,12 +178,13 @@ def _weigh(docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         found = _block(table)
-        known, _ = _told([x[1][1] for x in found])
+        _, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[1][1] for x in found)]), return_inverse=True)
         got = sorted(zip(*(replies[c].to_pylist() for c in ("bank", "n", "payload")), strict=True)) if replies.num_rows else []
         df = np.concatenate([np.zeros(0, np.uint32), *(unpack(raw, n, "u4")[0] for _, n, raw in got)])
-        size, total, sets, sketch = [], [], [], []
+        size, total, sets, sketch, at = [], [], [], [], 0
         for many, (doc, sid, count) in found:
-            d = df[np.searchsorted(known, sid)]
+            d = df[number[at : at + len(sid)]]
+            at += len(sid)
             cut = np.searchsorted(doc, np.arange(many + 1))
             low, high, n = sid.astype(np.uint32), (sid >> np.uint64(32)).astype(np.uint16), count.astype(np.uint32)
             size += np.diff(cut).tolist()
