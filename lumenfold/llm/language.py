@@ -7,20 +7,20 @@ scored, in batches, and their probabilities are averaged.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS, EMBED = 64, (2, 3, 4), 16, 8
 WIDEST = max(WIDTHS)
-TRAIN_PER_LANG, TRAIN_WINDOWS = 400, 16  # documents of a language and windows of a document that are learned from
-EPOCHS, BATCH, RATE = 12, 512, 0.01
+TRAIN_PER_LANG = 400  # documents of a language that are learned from, with all their windows
+EPOCHS, BATCH, RATE = 4, 512, 0.01
 BLOCK = 2048  # windows that are scored at once
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # Unicode's letters: neither digits nor signs such as a half or a squared
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +111,12 @@ class Network:
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pickle
 
-    rows = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("lang", pa.string())]))
+    got = list(batches)
+    rows = pa.Table.from_batches(got, None if got else pa.schema([("text", pa.string()), ("lang", pa.string())]))
     net = Network(sorted(set(rows["lang"].to_pylist())))
     xs, ys = [], []
     for t, lang in zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True):
         x, _ = windows([t.encode()])
-        x = x[np.unique(np.linspace(0, len(x) - 1, TRAIN_WINDOWS).astype(int))]
         xs.append(x)
         ys.append(np.full(len(x), net.langs.index(lang)))
     if xs:
@@ -125,26 +125,26 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """A network trained on at most ``per_lang`` documents of each language, the lowest by a hash of the id, in one task.
+    """A network trained in one task on at most ``per_lang`` documents of each language, the lowest by a hash of the id: all windows of their whole texts.
 
-    Rows without a language or without a letter teach nothing. Without any row the network knows no language.
+    Languages are counted first; then one scan takes of each about four times the documents wanted, by their hash, and of these the lowest.
+    Rows without a language or without a letter teach nothing; of rows that share an id and a language one does. Without any row the network knows no language.
     """
     import pickle
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = [r["lang"] for r in rows.select("lang").distinct().collect()]  # languages are few
-    ids = None
-    for lang in sorted(langs):
-        pick = rows.where(F.col("lang") == lang).select("_id", "lang").orderBy(F.xxhash64("_id"), "_id").limit(per_lang)
-        ids = pick if ids is None else ids.unionByName(pick)
-    if ids is None:
-        return Network([])
-    picked = rows.join(F.broadcast(ids.distinct()), ["_id", "lang"])
-    out = picked.select("text", "lang").repartition(1).mapInArrow(_fit, "net binary").collect()
-    langs, p = pickle.loads(out[0]["net"])
+    lang = F.col(f"`{lang_col}`").cast("string")
+    sizes = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).count().select("lang", F.least(F.lit(1.0), 4 * (per_lang + 25) / F.col("count")).alias("share"))  # languages are few
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"), lang.alias("lang"))
+    place = F.xxhash64("_id") / F.lit(2.0**64) + 0.5
+    some = rows.withColumn("_place", place).join(F.broadcast(sizes), "lang").where((F.col("_place") <= F.col("share")) & F.col("text").rlike(r"\p{L}"))
+    once = some.groupBy("lang", "_id", "_place").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "_id"))
+    picked = once.withColumn("_rank", rank).where(F.col("_rank") <= per_lang)
+    out = picked.select("text", "lang", "_place", "_id").repartition(1).sortWithinPartitions("lang", "_place", "_id").select("text", "lang").mapInArrow(_fit, "net binary").collect()
+    langs, p = pickle.loads(out[0]["net"]) if out else ([], None)
     net = Network(langs)
-    net.p = p
+    if p:
+        net.p = p
     return net
 
 
