@@ -6,7 +6,6 @@ folder that ``spark.checkpoint.dir`` names, which every executor and the driver
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,11 +20,10 @@ from lumenfold.llm.encode import forget
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
+    """Folder for intermediate tables, which all executors share: ``spark.checkpoint.dir``, or the folder that ``setCheckpointDir`` was given."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lumenfold-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables go there")
     return found.rstrip("/")
 
 

@@ -157,4 +157,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", length:
     placed, placed_at = running_positions(coded.select("uid", "key", "doc_id", "doc_tokens"), ["key", "doc_id", "uid"], "doc_tokens", "_at")
     out = coded.join(placed.select("uid", "_at"), "uid").select("doc_id", "_at", "doc_tokens", "ids")
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    return out.mapInArrow(_pieces(length, with_ids), fields)
+    pieces, _ = materialise(out.mapInArrow(_pieces(length, with_ids), fields), "pieces")
+    drop_path(spark, coded_at, placed_at)
+    return pieces

@@ -62,6 +62,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, grain: int = 4096, id_col:
     to = lpt([(r["item"], r["bytes"]) for r in items], shards)
     table = spark.createDataFrame(list(to.items()) or [(0, 0)], "item long, shard int")
     keyed = placed.join(F.broadcast(table), "item").select("_key", "shard")
-    out, _ = running_positions(rows.join(keyed, "_key").drop("_key").withColumn("_one", F.lit(1).cast("long")).withColumn("_tie", F.coalesce("doc_id", F.lit(-(2**63)))), ["_tie", "text_crc32"], "_one", "slot", "shard")
-    drop_path(spark, rows_at, ordered_at)
-    return out.select("doc_id", "size", "text_crc32", "shard", "slot")
+    out, out_at = running_positions(rows.join(keyed, "_key").drop("_key").withColumn("_one", F.lit(1).cast("long")).withColumn("_tie", F.coalesce("doc_id", F.lit(-(2**63)))), ["_tie", "text_crc32"], "_one", "slot", "shard")
+    done, _ = materialise(out.select("doc_id", "size", "text_crc32", "shard", "slot"), "shards")
+    drop_path(spark, rows_at, ordered_at, out_at)
+    return done

@@ -1,7 +1,9 @@
 """Toxicity, language, nearest neighbours, sharding and URL lists."""
 
 import datetime
+import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import ann, language, queries, sharding, toxicity, url_filter
+from lumenfold.llm.words import PUNCT, Words
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,6 +29,51 @@ def test_noisy_or_finds_the_sentence_at_fault(spark):
     assert found and all("blorkhead" in r["sentence"] for r in found)
 
 
+def test_scores_equal_a_plain_noisy_or():
+    """Sentence by sentence and word by word, with no arrays."""
+    rng = np.random.default_rng(2)
+    weights = np.append(rng.standard_normal(1 << toxicity.BITS), -3.0)
+    texts = ["One two, three. FOUR five!\n\nsix?", "", None, "...", "été naïve-word x", "a b c " * 50 + ". tail"]
+
+    def word(w):
+        return sum(weights[f[0]] for f in toxicity.features(Words([w.encode()], PUNCT)))
+
+    for t, got in zip(texts, toxicity.score_texts(texts, weights), strict=True):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", (t or "").lower()):
+            if words := re.findall("[0-9a-z\x80-\U0010ffff]+", sentence):
+                clean *= 1 - 1 / (1 + math.exp(-(sum(map(word, words)) + weights[-1])))
+        assert abs(got - (1 - clean)) < 1e-9
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = spark.createDataFrame([(1, "bad thing"), (1, "bad thing"), (2, "good thing"), (2, "zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    want = toxicity.train(["bad thing", "good thing"], np.array([1, 0]))
+    assert np.allclose(toxicity.fit(docs, labels), want.astype("<f4"))
+    langs = docs.withColumn("lang", F.lit("xx"))
+    assert language.fit(langs).langs == ["xx"] and language.fit(langs.where("doc_id < 0")).langs == []
+
+
+def test_probabilities_equal_a_plain_network():
+    net = language.Network(["a", "b", "c"])
+    text = "Grüße an die Welt, " * 9
+    raw = text.encode() + b" " * (-len(text.encode()) % language.WINDOW)
+    p, want = {k: v.astype(float) for k, v in net.p.items()}, []
+    for s in range(0, len(raw), language.WINDOW):
+        part = (raw[s : s + language.WINDOW + language.WIDEST - 1] + b" " * language.WIDEST)[: language.WINDOW + language.WIDEST - 1]
+        hidden = []
+        for f in range(language.FILTERS * len(language.WIDTHS)):
+            width = language.WIDTHS[f // language.FILTERS]
+            sums = [sum(p["embed"][part[i + j]] @ p["conv"].reshape(language.WIDEST, language.EMBED, -1)[j, :, f] for j in range(width)) for i in range(language.WINDOW)]
+            hidden.append(max(0.0, max(sums) + p["bias"][f]))
+        z = np.exp(np.array(hidden) @ p["out"] + p["base"])
+        want.append(z / z.sum())
+    mean = np.mean(want, axis=0)
+    langs, scores = net.predict([text, "½ ² Ⅷ 12 _", None])
+    assert langs == [["a", "b", "c"][int(mean.argmax())], "und", "und"] and abs(scores[0] - mean.max()) < 1e-5
+
+
 def test_toxicity_of_held_out_documents(spark):
     out = queries.op7_toxicity_mil(spark, "/root/testdata/sf0.1").join(queries.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").toPandas()
     toxic = out["toxic"] == 1
@@ -98,6 +146,40 @@ def test_neighbours_among_copies_and_unusable_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_any_size_length_and_direction(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BYTES", 200)  # several blocks of queries
+    rng = np.random.default_rng(3)
+    big = rng.standard_normal((60, 8)) * 10.0 ** rng.integers(-250, 250, (60, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(big)]
+    rows += [(100 + i, [float(i + 1), 2.0 * (i + 1)]) for i in range(80)]  # one direction, over BEAM of them
+    rows += [(250, [1.0, 2.0]), (300, [1.0]), (350, [1.0, 2.0, 3.0]), (0, rows[7][1])]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = big / np.abs(big).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q in (50,):
+        best = [(i, unit[i] @ unit[q]) for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q][:5]
+        assert [g[0] for g in got[q]] == [b[0] for b in best] and np.allclose([g[1] for g in got[q]], [b[1] for b in best], atol=1e-12)
+    assert got[0][0] == (7, pytest.approx(1.0)) and len({g[0] for g in got[0]}) == 5
+    assert [g[0] for g in got[100]] == [101, 102, 103, 104, 105] and [g[0] for g in got[250]] == [100, 101, 102, 103, 104]
+    assert not got[300] and not got[350]
+
+
+def test_shards_of_the_default_grain_come_near_plain_lpt(spark):
+    rnd = random.Random(7)
+    texts = [str(i) * rnd.randint(1, 60) for i in range(9000)] + ["x" * 40_000] * 3
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8)
+    mine = sorted(r["n"] for r in got.groupBy("shard").agg(F.sum("size").alias("n")).collect())
+    sizes = defaultdict(int)
+    for t in texts:
+        sizes[t] += len(t) + 1
+    plain, to = defaultdict(int), sharding.lpt(list(enumerate(sizes.values())), 8)
+    for i, size in enumerate(sizes.values()):
+        plain[to[i]] += size
+    assert mine[-1] - max(plain.values()) <= 2 * sum(sizes.values()) / 4096 and mine[0] >= min(plain.values()) - 2 * sum(sizes.values()) / 4096
+
+
 def test_shards_equal_lpt_over_groups(spark):
     rnd = random.Random(3)
     texts = ["x" * (2 ** rnd.randint(1, 12)) + str(rnd.randrange(40)) for _ in range(300)]
@@ -129,7 +211,7 @@ def test_lists_are_judged_as_of_the_fetch(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
     log = [("spam", "block", "a.example.org", "add", day(10)), ("spam", "block", "a.example.org", "remove", day(20)), ("spam", "block", "a.example.org", "add", day(20)), ("spam", "block", "a.example.org", "remove", day(25)), ("ok", "allow", "example.org", "add", day(0)), ("bad", "block", "example.org", "add", day(15)), ("x", "block", None, "add", day(0)), ("x", "block", "b.org", "add", None)]
     entries = spark.createDataFrame(log, "list_name string, policy string, key string, action string, day date")
-    seen = [(n, "http://u@A.Example.org:80/x", day(n)) for n in (9, 10, 19, 20, 25)] + [(100, None, day(1)), (101, "no url", day(1)), (102, "https://b.org", None), (103, "https://other.org", day(1)), (9, "http://A.example.org", day(9))]
+    seen = [(n, "http://u@A.Example.org:80/x", day(n)) for n in (9, 10, 19, 20, 25)] + [(100, None, day(1)), (101, "no url", day(1)), (102, "https://b.org", None), (103, "https://other.org", day(1)), (104, "http://[::1]:8080/" + "x" * 50_000, day(1)), (9, "http://A.example.org", day(9))]
     got = sorted((r["page_id"], r["blocked"], r["list_name"], r["entry_key"]) for r in url_filter.judge(spark.createDataFrame(seen, "page_id long, url string, day date").withColumn("key", F.lit("clash")), entries).collect())
     assert [g[1:] for g in got if g[0] == 9] == [(False, "ok", "example.org")] * 2
     assert {g[0]: g[1:] for g in got if 10 <= g[0] <= 25} == {10: (True, "spam", "a.example.org"), 19: (True, "spam", "a.example.org"), 20: (True, "spam", "a.example.org"), 25: (True, "bad", "example.org")}
