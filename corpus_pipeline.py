@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import decontaminate, minhash, packing, substring, toxicity
-from lumenfold.llm.common import new_path
+from lumenfold.llm.common import drop_path, new_path
 from lumenfold.llm.queries import held_out, table, tokenizer_path
 
 LEAST_TOXIC = 0.5
@@ -59,9 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """The last stage's rows, from its table in the shared folder; the tables before it are removed as soon as the next is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        found = stage(spark, docs, sf_dir)
+        found.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if last:
+            drop_path(spark, last)
+        last = path
+    return docs
