@@ -6,6 +6,8 @@ folder that ``spark.checkpoint.dir`` names, which every executor and the driver
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,10 +22,16 @@ from lumenfold.llm.encode import forget
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, which all executors share: ``spark.checkpoint.dir``, or the folder that ``setCheckpointDir`` was given."""
+    """Folder for intermediate tables, which all executors share: ``spark.checkpoint.dir``, or the folder that ``setCheckpointDir`` was given.
+
+    Where neither is set, a temporary folder serves a local master, whose executors are this process; a cluster is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables go there")
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables go there")
+        found = tempfile.mkdtemp(prefix="lumenfold-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
