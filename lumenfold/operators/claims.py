@@ -23,7 +23,7 @@ NUMBERS = {
     "douze": "12", "quinze": "15", "dix-huit": "18", "vingt": "20", "trente": "30", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
     "seven": "7", "eight": "8", "nine": "9", "ten": "10", "twelve": "12", "eighteen": "18", "twenty": "20", "thirty": "30",
 }
-UNITS = ("mois", "months", "month", "jours", "jour", "days", "day", "semaines", "semaine", "weeks", "week", "ans", "an", "annees", "annee", "years", "year", "euros", "euro", "€", "heures", "heure", "hours", "hour")
+UNITS = ("mois", "months", "month", "jours", "jour", "days", "day", "semaines", "semaine", "weeks", "week", "ans", "an", "annees", "annee", "years", "year", "euros", "euro", "€", "heures", "heure", "hours", "hour", "%", "pages", "page", "exemplaires", "exemplaire", "copies", "copie")
 STOP = ("les", "des", "une", "der", "the", "and", "for", "you", "your", "with", "that", "this", "sont", "est", "vous", "pour", "dans", "avec", "doit", "must", "should", "will", "etre", "avoir", "plus", "tout", "tous")
 DATE = r"(\d{1,2}(?:er)?\s+\p{L}+\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})"
 SINCE = r"(?i)(?:à\s+compter\s+du|a\s+compter\s+du|applicable\s+(?:au|à\s+partir\s+du)|en\s+vigueur\s+(?:au|à\s+compter\s+du)|depuis\s+le|effective\s+(?:from|on)|as\s+of|with\s+effect\s+from|starting)\s+" + DATE

@@ -32,14 +32,21 @@ CATEGORIES = {
     "health_rule": (("sante", "santé", "assurance maladie", "securite sociale", "sécurité sociale", "carte vitale", "mutuelle"), "high", ("health",)),
     "employment_rule": (("emploi", "travail", "contrat", "cdi", "cdd", "alternance", "salaire", "chomage", "chômage"), "high", ("work",)),
 }
-CRITICAL_WORDS = ("document", "justificatif", "piece", "condition", "eligib")
+# A change of any of these is worth waking someone for.
+CRITICAL_WORDS = ("document", "justificatif", "pièce", "condition", "éligib", "eligib", "délai", "deadline", "date limite", "obligatoire", "required", "admission", "candidature")
 
 
 def distinct_folds(words: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(plain(w) for w in words))
 
 
-SIGNALS = distinct_folds(SIGNAL_WORDS)
+SIGNALS, CRITICAL = distinct_folds(SIGNAL_WORDS), distinct_folds(CRITICAL_WORDS)
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns made on a generated row: a filter on them, or a later use, can't copy their expressions into the rows below."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_row")
+    return df.select(*df.columns, row).select(*df.columns, "_row.*")
 
 
 def signal_lines(text: Column) -> Column:
@@ -83,27 +90,73 @@ def topics(names: Column) -> Column:
 
 
 def compare(pairs: DataFrame, old: str, new: str, old_title: str, new_title: str) -> DataFrame:
-    """Adds change_type, severity, categories, affected_topics, added, removed (20 at most) and the three flags."""
+    """Adds change_type, severity, categories, affected_topics, added, removed (20 at most), the three flags and a summary.
+
+    Steps are staged, so that each signal line is found once and a filter on the kind of change doesn't copy the work.
+    """
     was, now = F.coalesce(F.col(old), F.lit("")), F.coalesce(F.col(new), F.lit(""))
     t0, t1 = F.coalesce(F.col(old_title), F.lit("")), F.coalesce(F.col(new_title), F.lit(""))
-    df = pairs.withColumns({"_a": signal_lines(was), "_b": signal_lines(now)})
-    df = df.withColumns({"_add": F.array_sort(F.array_except("_b", "_a")), "_rem": F.array_sort(F.array_except("_a", "_b"))})
-    df = df.withColumns({"title_changed": (t0 != "") & (t0 != t1), "numbers_changed": numbers_in(was) != numbers_in(now), "links_changed": links_in(was) != links_in(now)})
-    df = df.withColumn("_touched", fold_ws(F.array_join(F.concat("_add", "_rem"), " "))).withColumn("_names", categories(F.col("_touched")))
-    same, first = (fold_ws(was) == fold_ws(now)) & (t0 == t1), was == ""
-    quiet = (F.size("_add") == 0) & (F.size("_rem") == 0) & ~F.col("title_changed")
-    none = F.array().cast("array<string>")
-    kind = F.when(first, "new").when(same, "none").when(quiet, "cosmetic").when(contains_any(F.col("_touched"), CRITICAL_WORDS), "critical").otherwise("substantive")
-    df = df.withColumn("change_type", kind).withColumns(
-        {
-            "categories": F.when(first | same, none).when(quiet, F.array(F.lit("cosmetic"))).otherwise(F.col("_names")),
-            "severity": F.when(first | same | quiet, "low").otherwise(severity(F.col("_names"))),
-            "affected_topics": F.when(first | same | quiet, none).otherwise(topics(F.col("_names"))),
-            "added": F.when(first | same, none).otherwise(F.slice("_add", 1, 20)),
-            "removed": F.when(first | same, none).otherwise(F.slice("_rem", 1, 20)),
-        }
+    none, many = F.array().cast("array<string>"), lambda c: F.size(c).cast("string")
+    df = staged(
+        pairs, _a=signal_lines(was), _b=signal_lines(now), _first=was == "", _same=(fold_ws(was) == fold_ws(now)) & (t0 == t1), title_changed=(t0 != "") & (t0 != t1),
+        numbers_changed=numbers_in(was) != numbers_in(now), links_changed=links_in(was) != links_in(now),
+    )
+    df = staged(df, _add=F.array_sort(F.array_except("_b", "_a")), _rem=F.array_sort(F.array_except("_a", "_b")))
+    df = staged(df, _touched=fold_ws(F.array_join(F.concat("_add", "_rem"), " ")), _quiet=(F.size("_add") == 0) & (F.size("_rem") == 0) & ~F.col("title_changed"))
+    df = staged(df, _names=categories(F.col("_touched")))
+    settled = F.col("_first") | F.col("_same")
+    loud = contains_any(F.col("_touched"), CRITICAL)
+    parts = F.array_compact(F.array(
+        F.when(F.size("_add") > 0, F.concat(many("_add"), F.lit(" line(s) added"))), F.when(F.size("_rem") > 0, F.concat(many("_rem"), F.lit(" line(s) removed"))),
+        F.when(F.col("title_changed"), F.lit("title changed")), F.when(F.col("numbers_changed"), F.lit("numbers changed")),
+        F.when(F.size("_names") > 0, F.concat(F.lit("touches "), F.array_join(F.slice("_names", 1, 3), ", "))),
+    ))
+    df = staged(
+        df,
+        change_type=F.when(F.col("_first"), "new").when(F.col("_same"), "none").when(F.col("_quiet"), "cosmetic").when(loud, "critical").otherwise("substantive"),
+        categories=F.when(settled, none).when(F.col("_quiet"), F.array(F.lit("cosmetic"))).otherwise(F.col("_names")),
+        severity=F.when(settled | F.col("_quiet"), "low").otherwise(severity(F.col("_names"))),
+        affected_topics=F.when(settled | F.col("_quiet"), none).otherwise(topics(F.col("_names"))),
+        added=F.when(settled, none).otherwise(F.slice("_add", 1, 20)),
+        removed=F.when(settled, none).otherwise(F.slice("_rem", 1, 20)),
+        summary=F.when(F.col("_first"), "first version").when(F.col("_same"), "identical").when(F.col("_quiet"), "wording or layout only; nothing a reader acts on changed").otherwise(F.array_join(parts, ", ")),
     )
-    return df.drop("_a", "_b", "_add", "_rem", "_touched", "_names")
+    return df.drop("_a", "_b", "_add", "_rem", "_touched", "_names", "_first", "_same", "_quiet")
+
+
+def is_substantive(change_type: Column) -> Column:
+    return change_type.isin("substantive", "critical")
+
+
+def needs_attention(level: Column) -> Column:
+    """Whether a person should be told, rather than the log alone."""
+    return level.isin("critical", "high")
+
+
+def before_after(removed: Column, added: Column) -> Column:
+    """What a page said and says now, three statements of each at most, in its own words; empty where neither moved."""
+    lines = F.concat(
+        F.when(F.size(removed) > 0, F.transform(F.slice(removed, 1, 3), lambda x: F.concat(F.lit("BEFORE: "), x))).otherwise(F.array(F.lit("BEFORE: (no matching requirement was stated)"))),
+        F.when(F.size(added) > 0, F.transform(F.slice(added, 1, 3), lambda x: F.concat(F.lit("AFTER:  "), x))).otherwise(F.array(F.lit("AFTER:  (the requirement is no longer stated)"))),
+    )
+    return F.when((F.size(removed) == 0) & (F.size(added) == 0), "").otherwise(F.array_join(lines, "\n"))
+
+
+def invalidations(changes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(topic, at, source_id, version_id): the latest substantive change that makes a topic doubtful; ``stored`` holds earlier stamps, and the later one stays.
+
+    ``changes`` has (source_id, version_id, retrieved_at, change_type, affected_topics).
+    """
+    rows = changes.where(is_substantive(F.col("change_type"))).select(F.explode("affected_topics").alias("topic"), F.col("retrieved_at").alias("at"), "source_id", "version_id")
+    rows = rows if stored is None else stored.select("topic", "at", "source_id", "version_id").unionByName(rows)
+    last = F.max(F.struct("at", "source_id", "version_id")).alias("s")
+    return rows.groupBy("topic").agg(last).select("topic", "s.*")
+
+
+def still_valid(answers: DataFrame, stamps: DataFrame) -> DataFrame:
+    """``answers`` (answer, topics, made_at) with ``valid``: no topic of theirs was stamped after they were made."""
+    hit = answers.select("answer", "made_at", F.explode("topics").alias("topic")).join(stamps.select("topic", "at"), "topic").where("at > made_at").select("answer").distinct()
+    return answers.join(hit.withColumn("_hit", F.lit(True)), "answer", "left").withColumn("valid", F.col("_hit").isNull()).drop("_hit")
 
 
 def asof(wanted: DataFrame, versions: DataFrame, key: str, day: str, at: str, value: str) -> DataFrame:

@@ -81,7 +81,7 @@ def coverage(topics: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def agreement(rows: DataFrame, question: str, variant: str, first: str, second: str, rank: str, item: str, k: int = 3) -> DataFrame:
-    """Per question: how the top k of two variants agree (set, order, top 1, Jaccard)."""
+    """Per question: how the top k of two variants agree (set, order, top 1, items shared and in either, Jaccard)."""
     top = rows.where(F.col(rank) <= k).groupBy(question, variant).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]).alias("items"))
     a, b = (top.where(F.col(variant) == v).select(question, F.col("items").alias(n)) for v, n in ((first, "a"), (second, "b")))
     both = a.join(b, question)
@@ -90,6 +90,8 @@ def agreement(rows: DataFrame, question: str, variant: str, first: str, second:
         (F.array_sort("a") == F.array_sort("b")).alias("same_set"),
         (F.col("a") == F.col("b")).alias("same_order"),
         (F.col("a")[0] == F.col("b")[0]).alias("same_top"),
+        F.size(F.array_intersect("a", "b")).alias("shared"),
+        F.size(F.array_union("a", "b")).alias("either"),
         (F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b")))).alias("jaccard"),
     )
 

@@ -190,14 +190,14 @@ def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.coverage(n.select("topic"), s.join(n, "k").select("topic", "source_id", "live"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, l_suppkey % 5 AS a, l_partkey % 5 AS b FROM lineitem),
+@query("""WITH r AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_suppkey % 5 AS a, l_partkey % 5 AS b FROM lineitem),
  t AS (SELECT q, list(a ORDER BY k) AS a, list(b ORDER BY k) AS b FROM r WHERE k <= 3 GROUP BY q)
- SELECT q, list_sort(a) = list_sort(b) AS same_set, a = b AS same_order, a[1] = b[1] AS same_top, round(len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS jaccard FROM t""")
+ SELECT q, list_sort(a) = list_sort(b) AS same_set, a = b AS same_order, a[1] = b[1] AS same_top, len(list_intersect(list_distinct(a), list_distinct(b))) AS shared, len(list_distinct(list_concat(a, b))) AS either FROM t""")
 def retrieval_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), k.alias("k"), (F.col("l_suppkey") % 5).alias("a"), (F.col("l_partkey") % 5).alias("b"))
     both = r.select("q", "k", F.lit("fr").alias("v"), F.col("a").alias("item")).unionByName(r.select("q", "k", F.lit("en").alias("v"), F.col("b").alias("item")))
-    return T.agreement(both, "q", "v", "fr", "en", "k", "item").withColumn("jaccard", F.round("jaccard", 6))
+    return T.agreement(both, "q", "v", "fr", "en", "k", "item").select("q", "same_set", "same_order", "same_top", F.col("shared").cast("long").alias("shared"), F.col("either").cast("long").alias("either"))
 
 
 @query("""SELECT o_orderkey, concat('BUG-', strftime(o_orderdate, '%Y%m%d'), '-', lpad(CAST(row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS VARCHAR), 3, '0')) AS report_id FROM orders""")

@@ -64,30 +64,61 @@ BY_LEVEL = lambda level: "[" + quoted(n for n, (_, s, _) in P.CATEGORIES.items()
  s AS (SELECT *, {SIGNAL("old_text")} AS a, {SIGNAL("text")} AS b FROM l), d AS (SELECT *, {EXCEPT("b", "a")} AS add_, {EXCEPT("a", "b")} AS rem_ FROM s),
  t AS (SELECT *, {FOLDED("array_to_string(list_concat(add_, rem_), ' ')")} AS touched, old_title <> '' AND old_title <> title AS title_changed, {NUMBERS("old_text")} <> {NUMBERS("text")} AS numbers_changed, {LINKS("old_text")} <> {LINKS("text")} AS links_changed FROM d),
  c AS (SELECT *, {NAMES} AS names, old_text = '' AS first_, {FOLDED("old_text")} = {FOLDED("text")} AND old_title = title AS same_ FROM t),
- k AS (SELECT *, CASE WHEN first_ THEN 'new' WHEN same_ THEN 'none' WHEN len(add_) = 0 AND len(rem_) = 0 AND NOT title_changed THEN 'cosmetic' WHEN {ANY("touched", P.CRITICAL_WORDS)} THEN 'critical' ELSE 'substantive' END AS change_type FROM c)
+ k AS (SELECT *, CASE WHEN first_ THEN 'new' WHEN same_ THEN 'none' WHEN len(add_) = 0 AND len(rem_) = 0 AND NOT title_changed THEN 'cosmetic' WHEN {ANY("touched", P.CRITICAL)} THEN 'critical' ELSE 'substantive' END AS change_type FROM c)
  SELECT version_id, change_type, title_changed, numbers_changed, links_changed,
    CASE WHEN change_type IN ('new', 'none') THEN '' WHEN change_type = 'cosmetic' THEN 'cosmetic' ELSE array_to_string(names, ',') END AS categories,
    CASE WHEN change_type IN ('new', 'none', 'cosmetic') THEN 'low' WHEN list_has_any(names, {BY_LEVEL("critical")}) THEN 'critical' WHEN list_has_any(names, {BY_LEVEL("high")}) THEN 'high' WHEN list_has_any(names, {BY_LEVEL("medium")}) THEN 'medium' ELSE 'low' END AS severity,
    CASE WHEN change_type IN ('new', 'none') THEN '' ELSE array_to_string(add_[1:20], '/') END AS added, CASE WHEN change_type IN ('new', 'none') THEN '' ELSE array_to_string(rem_[1:20], '/') END AS removed FROM k""")
 def change_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("page_id").orderBy("retrieved_at", "version_id")
-    rows = notices(spark, sf_dir).withColumns({"old_text": F.lag("text").over(w), "old_title": F.lag("title").over(w)})
-    out = P.compare(rows, "old_text", "text", "old_title", "title")
+    out = changes(spark, sf_dir)
     text = lambda c, by: F.array_join(c, by).alias(c)
     return out.select("version_id", "change_type", "title_changed", "numbers_changed", "links_changed", text("categories", ","), "severity", text("added", "/"), text("removed", "/"))
 
 
-@query()
-def change_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics that the latest change of each page makes doubtful."""
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each version of a page against the one before it."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("page_id").orderBy("retrieved_at", "version_id")
     rows = notices(spark, sf_dir).withColumns({"old_text": F.lag("text").over(w), "old_title": F.lag("title").over(w)})
-    out = P.compare(rows, "old_text", "text", "old_title", "title").where(F.col("change_type").isin("critical", "substantive"))
-    return out.select("source_id", "retrieved_at", F.explode("affected_topics").alias("topic")).groupBy("topic").agg(F.max("retrieved_at").alias("invalidated_at"), F.countDistinct("source_id").alias("sources"))
+    return P.compare(rows, "old_text", "text", "old_title", "title")
+
+
+#: Expected values of the notices' changes: which topics each category makes doubtful.
+DOUBTS = {
+    "eligibility": ["admission", "residence_permit", "housing", "health", "work"], "required_document": ["documents", "admission", "residence_permit", "housing"], "deadline": ["deadline", "admission", "taxes"],
+    "fee": ["tuition", "taxes"], "procedure": ["admission", "residence_permit", "documents"], "application_portal": ["admission", "residence_permit"], "jurisdiction": ["residence_permit", "documents"],
+    "student_rule": ["admission", "programmes", "housing"], "immigration_rule": ["residence_permit", "documents"], "housing_rule": ["housing"], "tax_rule": ["taxes"], "health_rule": ["health"], "employment_rule": ["work"],
+    "contact": ["contact"], "address": ["contact"],
+}
+CHANGED = f"""{NOTICES}, l AS (SELECT *, coalesce(lag(text) OVER w, '') AS old_text, coalesce(lag(title) OVER w, '') AS old_title FROM n WINDOW w AS (PARTITION BY page_id ORDER BY retrieved_at, version_id)),
+ s AS (SELECT *, {SIGNAL("old_text")} AS a, {SIGNAL("text")} AS b FROM l), d AS (SELECT *, {EXCEPT("b", "a")} AS add_, {EXCEPT("a", "b")} AS rem_ FROM s),
+ t AS (SELECT *, {FOLDED("array_to_string(list_concat(add_, rem_), ' ')")} AS touched, old_title <> '' AND old_title <> title AS title_changed FROM d),
+ c AS (SELECT *, {NAMES} AS names, old_text = '' AS first_, {FOLDED("old_text")} = {FOLDED("text")} AND old_title = title AS same_ FROM t),
+ dt AS (SELECT unnest([{quoted(DOUBTS)}]) AS name, unnest([{", ".join("[" + quoted(v) + "]" for v in DOUBTS.values())}]) AS topics),
+ real AS (SELECT version_id, source_id, retrieved_at, names FROM c WHERE NOT first_ AND NOT same_ AND (len(add_) > 0 OR len(rem_) > 0 OR title_changed))"""
+
+
+@query(f"""WITH {CHANGED}, x AS (SELECT DISTINCT version_id, source_id, retrieved_at, unnest(topics) AS topic FROM (SELECT version_id, source_id, retrieved_at, unnest(names) AS name FROM real) JOIN dt USING (name))
+ SELECT topic, epoch_us(max(retrieved_at)) AS invalidated_at, count(DISTINCT source_id) AS sources FROM x GROUP BY topic""")
+def change_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics that substantive changes make doubtful, when last, and by how many sources."""
+    out = changes(spark, sf_dir).where(P.is_substantive(F.col("change_type")))
+    rows = out.select("source_id", "retrieved_at", F.explode("affected_topics").alias("topic"))
+    return rows.groupBy("topic").agg(F.unix_micros(F.max("retrieved_at").cast("timestamp")).alias("invalidated_at"), F.countDistinct("source_id").alias("sources"))
+
+
+@query(f"""WITH {CHANGED}, x AS (SELECT DISTINCT version_id, source_id, retrieved_at, unnest(topics) AS topic FROM (SELECT version_id, source_id, retrieved_at, unnest(names) AS name FROM real) JOIN dt USING (name)),
+ st AS (SELECT topic, max(retrieved_at) AS at FROM x GROUP BY topic), an AS (SELECT c_custkey AS answer, CASE c_custkey % 3 WHEN 0 THEN ['taxes', 'deadline'] WHEN 1 THEN ['housing'] ELSE ['nothing'] END AS topics, TIMESTAMP '1998-07-31' + INTERVAL (c_custkey % 5) DAY AS made_at FROM customer)
+ SELECT answer, NOT EXISTS (SELECT 1 FROM st WHERE list_contains(an.topics, st.topic) AND st.at > an.made_at) AS valid FROM an""")
+def answers_still_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose topics were not made doubtful after they were made."""
+    stamps = P.invalidations(changes(spark, sf_dir).select("source_id", "version_id", "retrieved_at", "change_type", "affected_topics"))
+    answers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("answer"), F.expr("CASE c_custkey % 3 WHEN 0 THEN array('taxes', 'deadline') WHEN 1 THEN array('housing') ELSE array('nothing') END").alias("topics"),
+        F.expr("timestamp_ntz'1998-07-31 00:00:00' + make_dt_interval(CAST(c_custkey % 5 AS INT))").alias("made_at"),
+    )
+    return P.still_valid(answers, stamps).select("answer", "valid")
 
 
 @query(f"""WITH {NOTICES} SELECT version_id, lag(version_id) OVER w AS previous_version, row_number() OVER w AS number, row_number() OVER (PARTITION BY page_id ORDER BY retrieved_at DESC, version_id DESC) AS newest_first,
@@ -214,7 +245,8 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("topic", "id_a", "id_b", "relation", "prefer", C.conflict_id(F.col("id_a"), F.col("id_b")).alias("conflict_id"))
 
 
-@query()
+@query(f"""WITH {STATEMENTS}, p AS (SELECT a.topic, a.k AS ka, b.k AS kb, CAST(a.topic[2:] AS INT) AS n FROM st a JOIN st b ON a.topic = b.topic AND a.claim_id < b.claim_id WHERE a.k < 3 AND b.k < 3)
+ SELECT topic, CASE WHEN 2 + max(n) % 3 = 3 THEN 'conditional' ELSE 'contradictory' END AS relationship, count(*) AS pairs FROM p GROUP BY topic""")
 def conflict_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst relation between the statements on each topic."""
     near = C.classify(C.pairs(statements(spark, sf_dir), "topic"))
