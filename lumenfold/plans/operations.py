@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import facts as X_
 from lumenfold.functions.text import fold_hyphen, fold_plain
 from lumenfold.operators import chunking as K
 from lumenfold.operators import claimcheck as V
@@ -344,26 +345,70 @@ ANSWER = "CASE o_orderkey % 6 WHEN 0 THEN concat('You must apply within ', 1 + o
  CASE o_orderkey % 6 WHEN 4 THEN concat(2020 + o_orderkey % 6, '-07-', lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0')) ELSE '' END AS dates, CASE WHEN o_orderkey % 6 = 2 THEN 'CAF' ELSE '' END AS entities, CASE WHEN o_orderkey % 6 = 0 THEN 'after_arrival' ELSE '' END AS anchors,
  CASE o_orderkey % 6 WHEN 0 THEN 'deadline' WHEN 1 THEN 'fee' WHEN 2 THEN 'authority' WHEN 3 THEN 'document' WHEN 4 THEN 'date' ELSE 'non_factual' END AS type FROM orders""")
 def claim_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ANSWER).alias("t")).withColumn("f", V.facts(F.col("t")))
-    return rows.select("o_orderkey", *[F.array_join(F.col("f")[c], ",").alias(c) for c in ("quantities", "amounts", "dates", "entities", "anchors")], V.claim_type(F.col("t"), F.col("f")).alias("type"))
+    rows = X_.with_facts(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ANSWER).alias("t")), "t")
+    return rows.select("o_orderkey", *[F.array_join(F.col("f")[c], ",").alias(c) for c in ("quantities", "amounts", "dates", "entities", "anchors")], F.col("f.type").alias("type"))
+
+
+# An answer for each customer: its claims come from the customer's orders, its evidence from the customer's number n. The national page
+# gives a fee, a local one contests it for odd n, and a page about renewal has a deadline of its own.
+CLAIMS = ("concat('You must apply within ', 1 + c_custkey % 9, ' months after your arrival.')", "concat('You must apply within ', 41 + c_custkey % 9, ' months after your arrival.')", "concat('The fee is ', 100 + c_custkey % 90, ' euros for adults.')", "'Bring your passport and a photo to the office.'", "'Contact the CAF, which handles it.'", "'Thank you:'", "'Renew the permit 11 months before it expires.'", "'The weather is usually fine in spring.'")
+CLAIM_OF = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(CLAIMS)) + " END"
+ASKS = "CASE WHEN c_custkey % 4 = 0 THEN 'How do I validate my long-stay visa?' WHEN c_custkey % 4 = 1 THEN 'How do I renew it?' ELSE 'What do I need?' END"
+PAGES = {
+    "national": ("'Rules for newcomers'", "concat('You must apply within ', 1 + c_custkey % 9, ' months after your arrival in France.', chr(10), 'The fee is ', 100 + c_custkey % 90, ' euros for adults.', chr(10), 'Bring your passport and a photo to the office.')", "''"),
+    "local": ("'Counter'", "concat('The fee is ', 100 + c_custkey % 90 + 5 * (c_custkey % 2), ' euros for adults.')", "'Isere'"),
+    "renewal": ("'Renewal of a permit'", "'Renew the permit 11 months before it expires.'", "''"),
+}
+#: What becomes of each claim, by its kind k and the customer's number n.
+EXPECTED = """CASE k WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN CASE WHEN n % 2 = 0 THEN 'supported' ELSE 'contradicted' END WHEN 3 THEN 'supported' WHEN 4 THEN 'unsupported' WHEN 5 THEN 'not_checked'
+ WHEN 6 THEN CASE WHEN n % 4 = 0 THEN 'contradicted' ELSE 'supported' END ELSE 'unsupported' END"""
+JUDGED = f"""o AS (SELECT c_custkey AS answer, c_custkey AS n, o_orderkey, o_orderkey % 8 AS k, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS claim_no FROM orders JOIN customer ON o_custkey = c_custkey),
+ j AS (SELECT *, {EXPECTED} AS support FROM o)"""
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers of customers with orders, a claim a line, and the evidence of each."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    line = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", F.expr(CLAIM_OF).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n")
+    answers = line.groupBy("c_custkey").agg(text.alias("text")).select(F.col("c_custkey").alias("answer"), "text", F.expr(ASKS).alias("question"), F.lit(None).cast("date").alias("on"), F.lit("Isère").alias("place"))
+    page = lambda name: F.struct(F.lit(name).alias("source_id"), *[F.expr(e).alias(n) for n, e in zip(("title", "text", "area"), PAGES[name], strict=True)])
+    pages = c.select(F.col("c_custkey").alias("answer"), F.explode(F.array(*map(page, PAGES))).alias("p")).select("answer", "p.*")
+    url = F.concat(F.lit("https://"), "source_id", F.lit(".example/page"))
+    return answers, pages.withColumns({"url": url, "canonical_url": url, "version_id": F.lit("v1"), "is_local": F.col("area") != ""})
+
+
+@query(f"WITH {JUDGED} SELECT answer, claim_no, support, CASE WHEN support IN ('supported', 'not_checked') THEN 'kept' ELSE 'removed' END AS action FROM j")
+def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.judge(*drafts(spark, sf_dir)).select("answer", F.col("claim_no").cast("long").alias("claim_no"), "support", "action")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    claims = o.select((F.col("o_orderkey") % 300).alias("answer"), F.col("o_orderkey").alias("claim"), F.expr(ANSWER).alias("text"))
-    page = F.expr("concat('Apply within ', 1 + o_orderkey % 9, ' months after your arrival in France.\nThe fee is ', 100 + (o_orderkey + o_orderkey % 2) % 90, ' euros. Bring your passport and a photo to the office.')")
-    evidence = V.sentences(o.select((F.col("o_orderkey") % 300).alias("answer"), F.col("o_orderkey").alias("page"), page.alias("t")), ["answer", "page"], "t")
-    return V.judge(claims, evidence)
+@query(f"""WITH {JUDGED} SELECT answer, count(*) FILTER (k <> 5) AS generated, count(*) FILTER (support = 'supported') AS supported, count(*) FILTER (support IN ('unsupported', 'contradicted')) AS removed, count(*) FILTER (support = 'contradicted') AS contradicted,
+ count(*) FILTER (k <> 5) > 0 AND count(*) FILTER (support = 'supported') = 0 AS needs_repair, coalesce(bool_or(k = 2 AND n % 2 = 1), false) AS conflicting FROM j GROUP BY answer""")
+def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.validation(V.judge(*drafts(spark, sf_dir))).drop("ratio")
 
 
-@query()
-def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir)
+@query(f"""WITH {JUDGED}, t AS (SELECT *, CASE k WHEN 0 THEN concat('You must apply within ', 1 + n % 9, ' months after your arrival.') WHEN 2 THEN concat('The fee is ', 100 + n % 90, ' euros for adults.') WHEN 3 THEN 'Bring your passport and a photo to the office.' WHEN 5 THEN 'Thank you:' ELSE 'Renew the permit 11 months before it expires.' END AS line FROM j),
+ s AS (SELECT answer, bool_or(support = 'supported') OR NOT bool_or(k <> 5) AS whole FROM t GROUP BY answer)
+ SELECT s.answer, CASE WHEN whole THEN coalesce(string_agg(line, chr(10) ORDER BY claim_no) FILTER (support IN ('supported', 'not_checked')), '') ELSE '' END AS text FROM s JOIN t USING (answer) GROUP BY s.answer, whole""")
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.reassemble(V.judge(*drafts(spark, sf_dir)))
 
 
-@query()
-def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.validation(_judged(spark, sf_dir))
+@query(f"""WITH {JUDGED}, s AS (SELECT answer, n, NOT bool_or(support = 'supported') AND bool_or(k <> 5) AS bad FROM j GROUP BY answer, n)
+ SELECT answer, (bad AND n % 3 > 0)::INT AS repairs, bad AND n % 3 <> 1 AS needs_repair FROM s""")
+def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One second draft at most (D9): by the customer's number none, a good one, or another bad one."""
+    answers, pages = drafts(spark, sf_dir)
+    second = F.expr(f"CASE answer % 3 WHEN 1 THEN {CLAIMS[3]} WHEN 2 THEN {CLAIMS[4]} END")
+    return V.check_and_repair(answers.withColumn("second", second), pages).select("answer", "repairs", "needs_repair")
+
+
+@query("SELECT c_custkey AS answer, unnest(['local', 'national', 'renewal']) AS source_id, NOT (c_custkey % 4 = 0 AND unnest([false, false, true])) AS offered FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey")
+def evidence_by_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, pages = drafts(spark, sf_dir)
+    return V.by_procedure(pages, answers).select("answer", "source_id", "offered")
 
 
 @query("""WITH l AS (SELECT o_custkey AS a, o_orderkey AS k, o_orderkey % 3 = 1 AS h, o_orderstatus = 'F' AS kept FROM orders), s AS (SELECT *, sum(h::INT) OVER (PARTITION BY a ORDER BY k) AS g FROM l), m AS (SELECT *, max((kept AND NOT h)::INT) OVER (PARTITION BY a, g) AS alive FROM s)

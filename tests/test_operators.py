@@ -6,7 +6,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lumenfold.operators import chunking as K
-from lumenfold.operators import claimcheck as V
 from lumenfold.operators import claims as C
 from lumenfold.operators import decisions as D
 from lumenfold.operators import lookup as L
@@ -77,28 +76,6 @@ def test_claims_and_conflicts(spark):
     assert q == ["20 €", "3 jour", "3.5 moi"]
 
 
-def test_facts_and_claim_types(spark):
-    cases = {
-        "The fee is 1 200,50 € in total.": ("fee", "amounts", ["1200.5"]),
-        "Apply within two to three weeks after arrival.": ("deadline", "quantities", ["14 day", "2 week", "21 day", "3 week"]),
-        "It opens on 1er juillet 2026.": ("date", "dates", ["2026-07-01"]),
-        "Write to help@caf.fr or +33 1 23 45 67 89.": ("contact", "phones", ["123456789"]),
-        "Thank you:": ("non_factual", "amounts", []),
-        "Your passport is required.": ("document", "entities", []),
-    }
-    df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("f", V.facts(F.col("t")))
-    for r in df.select("t", "f", V.claim_type(F.col("t"), F.col("f")).alias("k")).collect():
-        kind, field, want = cases[r["t"]]
-        assert (r["k"], r["f"][field]) == (kind, want), r["t"]
-
-
-def test_judge_needs_the_figures_near_each_other(spark):
-    claims = spark.createDataFrame([(1, 1, "You have 3 months to apply for the card."), (1, 2, "You have 5 months to apply for the card."), (1, 3, "The CROUS handles the file.")], "answer int, claim int, text string")
-    pages = spark.createDataFrame([(1, 9, "Apply for the card within 3 months. Offices open daily.")], "answer int, page int, t string")
-    got = {r["claim"]: r["verdict"] for r in V.judge(claims, V.sentences(pages, ["answer", "page"], "t")).collect()}
-    assert got == {1: "supported", 2: "unsupported", 3: "unsupported"}
-
-
 def test_pack_never_divides_what_is_atomic():
     line = "word " * 40
     groups = K.pack([("paragraph", "One sentence. " * 100, []), ("list", "", [line] * 20), ("cases", "", [line, line])], 100, 100, 30)
