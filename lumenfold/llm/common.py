@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenfold.llm.encode import forget
+from lumenfold.llm.encode import forget, sliced
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -123,6 +123,7 @@ def add_column(df: DataFrame, text_col: str, name: str, kind: T.DataType, arrow:
         forget()
         f = make()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f(b.column(text_col).to_pylist()), arrow)], names=[*b.schema.names, name])
+            made = [x for _, texts in sliced(b, text_col) for x in f(texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, arrow)], names=[*b.schema.names, name])
 
     return kept.mapInArrow(run, schema)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm.common import add_column
+from lumenfold.llm.encode import sliced
 from lumenfold.llm.words import FIRST
 
 Q = 8
@@ -29,8 +30,8 @@ BUDGET = 0.1  # edits allowed, as a share of an item's bytes
 PART_BYTES = 4 << 20  # of items in one index, which takes about 24 bytes for each of theirs
 TABLE_BITS = 24
 BAND_BITS = 40  # of a key; the rest numbers items of a part
-SLICE_BYTES = 4 << 20
-HITS = 4 << 20  # shared q-grams that are counted at once
+SLICE_BYTES = 1 << 20
+HITS = 1 << 20  # shared q-grams that are counted at once
 
 
 def normal(text: str | None) -> bytes:
@@ -200,7 +201,7 @@ def _search(index: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            found = [(ids[x[0]], *x[1:]) for x in search_texts(index.value, b.column("text").to_pylist())]
+            found = [(ids[at + x[0]], *x[1:]) for at, texts in sliced(b, "text") for x in search_texts(index.value, texts)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
 
     return run

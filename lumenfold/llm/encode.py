@@ -11,12 +11,15 @@ characters, the beginning of an added token's string), the whole text goes to th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 from lumenfold.llm.words import FIRST, mix
 
-MEMO_LIMIT = 2_000_000  # pieces a worker keeps, of about 60 bytes each
+MEMO_LIMIT = 1_000_000  # pieces a worker keeps, of about 60 bytes each
 KEY_BYTES = 23  # a longer piece isn't kept
 BATCH_BYTES = 1 << 20  # of texts that are encoded at once
 BLOCK = 256  # unknown pieces that the library gets as one text
@@ -57,6 +60,13 @@ def by_bytes(sizes: list[int], most: int = BATCH_BYTES) -> list[tuple[int, int]]
     return [*out, (start, len(sizes))] if start < len(sizes) else out
 
 
+def sliced(batch: pa.RecordBatch, name: str, most: int = BATCH_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of about ``most`` bytes of a column: of a batch, only so much is Python strings at a time."""
+    column = batch.column(name)
+    for at, to in by_bytes(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist(), most):
+        yield at, column.slice(at, to - at).to_pylist()
+
+
 class Memo:
     """Ids of pieces: an open-addressing table over three 64-bit words of key, and one array that holds all ids.
 

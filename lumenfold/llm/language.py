@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm.encode import sliced
+
 WINDOW, WIDTHS, FILTERS, EMBED = 64, (2, 3, 4), 16, 8
 WIDEST = max(WIDTHS)
 TRAIN_PER_LANG = 400  # documents of a language that are learned from, with all their windows
@@ -151,7 +153,9 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id",
 def _predict(net: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = net.predict(b.column("text").to_pylist()) if net.langs else (["und"] * b.num_rows, [0.0] * b.num_rows)
+            langs, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
+            for at, texts in sliced(b, "text") if net.langs else ():
+                langs[at : at + len(texts)], scores[at : at + len(texts)] = net.predict(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return run

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import new_path, shuffle_width
-from lumenfold.llm.encode import by_bytes, encoder
+from lumenfold.llm.encode import encoder, sliced
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
@@ -28,10 +28,9 @@ def _encode(path: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
         enc, part, start = encoder(path, kind), TaskContext.get().partitionId(), 0
         for whole in batches:
-            texts = whole.column("text").to_pylist()
-            for at, to in by_bytes([len(t or "") for t in texts]):
-                b = whole.slice(at, to - at)
-                flat, cut = enc.flat(texts[at:to], END_ID)
+            for at, texts in sliced(whole, "text"):
+                b = whole.slice(at, len(texts))
+                flat, cut = enc.flat(texts, END_ID)
                 n = np.diff(cut)
                 ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import drop_path, materialise, running_positions
-from lumenfold.llm.encode import by_bytes, encoder
+from lumenfold.llm.encode import encoder, sliced
 
 END_ID = 1
 FEATURES, DIMS, BITS = 256, 4, 10
@@ -85,10 +85,9 @@ def _tokens(path: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
         enc, uid, squeeze = encoder(path, kind, 2), TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(1)
         for whole in batches:
-            texts = whole.column("text").to_pylist()
-            for at, to in by_bytes([len(t or "") for t in texts]):
-                b = whole.slice(at, to - at)
-                flat, cut = enc.flat(texts[at:to], END_ID)
+            for at, texts in sliced(whole, "text"):
+                b = whole.slice(at, len(texts))
+                flat, cut = enc.flat(texts, END_ID)
                 n = np.diff(cut)
                 key = hilbert_key(document_points(flat, cut), BITS)
                 packed = [squeeze.compress(flat[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm.common import add_column
-from lumenfold.llm.words import PUNCT, Words, mix
+from lumenfold.llm.encode import sliced
+from lumenfold.llm.words import PUNCT, Words, mix, per_text
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -26,7 +27,7 @@ EPOCHS, RATE, DECAY = 150, 0.15, 3e-5
 #: Chosen by ``cross_validated`` inside the training fold: a feature is learned if its documents' labels differ from
 #: chance by so much (G-test, one degree of freedom), and so much of the weight is on toxic documents.
 LEAST_G2, TOXIC_SHARE = 15.0, 0.5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?\n"]] = True
 
@@ -81,11 +82,12 @@ def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def informative(idx: np.ndarray, doc: np.ndarray, y: np.ndarray, least: float = LEAST_G2) -> np.ndarray:
-    """Features whose presence in a document goes with its label beyond chance, ascending. Others would only be learned by heart."""
-    pairs = np.unique(doc.astype(np.int64) << BITS | idx)
-    f, toxic = pairs & ((1 << BITS) - 1), y[pairs >> BITS] == 1
-    a, b = (np.bincount(f[on], minlength=1 << BITS).astype(float) for on in (toxic, ~toxic))
+def informative(held: np.ndarray, y: np.ndarray, least: float = LEAST_G2) -> np.ndarray:
+    """Features whose presence in a document goes with its label beyond chance, ascending. Others would only be learned by heart.
+
+    ``held``: in how many clean (row 0) and toxic (row 1) documents each feature is.
+    """
+    b, a = held.astype(float)
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     n, g2 = n1 + n0, np.zeros(1 << BITS)
     for seen, rows, cols in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)):
@@ -95,28 +97,37 @@ def informative(idx: np.ndarray, doc: np.ndarray, y: np.ndarray, least: float =
 
 
 def train(texts: list[str | None], labels: np.ndarray, least: float = LEAST_G2, share_toxic: float = TOXIC_SHARE) -> np.ndarray:
-    """Weights by full-batch Adam on the noisy-or likelihood, with ``share_toxic`` of the weight on toxic documents."""
-    idx, sent, bag, docs, n = [], [], [], 0, 0
-    for _, run in slices(texts):
+    """Weights by full-batch Adam on the noisy-or likelihood, with ``share_toxic`` of the weight on toxic documents.
+
+    Texts are read twice, slice by slice: to count features, then to keep the telling ones of each sentence.
+    """
+    y, held = labels.astype(float), np.zeros((2, 1 << BITS), np.int32)
+    for at, run in slices(texts):
+        w = Words(run, PUNCT)
+        doc = per_text(w.first).astype(np.int64)
+        for label in (0, 1):
+            rows = np.flatnonzero(labels[at + doc] == label)
+            pairs = np.unique(np.concatenate([doc[rows] << BITS | f[rows] for f in features(w)]))
+            held[label] += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+    kinds, number = informative(held, y, least), np.full(1 << BITS, -1, np.int32)
+    number[kinds] = np.arange(len(kinds))
+    idx, sent, bag, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for at, run in slices(texts):
         w = Words(run, PUNCT)
         first, doc, _ = sentences(w)
-        if len(first):
-            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
-            for f in features(w):
-                idx.append(f)
-                sent.append(number + n)
-            bag.append(doc + docs)
-            n += len(first)
-        docs += len(run)
+        of = np.repeat(np.arange(n, n + len(first), dtype=np.int32), np.diff(np.append(first, len(w.start)))) if len(first) else np.zeros(0, np.int32)
+        for f in features(w):
+            rows = np.flatnonzero(number[f] >= 0)
+            idx.append(number[f[rows]])
+            sent.append(of[rows])
+        bag.append(doc + at)
+        n += len(first)
+    docs = len(texts)
     weights = np.zeros((1 << BITS) + 1)
     weights[-1] = -5.0
     if not n:
         return weights
     idx, sent, bag = np.concatenate(idx), np.concatenate(sent), np.concatenate(bag)
-    y = labels.astype(float)
-    kinds = informative(idx, bag[sent], y, least)
-    kept = np.isin(idx, kinds)
-    idx, sent = np.searchsorted(kinds, idx[kept]), sent[kept]
     share = np.where(y == 1, share_toxic / max(y.sum(), 1), (1 - share_toxic) / max((1 - y).sum(), 1))
     v, b, m, s = np.zeros(len(kinds)), -5.0, np.zeros(len(kinds) + 1), np.zeros(len(kinds) + 1)
     for t in range(1, EPOCHS + 1):
@@ -172,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
 def _score(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(score_texts(b.column("text").to_pylist(), weights))})
+            scores = [np.zeros(0), *(score_texts(texts, weights) for _, texts in sliced(b, "text"))]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(np.concatenate(scores))})
 
     return run
 
