@@ -153,6 +153,23 @@ def answer_class(c: Column) -> Column:
     return F.when(procedural & several, "complex").when(procedural, "procedural").when(micro, "micro").otherwise("standard")
 
 
+# Words that each kind of answer should have at least and at most.
+BANDS = {"micro": (20, 60), "standard": (50, 120), "procedural": (80, 180), "complex": (150, 300)}
+
+
+def length_check(question: Column, answer: Column) -> Column:
+    """struct(answer_class, words, floor, ceiling, over, told): an answer against the length that its question deserves."""
+    kind = answer_class(question)
+    bound = lambda i: F.element_at(F.create_map(*[x for k, v in BANDS.items() for x in (F.lit(k), F.lit(v[i]))]), kind)
+    n, most = word_count(F.coalesce(answer, F.lit(""))), bound(1)
+    told = F.concat(n.cast("string"), F.lit(" words, "), F.when(n > most, "over").otherwise("within"), F.lit(" the "), kind, F.lit(" ceiling of "), most.cast("string"))
+    return F.struct(kind.alias("answer_class"), n.alias("words"), bound(0).alias("floor"), most.alias("ceiling"), (n > most).alias("over"), told.alias("told"))
+
+
+def is_confident(confidence: Column) -> Column:
+    return confidence >= 0.6
+
+
 def excerpt(c: Column, limit: int = 420) -> Column:
     """The text after its header, cut at ``limit`` characters at the last sentence or line if that lies past half."""
     at = F.instr(c, "\n\n")

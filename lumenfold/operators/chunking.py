@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +138,13 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, segment: str, order
 
 
 def batches_by_budget(df: DataFrame, tokens: str, order: str, budget: int, most: int) -> DataFrame:
-    """Adds ``batch`` within each task: rows by length, a new batch when its rows times the longest would pass the budget."""
+    """Adds ``batch``: rows by length, a new batch when its rows times the longest would pass the budget.
+
+    Rows are dealt by range of length, and a batch's number begins with its task's, so that no two batches share one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, n = 0, 0
+        batch, n = TaskContext.get().partitionId() << 32, 0
         for p in parts:
             out = []
             for t in p[tokens]:
@@ -148,7 +152,7 @@ def batches_by_budget(df: DataFrame, tokens: str, order: str, budget: int, most:
                     batch, n = batch + 1, 0
                 n += 1
                 out.append(batch)
-            yield p.assign(batch=pd.Series(out, dtype="int32", index=p.index))
+            yield p.assign(batch=pd.Series(out, dtype="int64", index=p.index))
 
-    ordered = df.sortWithinPartitions(tokens, order)
-    return ordered.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", batch int")
+    ordered = df.repartitionByRange(tokens, order).sortWithinPartitions(tokens, order)
+    return ordered.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", batch long")

@@ -98,19 +98,26 @@ def classify(pairs: DataFrame) -> DataFrame:
 
 
 def pairs(claims: DataFrame, block: str) -> DataFrame:
-    """Pairs of claims of different sources in a block that share a content word, each once (a before b by id).
+    """Pairs of claims of different sources in a block that may be about one subject, each once (a before b by id).
 
-    Only claims that share a word can be about one subject, so the pairs come from an equi-join on words, with
-    words that nearly all of a block share still tested last by the relation itself.
+    One subject needs ``LEAST_OVERLAP`` of the shorter claim's words. Of its words, in order of how rare they are in the block, so
+    many from the rarest on have to hold a shared one; only those meet all words of claims that are as long or longer, in one
+    equi-join. Words that nearly all claims share so pair none by themselves.
     """
     rows = claims.withColumns({"words": content_words(F.col("claim_text")), "quantities": quantities(F.col("claim_text")), "folded": fold_ws(F.col("claim_text"))})
-    keyed = rows.select(block, "source_id", "claim_id", F.explode("words").alias("word"))
-    a, b = (keyed.select(block, "word", F.col("source_id").alias(f"source_{x}"), F.col("claim_id").alias(f"id_{x}")) for x in "ab")
-    near = a.join(b, [block, "word"]).where("source_a <> source_b and id_a < id_b").select(block, "source_a", "id_a", "source_b", "id_b").distinct()
+    keyed = rows.select(block, "source_id", "claim_id", F.size("words").alias("size"), F.explode("words").alias("word"))
+    often = keyed.groupBy(block, "word").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy(block, "source_id", "claim_id").orderBy("often", "word"))
+    few = keyed.join(often, [block, "word"]).withColumn("nth", nth).where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * LEAST_OVERLAP) + 1)
+    short, long = (df.select(block, "word", F.col("source_id").alias(f"s{x}"), F.col("claim_id").alias(f"c{x}"), F.col("size").alias(f"n{x}")) for df, x in ((few, 1), (keyed, 2)))
+    met = short.join(long, [block, "word"]).where("s1 <> s2 and c1 <> c2 and n1 <= n2")
+    first = F.col("c1") < F.col("c2")
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    near = met.select(block, side("s1", "s2").alias("source_a"), side("c1", "c2").alias("id_a"), side("s2", "s1").alias("source_b"), side("c2", "c1").alias("id_b")).distinct()
     cols = [c for c in rows.columns if c not in (block, "source_id", "claim_id")]
     for x in "ab":
-        side = rows.select(block, F.col("source_id").alias(f"source_{x}"), F.col("claim_id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-        near = near.join(side, [block, f"source_{x}", f"id_{x}"])
+        of = rows.select(block, F.col("source_id").alias(f"source_{x}"), F.col("claim_id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+        near = near.join(of, [block, f"source_{x}", f"id_{x}"])
     return near
 
 

@@ -173,3 +173,39 @@ def translate(strings, rows, language: str, key: str):
     english = strings.where("language = 'en'").select(F.col("key").alias(key), F.col("text").alias("_en"))
     both = rows.join(own, [language, key], "left").join(english, key, "left")
     return both.withColumn("text", F.coalesce(F.nullif("_own", F.lit("")), "_en", key)).drop("_own", "_en")
+
+
+# How an answer says that the pages don't answer, and what of a provider's error is no reader's business.
+REFUSALS = ("do not cover", "don't cover", "does not cover", "doesn't cover", "ne couvrent pas", "ne couvre pas", "n'indiquent pas", "ne précisent pas")
+ACCOUNT = r"(?is)(org_[A-Za-z0-9]+|req_[A-Za-z0-9]+|in organization\s+`?[^`\s]+`?|Need more tokens\?.*$|https?://\S+)"
+
+
+def says_refusal(text: Column) -> Column:
+    """An answer that says the pages don't cover the question is a refusal."""
+    return contains_any(F.lower(F.coalesce(text, F.lit(""))), REFUSALS)
+
+
+def reader_safe(message: Column) -> Column:
+    """An error without account details and addresses, 200 characters at most."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(message, F.lit("")), ACCOUNT, ""), r"\s+", " ")), 1, 200)
+
+
+def change_subject(source: Column, severity: Column, summary: Column, prefix: str) -> Column:
+    """The subject line of a notice that a source changed."""
+    told = F.substring(F.trim(F.regexp_replace(F.coalesce(summary, F.lit("changed")), r"\s+", " ")), 1, 70)
+    return F.concat(F.lit(f"[{prefix} SOURCE CHANGE]["), F.upper(severity), F.lit("] "), source, F.lit(" — "), told)
+
+
+def report_body(parts: list[tuple[str, Column]]) -> Column:
+    """Labelled blocks of a report, indented; lists are numbered, and what is empty is left out. A part is a text column, or an array built by ``F.array``."""
+    blocks = []
+    for label, value in parts:
+        items = "array(" in str(value._jc) if hasattr(value, "_jc") else False
+        lines = F.transform(value, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)) if items else F.transform(F.split(value, "\n"), lambda x: F.concat(F.lit("  "), x))
+        empty = (F.size(value) == 0) if items else (F.coalesce(value, F.lit("")) == "")
+        blocks.append(F.when(~empty, F.concat(F.lit(label + "\n"), F.array_join(lines, "\n"))))
+    return F.concat_ws("\n\n", *blocks)
+
+
+def is_triaged(title: Column, error: Column) -> Column:
+    return (F.coalesce(title, F.lit("")) != "") & (F.coalesce(error, F.lit("")) == "")

@@ -88,3 +88,18 @@ def scorecard(counts: DataFrame, rules: dict[str, tuple[str, int]]) -> DataFrame
 def corpus_stats(docs: DataFrame, day: str, plausible: str) -> DataFrame:
     ok = F.when(F.col(plausible), F.col(day))
     return docs.agg(F.count("*").alias("documents"), F.min(ok).alias("oldest"), F.max(ok).alias("newest"))
+
+
+def procedure_label(ids: Column) -> Column:
+    """Names of procedures, by id."""
+    from lumenfold.functions.facts import LABELS
+
+    table = F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))])
+    return F.array_join(F.transform(F.array_sort(ids), lambda i: F.coalesce(F.try_element_at(table, i), i)), ", ")
+
+
+def build_glossary(authored: DataFrame, official: DataFrame) -> DataFrame:
+    """(term, explanation, source, definition_id): the official definition of each term where one matches, else the authored one. ``official`` has (ord, ref, title, body)."""
+    hit = match_official(authored.select("term"), official.select("ord", "ref", "title")).select("term", "ref")
+    both = authored.join(hit, "term", "left").join(official.select("ref", "body"), "ref", "left")
+    return both.select("term", F.coalesce("body", "explanation").alias("explanation"), F.when(F.col("body").isNotNull(), "official").otherwise("authored").alias("source"), F.when(F.col("body").isNotNull(), F.col("ref")).alias("definition_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import tokens
@@ -23,30 +23,91 @@ def top(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf, dl): how often each term occurs in each document, and the document's length in tokens."""
+    """(doc, dl, term, tf): how often each term occurs in each document, and the document's length in tokens.
+
+    The length is part of the key, so that everything that reads postings asks for the same rows of one shuffle, and texts
+    are tokenised once in a plan.
+    """
     t = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
-    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, id_col: str, text_col: str) -> DataFrame:
-    """(query, doc, keyword_score, keyword_rank): Okapi BM25, positive scores only, ties to the smaller doc.
+def vocabulary(posts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(term, avgdl, idf): of all terms. ``documents`` has one row, n, the number of documents, those without tokens among them.
 
-    A negative idf becomes ``EPSILON`` times the mean idf of the vocabulary. A term that a query
-    repeats counts as often. Documents without tokens count towards the average length.
+    A negative idf becomes ``EPSILON`` times the mean idf of the vocabulary.
     """
-    posts = postings(docs, id_col, text_col)
-    stats = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats: one row
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # mean: one row
+    df = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    raw = df.crossJoin(F.broadcast(documents)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # documents: one row
+    whole = raw.agg(F.avg("idf").alias("mean_idf"), (F.sum("ctf") / F.max("n")).alias("avgdl"))
+    return raw.crossJoin(F.broadcast(whole)).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # whole: one row
+
+
+def write_postings(docs: DataFrame, path: str, id_col: str, text_col: str, parts: int = 64) -> None:
+    """The keyword index, written anew: postings in parts by a hash of the term, and the vocabulary."""
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+    postings(docs, id_col, text_col).select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    vocabulary(stored, docs.agg(F.count("*").alias("n"))).select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
+
+
+def read_postings(spark: SparkSession, path: str, queries: DataFrame, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, vocabulary) of a stored index, of the terms that the queries ask for only."""
+    asked = queries.select(F.explode(tokens(F.col(query_text))).alias("term")).distinct()
+    return tuple(spark.read.parquet(f"{path}/{name}").drop("part").join(asked, "term", "left_semi") for name in ("postings", "terms"))
+
+
+def bm25_score(queries: DataFrame, posts: DataFrame, terms: DataFrame, k: int, query_id: str, query_text: str) -> DataFrame:
+    """(query, doc, keyword_score, keyword_rank): Okapi BM25 from postings and vocabulary, positive scores only, ties to the smaller doc. A term that a query repeats counts as often."""
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(idf, "term")
+    weighed = asked.join(terms, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = posts.join(weighed, "term").groupBy("query", "doc").agg(F.sum(part).alias("keyword_score")).where("keyword_score > 0")
     return top(scored.withColumn("_s", F.round("keyword_score", 9)), "query", [F.desc("_s"), F.asc("doc")], k, "keyword_rank").drop("_s")
 
 
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, id_col: str, text_col: str) -> DataFrame:
+    """:func:`bm25_score` over documents that have no stored index."""
+    posts = postings(docs, id_col, text_col)
+    return bm25_score(queries, posts, vocabulary(posts, docs.agg(F.count("*").alias("n"))), k, query_id, query_text)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine, floored at 0."""
+    return F.greatest(F.lit(0.0), dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
+
+
+def fuse(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query, doc, fused_score, dense_rank, dense_score, keyword_rank, keyword_score, sources, lists) from the rows (query, doc, kind, rank, score) of any number of ranked lists of the kinds dense and keyword.
+
+    The fused score is the sum of weight / (60 + rank) over the lists; of a kind, the best rank and score stay.
+    """
+    weight = F.lit(1.0)
+    for kind, w in (weights or {}).items():
+        weight = F.when(F.col("kind") == kind, w).otherwise(weight)
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return lists.groupBy("query", "doc").agg(
+        F.sum(weight / (RRF_K + F.col("rank"))).alias("fused_score"), F.min(of("dense", "rank")).alias("dense_rank"), F.max(of("dense", "score")).alias("dense_score"), F.min(of("keyword", "rank")).alias("keyword_rank"),
+        F.max(of("keyword", "score")).alias("keyword_score"), F.array_sort(F.collect_set("kind")).alias("sources"), F.count("*").alias("lists"),
+    )
+
+
+def search_many(lists: DataFrame, first: DataFrame, docs: DataFrame, document: str, limit: int = 6, pool: int = 25, per_document: int = 2) -> DataFrame:
+    """The hits of a question asked in several forms: fusion over all lists picks a pool, cosine with the first form (query, vector) orders it, and documents are diversified.
+
+    ``docs`` has (doc, vector) and the ``document`` column. Only the pool is scored anew, where no dense list did.
+    """
+    picked = top(fuse(lists), "query", [F.desc(F.round("fused_score", 9)), F.desc(F.round(F.coalesce("dense_score", F.lit(0.0)), 9)), F.asc("doc")], pool, "pool")
+    rows = picked.join(docs.withColumnRenamed("vector", "_d"), "doc").join(first.withColumnRenamed("vector", "_q"), "query")
+    rows = rows.withColumn("dense_score", F.coalesce("dense_score", cosine(F.col("_q"), F.col("_d")))).drop("_q", "_d")
+    return diversify(rows, [F.desc(F.round("dense_score", 9)), F.desc(F.round("fused_score", 9)), F.asc("doc")], document, limit, per_document)
+
+
 def _dense(ids: list[int], matrix: bytes, dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -137,13 +198,28 @@ def gate(hits: DataFrame, threshold: float = 0.35) -> DataFrame:
     return flagged.withColumn("should_refuse", ~F.bool_or("passed").over(Window.partitionBy("query")))
 
 
+def gate_summary(gated: DataFrame, order: str) -> DataFrame:
+    """(query, best_score, candidates): the best score of what passed, or of all where nothing did, and all docs, those that passed first."""
+    passed = F.col("passed")
+    docs = F.transform(F.array_sort(F.collect_list(F.struct((~passed).alias("n"), F.col(order).alias("o"), "doc"))), lambda x: x["doc"])
+    return gated.groupBy("query").agg(F.coalesce(F.max(F.when(passed, F.col("dense_score"))), F.max("dense_score"), F.lit(0.0)).alias("best_score"), docs.alias("candidates"))
+
+
 def evidence(hits: DataFrame, document: str, threshold: float = 0.35, decisive: float = 0.65, support: int = 5, documents: int = 3) -> DataFrame:
     """One verdict a query: ANSWER on strong, broad evidence, REFUSE without any, else ASK_MODEL."""
     got = hits.groupBy("query").agg(
         F.max("dense_score").alias("best"), F.count_if(F.col("dense_score") >= threshold).alias("supporting"), F.countDistinct(F.nullif(F.col(document), F.lit(""))).alias("documents")
     )
-    strong = (F.col("best") >= decisive) & (F.col("supporting") >= support) & (F.col("documents") >= documents)
-    return got.withColumn("verdict", F.when(F.col("supporting") == 0, "REFUSE").when(strong, "ANSWER").otherwise("ASK_MODEL"))
+    return got.withColumn("verdict", verdict(F.col("best"), F.col("supporting"), F.col("documents"), decisive, support, documents))
+
+
+def verdict(best: Column, supporting: Column, documents: Column, decisive: float = 0.65, support: int = 5, least_documents: int = 3) -> Column:
+    strong = (best >= decisive) & (supporting >= support) & (documents >= least_documents)
+    return F.when(supporting == 0, "REFUSE").when(strong, "ANSWER").otherwise("ASK_MODEL")
+
+
+def needs_model(answer: Column) -> Column:
+    return answer == "ASK_MODEL"
 
 
 def best_passage(hits: DataFrame, document: str) -> DataFrame:

@@ -96,6 +96,38 @@ def agreement(rows: DataFrame, question: str, variant: str, first: str, second:
     )
 
 
+def retrieval_records(hits: DataFrame, question: str, rank: str, page: str, score: str) -> DataFrame:
+    """(question, pages, top_pages, best_score): the pages a question retrieved, each once, in order, the first three, and the best score to four digits."""
+    first = hits.groupBy(question, page).agg(F.min(rank).alias("_r"), F.max(score).alias("_s"))
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("_r", page))), lambda x: x[page])
+    return first.groupBy(question).agg(pages.alias("pages"), F.round(F.max("_s"), 4).alias("best_score")).withColumn("top_pages", F.slice("pages", 1, 3))
+
+
+def by_segment(questions: DataFrame, k: int = 3) -> DataFrame:
+    """(segment, n, agree, refusals, rightly, wrongly, mean_best): how two phrasings of each question (en, fr: items in order) agree on their first k, and what is refused."""
+    same = F.array_sort(F.slice("en", 1, k)) == F.array_sort(F.slice("fr", 1, k))
+    return questions.groupBy("segment").agg(
+        F.count("*").alias("n"), F.count_if(same).alias("agree"), F.count_if("refused").alias("refusals"), F.count_if(F.col("expects_refusal") & F.col("refused")).alias("rightly"),
+        F.count_if(~F.col("expects_refusal") & F.col("refused")).alias("wrongly"), F.avg("best").alias("mean_best"),
+    )
+
+
+def calibration(questions: DataFrame, score: str, refuse: str) -> DataFrame:
+    """(least, p10, median, most, separable): one row on the best scores of questions that can be answered; separable if those that can't all score below them.
+
+    The tenth is the lower order statistic at a tenth of the count. Scores are counted first, so that only different ones are gathered.
+    """
+    counted = questions.where(~F.col(refuse)).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    total = counted.agg(F.sum("n").alias("all"))
+    placed = counted.withColumn("from", F.coalesce(before, F.lit(0))).crossJoin(F.broadcast(total))  # total: one row
+    at = lambda place: F.max(F.when((F.col("from") <= place) & (place < F.col("from") + F.col("n")), F.col("v")))
+    all_ = F.col("all")
+    out = placed.agg(F.min("v").alias("least"), at(F.floor(all_ / 10)).alias("p10"), ((at(F.floor((all_ - 1) / 2)) + at(F.floor(all_ / 2))) / 2).alias("median"), F.max("v").alias("most"))
+    below = questions.where(F.col(refuse)).agg(F.max(score).alias("_top"))
+    return out.crossJoin(below).select("least", "p10", "median", "most", F.coalesce(F.col("_top") < F.col("least"), F.lit(False)).alias("separable"))  # one row each
+
+
 def numbered(rows: DataFrame, day: str, at: str, prefix: str = "BUG") -> DataFrame:
     """Adds ``report_id``: a prefix, the day and the row's number in that day."""
     n = F.row_number().over(Window.partitionBy(F.to_date(day)).orderBy(at))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import operations, pages, retrieval
+from lumenfold.plans import intake, operations, pages, retrieval, sources, versions
 
-MODULES = (retrieval, pages, operations)
+MODULES = (retrieval, pages, operations, sources, versions, intake)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

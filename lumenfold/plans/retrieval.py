@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
@@ -141,9 +141,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     # What only the keyword search found is scored on the same scale, for its own question.
     q = asked.select(F.col("item_id").alias("query"), F.col("embedding").alias("_q"))
     d = docs.select(F.col("doc_id").alias("doc"), "source", F.col("embedding").alias("_d"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.greatest(F.lit(0.0), dot("_q", "_d") / (F.sqrt(dot("_q", "_q")) * F.sqrt(dot("_d", "_d"))))
-    return both.join(d, "doc").join(q, "query").withColumn("dense_score", F.coalesce("dense_score", cosine)).drop("_q", "_d")
+    return both.join(d, "doc").join(q, "query").withColumn("dense_score", F.coalesce("dense_score", R.cosine(F.col("_q"), F.col("_d")))).drop("_q", "_d")
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,5 +177,8 @@ def best_passage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six diversified passages for each benchmark question, with the decision to answer, to ask a model, or to refuse."""
-    hits = hybrid(spark, sf_dir)
-    return R.gate(hits, 0.25).join(R.evidence(hits, "source", 0.2, 0.35).select("query", "verdict"), "query").select("query", "position", "doc", "source", "dense_score", "fused_score", "passed", "should_refuse", "verdict")
+    hits = R.gate(hybrid(spark, sf_dir), 0.25)
+    # Over the six hits of a question, in the same pass.
+    w = Window.partitionBy("query")
+    over = F.max("dense_score").over(w), F.count_if(F.col("dense_score") >= 0.2).over(w), F.size(F.collect_set(F.nullif("source", F.lit(""))).over(w))
+    return hits.withColumn("verdict", R.verdict(*over, decisive=0.35)).select("query", "position", "doc", "source", "dense_score", "fused_score", "passed", "should_refuse", "verdict")

@@ -28,6 +28,10 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
 def pending(chunks: DataFrame, known: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Rows whose key isn't indexed yet: what a resumed build has to do."""
     return chunks.join(known.select(key), key, "left_anti")

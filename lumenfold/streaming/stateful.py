@@ -5,14 +5,19 @@ The same step functions serve streams (``applyInPandasWithState``) and, ordered
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenfold.functions.text import word_count
+from lumenfold.operators.pages import compare
+from lumenfold.operators.store import version_id
+
 EXPIRY = 3  # unanswered turns after which a clarification is given up
 PIVOT = re.compile(r"(?i)\b(actually|instead|forget that|never ?mind|different question|another question|new question|change of subject|en fait|plut[oô]t|autre question|laisse tomber|oubliez)\b")
 ASKS = re.compile(r"(?i)\b(how|what|where|when|why|which|can i|do i|is there|comment|quoi|quel|quelle|ou|où|quand|pourquoi|est ce que)\b")
@@ -83,31 +88,41 @@ def clarification_stream(turns: DataFrame) -> DataFrame:
 
 
 INCIDENT_OUT = "source string, kind string, first_seen timestamp, last_seen timestamp, occurrence_count long, current_status string"
+INCIDENT_NAMES = [x.split()[0] for x in INCIDENT_OUT.split(", ")]
+MICROS = pd.Timedelta(microseconds=1)
+
+
+def incident_step(held: dict[str, list[int]], rows: pd.DataFrame) -> list[tuple]:
+    """Moves the open incidents of one source (kind: first and last in microseconds, count) by rows (kind, at, failed), and tells each move."""
+    out, epoch = [], pd.Timestamp(0)
+    for r in rows.sort_values("at", kind="stable").itertuples(index=False):
+        at = (r.at - epoch) // MICROS
+        if r.failed:
+            first, _, n = held.get(r.kind, (at, at, 0))
+            held[r.kind] = [first, at, n + 1]
+            moved, status = [r.kind], "open"
+        else:  # a source that works again has no open incident of any kind
+            moved, status = sorted(held), "resolved"
+        out += [(k, epoch + held[k][0] * MICROS, epoch + held[k][1] * MICROS, held[k][2], status) for k in moved]
+        if status == "resolved":
+            held.clear()
+    return out
 
 
 def incident_stream(events: DataFrame) -> DataFrame:
-    """Incidents of a stream (source, kind, at, failed), an update whenever one moves; a recovery closes it, and the next failure starts anew."""
+    """Incidents of a stream (source, kind, at, failed), a row whenever one moves. A recovery closes all of its source, and the next failure starts anew; the state is a few kinds a source."""
 
-    def step(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = list(held.get) if held.exists else None
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
         for rows in batches:
-            out = []
-            for r in rows.sort_values("at").itertuples(index=False):
-                if r.failed:
-                    state = [state[0], r.at, state[2] + 1] if state else [r.at, r.at, 1]
-                    out.append((*key, state[0], state[1], state[2], "open"))
-                elif state:
-                    out.append((*key, state[0], state[1], state[2], "resolved"))
-                    state = None
-            if out:
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in INCIDENT_OUT.split(", ")])
-        if state is None:
-            if held.exists:
-                held.remove()
-        else:
-            held.update(tuple(state))
+            if out := incident_step(held, rows):
+                yield pd.DataFrame([(key[0], *r) for r in out], columns=INCIDENT_NAMES)
+        if held:
+            state.update((json.dumps(held),))
+        elif state.exists:
+            state.remove()
 
-    return events.groupBy("source", "kind").applyInPandasWithState(step, INCIDENT_OUT, "first timestamp, last timestamp, n long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("source").applyInPandasWithState(step, INCIDENT_OUT, "kinds string", "update", GroupStateTimeout.NoTimeout)
 
 
 def log_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -115,28 +130,31 @@ def log_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", lat
     return events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def record_versions(spark: SparkSession, fetches: DataFrame, versions: str, checkpoint: str):
-    """A query that appends new page versions to the table at ``versions``: what isn't usable or hasn't changed since the stored hash is left out.
+def record_versions(spark: SparkSession, fetches: DataFrame, versions: str, checkpoint: str, least_words: int = 40):
+    """A query that adds new page versions to the table at ``versions``, each with what changed: what isn't usable or has the content of the version before it is left out.
 
-    Batches come with (source_id, url, retrieved_at, content_hash, title, text). A batch that is run again after a loss adds nothing.
+    Batches come with (source_id, url, retrieved_at, content_hash, title, text). Each writes a folder of its own, overwritten if the
+    batch is run again after a loss, and reads only folders of earlier batches: a version is stored once.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        from pyspark.sql import Window
-
-        usable = batch.where((F.coalesce("title", F.lit("")) != "") & (F.size(F.regexp_extract_all("text", F.lit(r"(?U)(\S+)"), 1)) >= 40))
-        try:
-            stored = spark.read.parquet(versions)
-            last = stored.groupBy("source_id", "url").agg(F.max_by("content_hash", "retrieved_at").alias("_last"), F.max("retrieved_at").alias("_at"))
-        except Exception as e:  # the table isn't there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = spark.createDataFrame([], "source_id string, url string, _last string, _at timestamp")
-        w = Window.partitionBy("source_id", "url").orderBy("retrieved_at", "content_hash")
-        rows = usable.join(last, ["source_id", "url"], "left").where(F.col("_at").isNull() | (F.col("retrieved_at") > F.col("_at")))
-        before = F.coalesce(F.lag("content_hash").over(w), F.col("_last"))
-        fresh = rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col("content_hash")))
-        version = F.concat(F.date_format("retrieved_at", "yyyyMMdd'T'HHmmss'Z'-"), F.substring("content_hash", 1, 8))
-        fresh.withColumn("version_id", version).drop("_before", "_last", "_at").write.mode("append").parquet(versions)
-
-    return fetches.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    def store(batch: DataFrame, number: int) -> None:
+        usable = batch.where((F.coalesce("title", F.lit("")) != "") & (word_count(F.col("text")) >= least_words))
+        cols = ["source_id", "url", "retrieved_at", "content_hash", "title", "text"]
+        rows = usable.select(*cols, F.lit(True).alias("_new"))
+        if there(spark, versions):
+            old = spark.read.parquet(versions).where(F.col("batch") < number)
+            newest = F.row_number().over(Window.partitionBy("source_id", "url").orderBy(F.desc("retrieved_at"), F.desc("content_hash")))
+            rows = rows.unionByName(old.withColumn("_n", newest).where("_n = 1").select(*cols, F.lit(False).alias("_new")))
+        line = Window.partitionBy("source_id", "url").orderBy("retrieved_at", "_new", "content_hash")
+        before = {f"_{c}": F.lag(c).over(line) for c in ("content_hash", "title", "text", "retrieved_at")}
+        changed = rows.withColumns(before).where(F.col("_new") & (F.col("_content_hash").isNull() | (F.col("_content_hash") != F.col("content_hash"))))
+        told = compare(changed, "_text", "text", "_title", "title").withColumn("version_id", version_id(F.col("retrieved_at"), F.col("content_hash")))
+        previous = F.when(F.col("_content_hash").isNotNull(), version_id(F.col("_retrieved_at"), F.col("_content_hash")))
+        told.select(*cols, "version_id", previous.alias("previous_version"), "change_type", "severity", "affected_topics", "summary").write.mode("overwrite").parquet(f"{versions}/batch={number}")
+
+    return fetches.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -156,11 +156,3 @@ def test_a_register_of_any_size_is_searched(spark):
     got = {(r["query"], r["rank"]): (r["name"], r["tier"]) for r in L.search_institutions(queries, register, 3).collect()}
     assert got[("school 1000000", 1)] == ("School 1000000", 0)
     assert [got[("School 77", i)] for i in (1, 2, 3)] == [("School 77", 0), ("School 770", 1), ("School 771", 1)]
-
-
-def test_evidence_comes_from_all_orders(spark, monkeypatch):
-    from lumenfold.plans import operations
-
-    monkeypatch.setattr(V, "judge", lambda claims, evidence: evidence.select("page").distinct())
-    pages = operations.claim_verdicts(spark, "/root/testdata/sf0.001")
-    assert pages.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
