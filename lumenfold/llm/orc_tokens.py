@@ -18,7 +18,7 @@ from lumenfold.llm.common import new_path, shuffle_width
 from lumenfold.llm.encode import encoder, sliced
 
 END_ID = 1
-STRIPE_BYTES = 16 << 20
+STRIPE_BYTES, STRIDE = 16 << 20, 10_000  # of a stripe, and rows that an entry of its index covers
 FIELDS = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
@@ -42,7 +42,7 @@ def _encode(path: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str, kind: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str, kind: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = STRIPE_BYTES, stride: int = STRIDE) -> None:
     """Encodes every whole text, appends the end id and writes ORC under ``path`` in ascending id order.
 
     ``kind`` names how the vocabulary splits a text: ``byte`` (byte-level, spaces kept) or
@@ -59,8 +59,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, kind: str, id_co
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
-        .option("orc.row.index.stride", "10000")
-        .option("orc.stripe.size", str(STRIPE_BYTES))
+        .option("orc.row.index.stride", str(stride))
+        .option("orc.stripe.size", str(stripe_bytes))
         .orc(path)
     )
 

@@ -84,6 +84,39 @@ def test_orc_round_trip(spark, request, tmp_path, which):
     assert "PushedFilters: [" in some._jdf.queryExecution().toString() and some.count() == len([1 for _, d, _ in src if d == 5])
 
 
+def scanned(df):
+    """Rows that the scan of a plan gave, after its filters were pushed down."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().apply(0)
+    plan = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_indexes_and_bloom_filters_skip_rows_and_readers_share_a_file(spark, tmp_path):
+    path, n = str(tmp_path / "orc"), 6000
+    rnd = random.Random(1)
+    rows = [(2 * i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(40))) for i in range(n)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        orc_tokens.write_token_ids(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.path(FILES["word"]), "word", stripe_bytes=200_000, stride=1000)
+        one, absent = orc_tokens.read_token_ids(spark, path, [7000]), orc_tokens.read_token_ids(spark, path, [7001])
+        assert scanned(one) <= 1000 and one.count() == 1  # a row group of one stripe
+        assert scanned(absent) == 0  # within the group's range, but not in its Bloom filter
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        parts = orc_tokens.read_token_ids(spark, path)
+        got = parts.select("doc_id", "n_tokens").collect()
+        assert parts.rdd.getNumPartitions() > 2 and sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_tables(spark, odd):
     none = odd.where("doc_id = -1")
     assert packing.pack_documents(none, public_tokenizers.path(FILES["byte"])).count() == 0
