@@ -29,8 +29,8 @@ def squeeze(c: Column) -> Column:
 
 
 def fold_plain(c: Column) -> Column:
-    """Lower case without marks; white space as it is. Null stays null."""
-    return F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), r"\p{Mn}+", "")
+    """Lower case without marks; white space as it is. Null stays null. Only a text with more bytes than characters has marks to take off."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), r"\p{Mn}+", ""))
 
 
 def fold_ws(c: Column) -> Column:
@@ -88,12 +88,12 @@ def token_estimate(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    return F.exists(F.array(c), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]))  # the text is made once
 
 
 def count_of(c: Column, words: tuple[str, ...]) -> Column:
     """How many of the words occur in the text."""
-    return reduce(lambda a, b: a + b, [F.contains(c, F.lit(w)).cast("int") for w in words])
+    return F.transform(F.array(c), lambda x: reduce(lambda a, b: a + b, [F.contains(x, F.lit(w)).cast("int") for w in words]))[0]
 
 
 def plain(word: str) -> str:
