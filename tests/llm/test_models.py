@@ -42,7 +42,8 @@ def test_scores_equal_a_plain_noisy_or():
         clean = 1.0
         for sentence in re.split(r"[.!?\n]", (t or "").lower()):
             if words := re.findall("[0-9a-z\x80-\U0010ffff]+", sentence):
-                clean *= 1 - 1 / (1 + math.exp(-(sum(map(word, words)) + weights[-1])))
+                p, floor = (1 / (1 + math.exp(-z)) for z in (sum(map(word, words)) + weights[-1], weights[-1]))
+                clean *= 1 - max(0.0, p - floor) / (1 - floor)
         assert abs(got - (1 - clean)) < 1e-9
 
 

@@ -2,9 +2,11 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as P
 from lumenfold.llm import decontaminate, minhash
+from lumenfold.llm.common import shared_dir
 from lumenfold.llm.queries import table
 
 SF = "/root/testdata/sf0.01"
@@ -54,3 +56,42 @@ def test_rows_without_an_id_or_with_a_shared_one_stay(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert {(r["doc_id"], r["source"]): r["text"] for r in got if r["text"] and r["text"] in (c, d)} == {(7, "x"): c, (7, "y"): d}
     assert {r["text"] for r in got if r["doc_id"] is None} >= {a, b} and sum(r["text"] == e for r in got) == 1
+
+
+def through(spark, docs):
+    """Rows after each stage but the last."""
+    out = []
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        out.append(docs)
+    return out
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and columns whose names the stages use themselves."""
+    rows = [(None, "a text without any id at all here", None), (1, None, "x"), (2, "", "x"), (3, "  \n\t ", "x"), (4, "same text here", "x"), (5, "same text here", "y"), (5, "same text here", "y"), (6, "Very long words. " * 20_000, "x"), (7, "!!! ???", None), (8, "İ ﬁ क़. <|endoftext|>  a\x1cb", "x")]
+    docs = spark.createDataFrame([(i, t, s, s, len(t or ""), s, 1.0, 2) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, uid string, _score double, block int")
+    stages = through(spark, docs)
+    assert all(df.columns == docs.columns for df in stages)
+    kept = stages[0].collect()
+    assert len(kept) == len(rows)  # nothing is toxic
+    texts = [r["text"] for r in stages[1].collect()]
+    assert sorted(t or "" for t in texts) == sorted({t or "" for _, t, _ in rows})  # one of each text: a null is an empty one
+    cut = {r["doc_id"]: r for r in stages[2].collect()}
+    assert len(cut) == len(texts) and all(r["n_chars"] == len(r["text"]) for r in cut.values()) and len(cut[6]["text"].split()) < 100
+    pieces = P.STAGES[-1][1](spark, stages[3], SF)
+    assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {r["doc_id"] for r in stages[3].collect()}
+
+
+def test_an_empty_table_passes_all_stages(spark):
+    docs = table(spark, SF, "documents")
+    stages = through(spark, docs.where("doc_id < 0"))
+    assert [df.count() for df in stages] == [0, 0, 0, 0] and all(df.columns == docs.columns for df in stages) and P.STAGES[-1][1](spark, stages[-1], SF).count() == 0
+
+
+def test_run_leaves_only_its_result(spark):
+    folder = Path(shared_dir(spark)) / "lumenfold"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = P.run(spark, "/root/testdata/sf0.001")
+    # What the stages returned may still be read by who holds it; the tables between stages are gone.
+    assert out.count() > 0 and sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == ["kept-rows", "pieces", "stage-packing", "substring"]
