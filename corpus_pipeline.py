@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import decontaminate, minhash, packing, substring, toxicity
-from lumenfold.llm.common import drop_path, new_path
+from lumenfold.llm.common import drop_path, new_path, unused
 from lumenfold.llm.queries import held_out, table, tokenizer_path
 
 LEAST_TOXIC = 0.5
@@ -21,7 +21,8 @@ LEAST_TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is at least 0.5 go."""
     weights = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.add_score(docs, weights, out="_score").where(F.col("_score") < LEAST_TOXIC).select(docs.columns)
+    score = unused(docs, "_score")
+    return toxicity.add_score(docs, weights, out=score).where(F.col(score) < LEAST_TOXIC).select(docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, within the edit budget, go."""
-    flagged = decontaminate.add_flag(docs, table(spark, sf_dir, "benchmark"), out="_leak")
-    return flagged.where(~F.col("_leak")).select(docs.columns)
+    leak = unused(docs, "_leak")
+    flagged = decontaminate.add_flag(docs, table(spark, sf_dir, "benchmark"), out=leak)
+    return flagged.where(~F.col(leak)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
