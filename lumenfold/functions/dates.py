@@ -59,3 +59,8 @@ def asked_about(c: Column, now: Column) -> Column:
     last = F.when(F.contains(f, F.lit("last year")) | F.contains(f, F.lit("annee derniere")), make(F.year(now) - 1, F.lit(12), F.lit(31)))
     on = F.coalesce(iso, by_month, by_year, last, now)
     return F.struct(on.alias("on"), (on < now).alias("historical"), contains_any(f, CHANGED).alias("about_change"))
+
+
+def is_now(asked: Column) -> Column:
+    """A question about what holds today, for the struct of :func:`asked_about`."""
+    return ~asked["historical"]

@@ -179,3 +179,8 @@ def excerpt(c: Column, limit: int = 420) -> Column:
     stop = F.greatest(last(". "), last("\n"))
     short = F.when(stop > limit * 0.5, F.substr(cut, F.lit(1), stop + 1)).otherwise(cut)
     return F.when(F.length(body) <= limit, body).otherwise(F.concat(F.regexp_replace(short, r"(?U)\s+$", ""), F.lit("…")))
+
+
+def known(c: Column) -> Column:
+    """The text, empty where it isn't known."""
+    return F.coalesce(c, F.lit(""))

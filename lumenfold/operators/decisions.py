@@ -54,6 +54,11 @@ def promotion(health: Column, verified: Column, secure: Column, authority_level:
     return F.struct(mode.alias("mode"), failed.alias("failed"))
 
 
+def gate_reasons(failed: Column) -> Column:
+    """The checks that a source fails, in words."""
+    return F.array_join(F.transform(failed, lambda x: F.concat(x, F.lit(": failed"))), "; ")
+
+
 def read_verdict(reply: Column) -> Column:
     """True for yes, false for no, null where the reply can't be read."""
     text = F.trim(F.coalesce(reply, F.lit("")))

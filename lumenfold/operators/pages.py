@@ -194,6 +194,11 @@ def retention(versions: DataFrame, page: str, at: str, version: str, active: str
     return rows.where(old).select(page, version, F.when(F.col(pending) > 0, "kept").otherwise("prune").alias("action"))
 
 
+def pruned(versions: DataFrame, plan: DataFrame, page: str, version: str) -> DataFrame:
+    """``versions`` without those that the plan of :func:`retention` marks to prune."""
+    return versions.join(plan.where("action = 'prune'").select(page, version), [page, version], "left_anti")
+
+
 def freshness(at: Column, now: Column, hours: Column) -> Column:
     return F.when(at.isNull(), "unknown").when(now <= at + F.make_dt_interval(hours=hours), "fresh").otherwise("stale")
 

@@ -71,6 +71,11 @@ def fetch_refusal(url: Column, redirects: Column, media: Column, allowed: Column
     )
 
 
+def host_of(final_url: Column, url: Column) -> Column:
+    """The host that a fetch ended on, or was asked for where it ended nowhere; null for neither."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(F.nullif(final_url, F.lit("")), url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+
+
 def cached(fetches: DataFrame, now: Column, most_seconds: int) -> DataFrame:
     """(url_key, ...): the last good fetch of each address, if it isn't older than ``most_seconds``."""
     age = F.unix_timestamp(now) - F.unix_timestamp("retrieved_at")

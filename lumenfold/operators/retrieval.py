@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-RRF_K = 60
-MAX_QUERY_BYTES = 64 << 20
+RRF_K, EVIDENCE = 60, 4  # of rank fusion, and passages that a model is shown
+MAX_QUERY_BYTES, MAX_ASKED = 64 << 20, 500_000  # of vectors, and rows of query terms of about 50 bytes, that are sent to all tasks
 QUERY_CHUNK, DOC_CHUNK, SHARD = 1024, 8192, 1 << 16  # queries and documents scored at once, documents in a shard
 
 
@@ -61,9 +61,12 @@ def read_postings(spark: SparkSession, path: str, queries: DataFrame, query_text
 def bm25_score(queries: DataFrame, posts: DataFrame, terms: DataFrame, k: int, query_id: str, query_text: str) -> DataFrame:
     """(query, doc, keyword_score, keyword_rank): Okapi BM25 from postings and vocabulary, positive scores only, ties to the smaller doc. A term that a query repeats counts as often."""
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(terms, "term")
+    # Up to so many terms of queries are sent to the postings; more meet them in a shuffle. Postings themselves are never sent.
+    few = asked.count() <= MAX_ASKED
+    side = F.broadcast if few else lambda df: df.hint("shuffle_merge")
+    weighed = terms.join(side(asked), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(weighed, "term").groupBy("query", "doc").agg(F.sum(part).alias("keyword_score")).where("keyword_score > 0")
+    scored = posts.join(side(weighed), "term").groupBy("query", "doc").agg(F.sum(part).alias("keyword_score")).where("keyword_score > 0")
     return top(scored.withColumn("_s", F.round("keyword_score", 9)), "query", [F.desc("_s"), F.asc("doc")], k, "keyword_rank").drop("_s")
 
 

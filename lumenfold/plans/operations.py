@@ -16,7 +16,7 @@ from lumenfold.operators import reports as O
 from lumenfold.operators import retrieval as R
 from lumenfold.operators import telemetry as T
 from lumenfold.plans.retrieval import ANY, TOKENS
-from lumenfold.plans.tables import quoted, table
+from lumenfold.plans.tables import quoted, spread, table
 from lumenfold.sources import html as H
 from lumenfold.sources import publications as X
 from lumenfold.streaming import stateful
@@ -47,7 +47,7 @@ def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_lines_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.chunk_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return K.chunk_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("SELECT concat(CAST(doc_id AS VARCHAR), '#000#01') AS chunk_id, concat_ws(chr(10), source, concat('Situation : ', CASE WHEN lang <> 'en' THEN lang END), concat('Section : ', lang)) AS header FROM documents".replace("concat('Situation : ', CASE WHEN lang <> 'en' THEN lang END)", "CASE WHEN lang <> 'en' THEN concat('Situation : ', lang) END"))
@@ -78,7 +78,7 @@ def index_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.read_pages(table(spark, sf_dir, "pages")).withColumn("is_usable", H.is_usable(F.col("title"), F.col("text"))).drop("anchors")
+    return H.read_pages(spread(table(spark, sf_dir, "pages"))).withColumn("is_usable", H.is_usable(F.col("title"), F.col("text"))).drop("anchors")
 
 
 @query()

@@ -14,7 +14,7 @@ from lumenfold.functions.text import plain
 from lumenfold.operators import claims as C
 from lumenfold.operators import pages as P
 from lumenfold.plans.retrieval import ANY, SQUEEZE
-from lumenfold.plans.tables import quoted, table
+from lumenfold.plans.tables import quoted, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -37,7 +37,7 @@ NOTICES = "n AS (SELECT " + ", ".join(COLUMNS) + " FROM orders)"
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*COLUMNS)
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")).selectExpr(*COLUMNS)
 
 
 FOLDED = lambda e: SQUEEZE(f"strip_accents(lower({e}))")
@@ -197,12 +197,15 @@ def claims_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir).select("version_id", "source_id", "position", "claim_id", "claim_text", F.coalesce(F.col("effective_from").cast("string"), F.lit("")).alias("effective_from"))
 
 
-@query(f"""WITH {CLAIMS}, o AS (SELECT DISTINCT source_id, claim_id FROM cl WHERE version_id % 50 = 1), w AS (SELECT DISTINCT source_id, claim_id FROM cl WHERE version_id % 50 = 2)
+@query(f"""WITH {CLAIMS}, r AS (SELECT version_id, row_number() OVER w AS nth, row_number() OVER (PARTITION BY page_id ORDER BY retrieved_at DESC, version_id DESC) AS back FROM n WINDOW w AS (PARTITION BY page_id ORDER BY retrieved_at, version_id)),
+ o AS (SELECT DISTINCT source_id, claim_id FROM cl JOIN r USING (version_id) WHERE nth = 1), w AS (SELECT DISTINCT source_id, claim_id FROM cl JOIN r USING (version_id) WHERE back = 1)
  SELECT coalesce(o.source_id, w.source_id) AS source_id, coalesce(o.claim_id, w.claim_id) AS claim_id, CASE WHEN o.claim_id IS NULL THEN 'added' WHEN w.claim_id IS NULL THEN 'removed' ELSE 'kept' END AS status
  FROM o FULL JOIN w ON o.source_id = w.source_id AND o.claim_id = w.claim_id""")
 def claims_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = claims(spark, sf_dir)
-    return C.diff(c.where("version_id % 50 = 1"), c.where("version_id % 50 = 2"), ["source_id", "claim_id"])
+    """Claims of each source by its pages' first and last versions."""
+    n = P.chain(notices(spark, sf_dir), "page_id", "retrieved_at", "version_id", "content_hash").where("number = 1 or newest_first = 1").select("version_id", "source_id", "text", (F.col("number") == 1).alias("old"), (F.col("newest_first") == 1).alias("new"))
+    c = C.extract(n, ["version_id", "source_id", "old", "new"], "source_id", "text")
+    return C.diff(c.where("old"), c.where("new"), ["source_id", "claim_id"])
 
 
 @query(f"WITH {CLAIMS} SELECT claim_id, min(year) AS since, count(*) FILTER (CAST(year || '-07-01' AS DATE) <= DATE '2023-01-01' OR year IS NULL) AS in_force FROM cl GROUP BY claim_id")

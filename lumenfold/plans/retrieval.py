@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
 from lumenfold.operators import retrieval as R
-from lumenfold.plans.tables import quoted, table
+from lumenfold.plans.tables import quoted, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -32,7 +32,7 @@ SQUEEZE = lambda e: f"trim(regexp_replace({e}, {WS}, ' ', 'g'))"
   md5({SQUEEZE(f"replace({FOLD}, '’', '''')")}) AS fold_claim, md5({SQUEEZE(f"replace({FOLD}, '''', ' ')")}) AS fold_date,
   md5(array_to_string(regexp_extract_all({FOLD}, '[a-z0-9]+'), ' ')) AS fold_key FROM documents""")
 def fold_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(f(F.col("text")).cast("binary")).alias(n) for n, f in X.FOLDS.items()])
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[F.md5(f(F.col("text")).cast("binary")).alias(n) for n, f in X.FOLDS.items()])
 
 
 TOKENS = f"list_filter(regexp_extract_all(regexp_replace({FOLD}, '[''’ʼ]', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1)"
@@ -41,7 +41,7 @@ TOKENS = f"list_filter(regexp_extract_all(regexp_replace({FOLD}, '[''’ʼ]', '
 @query(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_distinct FROM documents")
 def fold_tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
 @query(f"""WITH w AS (SELECT conv_id, turn, lower(text) AS low, regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM conversations),
@@ -73,14 +73,14 @@ def answer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
  (len(regexp_extract_all(text, '[^\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+')) >= 40) AS is_usable FROM documents""")
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = X.word_count(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), X.token_estimate(F.col("text")).alias("token_estimate"), (n >= 40).alias("is_usable"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", n.alias("n_words"), X.token_estimate(F.col("text")).alias("token_estimate"), (n >= 40).alias("is_usable"))
 
 
 @query("""WITH b AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents), c AS (SELECT doc_id, body, body[1:420] AS cut FROM b),
  s AS (SELECT *, greatest(CASE WHEN contains(cut, '. ') THEN 420 - strpos(reverse(cut), ' .') - 1 ELSE -1 END, CASE WHEN contains(cut, chr(10)) THEN 420 - strpos(reverse(cut), chr(10)) ELSE -1 END) AS stop FROM c)
  SELECT doc_id, CASE WHEN length(body) <= 420 THEN body ELSE concat(regexp_replace(CASE WHEN stop > 210 THEN cut[1:stop + 1] ELSE cut END, '\\s+$', ''), '…') END AS excerpt FROM s""")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
 BM25 = f"""d AS MATERIALIZED (SELECT doc_id AS doc, {TOKENS} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
@@ -93,7 +93,7 @@ BM25 = f"""d AS MATERIALIZED (SELECT doc_id AS doc, {TOKENS} AS t FROM documents
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str, k: int = 25) -> DataFrame:
-    return R.bm25_topk(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k, "item_id", "text", "doc_id", "text")
+    return R.bm25_topk(table(spark, sf_dir, "benchmark"), spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k, "item_id", "text", "doc_id", "text")
 
 
 @query(f"WITH {BM25} SELECT query, doc, keyword_rank, round(keyword_score, 6) AS keyword_score FROM kw WHERE keyword_rank <= 10")
@@ -104,12 +104,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 COS = "greatest(0, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))"
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS doc, {COS} AS dense_score FROM e a, e b WHERE a.vec_id % 50 = 0),
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS doc, {COS} AS dense_score FROM e a, e b WHERE a.vec_id % 20 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(dense_score, 9) DESC, doc) AS dense_rank FROM s)
  SELECT query, doc, dense_rank, round(dense_score, 6) AS dense_score FROM r WHERE dense_rank <= 6""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return R.dense_topk(e.where("vec_id % 50 = 0"), e, 6, "vec_id", "vec_id", "embedding", "embedding").withColumn("dense_score", F.round("dense_score", 6))
+    return R.dense_topk(e.where("vec_id % 20 = 0"), e, 6, "vec_id", "vec_id", "embedding", "embedding").withColumn("dense_score", F.round("dense_score", 6))
 
 
 #: Documents and questions borrow the vector whose number is their own, modulo how many there are.

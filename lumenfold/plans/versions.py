@@ -265,3 +265,74 @@ def claims_between_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     was = before.join(held.withColumnRenamed("version_id", "previous_version"), "previous_version").select("version_id", "claim_id", F.lit(0).alias("b"), F.lit(1).alias("a"))
     both = now.unionByName(was).groupBy("version_id", "claim_id").agg(F.max("b").alias("b"), F.max("a").alias("a"))
     return both.groupBy("version_id").agg(F.count_if((F.col("b") == 1) & (F.col("a") == 0)).alias("added"), F.count_if((F.col("b") == 0) & (F.col("a") == 1)).alias("removed"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("kept"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS asks_model, o_orderkey % 4 <> 1 AS is_now, o_orderkey % 5 > 0 AS may_ask, CASE WHEN o_orderkey % 2 = 0 THEN 'Cas A' ELSE '' END AS scope, CASE o_orderkey % 3 WHEN 0 THEN 'a.fr' WHEN 1 THEN 'b.fr' ELSE '' END AS host,
+ CASE WHEN o_orderkey % 6 = 0 THEN 'extractable: failed; authority: failed' WHEN o_orderkey % 6 = 3 THEN 'authority: failed' ELSE '' END AS why FROM orders""")
+def answer_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows from one value each: H2, H4, H5, H9, H15, H18, H19 and F26."""
+    from lumenfold.functions.dates import asked_about, is_now
+    from lumenfold.operators import retrieval as R
+
+    k = F.col("o_orderkey")
+    asked = asked_about(F.when(k % 4 == 1, "What held on 2020-01-01?").otherwise("What holds?"), F.lit("2024-05-15").cast("date"))
+    level = F.when(k % 3 == 0, 3).otherwise(1)
+    gate = D.promotion(F.when(k % 6 == 0, "blocked").otherwise("healthy"), F.lit(True), F.lit(True), level, F.lit(True), F.lit(True), F.lit(True))
+    filled = F.when(k % 5 == 0, F.array(F.lit("location"))).otherwise(F.array(F.lit("date")))
+    final, url = F.when(k % 3 == 0, "https://a.fr:80/x").otherwise(""), F.when(k % 3 == 1, "https://u@B.fr/y").otherwise("nothing")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", R.needs_model(F.when(k % 3 == 0, "ASK_MODEL").otherwise("ANSWER")).alias("asks_model"), is_now(asked).alias("is_now"), D.may_ask_for(filled, F.lit("location")).alias("may_ask"),
+        X.known(F.when(k % 2 == 0, "Cas A")).alias("scope"), X.known(G.host_of(final, url)).alias("host"), D.gate_reasons(gate["failed"]).alias("why"),
+    )
+
+
+@query("""WITH c AS (SELECT o_custkey AS answer, concat('https://u', o_orderkey % 6) AS url, max((o_orderkey % 6 < 3 AND o_orderkey % 4 > 0)::INT) AS used FROM orders GROUP BY ALL) SELECT answer, url FROM (SELECT *, max(used) OVER (PARTITION BY answer) AS backed FROM c) WHERE used = 1 OR backed = 0""")
+def citations_backed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations that surviving claims rest on, or all."""
+    from lumenfold.operators import claimcheck as K
+
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS answer", "concat('https://u', o_orderkey % 6) AS url", "o_orderkey % 6 < 3 AS sure", "o_orderkey % 4 > 0 AS stays")
+    judged = o.select("answer", F.when(F.col("stays"), "kept").otherwise("removed").alias("action"), F.when(F.col("sure"), F.struct(F.lit("s").alias("source_id"), F.col("url").alias("address"), F.lit("v").alias("version_id"))).alias("source"))
+    return K.backing(o.select("answer", "url").distinct(), judged)
+
+
+@query("""SELECT o_custkey AS answer, concat('s', o_orderkey % 5) AS source_id, concat('v', o_orderkey) AS version_id, o_orderkey % 5 = 0 AS is_local FROM orders UNION ALL
+ SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'service-public' ELSE concat('F', o_orderkey % 3) END, concat(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('F', o_orderkey % 3) END, '@2024'), false FROM orders""")
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored versions and corpus passages as one table of evidence."""
+    from lumenfold.operators import claimcheck as K
+
+    o = table(spark, sf_dir, "orders")
+    live = o.selectExpr("o_custkey AS answer", "concat('s', o_orderkey % 5) AS source_id", "'u' AS url", "'c' AS canonical_url", "'t' AS title", "'x' AS text", "concat('v', o_orderkey) AS version_id", "CASE WHEN o_orderkey % 5 = 0 THEN 'Isère' END AS area")
+    corpus = o.selectExpr("o_custkey AS answer", "CASE WHEN o_orderkey % 3 > 0 THEN concat('F', o_orderkey % 3) END AS page", "'u' AS url", "'t' AS title", "'x' AS text", "'2024' AS last_updated")
+    return K.evidence_of(live, corpus).select("answer", "source_id", "version_id", "is_local")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'healthy' WHEN 1 THEN 'blocked' ELSE 'stale' END AS health, s_suppkey % 4 = 0 OR s_suppkey % 2 = 1 AS verified, CASE WHEN s_suppkey % 4 = 0 THEN '2024-05-01' ELSE '' END AS verified_at, s_suppkey % 3 = 0 AS live FROM supplier""")
+def registry_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with what checks found, and with live queries for what was promoted."""
+    from lumenfold.sources import registries as Y
+
+    r = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "'stale' AS health", "s_suppkey % 2 = 1 AS verified", "'' AS verified_at", "true AS live_query_enabled")
+    checks = r.where("id % 4 < 2").selectExpr("id", "CASE WHEN id % 4 = 0 THEN 'healthy' ELSE 'blocked' END AS health")
+    out = Y.with_live(Y.with_checks(r, checks, "2024-05-01"), r.where("id % 3 = 0"))
+    return out.select(F.col("id").alias("s_suppkey"), "health", "verified", "verified_at", F.col("live_query_enabled").alias("live"))
+
+
+@query(f"""WITH {NOTICES}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY retrieved_at DESC, version_id DESC) AS k, count(*) OVER (PARTITION BY page_id) AS total FROM n)
+ SELECT page_id, version_id FROM r WHERE NOT (total > 2 AND k > 5 AND version_id % 10 <> 0 AND retrieved_at < TIMESTAMP '1998-01-01' - INTERVAL 365 DAY AND version_id % 3 > 0)""")
+def history_after_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a prune leaves: everything but what its plan marks."""
+    rows = notices(spark, sf_dir).withColumns({"active": F.col("version_id") % 10 == 0, "pending": F.when(F.col("version_id") % 3 == 0, 2).otherwise(0)})
+    plan = P.retention(rows, "page_id", "retrieved_at", "version_id", "active", "pending", F.lit("1998-01-01").cast("timestamp"), 5, 365)
+    return P.pruned(rows, plan, "page_id", "version_id").select("page_id", "version_id")
+
+
+@query("""WITH v AS (SELECT o_custkey AS answer, concat(chr(10), 'Passage ', o_orderkey % 4) AS t, o_orderkey AS k FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY k) AS n FROM v)
+ SELECT answer, count(*) AS shown, min(k) AS first FROM r WHERE n <= 4 GROUP BY answer""")
+def evidence_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that a model is shown: the selected ones, four at most."""
+    from lumenfold.operators import retrieval as R
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), "o_orderkey")
+    return R.top(o, "query", [F.asc("o_orderkey")], R.EVIDENCE).groupBy(F.col("query").alias("answer")).agg(F.count("*").alias("shown"), F.min("o_orderkey").alias("first"))

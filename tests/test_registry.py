@@ -14,7 +14,9 @@ from lumenfold.operators import pages as P
 from lumenfold.operators import places as L
 from lumenfold.operators import registry as G
 from lumenfold.operators import retrieval as R
+from lumenfold import settings as C
 from lumenfold.operators import store as S
+from lumenfold.operators import telemetry as T
 from lumenfold.sources import logs
 from lumenfold.sources import publications as X
 from lumenfold.sources import registries as Y
@@ -231,3 +233,23 @@ def test_documents_with_two_bodies_of_one_id(spark):
     files = [("a.xml", "part", pub.format("one")), ("a.xml", "pro", pub.format("one")), ("b.xml", "pro", pub.format("two"))]
     docs = I.deduplicate(X.read_publications(spark.createDataFrame(files, "source_file string, segment string, xml string")))
     assert sorted((r["doc_id"], r["segments"]) for r in docs.collect()) == [("F1", ["part", "pro"]), ("F1@pro", ["pro"])]
+
+
+def test_settings_are_read_and_checked():
+    s = C.Settings({"A": " 5 ", "B": "", "C": "Yes", "D": "x, y,,z ", "E": "many", "F": "0.5"})
+    assert (s.whole("A", 1), s.whole("B", 7), s.flag("C", False), s.names("D"), s.names("B", ("q",)), s.number("F", 1.0), s.text("none", "d")) == (5, 7, True, ("x", "y", "z"), ("q",), 0.5, "d")
+    for read in (lambda: s.whole("E", 1), lambda: s.flag("E", True), lambda: s.number("E", 1.0)):
+        with pytest.raises(ValueError, match="E must be"):
+            read()
+    assert C.feed_url("https://x/{version}/{segment}.zip", "3.5", "part") == "https://x/3.5/part.zip"
+    with pytest.raises(ValueError, match="segment"):
+        C.feed_url("https://x/", "3.5", "part")
+
+
+def test_percentiles_are_exact_beyond_what_is_sorted_whole(spark, monkeypatch):
+    monkeypatch.setattr(T, "WHOLE", 10)
+    monkeypatch.setattr(T, "SLACK", 0.01)
+    df = spark.range(5000).selectExpr("id % 2 AS g", "CASE WHEN id % 7 > 0 THEN CAST((id * 7919) % 5003 AS DOUBLE) / 3 END AS v")
+    got = {r["g"]: r for r in T.percentiles(df, ["g"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.0), F.lit(0.5), F.lit(0.95), F.lit(1.0))).alias("p"), F.count("v").alias("n")).collect():
+        assert got[r["g"]]["n"] == r["n"] and all(abs(got[r["g"]][f"p{k}"] - x) < 1e-9 for k, x in enumerate(r["p"]))
