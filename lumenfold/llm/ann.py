@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_path, materialise, new_path
+from lumenfold.llm.common import drop_path, map_batches, materialise, new_path
 
 SHARD, DEGREE, BEAM, ALPHA = 4096, 24, 64, 1.2
 SHARD_BYTES = 64 << 20  # vectors of a shard take no more: long ones make smaller shards
@@ -217,7 +217,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             of = got.filter(pa.compute.equal(got["dim"], dim))
             block[dim] = of["query_id"].to_numpy(), of["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         sent = spark.sparkContext.broadcast(block)
-        index.mapInArrow(_search(k, sent), "query_id long, vec_id long, score double").write.mode("append").parquet(path)
+        map_batches(index, _search(k, sent), "query_id long, vec_id long, score double").write.mode("append").parquet(path)
         sent.unpersist()
     found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -20,6 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenfold.llm.encode import forget, sliced
 
+BATCH_CONF, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, which all executors share: ``spark.checkpoint.dir``, or the folder that ``setCheckpointDir`` was given.
@@ -61,6 +64,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by BATCH_BYTES, unless the session sets a bound of its own.
+
+    Rows are counted by Spark's default, 10,000 a batch: of texts, tens of megabytes, which a task
+    holds twice in the JVM's memory beyond its heap and again in its worker. Plans read the setting as they run.
+    """
+    if spark.conf.get(BATCH_CONF) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -104,7 +123,7 @@ def running_positions(df: DataFrame, order: list[str], weight: str, out: str, gr
     ranged = df.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys)
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
 
-    done, path = materialise(ranged.mapInArrow(_running(weight, group, to_arrow_schema(schema)), schema), "running")
+    done, path = materialise(map_batches(ranged, _running(weight, group, to_arrow_schema(schema)), schema), "running")
     by = ["_part"] + ([group] if group else [])
     totals = done.groupBy(*by).agg(F.max(F.col("_before") + F.col(weight)).alias("n")).orderBy(*by[::-1], "_part").collect()
     base, rows = {}, []
@@ -133,4 +152,4 @@ def add_column(df: DataFrame, text_col: str, name: str, kind: T.DataType, arrow:
             made = [x for _, texts in sliced(b, text_col) for x in f(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, arrow)], names=[*b.schema.names, name])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import add_column
+from lumenfold.llm.common import add_column, map_batches
 from lumenfold.llm.encode import sliced
 from lumenfold.llm.words import FIRST
 
@@ -253,6 +253,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET,
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
     for index in indexes(benchmark, budget, text_col, item_col):
-        found = rows.mapInArrow(_search(index), "doc_id long, item_id long, start long, end long, edits long")
+        found = map_batches(rows, _search(index), "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.unionByName(found)
     return out

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import map_batches
 from lumenfold.llm.encode import sliced
 
 WINDOW, WIDTHS, FILTERS, EMBED = 64, (2, 3, 4), 16, 8
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id",
     once = some.groupBy("lang", "_id", "_place").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "_id"))
     picked = once.withColumn("_rank", rank).where(F.col("_rank") <= per_lang)
-    out = picked.select("text", "lang", "_place", "_id").repartition(1).sortWithinPartitions("lang", "_place", "_id").select("text", "lang").mapInArrow(_fit, "net binary").collect()
+    ranked = picked.select("text", "lang", "_place", "_id").repartition(1).sortWithinPartitions("lang", "_place", "_id")
+    out = map_batches(ranked.select("text", "lang"), _fit, "net binary").collect()
     langs, p = pickle.loads(out[0]["net"]) if out else ([], None)
     net = Network(langs)
     if p:
@@ -164,4 +166,4 @@ def _predict(net: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row. Null, empty and letterless texts are ``und`` with score 0; repeated rows and null ids are kept."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(net), "doc_id long, lang_pred string, score double")
+    return map_batches(rows, _predict(net), "doc_id long, lang_pred string, score double")

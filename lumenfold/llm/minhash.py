@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_path, materialise, new_path
+from lumenfold.llm.common import drop_path, map_batches, materialise, new_path
 from lumenfold.llm.encode import forget
 from lumenfold.llm.substring import MESSAGE, MOST_BUCKETS, _messages, blocks_of, bucketed, grown, pack, runs, unpack
 from lumenfold.llm.words import PUNCT, Words, mix, per_text
@@ -388,7 +388,7 @@ def labelled(stored: DataFrame, size: int) -> tuple[DataFrame, str, list[str]]:
     ones = kept(sketched.groupBy("key").agg(F.min("uid").alias("uid"), *[F.min_by(c, "uid").alias(c) for c in ("block", "n", "total", "sketch")]), "texts")
     held = ones.where("sketch is not null")
     # Where several documents share a band.
-    band = held.select("uid", "sketch").mapInArrow(_bands, "bucket long, uid long")
+    band = map_batches(held.select("uid", "sketch"), _bands, "bucket long, uid long")
     shared = kept(band.groupBy("bucket").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1"), "shared")
     members = kept(band.join(shared, "bucket").select("bucket", "head", "uid").where("uid <> head"), "buckets")
     of = held.select("uid", "block", "total")

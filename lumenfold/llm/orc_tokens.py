@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import new_path, shuffle_width
+from lumenfold.llm.common import map_batches, new_path, shuffle_width
 from lumenfold.llm.encode import encoder, sliced
 
 END_ID = 1
@@ -54,7 +54,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, kind: str, id_co
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ranged = rows.repartitionByRange(shuffle_width(spark), "doc_id", F.octet_length("text")).sortWithinPartitions("doc_id", F.octet_length("text"))
     (
-        ranged.mapInArrow(_encode(tokenizer, kind), FIELDS)
+        map_batches(ranged, _encode(tokenizer, kind), FIELDS)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -92,7 +92,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         rows.append((r["part"], base))
         base += r["n"]
     starts = spark.createDataFrame(rows or [(0, 0)], "part int, base long")
-    got = files.select("doc_id", "part", "part_start", "n_tokens", "ids").mapInArrow(_digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    got = map_batches(files.select("doc_id", "part", "part_start", "n_tokens", "ids"), _digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     return got.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_path, materialise, running_positions
+from lumenfold.llm.common import drop_path, map_batches, materialise, running_positions
 from lumenfold.llm.encode import encoder, sliced
 
 END_ID = 1
@@ -152,10 +152,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", length:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded, coded_at = materialise(rows.mapInArrow(_tokens(tokenizer, kind), "doc_id long, uid long, key long, doc_tokens long, ids binary"), "pack-ids")
+    coded, coded_at = materialise(map_batches(rows, _tokens(tokenizer, kind), "doc_id long, uid long, key long, doc_tokens long, ids binary"), "pack-ids")
     placed, placed_at = running_positions(coded.select("uid", "key", "doc_id", "doc_tokens"), ["key", "doc_id", "uid"], "doc_tokens", "_at")
     out = coded.join(placed.select("uid", "_at"), "uid").select("doc_id", "_at", "doc_tokens", "ids")
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    pieces, _ = materialise(out.mapInArrow(_pieces(length, with_ids), fields), "pieces")
+    pieces, _ = materialise(map_batches(out, _pieces(length, with_ids), fields), "pieces")
     drop_path(spark, coded_at, placed_at)
     return pieces

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenfold.llm.common import drop_path, materialise, new_path
+from lumenfold.llm.common import bound_batches, drop_path, materialise, new_path
 from lumenfold.llm.words import SPACE, Words, mix
 
 WINDOW = 20
@@ -303,6 +303,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, number: bool = False,
     ``number`` adds ``uid``, a number of each row that stays as written; ``whole`` adds ``others``, a row's other columns and its id as one value.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("others")] if whole else []
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), *others)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

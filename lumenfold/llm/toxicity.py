@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import add_column
+from lumenfold.llm.common import add_column, map_batches
 from lumenfold.llm.encode import sliced
 from lumenfold.llm.words import PUNCT, Words, mix, per_text
 
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     picked = picks[0].unionByName(picks[1])  # at most 2 * per_class ids
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(picked), "_id")
     rows = rows.groupBy("_id", "label").agg(F.min("text").alias("text"))  # rows that share an id teach once
-    out = rows.repartition(1).sortWithinPartitions("_id").select("text", "label").mapInArrow(_fit, "weights binary").collect()
+    out = map_batches(rows.repartition(1).sortWithinPartitions("_id").select("text", "label"), _fit, "weights binary").collect()
     return np.frombuffer(out[0]["weights"], "<f4") if out else train([], np.zeros(0))
 
 
@@ -195,7 +195,7 @@ def _score(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row; null and empty texts score 0, repeated rows and null ids are kept. Other columns aren't read."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_score(weights), "doc_id long, score double")
+    return map_batches(rows, _score(weights), "doc_id long, score double")
 
 
 def add_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -221,4 +221,4 @@ def _locate(weights: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBa
 def offending_sentences(docs: DataFrame, weights: np.ndarray, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lower-cased sentence and score of each sentence that scores at least ``least``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_locate(weights, least), "doc_id long, sentence string, score double")
+    return map_batches(rows, _locate(weights, least), "doc_id long, sentence string, score double")
