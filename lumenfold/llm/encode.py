@@ -19,7 +19,7 @@ import pyarrow.compute
 
 from lumenfold.llm.words import FIRST, mix
 
-MEMO_LIMIT = 1_000_000  # pieces a worker keeps, of about 60 bytes each
+MEMO_LIMIT = 500_000  # pieces a worker keeps, of about 60 bytes each
 KEY_BYTES = 23  # a longer piece isn't kept
 BATCH_BYTES = 1 << 20  # of texts that are encoded at once
 BLOCK = 256  # unknown pieces that the library gets as one text
