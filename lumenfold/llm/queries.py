@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, decontaminate, language, minhash, orc_tokens, packing, sharding, substring, toxicity, url_filter
+from lumenfold.llm import ann, decontaminate, hamerly, language, minhash, orc_tokens, packing, secrets, sharding, substring, toxicity, url_filter, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,9 +126,49 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.clusters_with_inertia(table(spark, sf_dir, "embeddings"), 16, 3)
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain rounds: every vector against every centroid, in integers."""
+    steps = [f"""q AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM q) ORDER BY h, v LIMIT {k}
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (
+  SELECT q.r, any_value(q.vec_id) AS vec_id, any_value(q.v) AS v, min({{'d': list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS best
+  FROM q, c{n} c GROUP BY q.r
+)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (
+  SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, range(1, 65) t(i) GROUP BY best.c, i
+), m{n} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c
+), c{n + 1} AS (
+  SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c)
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT a.vec_id, CAST(a.best.c AS INTEGER) AS cluster, CAST(a.best.d AS BIGINT) AS distance,
+       CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_forms(table(spark, sf_dir, "documents"))
+
+
+def op13_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op3_icws_minhash, op4_temporal_url_lists, op5_qgram_decontamination, op6_countmin_substring, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_orc_token_ids, op3_icws_minhash, op4_temporal_url_lists, op5_qgram_decontamination, op6_countmin_substring, op7_toxicity_mil, op8_language_cnn, op9_pruned_graph_ann, op10_lpt_sharding, op11_hamerly_clusters, op12_spelling_variants, op13_zstd_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_temporal_url_lists": OP4_SQL}
+    return {"op4_temporal_url_lists": OP4_SQL, "op11_hamerly_clusters": _op11_sql()}
