@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import word_count
 from lumenfold.operators import claims as C
 from lumenfold.operators import pages as P
+from lumenfold.sources.atomic import AtomicStore
 
 
 def version_id(at: Column, digest: Column) -> Column:
@@ -113,31 +114,54 @@ def free_id(records: DataFrame, day: Column, prefix: str = "BUG") -> DataFrame:
     return taken.select("day", F.concat(F.lit(f"{prefix}-"), "day", F.lit("-"), F.lpad(free.cast("string"), 3, "0")).alias("next_id"))
 
 
-def save_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
-    """Writes the partitions that ``df`` has anew and leaves others: claims by source and version, reports by status."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def save_partitioned(df: DataFrame, path: str, by: list[str]) -> int:
+    """Saves the partitions that ``df`` has anew and leaves others, in one commit: claims by source and version, reports by status. Returns the store's version."""
+    store = AtomicStore(df.sparkSession, path)
+    return store.commit(store.upsert("rows", df, by))
+
+
+def saved(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All partitions, as of a version of the store."""
+    return AtomicStore(spark, path).read("rows", version)
 
 
 def load_claims(spark: SparkSession, path: str, source: str, version: str) -> DataFrame:
-    """The claims of one version: only its partition is read."""
-    return spark.read.parquet(path).where((F.col("source_id") == source) & (F.col("version_id") == version))
+    """The claims of one version: only the bucket that can hold them is read."""
+    return AtomicStore(spark, path).read("rows", source_id=source, version_id=version)
+
+
+def append_conflicts(conflicts: DataFrame, path: str) -> int:
+    """Adds to the conflict log; those who add at once don't disturb each other."""
+    store = AtomicStore(conflicts.sparkSession, path)
+    return store.commit(store.append("conflicts", conflicts))
 
 
-def append_conflicts(conflicts: DataFrame, path: str) -> None:
-    conflicts.write.mode("append").json(path)
+def read_conflicts(spark: SparkSession, path: str) -> DataFrame:
+    return AtomicStore(spark, path).read("conflicts")
 
 
-def write_snapshot(df: DataFrame, root: str, stamp: str) -> None:
-    """The latest snapshot, overwritten, and a copy in the history."""
-    df.write.mode("overwrite").json(f"{root}/latest")
-    df.write.mode("overwrite").json(f"{root}/history/at={stamp}")
+def write_snapshot(df: DataFrame, root: str, stamp: str) -> int:
+    """The latest snapshot and its row in the history, in one commit: no reader sees one without the other."""
+    store = AtomicStore(df.sparkSession, root)
+    return store.commit(store.overwrite("latest", df), store.append("history", df.withColumn("at", F.lit(stamp))))
 
 
 def read_latest(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The last snapshot written; empty where there is none yet."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/latest")
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).json(f"{root}/latest") if there else spark.createDataFrame([], schema)
+    return AtomicStore(spark, root).read("latest", schema=schema)
+
+
+def read_history(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Every snapshot with its stamp, ``at``."""
+    return AtomicStore(spark, root).read("history", schema=f"{schema}, at string")
+
+
+def set_fields(spark: SparkSession, root: str, changes: DataFrame, key: str = "id") -> int:
+    """Writes fields of a register in place: where ``changes`` (the key and some of the register's columns) has a value, it replaces the old one. One commit."""
+    store = AtomicStore(spark, root)
+    rows = store.read("rows").alias("r").join(changes.alias("c"), key)
+    now = [F.coalesce(F.col(f"c.{c}"), F.col(f"r.{c}")).alias(c) if c in changes.columns else F.col(f"r.{c}") for c in store.read("rows").columns if c != key]
+    return store.commit(store.upsert("rows", rows.select(key, *now), [key]))
 
 
 def within_days(snapshots: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame:

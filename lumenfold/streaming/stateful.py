@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lumenfold.functions.text import word_count
 from lumenfold.operators.pages import compare
 from lumenfold.operators.store import version_id
+from lumenfold.sources.atomic import AtomicStore
 
 EXPIRY = 3  # unanswered turns after which a clarification is given up
 # Fixed value: words that start a different question.
@@ -135,31 +136,53 @@ def log_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", lat
     return events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def record_versions(spark: SparkSession, fetches: DataFrame, versions: str, checkpoint: str, least_words: int = 40):
-    """A query that adds new page versions to the table at ``versions``, each with what changed: what isn't usable or has the content of the version before it is left out.
+VERSION = ["source_id", "url", "retrieved_at", "content_hash", "title", "text"]
+
+
+def new_versions(fetches: DataFrame, last: DataFrame, least_words: int = 40) -> DataFrame:
+    """The fetches that change their page, each with what changed since the version before it.
 
-    Batches come with (source_id, url, retrieved_at, content_hash, title, text). Each writes a folder of its own, overwritten if the
-    batch is run again after a loss, and reads only folders of earlier batches: a version is stored once.
+    What isn't usable, isn't later than the page's last version, or has the content of the version before it is left out. Only the
+    last versions of pages in ``fetches`` are looked at.
     """
+    usable = fetches.where((F.coalesce("title", F.lit("")) != "") & (word_count(F.col("text")) >= least_words))
+    rows = usable.select(*VERSION, F.lit(True).alias("_new"))
+    old = last.join(rows.select("source_id", "url").distinct(), ["source_id", "url"], "left_semi").select(*VERSION, F.lit(False).alias("_new"))
+    line = Window.partitionBy("source_id", "url").orderBy("retrieved_at", "_new", "content_hash")
+    before = {f"_{c}": F.lag(c).over(line) for c in ("content_hash", "title", "text", "retrieved_at")}
+    late = F.col("retrieved_at") <= F.max(F.when(~F.col("_new"), F.col("retrieved_at"))).over(Window.partitionBy("source_id", "url"))
+    rows = rows.unionByName(old).withColumn("_late", F.coalesce(late, F.lit(False))).where(~F.col("_new") | ~F.col("_late"))
+    hash_before = F.lag("content_hash").over(line)
+    kept = rows.withColumn("_hash", hash_before).where(~F.col("_new") | F.col("_hash").isNull() | (F.col("_hash") != F.col("content_hash")))
+    changed = kept.withColumns(before).where("_new")  # the version before: a fetch without a change is none
+    told = compare(changed, "_text", "text", "_title", "title").withColumn("version_id", version_id(F.col("retrieved_at"), F.col("content_hash")))
+    previous = F.when(F.col("_content_hash").isNotNull(), version_id(F.col("_retrieved_at"), F.col("_content_hash")))
+    return told.select(*VERSION, "version_id", previous.alias("previous_version"), "change_type", "severity", "affected_topics", "summary")
+
+
+def store_batch(store: AtomicStore, fetches: DataFrame, batch: tuple[str, int], least_words: int = 40) -> None:
+    """Adds a batch's new versions to the history and moves the last versions, in one commit; a batch that is there already adds nothing.
+
+    A batch reads the buckets of last versions that its pages lie in, never the history: what it reads doesn't grow with the batches before it.
+    """
+    if store.done(*batch):
+        return
+    pages = ["source_id", "url"]
+    come = store.append("versions", new_versions(fetches, store.read("last", schema=_LAST), least_words), pages)
+    newest = F.row_number().over(Window.partitionBy(*pages).orderBy(F.desc("retrieved_at"), F.desc("content_hash")))
+    moved = store.staged(come).withColumn("_n", newest).where("_n = 1").select(*VERSION)
+    store.commit(come, store.upsert("last", moved, pages), batch=batch)
+
+
+_LAST = "source_id string, url string, retrieved_at timestamp, content_hash string, title string, text string"
+
+
+def record_versions(spark: SparkSession, fetches: DataFrame, versions: str, checkpoint: str, least_words: int = 40):
+    """A query that keeps page versions in the store at ``versions``. Batches come with (source_id, url, retrieved_at, content_hash, title, text)."""
+    store = AtomicStore(spark, versions)
+    return fetches.writeStream.foreachBatch(lambda rows, n: store_batch(store, rows, (checkpoint, n), least_words)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
 
-    def store(batch: DataFrame, number: int) -> None:
-        usable = batch.where((F.coalesce("title", F.lit("")) != "") & (word_count(F.col("text")) >= least_words))
-        cols = ["source_id", "url", "retrieved_at", "content_hash", "title", "text"]
-        rows = usable.select(*cols, F.lit(True).alias("_new"))
-        if there(spark, versions):
-            old = spark.read.parquet(versions).where(F.col("batch") < number)
-            newest = F.row_number().over(Window.partitionBy("source_id", "url").orderBy(F.desc("retrieved_at"), F.desc("content_hash")))
-            rows = rows.unionByName(old.withColumn("_n", newest).where("_n = 1").select(*cols, F.lit(False).alias("_new")))
-        line = Window.partitionBy("source_id", "url").orderBy("retrieved_at", "_new", "content_hash")
-        before = {f"_{c}": F.lag(c).over(line) for c in ("content_hash", "title", "text", "retrieved_at")}
-        changed = rows.withColumns(before).where(F.col("_new") & (F.col("_content_hash").isNull() | (F.col("_content_hash") != F.col("content_hash"))))
-        told = compare(changed, "_text", "text", "_title", "title").withColumn("version_id", version_id(F.col("retrieved_at"), F.col("content_hash")))
-        previous = F.when(F.col("_content_hash").isNotNull(), version_id(F.col("_retrieved_at"), F.col("_content_hash")))
-        told.select(*cols, "version_id", previous.alias("previous_version"), "change_type", "severity", "affected_topics", "summary").write.mode("overwrite").parquet(f"{versions}/batch={number}")
-
-    return fetches.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def there(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def stored_versions(spark: SparkSession, versions: str) -> DataFrame:
+    """The history of all pages, as last committed."""
+    return AtomicStore(spark, versions).read("versions")

@@ -141,17 +141,17 @@ def test_sinks_and_queues(spark, tmp_path):
     path = str(tmp_path / "claims")
     S.save_partitioned(claims, path, ["source_id", "version_id"])
     S.save_partitioned(claims.where("version_id = 'v1' and source_id = 's'").withColumn("status", F.lit("stale")), path, ["source_id", "version_id"])
-    assert {(r["claim_id"], r["status"]) for r in spark.read.parquet(path).collect()} == {("c1", "stale"), ("c2", "current"), ("c3", "current")}
+    assert {(r["claim_id"], r["status"]) for r in S.saved(spark, path).collect()} == {("c1", "stale"), ("c2", "current"), ("c3", "current")}
     assert [r["claim_id"] for r in S.load_claims(spark, path, "s", "v2").collect()] == ["c2"]
     conflicts = spark.createDataFrame([("CONF-1", "a", "newer")], "conflict_id string, prefer string, prefer_reason string")
     S.append_conflicts(conflicts, str(tmp_path / "conflicts"))
     S.append_conflicts(conflicts, str(tmp_path / "conflicts"))
-    assert spark.read.json(str(tmp_path / "conflicts")).count() == 2 and S.review_conflicts(conflicts).first()["recommended_reason"] == "newer"
+    assert S.read_conflicts(spark, str(tmp_path / "conflicts")).count() == 2 and S.review_conflicts(conflicts).first()["recommended_reason"] == "newer"
     card = "capability string, status string"
     assert S.read_latest(spark, str(tmp_path / "card"), card).count() == 0
     for n, status in enumerate(("failed", "blocked")):
         S.write_snapshot(spark.createDataFrame([("x", status)], card), str(tmp_path / "card"), f"2024-05-0{n + 1}")
-    assert S.read_latest(spark, str(tmp_path / "card"), card).first()["status"] == "blocked" and spark.read.schema(card).json(str(tmp_path / "card/history")).count() == 2
+    assert S.read_latest(spark, str(tmp_path / "card"), card).first()["status"] == "blocked" and S.read_history(spark, str(tmp_path / "card"), card).count() == 2
     bugs = spark.createDataFrame([("BUG-1", "open"), ("BUG-2", "resolved")], "id string, status string")
     assert [r["id"] for r in S.listing(bugs, "id", "status").collect()] == ["BUG-2", "BUG-1"]
     with pytest.raises(ValueError, match="none of"):
