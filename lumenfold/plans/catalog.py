@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import intake, operations, pages, retrieval, sources, versions
+from lumenfold.plans import intake, operations, pages, retrieval, sources, stores, versions
 
-MODULES = (retrieval, pages, operations, sources, versions, intake)
+MODULES = (retrieval, pages, operations, sources, versions, intake, stores)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
