@@ -32,6 +32,8 @@ TABLE_BITS = 24
 BAND_BITS = 40  # of a key; the rest numbers items of a part
 SLICE_BYTES = 1 << 20
 HITS = 1 << 20  # shared q-grams that are counted at once
+ROW = 8  # places of a q-gram at even distances that count as one row
+DIAGONALS = 1 << 16  # that are aligned at once
 
 
 def normal(text: str | None) -> bytes:
@@ -45,6 +47,29 @@ def grams(raw: bytes, q: int = Q) -> np.ndarray:
     return np.ndarray((n,), "<u8", raw + bytes(8), strides=(1,)) & FIRST[q] if n > 0 else np.zeros(0, np.uint64)
 
 
+def rows_of(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first, index of the last, number of places) of rows: ROW or more places of a group at even distances; other places are rows by themselves.
+
+    In order of (group, place).
+    """
+    n = len(place)
+    step = np.diff(place)
+    even = np.zeros(n, bool)  # goes on at the distance of the two places before it
+    if n > 2:
+        even[2:] = (group[2:] == group[:-2]) & (step[1:] == step[:-1])
+    edge = np.diff(even.astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edge == 1) - 2, np.flatnonzero(edge == -1) - 1
+    if len(begin) > 1:  # two rows share no place
+        begin[1:] = np.maximum(begin[1:], end[:-1] + 1)
+    long = end - begin + 1 >= ROW
+    first = np.ones(n, bool)
+    for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+        first[a + 1 : b + 1] = False
+    at = np.flatnonzero(first)
+    many = np.diff(np.append(at, n))
+    return at, at + many - 1, many
+
+
 class Grams:
     """Where items have each q-gram, for one q."""
 
@@ -54,9 +79,11 @@ class Grams:
         place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in g])
         code = np.concatenate(g)
         order = np.argsort(code, kind="stable")
-        self.q, (self.code, first) = q, np.unique(code[order], return_index=True)
-        self.item, self.place = item[order], place[order]
-        self.first = np.append(first, len(order))
+        code, item, place = code[order], item[order], place[order]
+        a, b, self.many = rows_of(np.cumsum((np.diff(code, prepend=code[:1]) != 0) | (np.diff(item, prepend=item[:1]) != 0)), place)
+        self.q, (self.code, first) = q, np.unique(code[a], return_index=True)
+        self.item, self.low, self.high = item[a], place[a], place[b]
+        self.first = np.append(first, len(a))
         self.bits = min(TABLE_BITS, max(12, (8 * len(self.code)).bit_length()))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self._slot(self.code)] = True
@@ -64,18 +91,25 @@ class Grams:
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def hits(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in ``raw``, item, place in the item) of shared q-grams, about HITS at a time: repetitive texts share many times their bytes."""
+    def hits(self, raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        """(item, lowest and highest diagonal, most hits on a diagonal, place in the item or -1) of rows in ``raw`` and items that share q-grams, some at a time."""
         code = grams(raw, self.q)
         pos = np.flatnonzero(self.table[self._slot(code)])
         k = np.minimum(np.searchsorted(self.code, code[pos]), len(self.code) - 1)
         real = self.code[k] == code[pos]
         pos, k = pos[real], k[real]
+        order = np.argsort(k, kind="stable")
+        pos, k = pos[order], k[order]
+        a, b, n = rows_of(k, pos)
+        low, high, k = pos[a], pos[b], k[a]
         many = self.first[k + 1] - self.first[k]
         cuts = np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1
-        for p, f, m in zip(np.split(pos, cuts), np.split(self.first[k], cuts), np.split(many, cuts), strict=True):
+        for at in np.split(np.arange(len(k)), cuts):
+            m, f = many[at], self.first[k[at]]
             hit = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            yield np.repeat(p, m), self.item[hit], self.place[hit]
+            own = np.repeat(at, m)
+            single = (n[own] == 1) & (self.many[hit] == 1)
+            yield self.item[hit], low[own] - self.high[hit], high[own] - self.low[hit], np.minimum(n[own], self.many[hit]), np.where(single, self.low[hit], -1)
 
 
 class Benchmark:
@@ -96,54 +130,72 @@ class Benchmark:
         self.offset = int((size + self.width).max(initial=0))
         self.grams = [Grams(x, np.flatnonzero((q == x) & (size >= Q)), self.texts) for x in np.unique(q[size >= Q]).tolist()]
 
+    def _counted(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, hits at most, row of the input) of each band that the diagonals lie in; some at a time, as a row may cross many."""
+        w, low, high = self.width[item], low + self.offset, high + self.offset
+        first = low // w - 1  # bands overlap by half: each diagonal lies in two
+        many = high // w - first + 1
+        for at in np.split(np.arange(len(item)), np.flatnonzero(np.diff(np.cumsum(many) // (2 * HITS))) + 1):
+            m = many[at]
+            own = np.repeat(at, m)
+            band = np.repeat(first[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            inside = np.minimum(high[own], (band + 2) * w[own] - 1) - np.maximum(low[own], band * w[own]) + 1
+            yield self._key(item[own], band), inside * most[own], own
+
     def _bands(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (item and band) whose shared q-grams reach the bound, and their items."""
+        """Items and bands whose shared q-grams reach the bound, in order."""
         keys, counts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
         for g in self.grams:
-            for pos, item, place in g.hits(raw):
-                # Each hit counts in two bands that overlap by half; a band holds all diagonals of one occurrence.
-                band = (pos - place + self.offset) // self.width[item]
-                key = np.concatenate([self._key(item, band), self._key(item, band - 1)])
-                order = np.argsort(key)
-                key = key[order]
-                first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-                count = np.diff(np.append(first, len(key)))
-                keys.append(key[first])
-                counts.append(count)
-                places = (np.tile(place, 2)[order], first) if places is None else ()
+            for item, low, high, most, place in g.hits(raw):
+                for key, count, own in self._counted(item, low, high, most):
+                    order = np.argsort(key)
+                    key = key[order]
+                    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+                    keys.append(key[first])
+                    counts.append(np.add.reduceat(count[order], first) if len(first) else count)
+                    places = (place[own[order]], first, np.diff(np.append(first, len(key)))) if places is None and (place >= 0).all() else ()
         key, of = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(of, np.concatenate(counts), len(key))
         item = (key >> np.uint64(BAND_BITS)).astype(np.int64)
         enough = count >= self.least[item]
         if places:  # all came at once: a gram of the item counts once, however often the place repeats it
-            place, first = places
+            place, first, many = places
             for j in np.flatnonzero(enough):
-                enough[j] = len(np.unique(place[first[j] : first[j] + int(count[j])])) >= self.least[item[j]]
-        return key[enough], item[enough]
+                enough[j] = len(np.unique(place[first[j] : first[j] + many[j]])) >= self.least[item[j]]
+        return item[enough], (key[enough] & np.uint64((1 << BAND_BITS) - 1)).astype(np.int64)
+
+    def _ranges(self, raw: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item, lowest, highest diagonal): bands that overlap as one range, and long ranges in pieces that overlap by a band."""
+        item, band = self._bands(raw)
+        first = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(band, prepend=-2) > 1))
+        ends = np.append(first, len(item))[1:]
+        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+            it = int(item[a])
+            w = int(self.width[it])
+            low, high, size = int(band[a]) * w - self.offset, (int(band[b - 1]) + 2) * w - self.offset, max(DIAGONALS, 8 * w)
+            for at in range(low, max(low + 1, high - 2 * w), size):
+                yield it, at, min(high, at + size + 2 * w)
 
     def search(self, raw: bytes, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first byte, end, edits) of the best place for each document and item. ``at``: where the documents of ``raw`` start, and its end."""
         spans: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for key, it in zip(*(x.tolist() for x in self._bands(raw)), strict=True):
-            low = (key & ((1 << BAND_BITS) - 1)) * int(self.width[it]) - self.offset
-            for lo, d in self._documents(low, it, at):
+        for it, low, high in self._ranges(raw):
+            k, size = int(self.k[it]), len(self.texts[it])
+            first, last = np.searchsorted(at, [max(low, 0), min(high + size, int(at[-1]) - 1)], "right") - 1
+            for d in range(int(first), min(int(last), len(at) - 2) + 1):  # a range crosses into these documents
                 a, b = int(at[d]), int(at[d + 1]) - 1
-                if b - a < len(self.texts[it]) - int(self.k[it]):
-                    continue  # too short to hold the item
-                got = banded(self.texts[it], raw, lo, 2 * int(self.width[it]), int(self.k[it]), a, b)
-                if got and (got[2], got[0]) < (lambda x: (x[2], x[0]))(spans.get((d, it), (1 << 60, 0, 1 << 60))):
+                from_, to = max(low, a - k), min(high, b - (size - k))
+                held = spans.get((d, it))
+                if from_ > to or (held and held[2] == 0 and held[0] <= from_):
+                    continue  # the item doesn't fit there, or is there as it is further ahead
+                got = banded(self.texts[it], raw, from_, to - from_, k, a, b)
+                if got and (held is None or (got[2], got[0]) < (held[2], held[0])):
                     spans[d, it] = got
         if self.whole:
             for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 spans |= {(d, it): (a, b - 1, 0) for it in self.whole.get(raw[a : b - 1], ())}
         return [(d, it, s - int(at[d]), e - int(at[d]), edits) for (d, it), (s, e, edits) in sorted(spans.items())]
 
-    def _documents(self, low: int, it: int, at: np.ndarray) -> list[tuple[int, int]]:
-        """A band crosses into the documents that its places lie in."""
-        first = np.searchsorted(at, max(low, 0), "right") - 1
-        last = np.searchsorted(at, min(low + 2 * int(self.width[it]) + len(self.texts[it]), int(at[-1]) - 1), "right") - 1
-        return [(low, d) for d in range(int(first), int(last) + 1) if d < len(at) - 1]
-
     @staticmethod
     def _key(item: np.ndarray, band: np.ndarray) -> np.ndarray:
         return item.astype(np.uint64) << np.uint64(BAND_BITS) | band.astype(np.uint64)
@@ -180,6 +232,8 @@ def banded(item: bytes, raw: bytes, low: int, width: int, most: int, a: int, b:
         came = np.maximum.accumulate(np.where(new - steps == best, steps, -1))
         better = best + steps < new
         row, begin = np.where(better & ends, best + steps, new), np.where(better, start[np.maximum(came, 0)], start)
+        if i % 64 == 63 and row.min() > most:
+            return None  # edits never get fewer
     j = int(row.argmin())
     return (int(begin[j]), int(d[j] + m), int(row[j])) if row[j] <= most else None
 

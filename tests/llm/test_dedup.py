@@ -274,3 +274,39 @@ def test_odd_rows_leak_nothing(spark, odd):
     assert decontaminate.contaminated(odd, bench.where("item_id = 0")).count() == 0
     flagged = decontaminate.add_flag(odd, bench)
     assert flagged.columns == [*odd.columns, "contaminated"] and flagged.count() == odd.count()
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found"),
+    [
+        ("-" * 79 + "+", "-" * 10_000, True), ("-" * 79 + "+", "-" * 400_000, True), ("x" * 500 + "y", "x" * 20_000, True), ("x" * 50_000, "x" * 60_000, True), ("ab" * 20_000, "ab" * 30_000, True),
+        ("| cell | cell " * 8 + "total", "| cell | cell " * 4_000, True), ("0123456789abcdefghij" * 5, "=" * 50_000, False), ("- - - " * 20 + "ten plain words that are nowhere else in all of this text", "- - - " * 10_000, False),
+    ],
+)
+def test_repetitive_texts_take_no_longer(item, text, found):
+    """Rules and tables: rows of one q-gram against rows of the same."""
+    import time
+
+    index = decontaminate.Benchmark([(1, item)])
+    began = time.time()
+    got = decontaminate.search_texts(index, ["before. " + text + " after", "clean text", text])
+    took = time.time() - began
+    assert [g[0] for g in got] == ([0, 2] if found else []) and all(g[4] <= len(item) // 10 for g in got)
+    assert took < (1 if len(text) <= 60_000 else 6), took
+
+
+def test_rows_of_places_lose_no_item():
+    """Periodic items and texts with edits, against an alignment with the whole text."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        unit = "".join(rnd.choice("ab-|") for _ in range(rnd.randint(1, 5)))
+        item = (unit * 40)[: rnd.randint(30, 90)] + rnd.choice(["", "total", "zz"])
+        spoilt = list(item)
+        for _ in range(rnd.randint(0, len(item) // 10 + 2)):
+            spoilt[rnd.randrange(len(spoilt))] = rnd.choice(["", "q", "-"])
+        text = rnd.choice(["", "intro "]) + (unit * 60)[: rnd.randint(0, 200)] + rnd.choice(["", " "]) + "".join(spoilt) + rnd.choice(["", unit * 9, " end"])
+        index = decontaminate.Benchmark([(1, item)])
+        raw, own = decontaminate.normal(text), decontaminate.normal(item)
+        best = decontaminate.banded(own, raw, -len(own), len(raw) + len(own), len(own) // 10, 0, len(raw)) if len(raw) >= len(own) - len(own) // 10 else None
+        got = decontaminate.search_texts(index, [text])
+        assert [g[4] for g in got] == ([best[2]] if best else []), (item, text)
