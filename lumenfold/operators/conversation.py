@@ -21,7 +21,7 @@ FIELDS = ("location", "entity", "user_status", "purpose", "date")
 # What readers call themselves, and yes and no.
 STATUS = {
     "student": "student", "etudiant": "student", "etudiante": "student", "worker": "worker", "employee": "worker", "salarie": "worker", "salariee": "worker", "travailleur": "worker", "visitor": "visitor", "visiteur": "visitor",
-    "tourist": "visitor", "refugee": "refugee", "refugie": "refugee", "refugiee": "refugie", "intern": "intern", "stagiaire": "intern", "researcher": "researcher", "chercheur": "researcher", "family": "family", "famille": "family",
+    "tourist": "visitor", "refugee": "refugee", "refugie": "refugee", "refugiee": "refugee", "intern": "intern", "stagiaire": "intern", "researcher": "researcher", "chercheur": "researcher", "family": "family", "famille": "family",
     "spouse": "family", "conjoint": "family",
 }
 YES = r"(?i)^\W*(yes|yeah|yep|yup|correct|right|i am|oui|si|exact|exactement|tout a fait|tout à fait)\b"
