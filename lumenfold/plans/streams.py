@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.harvest import Budget, Harvest
 from lumenfold.plans.tables import table
 from lumenfold.sources.atomic import AtomicStore, working_dir
 from lumenfold.streaming import expiring, logs
@@ -57,3 +58,29 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = AtomicStore(spark, root)
     told = store.read("events").select("event_type", F.lit(1).alias("kept"), F.lit(0).alias("late")).unionByName(store.read("late").select("event_type", F.lit(0).alias("kept"), F.lit(1).alias("late")))
     return told.groupBy("event_type").agg(F.sum("kept").alias("kept"), F.sum("late").alias("late"))
+
+
+def _harvest_sql(rounds: int, per_round: int, per_source: int, per_plan: int, depth: int, least: int) -> str:
+    """Each round as tables of its own: r is what may be visited, v what is."""
+    score = "(CAST(substr(url, 2) AS BIGINT) * 37) % 101 - 5 * depth"
+    out = ["e AS (SELECT DISTINCT l_suppkey AS source, 'u' || l_orderkey % 60 AS page, 'u' || l_partkey % 60 AS url FROM lineitem)", "o1 AS (SELECT s_nationkey AS plan, s_suppkey AS source, 'u' || s_suppkey % 60 AS url, 0 AS depth FROM supplier)"]
+    for r in range(1, rounds + 1):
+        offers = " UNION ALL ".join(f"SELECT * FROM o{i}" for i in range(1, r + 1))
+        seen = " UNION ALL ".join(f"SELECT plan, source, url FROM v{i}" for i in range(1, r)) or "SELECT 0 AS plan, 0 AS source, '' AS url WHERE false"
+        out.append(f"g{r} AS (SELECT plan, source, url, min(depth) AS depth FROM ({offers}) GROUP BY ALL), s{r} AS ({seen})")
+        out.append(f"r{r} AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY plan, source ORDER BY {score} DESC, url) AS best FROM g{r} ANTI JOIN s{r} USING (plan, source, url))")
+        out.append(f"k{r} AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY source, best) AS turn FROM r{r} WHERE best <= {per_round} AND best + (SELECT count(*) FROM s{r} s WHERE s.plan = r{r}.plan AND s.source = r{r}.source) <= {per_source})")
+        out.append(f"v{r} AS (SELECT plan, source, url, depth, score FROM k{r} WHERE turn + (SELECT count(*) FROM s{r} s WHERE s.plan = k{r}.plan) <= {per_plan})")
+        out.append(f"o{r + 1} AS (SELECT v.plan, v.source, e.url, v.depth + 1 AS depth FROM v{r} v JOIN e ON e.source = v.source AND e.page = v.url WHERE v.score >= {least} AND v.depth < {depth})")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT plan, source, url, depth, CAST(score AS DOUBLE) AS score, {r} AS round FROM v{r}" for r in range(1, rounds + 1))
+
+
+@query(_harvest_sql(3, 2, 3, 40, 2, 6))
+def harvest_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of a harvest (D16): a plan for each nation, whose suppliers are its sources; pages link by their orders."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.concat(F.lit("u"), F.col("l_orderkey") % 60).alias("page"), F.concat(F.lit("u"), F.col("l_partkey") % 60).alias("url"), F.lit("").alias("anchor")).distinct()
+    s = table(spark, sf_dir, "supplier")
+    entries = s.select(F.col("s_nationkey").cast("long").alias("plan"), F.col("s_suppkey").alias("position"), F.col("s_suppkey").alias("source"), F.concat(F.lit("u"), F.col("s_suppkey") % 60).alias("url"))
+    work = Harvest(spark, working_dir(spark, "harvest"), links, lambda url, anchor, depth: F.substring(url, 2, 9).cast("long") * 37 % 101 - 5 * depth, Budget(2, 3, 40, 2, 6.0))
+    work.begin(entries)
+    return work.run(3).select("plan", "source", "url", "depth", "score", "round")
