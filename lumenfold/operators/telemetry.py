@@ -137,20 +137,42 @@ def by_segment(questions: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+RANGES = 512  # that distinct values are cut into
+
+
+def at_places(counted: DataFrame, places: list[int]) -> list[float]:
+    """The values at places (from 0) of the order of all values; ``counted`` has (v, n), each value once with its number.
+
+    Values are cut into ranges at approximate quantiles; the driver adds up one total a range, and only the ranges that hold
+    a place are ordered. No task sees all values.
+    """
+    counted = counted.select(F.col("v").cast("double").alias("v"), "n")
+    cuts = sorted(set(counted.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []))
+    ranged = counted.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0))
+    totals = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()}  # RANGES rows at most
+    start, wanted = 0, {}
+    for r in sorted(totals):
+        wanted |= {p: (r, p - start) for p in places if start <= p < start + totals[r]}
+        start += totals[r]
+    if not wanted:
+        return []
+    held = ranged.where(F.col("range").isin(sorted({r for r, _ in wanted.values()})))
+    held = held.withColumn("end", F.sum("n").over(Window.partitionBy("range").orderBy("v")))
+    of = [F.min(F.when((F.col("range") == r) & (F.col("end") > at), F.col("v"))) for r, at in (wanted[p] for p in places)]
+    return list(held.agg(*[c.alias(f"p{i}") for i, c in enumerate(of)]).first())
+
+
 def calibration(questions: DataFrame, score: str, refuse: str) -> DataFrame:
     """(least, p10, median, most, separable): one row on the best scores of questions that can be answered; separable if those that can't all score below them.
 
-    The tenth is the lower order statistic at a tenth of the count. Scores are counted first, so that only different ones are gathered.
+    The tenth is the lower order statistic at a tenth of the count. Questions without a score don't count.
     """
-    counted = questions.where(~F.col(refuse)).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    total = counted.agg(F.sum("n").alias("all"))
-    placed = counted.withColumn("from", F.coalesce(before, F.lit(0))).crossJoin(F.broadcast(total))  # total: one row
-    at = lambda place: F.max(F.when((F.col("from") <= place) & (place < F.col("from") + F.col("n")), F.col("v")))
-    all_ = F.col("all")
-    out = placed.agg(F.min("v").alias("least"), at(F.floor(all_ / 10)).alias("p10"), ((at(F.floor((all_ - 1) / 2)) + at(F.floor(all_ / 2))) / 2).alias("median"), F.max("v").alias("most"))
-    below = questions.where(F.col(refuse)).agg(F.max(score).alias("_top"))
-    return out.crossJoin(below).select("least", "p10", "median", "most", F.coalesce(F.col("_top") < F.col("least"), F.lit(False)).alias("separable"))  # one row each
+    counted = questions.where(~F.col(refuse) & F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"))
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least, p10, low, high, most = at_places(counted, [0, n // 10, (n - 1) // 2, n // 2, n - 1]) if n else [None] * 5
+    below = questions.where(F.col(refuse)).agg(F.max(score)).first()[0]
+    row = (least, p10, (low + high) / 2 if n else None, most, bool(n and below is not None and below < least))
+    return questions.sparkSession.createDataFrame([row], "least double, p10 double, median double, most double, separable boolean")
 
 
 def numbered(rows: DataFrame, day: str, at: str, prefix: str = "BUG") -> DataFrame:

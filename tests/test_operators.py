@@ -156,3 +156,20 @@ def test_a_register_of_any_size_is_searched(spark):
     got = {(r["query"], r["rank"]): (r["name"], r["tier"]) for r in L.search_institutions(queries, register, 3).collect()}
     assert got[("school 1000000", 1)] == ("School 1000000", 0)
     assert [got[("School 77", i)] for i in (1, 2, 3)] == [("School 77", 0), ("School 770", 1), ("School 771", 1)]
+
+
+def test_values_at_places_of_the_whole_order(spark, monkeypatch):
+    import random
+
+    from lumenfold.operators import telemetry as T
+
+    rnd = random.Random(1)
+    values = [rnd.choice([round(rnd.gauss(0, 1), 2), 0.5, float(i)]) for i in range(3000)]
+    counted = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").agg(F.count("*").alias("n"))
+    places = [0, 1, 299, 1499, 1500, 2999]
+    for ranges in (512, 7):
+        monkeypatch.setattr(T, "RANGES", ranges)
+        assert T.at_places(counted, places) == [sorted(values)[p] for p in places]
+    asked = spark.createDataFrame([(0.5, False), (0.7, False), (None, False), (0.4, True)], "s double, r boolean")
+    assert tuple(T.calibration(asked, "s", "r").first()) == (0.5, 0.5, 0.6, 0.7, True)
+    assert tuple(T.calibration(asked.where("s > 9"), "s", "r").first()) == (None, None, None, None, False)
