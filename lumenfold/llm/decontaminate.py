@@ -32,7 +32,8 @@ TABLE_BITS = 24
 BAND_BITS = 40  # of a key; the rest numbers items of a part
 SLICE_BYTES = 1 << 20
 HITS = 1 << 20  # shared q-grams that are counted at once
-ROW = 8  # places of a q-gram at even distances that count as one row
+ROW, APART = 8, 64  # places of a q-gram at even distances, of less than so many bytes, that count as one row
+ALONE = 1 << 60
 DIAGONALS = 1 << 16  # that are aligned at once
 
 
@@ -47,8 +48,8 @@ def grams(raw: bytes, q: int = Q) -> np.ndarray:
     return np.ndarray((n,), "<u8", raw + bytes(8), strides=(1,)) & FIRST[q] if n > 0 else np.zeros(0, np.uint64)
 
 
-def rows_of(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the first, index of the last, number of places) of rows: ROW or more places of a group at even distances; other places are rows by themselves.
+def rows_of(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first, index of the last, number of places, distance) of rows: ROW or more places of a group at even distances; other places are rows by themselves, without a distance.
 
     In order of (group, place).
     """
@@ -56,7 +57,7 @@ def rows_of(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     step = np.diff(place)
     even = np.zeros(n, bool)  # goes on at the distance of the two places before it
     if n > 2:
-        even[2:] = (group[2:] == group[:-2]) & (step[1:] == step[:-1])
+        even[2:] = (group[2:] == group[:-2]) & (step[1:] == step[:-1]) & (step[1:] < APART)
     edge = np.diff(even.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1) - 2, np.flatnonzero(edge == -1) - 1
     if len(begin) > 1:  # two rows share no place
@@ -67,7 +68,8 @@ def rows_of(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
         first[a + 1 : b + 1] = False
     at = np.flatnonzero(first)
     many = np.diff(np.append(at, n))
-    return at, at + many - 1, many
+    last = at + many - 1
+    return at, last, many, np.where(many > 1, (place[last] - place[at]) // np.maximum(many - 1, 1), ALONE)
 
 
 class Grams:
@@ -80,7 +82,7 @@ class Grams:
         code = np.concatenate(g)
         order = np.argsort(code, kind="stable")
         code, item, place = code[order], item[order], place[order]
-        a, b, self.many = rows_of(np.cumsum((np.diff(code, prepend=code[:1]) != 0) | (np.diff(item, prepend=item[:1]) != 0)), place)
+        a, b, self.many, self.apart = rows_of(np.cumsum((np.diff(code, prepend=code[:1]) != 0) | (np.diff(item, prepend=item[:1]) != 0)), place)
         self.q, (self.code, first) = q, np.unique(code[a], return_index=True)
         self.item, self.low, self.high = item[a], place[a], place[b]
         self.first = np.append(first, len(a))
@@ -92,7 +94,7 @@ class Grams:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def hits(self, raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-        """(item, lowest and highest diagonal, most hits on a diagonal, place in the item or -1) of rows in ``raw`` and items that share q-grams, some at a time."""
+        """(item, lowest and highest diagonal, number and distance of the places in ``raw``, those in the item, place in the item or -1) of rows that share q-grams, some at a time."""
         code = grams(raw, self.q)
         pos = np.flatnonzero(self.table[self._slot(code)])
         k = np.minimum(np.searchsorted(self.code, code[pos]), len(self.code) - 1)
@@ -100,7 +102,7 @@ class Grams:
         pos, k = pos[real], k[real]
         order = np.argsort(k, kind="stable")
         pos, k = pos[order], k[order]
-        a, b, n = rows_of(k, pos)
+        a, b, n, apart = rows_of(k, pos)
         low, high, k = pos[a], pos[b], k[a]
         many = self.first[k + 1] - self.first[k]
         cuts = np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1
@@ -109,7 +111,7 @@ class Grams:
             hit = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
             own = np.repeat(at, m)
             single = (n[own] == 1) & (self.many[hit] == 1)
-            yield self.item[hit], low[own] - self.high[hit], high[own] - self.low[hit], np.minimum(n[own], self.many[hit]), np.where(single, self.low[hit], -1)
+            yield self.item[hit], low[own] - self.high[hit], high[own] - self.low[hit], (n[own], apart[own], self.many[hit], self.apart[hit]), np.where(single, self.low[hit], -1)
 
 
 class Benchmark:
@@ -130,38 +132,46 @@ class Benchmark:
         self.offset = int((size + self.width).max(initial=0))
         self.grams = [Grams(x, np.flatnonzero((q == x) & (size >= Q)), self.texts) for x in np.unique(q[size >= Q]).tolist()]
 
-    def _counted(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _counted(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, rows: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(key, hits at most, row of the input) of each band that the diagonals lie in; some at a time, as a row may cross many."""
         w, low, high = self.width[item], low + self.offset, high + self.offset
-        first = low // w - 1  # bands overlap by half: each diagonal lies in two
-        many = high // w - first + 1
-        for at in np.split(np.arange(len(item)), np.flatnonzero(np.diff(np.cumsum(many) // (2 * HITS))) + 1):
-            m = many[at]
-            own = np.repeat(at, m)
+        one, wide = np.flatnonzero(low == high), np.flatnonzero(low != high)
+        band = low[one] // w[one]  # bands overlap by half: each diagonal lies in two
+        found = [(self._key(item[one], band), np.ones(len(one), np.int64), one), (self._key(item[one], band - 1), np.ones(len(one), np.int64), one)]
+        first = low[wide] // w[wide] - 1
+        many = high[wide] // w[wide] - first + 1
+        for at in np.split(np.arange(len(wide)), np.flatnonzero(np.diff(np.cumsum(many) // (2 * HITS))) + 1):
+            m, own = many[at], np.repeat(wide[at], many[at])
             band = np.repeat(first[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())
             inside = np.minimum(high[own], (band + 2) * w[own] - 1) - np.maximum(low[own], band * w[own]) + 1
-            yield self._key(item[own], band), inside * most[own], own
+            n, apart, many_, apart_ = (x[own] for x in rows)
+            # Of the places of one side, each meets so many of the other inside the band.
+            found.append((self._key(item[own], band), np.minimum(n * (inside // apart_ + 1), many_ * (inside // apart + 1)), own))
+            yield tuple(map(np.concatenate, zip(*found, strict=True)))
+            found = []
 
     def _bands(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Items and bands whose shared q-grams reach the bound, in order."""
         keys, counts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
         for g in self.grams:
-            for item, low, high, most, place in g.hits(raw):
-                for key, count, own in self._counted(item, low, high, most):
+            for item, low, high, rows, place in g.hits(raw):
+                for key, count, own in self._counted(item, low, high, rows):
                     order = np.argsort(key)
                     key = key[order]
                     first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
                     keys.append(key[first])
                     counts.append(np.add.reduceat(count[order], first) if len(first) else count)
-                    places = (place[own[order]], first, np.diff(np.append(first, len(key)))) if places is None and (place >= 0).all() else ()
+                    places = (place[own[order]], count[order], first, np.diff(np.append(first, len(key)))) if places is None else ()
         key, of = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(of, np.concatenate(counts), len(key))
         item = (key >> np.uint64(BAND_BITS)).astype(np.int64)
         enough = count >= self.least[item]
         if places:  # all came at once: a gram of the item counts once, however often the place repeats it
-            place, first, many = places
+            place, hits, first, many = places
             for j in np.flatnonzero(enough):
-                enough[j] = len(np.unique(place[first[j] : first[j] + many[j]])) >= self.least[item[j]]
+                own = slice(first[j], first[j] + many[j])
+                row = place[own] < 0
+                enough[j] = len(np.unique(place[own][~row])) + hits[own][row].sum() >= self.least[item[j]]
         return item[enough], (key[enough] & np.uint64((1 << BAND_BITS) - 1)).astype(np.int64)
 
     def _ranges(self, raw: bytes) -> Iterator[tuple[int, int, int]]:
@@ -211,31 +221,38 @@ def banded(item: bytes, raw: bytes, low: int, width: int, most: int, a: int, b:
     if exact >= 0:
         return exact, exact + len(item), 0
     m, w = len(item), width + 1
-    text = np.frombuffer(raw, np.uint8)
-    d = low + np.arange(w)
     inf = m + w + 1
-    row, begin = np.where((d >= a) & (d <= b), 0, inf), d.copy()
-    steps = np.arange(w)
+    # What lies on the diagonals, byte by byte from ``low`` on; outside of the document nothing pairs and nothing ends.
+    place = low + np.arange(w + m + 1)
+    inside = (place >= a) & (place < b)
+    chars = np.full(w + m + 1, -1, np.int16)
+    chars[inside] = np.frombuffer(raw, np.uint8)[place[inside]]
+    no_pair, no_end = np.where(inside, 0, inf), np.where((place >= a) & (place <= b), 0, inf)
+    row, begin, steps = no_end[:w].copy(), place[:w].copy(), np.arange(w)
+    drop, dropped = np.empty_like(row), np.empty_like(begin)
+    drop[-1], dropped[-1] = inf, 0
     for i, c in enumerate(item):
-        at = d + i  # the byte that this diagonal pairs with item[i]
-        inside = (at >= a) & (at < b)
-        same = np.where(inside, text[np.clip(at, 0, len(text) - 1)], 0) == c
-        pair = np.where(inside, row + ~same, inf)
-        drop = np.append(row[1:] + 1, inf)  # the item's byte is missing in the text
-        ends = (at + 1 >= a) & (at + 1 <= b)
-        ends_drop = ends
+        pair = row + (chars[i : i + w] != c)
+        pair += no_pair[i : i + w]
+        np.add(row[1:], 1, out=drop[:-1])  # the item's byte is missing in the text
+        dropped[:-1] = begin[1:]
         take = drop < pair
-        new = np.where(take, np.where(ends_drop, drop, inf), np.where(ends, pair, inf))
-        start = np.where(take, np.append(begin[1:], 0), begin)
+        new, begin = np.where(take, drop, pair), np.where(take, dropped, begin)
+        new += no_end[i + 1 : i + 1 + w]
+        np.minimum(new, inf, out=new)
         # Extra bytes in the text move to higher diagonals at one edit each.
-        best = np.minimum.accumulate(new - steps)
-        came = np.maximum.accumulate(np.where(new - steps == best, steps, -1))
-        better = best + steps < new
-        row, begin = np.where(better & ends, best + steps, new), np.where(better, start[np.maximum(came, 0)], start)
+        level = new - steps
+        best = np.minimum.accumulate(level)
+        better = best < level
+        if better.any():
+            came = np.maximum.accumulate(np.where(better, -1, steps))
+            better &= no_end[i + 1 : i + 1 + w] == 0
+            new, begin = np.where(better, best + steps, new), np.where(better, begin[np.maximum(came, 0)], begin)
+        row = new
         if i % 64 == 63 and row.min() > most:
             return None  # edits never get fewer
     j = int(row.argmin())
-    return (int(begin[j]), int(d[j] + m), int(row[j])) if row[j] <= most else None
+    return (int(begin[j]), int(place[j] + m), int(row[j])) if row[j] <= most else None
 
 
 def search_texts(index: Benchmark, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
