@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import intake, operations, pages, retrieval, sources, stores, streams, versions
+from lumenfold.plans import chains, intake, operations, pages, retrieval, sources, stores, streams, versions
 
-MODULES = (retrieval, pages, operations, sources, versions, intake, stores, streams)
+MODULES = (retrieval, pages, operations, sources, versions, intake, stores, streams, chains)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
