@@ -173,3 +173,28 @@ def test_values_at_places_of_the_whole_order(spark, monkeypatch):
     asked = spark.createDataFrame([(0.5, False), (0.7, False), (None, False), (0.4, True)], "s double, r boolean")
     assert tuple(T.calibration(asked, "s", "r").first()) == (0.5, 0.5, 0.6, 0.7, True)
     assert tuple(T.calibration(asked.where("s > 9"), "s", "r").first()) == (None, None, None, None, False)
+
+
+def test_substring_search_equals_a_plain_scan(spark):
+    import random
+
+    rnd = random.Random(6)
+    parts = ["université ", "de ", "paris", "un", "lyon ", "école ", "x", "ens", "'é", " "]
+    name = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) or "a"
+    rows = [(name(), rnd.choice([None, "ENS", "UP8", "X"]), [name() for _ in range(rnd.randint(0, 2))], rnd.choice(["Paris", "Lyon", None])) for _ in range(300)]
+    asked = sorted({name().strip() for _ in range(60)} | {"un", "de", "universite de paris", "zzz", "e", ""})
+    fold = lambda x: "".join(c for c in __import__("unicodedata").normalize("NFD", (x or "").lower()) if not __import__("unicodedata").combining(c))
+    want = set()
+    for q in asked:
+        needle, found = fold(q).strip(), []
+        if len(needle) < 2:
+            continue
+        for n, a, more, town in rows:
+            fn, fa, others = fold(n), fold(a), [fold(x) for x in [*more, town]]
+            tier = 0 if needle in (fn, fa) else 1 if fn.startswith(needle) else 2 if fa.startswith(needle) else 3 if needle in fn else 4 if any(needle in m for m in others) else None
+            if tier is not None:
+                found.append((tier, len(n), fn, n))
+        want |= {(q, i + 1, f[3], f[0]) for i, f in enumerate(sorted(found)[:10])}
+    register = spark.createDataFrame(rows, "name string, acronym string, aliases array<string>, commune string")
+    got = L.search_institutions(spark.createDataFrame([(q,) for q in asked], "query string"), register, 10).collect()
+    assert {(r["query"], r["rank"], r["name"], r["tier"]) for r in got} == want and len(got) == len(want)
