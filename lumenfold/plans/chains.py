@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators import claimcheck as V
+from lumenfold.operators import ingest as I
 from lumenfold.operators import settle as C
+from lumenfold.plans.operations import JUDGED, drafts
 from lumenfold.plans.tables import table
 from lumenfold.sources.atomic import AtomicStore, working_dir
 
@@ -87,3 +90,11 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.write_results(store, f"run{n}", records.agg(F.sum("o_totalprice").alias("total")), records, spark.createDataFrame([(n,)], "k int"))
     counts = store.read("records").groupBy("run").agg(F.count("*").alias("records"))
     return counts.join(store.read("metrics"), "run").join(store.read("settings"), "run").select("run", "records", F.round("total", 2).alias("total"), "k")
+
+
+@query(f"WITH {JUDGED} SELECT answer, claim_no, support, CASE WHEN support IN ('supported', 'not_checked') THEN 'kept' ELSE 'removed' END AS action FROM j")
+def claim_verdicts_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims against evidence by the cosine of sentence vectors (W9, J23): each different sentence is embedded once, in a store by hash."""
+    store = AtomicStore(spark, working_dir(spark, "sentences"))
+    judged = V.judge(*drafts(spark, sf_dir), V.by_vectors, (store, lambda df: I.embed(df, "text", "vector", 128)))
+    return judged.select("answer", F.col("claim_no").cast("long").alias("claim_no"), "support", "action")
