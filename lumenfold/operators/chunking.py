@@ -124,9 +124,10 @@ def header(title: Column, situation: Column, section: Column) -> Column:
 
 
 def check_unique(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as it is; running it fails if a key comes twice."""
-    n = F.count("*").over(Window.partitionBy(key))
-    return df.withColumn(key, F.when(n > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(key)))).otherwise(F.col(key)))
+    """``df`` as it is; running it fails if a key comes twice. Keys alone are counted, and one row tells of them."""
+    twice = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string"))))
+    told = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max(twice.cast("string")).alias("_twice"))
+    return df.crossJoin(F.broadcast(told)).where(F.col("_twice").isNull()).drop("_twice")  # told: one row
 
 
 def deduplicate(docs: DataFrame, id_col: str, text_col: str, segment: str, order: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.facts import WORD_NUMBERS
 from lumenfold.functions.dates import in_force, parse_date
 from lumenfold.functions.text import contains_any, fold_ws, plain, squeeze, words_of
 
@@ -18,11 +19,7 @@ CLAIM_WORDS = (
 )
 REPLACES = ("instead of", "rather than", "no longer", "not accepted", "is not required", "au lieu de", "en remplacement", "ne sont plus", "n'est plus", "n est plus", "ne sont pas accept", "non accept", "n'est pas requis", "supprim", "remplace par")
 CONDITIONS = ("si vous", "si le", "si la", "dans le cas", "pour les", "lorsque", "sauf", "except", "if you", "if the", "unless", "in the case", "for students", "pour les etudiants", "ressortissant", "selon")
-NUMBERS = {
-    "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "six": "6", "sept": "7", "huit": "8", "neuf": "9", "dix": "10", "onze": "11",
-    "douze": "12", "quinze": "15", "dix-huit": "18", "vingt": "20", "trente": "30", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
-    "seven": "7", "eight": "8", "nine": "9", "ten": "10", "twelve": "12", "eighteen": "18", "twenty": "20", "thirty": "30",
-}
+NUMBERS = WORD_NUMBERS
 UNITS = ("mois", "months", "month", "jours", "jour", "days", "day", "semaines", "semaine", "weeks", "week", "ans", "an", "annees", "annee", "years", "year", "euros", "euro", "€", "heures", "heure", "hours", "hour", "%", "pages", "page", "exemplaires", "exemplaire", "copies", "copie")
 STOP = ("les", "des", "une", "der", "the", "and", "for", "you", "your", "with", "that", "this", "sont", "est", "vous", "pour", "dans", "avec", "doit", "must", "should", "will", "etre", "avoir", "plus", "tout", "tous")
 DATE = r"(\d{1,2}(?:er)?\s+\p{L}+\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})"
