@@ -152,8 +152,9 @@ VERSIONS = "ve AS (SELECT concat('s', l_suppkey) AS source_id, concat('v', l_ord
  c AS (SELECT source_id, count(*) AS claims, count(*) FILTER (p_partkey % 3 = 0) AS stale FROM v JOIN (SELECT p_partkey, concat('s', p_partkey % (SELECT count(*) FROM supplier)) AS source_id FROM part) USING (source_id) GROUP BY source_id)
  SELECT id, coalesce(versions, 0) AS versions, current_version, CAST(CAST(last_change AS DATE) AS VARCHAR) AS last_change, coalesce(claims, 0) AS claims, coalesce(stale, 0) AS claims_stale, coalesce(claims, 0) - coalesce(claims, 0) AS claims_dated,
   last_checked IS NULL OR last_checked + INTERVAL (CASE priority WHEN 'critical' THEN 8 WHEN 'high' THEN 24 WHEN 'low' THEN 336 ELSE 72 END) HOUR < TIMESTAMP '1998-12-01' AS due_now,
-  CASE health WHEN 'blocked' THEN 'bot protection; not bypassed' WHEN 'unavailable' THEN 'could not be reached' ELSE '' END AS access_reason, CASE WHEN coalesce(stale, 0) > 0 THEN 'pending review' WHEN current_version IS NULL THEN 'unknown' ELSE 'current' END AS currentness, 'L' || lvl AS authority
- FROM src LEFT JOIN v ON v.source_id = id LEFT JOIN c ON c.source_id = id""")
+  CASE health WHEN 'blocked' THEN 'bot protection; not bypassed' WHEN 'unavailable' THEN 'could not be reached' ELSE '' END AS access_reason, CASE WHEN coalesce(stale, 0) > 0 THEN 'pending review' WHEN current_version IS NULL THEN 'unknown' ELSE 'current' END AS currentness, 'L' || lvl AS authority, coalesce(x.n, 0) AS conflicts
+ FROM src LEFT JOIN v ON v.source_id = id LEFT JOIN c ON c.source_id = id
+ LEFT JOIN (SELECT source_id, count(*) AS n FROM (SELECT concat('s', s_suppkey + unnest([0, 1])) AS source_id FROM supplier WHERE s_suppkey % 4 = 0) GROUP BY source_id) x ON x.source_id = id""")
 def source_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each source."""
     li = table(spark, sf_dir, "lineitem")
@@ -161,8 +162,9 @@ def source_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.broadcast(table(spark, sf_dir, "supplier").agg(F.count("*").alias("n")))  # one row
     latest = v.groupBy("source_id").agg(F.max_by("version_id", F.struct("retrieved_at", "version_id")).alias("version_id"))
     claims = table(spark, sf_dir, "part").crossJoin(n).select(F.concat(F.lit("s"), F.col("p_partkey") % F.col("n")).alias("source_id"), F.when(F.col("p_partkey") % 3 == 0, "stale_pending_review").otherwise("current").alias("status"), F.lit(None).cast("date").alias("effective_from")).join(latest, "source_id")
-    d = G.describe(sources(spark, sf_dir), v, claims, spark.createDataFrame([], "source_a string, source_b string"), F.lit("1998-12-01").cast("timestamp_ntz"))
-    return d.select(F.col("source_id").alias("id"), "versions", "current_version", F.col("last_change").cast("date").cast("string").alias("last_change"), "claims", "claims_stale", "claims_dated", "due_now", "access_reason", "currentness", "authority")
+    conflicts = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").selectExpr("concat('s', s_suppkey) AS source_a", "concat('s', s_suppkey + 1) AS source_b")  # each fourth source contradicts the next
+    d = G.describe(sources(spark, sf_dir), v, claims, conflicts, F.lit("1998-12-01").cast("timestamp_ntz"))
+    return d.select(F.col("source_id").alias("id"), "versions", "current_version", F.col("last_change").cast("date").cast("string").alias("last_change"), "claims", "claims_stale", "claims_dated", "due_now", "access_reason", "currentness", "authority", "conflicts")
 
 
 @query("""WITH e AS (SELECT o_custkey AS answer, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'stale' WHEN 1 THEN 'unknown' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'fresh' ELSE 'live_verified' END END AS f FROM orders),
@@ -297,7 +299,7 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.source_counts(sources(spark, sf_dir).withColumn("due", F.col("file_order") % 3 == 0), "s6")
     o = table(spark, sf_dir, "orders")
     claims = o.selectExpr("concat('s', o_custkey % 10) AS source_id", "concat('v', o_custkey % 100) AS version_id", "CASE WHEN o_orderkey % 4 = 0 THEN 'superseded' ELSE 'current' END AS status", "CAST(NULL AS DATE) AS effective_from")
-    active = spark.range(10).selectExpr("concat('s', id) AS source_id", "concat('v', id) AS version_id")
+    active = o.where("o_custkey % 100 < 10").selectExpr("concat('s', o_custkey % 10) AS source_id", "concat('v', o_custkey % 100) AS version_id").distinct()
     m = S.claim_metrics(claims, active).selectExpr("active AS claims_active", "stale AS claims_stale", "with_effective_date AS claims_dated")
     return s.crossJoin(m).withColumns({"deep_sources": F.lit(0), "conflicts": F.lit(2), "real_changes": F.lit(0), "email_configured": F.lit(0)})  # one row each
 
@@ -319,12 +321,13 @@ def full_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SOURCES}, {STATE}, ch AS (SELECT count(*) FILTER (p_size % 4 = 0) AS changes_critical, count(*) FILTER (p_size % 4 = 1) AS changes_high, count(*) AS changes_open FROM part WHERE p_partkey % 2 = 0), inc AS (SELECT count(*) AS incidents_open FROM events WHERE event_type = 'error')
- SELECT registered, citable, live, blocked, unavailable, citable - due AS current, due, changes_critical, changes_high, changes_open, CAST(0 AS BIGINT) AS conflicts_open, incidents_open, changes_critical > 0 OR incidents_open > 0 AS needs_attention FROM st, ch, inc""")
+ SELECT registered, citable, live, blocked, unavailable, citable - due AS current, due, changes_critical, changes_high, changes_open, conflicts_open, incidents_open, changes_critical > 0 OR conflicts_open > 0 OR incidents_open > 0 AS needs_attention FROM st, ch, inc, (SELECT count(*) AS conflicts_open FROM customer WHERE c_custkey % 6 = 1)""")
 def health_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of sources, review and incidents in one row."""
     changes = table(spark, sf_dir, "part").selectExpr("CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS severity", "CASE WHEN p_partkey % 2 = 0 THEN 'open' ELSE 'resolved' END AS review_status")
     incidents = table(spark, sf_dir, "events").selectExpr("CASE WHEN event_type = 'error' THEN 'open' ELSE 'resolved' END AS current_status")
-    return S.snapshot(S.source_counts(sources(spark, sf_dir).withColumn("due", F.col("file_order") % 3 == 0), "s6"), changes, spark.createDataFrame([], "review_status string"), incidents)
+    conflicts = table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 6 = 1 THEN 'open' ELSE 'resolved' END AS review_status")
+    return S.snapshot(S.source_counts(sources(spark, sf_dir).withColumn("due", F.col("file_order") % 3 == 0), "s6"), changes, conflicts, incidents)
 
 
 @query("""SELECT user_id AS source, count(*) AS open, string_agg(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'dns' ELSE 'timeout' END, ',' ORDER BY CASE WHEN event_id % 2 = 0 THEN 'dns' ELSE 'timeout' END) AS kinds FROM events WHERE event_type = 'error' GROUP BY user_id""")
