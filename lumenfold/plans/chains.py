@@ -98,3 +98,26 @@ def claim_verdicts_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = AtomicStore(spark, working_dir(spark, "sentences"))
     judged = V.judge(*drafts(spark, sf_dir), V.by_vectors, (store, lambda df: I.embed(df, "text", "vector", 128)))
     return judged.select("answer", F.col("claim_no").cast("long").alias("claim_no"), "support", "action")
+
+
+# One claim of each kind in an answer; customers differ in the day they ask for (before or after a rule begins) and in their place.
+REPAIRS = (
+    "The card is sent by post to your home address.", "Validate your VLS-TS online after you arrive in France at https://made-up.fr/x.", "Validate your VLS-TS online after you arrive in France on pôrtal.fr.",
+    "The tax for this permit is 225 euros (some 300 dollars abroad).", "The counter fee is 40 euros for visitors.", "The tax for this permit is 225 euros on portal.fr.",
+)
+PORTAL = "Validate your VLS-TS online after you arrive in France.\nThe tax for this permit is 225 euros.\nWith effect from 2026-07-01 the card is sent by post to your home address."
+
+
+@query("""WITH c AS (SELECT c_custkey AS answer, c_custkey % 3 = 0 AS early, c_custkey % 2 = 1 AS elsewhere FROM customer), k AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS k FROM c)
+ SELECT answer, CAST(k + 1 AS BIGINT) AS claim_no, CASE WHEN k = 0 AND early OR k = 4 AND elsewhere THEN 'unsupported' ELSE 'supported' END AS support,
+ CASE k WHEN 0 THEN CASE WHEN early THEN 'removed' ELSE 'kept' END WHEN 1 THEN 'url_removed' WHEN 2 THEN 'link_corrected' WHEN 3 THEN 'clause_removed' WHEN 4 THEN CASE WHEN elsewhere THEN 'removed' ELSE 'kept' END ELSE 'kept' END AS action,
+ CASE k WHEN 0 THEN 'The card is sent by post to your home address.' WHEN 1 THEN 'Validate your VLS-TS online after you arrive in France.' WHEN 2 THEN 'Validate your VLS-TS online after you arrive in France on portal.fr.' WHEN 3 THEN 'The tax for this permit is 225 euros.'
+  WHEN 4 THEN 'The counter fee is 40 euros for visitors.' ELSE 'The tax for this permit is 225 euros on portal.fr.' END AS final FROM k""")
+def claim_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that aren't in force yet (F10), authorities of another place (F14), addresses that no evidence gives or that are misspelt (F19, X21), and asides."""
+    c, k = table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey")
+    day = F.when(k % 3 == 0, "2026-06-15").otherwise("2026-09-15").cast("date")
+    answers = c.select(k.alias("answer"), F.lit("\n".join(REPAIRS)).alias("text"), F.lit("What do I need?").alias("question"), day.alias("on"), F.when(k % 2 == 1, "Rhône").otherwise("Isère").alias("place"))
+    page = lambda source, title, text, area: F.struct(*[F.lit(v).alias(n) for n, v in (("source_id", source), ("url", f"https://{source}.fr/"), ("canonical_url", f"https://{source}.fr/"), ("title", title), ("text", text), ("version_id", "v1"), ("area", area), ("is_local", area != ""))])
+    pages = c.select(k.alias("answer"), F.explode(F.array(page("portal", "Newcomers", PORTAL, ""), page("counter", "Counter", "The counter fee is 40 euros for visitors.", "Isere"))).alias("p")).select("answer", "p.*")
+    return V.judge(answers, pages).select("answer", F.col("claim_no").cast("long").alias("claim_no"), "support", "action", "final")
