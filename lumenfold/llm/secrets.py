@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches
+from lumenfold.llm.common import drop_path, map_batches, materialise
 from lumenfold.llm.encode import sliced
 from lumenfold.llm.variants import word_counts
 
@@ -60,8 +60,21 @@ true type undefined update upload user username utils value variable vector vers
 
 
 def common_words(docs: DataFrame, most_bytes: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The corpus' most frequent words of 6 letters or more, the most frequent last, within ``most_bytes``; all documents are counted."""
-    top = word_counts(docs, 6, 0, id_col, text_col).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most_bytes // 7).collect()
+    """The corpus' most frequent words of 6 letters or more, the most frequent last, within ``most_bytes``; all documents are counted.
+
+    Words are told apart by classes of frequency, sixteen for each doubling, and whole classes are taken from the top while they fit: the
+    driver sees one row a class and the words that are taken, whatever the corpus.
+    """
+    counts, path = materialise(word_counts(docs, 6, 0, id_col, text_col).where(F.length("word") <= 64), "secret-words")
+    level = F.floor(16 * F.log2("n")).cast("int")
+    least, room = None, most_bytes // 7
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = sorted(counts.where(level >= least).collect(), key=lambda r: (-r["n"], r["word"])) if least is not None else []
+    drop_path(docs.sparkSession, path)
     kept, size = [], 0
     for r in top:
         word = r["word"].encode()

@@ -81,6 +81,7 @@ def test_odd_rows(spark, odd):
 
 
 def test_all_documents_prime_the_compressor(spark):
-    df = spark.createDataFrame([(i, "Werkzeugkasten ähnliches " * (i + 1) + "short") for i in range(20)], "doc_id long, text string")
-    assert secrets.common_words(df) == "ähnliches werkzeugkasten".encode() or secrets.common_words(df) == "werkzeugkasten ähnliches".encode()
-    assert secrets.common_words(df, 12) in ("ähnliches".encode(), b"")
+    df = spark.createDataFrame([(i, "Werkzeugkasten ähnliches " * (i + 1) + "ähnliches short") for i in range(20)], "doc_id long, text string")
+    assert secrets.common_words(df) == "werkzeugkasten ähnliches".encode()
+    assert secrets.common_words(df, 12) == "ähnliches".encode()
+    assert secrets.common_words(df.where("false")) == b""
