@@ -58,7 +58,7 @@ def store_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("retrieved_at", F.timestamp_micros("us")).drop("us")
     years = [r[0] for r in rows.select(F.year("retrieved_at").alias("y")).distinct().orderBy("y").collect()]
     for n, year in enumerate(years):
-        stateful.store_batch(store, rows.where(F.year("retrieved_at") == year), ("orders", n))
+        stateful.store_batch(store, rows.where(F.year("retrieved_at") == year), ("orders", n), buckets=8)
     kept = store.read("versions")
     return kept.select("url", "version_id", "previous_version", F.when(F.col("previous_version").isNull(), "first").otherwise("later").alias("place"))
 

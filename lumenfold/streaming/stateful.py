@@ -160,7 +160,7 @@ def new_versions(fetches: DataFrame, last: DataFrame, least_words: int = 40) ->
     return told.select(*VERSION, "version_id", previous.alias("previous_version"), "change_type", "severity", "affected_topics", "summary")
 
 
-def store_batch(store: AtomicStore, fetches: DataFrame, batch: tuple[str, int], least_words: int = 40) -> None:
+def store_batch(store: AtomicStore, fetches: DataFrame, batch: tuple[str, int], least_words: int = 40, buckets: int = 64) -> None:
     """Adds a batch's new versions to the history and moves the last versions, in one commit; a batch that is there already adds nothing.
 
     A batch reads the buckets of last versions that its pages lie in, never the history: what it reads doesn't grow with the batches before it.
@@ -168,10 +168,10 @@ def store_batch(store: AtomicStore, fetches: DataFrame, batch: tuple[str, int],
     if store.done(*batch):
         return
     pages = ["source_id", "url"]
-    come = store.append("versions", new_versions(fetches, store.read("last", schema=_LAST), least_words), pages)
+    come = store.append("versions", new_versions(fetches, store.read("last", schema=_LAST), least_words), pages, buckets)
     newest = F.row_number().over(Window.partitionBy(*pages).orderBy(F.desc("retrieved_at"), F.desc("content_hash")))
     moved = store.staged(come).withColumn("_n", newest).where("_n = 1").select(*VERSION)
-    store.commit(come, store.upsert("last", moved, pages), batch=batch)
+    store.commit(come, store.upsert("last", moved, pages, buckets), batch=batch)
 
 
 _LAST = "source_id string, url string, retrieved_at timestamp, content_hash string, title string, text string"
