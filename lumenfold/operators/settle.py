@@ -88,7 +88,7 @@ def submit(store: AtomicStore, reports: DataFrame, replies: DataFrame, delivered
     taken = held.where(F.col("id").rlike(r"^BUG-\d{8}-\d+$")).select(F.substring("id", 5, 8).alias("day"), F.regexp_extract("id", r"-(\d+)$", 1).cast("int").alias("n")).groupBy("day").agg(F.max("n").alias("_taken"))
     rows = triaged(reports.withColumn("raw_text", F.trim("raw_text")), replies).withColumn("day", F.date_format("at", "yyyyMMdd")).join(taken, "day", "left")
     n = F.row_number().over(Window.partitionBy("day").orderBy("at", "report")) + F.coalesce("_taken", F.lit(0))
-    rows = rows.withColumn("id", F.concat(F.lit("BUG-"), "day", F.lit("-"), F.lpad(n.cast("string"), 3, "0"))).drop("day", "_taken")
+    rows = rows.withColumn("id", F.concat(F.lit("BUG-"), "day", F.lit("-"), F.format_string("%03d", n))).drop("day", "_taken")
     record = rows.select("id", "report", "at", F.lit("open").alias("status"), "severity", "category", "title", "raw_text", "notes", "triage_error", F.lit(False).alias("emailed"), F.lit("").alias("email_error"))
     first = store.upsert("reports", record, ["id"], 16)
     store.commit(first)

@@ -108,10 +108,10 @@ def archive_resolved(records: DataFrame, status_col: str = "status") -> DataFram
 
 def free_id(records: DataFrame, day: Column, prefix: str = "BUG") -> DataFrame:
     """(day, next_id): the smallest number over the count of a day's ids that none of them has; ``records`` has (id), ids like BUG-20240501-003."""
-    rows = records.where(F.col("id").rlike(rf"^{prefix}-\d{{8}}-\d{{3}}$")).select(F.regexp_extract("id", r"-(\d{8})-", 1).alias("day"), F.regexp_extract("id", r"-(\d{3})$", 1).cast("int").alias("n")).distinct()
+    rows = records.where(F.col("id").rlike(rf"^{prefix}-\d{{8}}-\d{{3,}}$")).select(F.regexp_extract("id", r"-(\d{8})-", 1).alias("day"), F.regexp_extract("id", r"-(\d{3,})$", 1).cast("int").alias("n")).distinct()
     taken = rows.where(F.col("day") == F.date_format(day, "yyyyMMdd")).groupBy("day").agg(F.array_sort(F.collect_set("n")).alias("taken"))
     free = F.array_min(F.array_except(F.sequence(F.size("taken") + 1, F.size("taken") * 2 + 1), F.col("taken")))
-    return taken.select("day", F.concat(F.lit(f"{prefix}-"), "day", F.lit("-"), F.lpad(free.cast("string"), 3, "0")).alias("next_id"))
+    return taken.select("day", F.concat(F.lit(f"{prefix}-"), "day", F.lit("-"), F.format_string("%03d", free)).alias("next_id"))
 
 
 def save_partitioned(df: DataFrame, path: str, by: list[str]) -> int:
