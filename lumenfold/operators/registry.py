@@ -112,10 +112,13 @@ def plan(questions: DataFrame, topics: DataFrame, sources: DataFrame) -> DataFra
     ``questions`` has (question, purposes, entity, authority_source: the authority of the reader's place, null where the place isn't
     known), ``sources`` the registry's columns and ``mode``. An institution speaks for itself; then the local authority, if the topic
     is administered locally and it speaks to the topic; then the classes of bodies that the topic prefers.
+
+    Topic, institution and authority decide all of it: each combination that is asked for is planned once, and questions take the plan of theirs.
     """
     first = topics_for(questions, topics).where("rank = 1").select("question", "topic")
     t = topics.select(F.col("id").alias("topic"), "preferred", "fallback")
-    asked = questions.join(first, "question", "left").join(t, "topic", "left")
+    every = questions.join(first.hint("shuffle_merge"), "question", "left").withColumn("_ask", F.struct("topic", "entity", "authority_source"))
+    asked = every.select(F.col("_ask").alias("question"), "_ask.*").distinct().join(t, "topic", "left")
     local = F.coalesce(F.array_contains("preferred", "local_authority"), F.lit(False))
     s = sources.select(F.col("id").alias("source_id"), "name", "source_type", "authority_level", "mode", "file_order", "supported_entities")
     fits = speaks_to(sources, topics)
@@ -132,10 +135,11 @@ def plan(questions: DataFrame, topics: DataFrame, sources: DataFrame) -> DataFra
     out = asked.join(steps, "question", "left")
     names = lambda c: F.coalesce(F.transform(c, lambda x: x["name"]), F.array().cast("array<string>"))
     rows = F.coalesce(F.transform("s", lambda x: x["step"]), F.array().cast("array<struct<source_id:string,reason:string,mode:string>>"))
-    return out.select(
-        "question", "topic", rows.alias("steps"), F.filter(rows, lambda x: x["mode"] == "live_query").alias("live_steps"), names("u").alias("unreachable"), names("d").alias("unreachable_deciders"),
+    plans = out.select(
+        F.col("question").alias("_ask"), rows.alias("steps"), F.filter(rows, lambda x: x["mode"] == "live_query").alias("live_steps"), names("u").alias("unreachable"), names("d").alias("unreachable_deciders"),
         (local & F.col("authority_source").isNull()).alias("needs_place"), (F.col("topic").isNull() | F.coalesce(F.array_contains("fallback", "corpus"), F.lit(False))).alias("fall_back"), (F.size(rows) > 0).alias("has_authority"),
     )
+    return every.select("question", "topic", "_ask").join(plans.hint("shuffle_merge"), "_ask", "left").drop("_ask")
 
 
 def coverage(topics: DataFrame, sources: DataFrame) -> DataFrame:
