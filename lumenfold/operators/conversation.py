@@ -7,11 +7,14 @@ conversation, is folded in Python. The same step serves batches and streams.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenfold.functions.text import fold_hyphen
@@ -104,9 +107,30 @@ def _rows(rows: pd.DataFrame, task: Task | None) -> tuple[pd.DataFrame, Task | N
     return pd.DataFrame(out, columns=NAMES), task
 
 
+def _whole(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, turns in zip(b.column("conversation").to_pylist(), b.column("turns").to_pylist(), strict=True):
+                task = None
+                for r in turns:
+                    was = task.field if task else ""
+                    task, outcome, question = step(task, r["kind"], r["message"], r)
+                    held = task or Task()
+                    out.append((name, r["turn"], outcome, question, held.field or was, held.waited, list(held.filled), list(held.context.items())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
+
+
 def dialogue(turns: DataFrame) -> DataFrame:
-    """What each turn did. ``turns`` has (conversation, turn, kind, message) and a column for each field with what the message says of it (null: nothing)."""
-    return turns.select("conversation", "turn", "kind", "message", *FIELDS).groupBy("conversation").applyInPandas(lambda rows: _rows(rows, None)[0], OUT)
+    """What each turn did. ``turns`` has (conversation, turn, kind, message) and a column for each field with what the message says of it (null: nothing).
+
+    A conversation's turns become one row, so that Python meets batches of conversations instead of being called for each.
+    """
+    one = F.struct("turn", "kind", "message", *FIELDS)
+    whole = turns.groupBy("conversation").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    return whole.mapInArrow(_whole(to_arrow_schema(T.StructType.fromDDL(OUT))), OUT)
 
 
 def dialogue_stream(turns: DataFrame) -> DataFrame:

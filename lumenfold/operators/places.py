@@ -60,7 +60,7 @@ def resolve(df: DataFrame, id_col: str, text: str, departments: DataFrame, hint:
         any_ = resolve_places(rows, id_col, "_t", known.select("name", "key", "department"), guarded=False)
         ways += [_hit(any_, id_col, 2, "reply", F.col("place"), F.col("candidates")), _by_code(rows.select(id_col, F.upper(F.regexp_extract("_t", CODE_IN_REPLY, 1)).alias("code")), id_col, departments, 3)]
     words = F.filter(F.split(fold_hyphen(F.regexp_replace("_t", r"[^\w'’\s-]", " ")), " "), lambda w: w != "")
-    named = ngrams(rows, id_col, words, 5).select(id_col, F.col("gram").alias("key")).distinct().join(own, "key")
+    named = ngrams(rows, id_col, words, 5).select(id_col, F.col("gram").alias("key")).join(own, "key")
     named = named.groupBy(id_col).agg(F.min_by("department", "file_order").alias("department"))
     ways.append(_hit(named, id_col, 4, "department", F.lit(""), F.array("department")))
     spans = hints(rows, id_col, "_t").withColumn("_w", F.split("span", " "))
