@@ -24,8 +24,8 @@ _FROM, _TO = _letters()
 
 
 def squeeze(c: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space runs as one space, none at the ends. Single spaces, nearly all of a text's white space, are left as they are."""
+    return F.trim(F.regexp_replace(c, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def fold_plain(c: Column) -> Column:
@@ -69,8 +69,7 @@ FOLDS = {f.__name__: f for f in (fold_plain, fold_ws, fold_hyphen, fold_hyphen_u
 
 def tokens(c: Column) -> Column:
     """Folded runs of letters and digits of at least two characters; apostrophes part words."""
-    found = F.regexp_extract_all(F.regexp_replace(fold_plain(c), "['’ʼ]", " "), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    return F.filter(found, lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(fold_plain(c), F.lit(r"([\p{L}\p{N}&&[^ʼ]]{2,})"), 1)  # of the apostrophes only ʼ counts as a letter
 
 
 def words_of(c: Column) -> Column:

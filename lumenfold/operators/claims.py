@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.facts import WORD_NUMBERS
 from lumenfold.functions.dates import in_force, parse_date
-from lumenfold.functions.text import contains_any, fold_ws, plain, squeeze, words_of
+from lumenfold.functions.text import contains_any, fold_ws, plain, squeeze
+from lumenfold.operators.pages import staged
 
 # Words of claims, of replacement and of scope; numbers in words; units; stop words.
 CLAIM_WORDS = (
@@ -41,13 +44,16 @@ def extract(pages: DataFrame, keys: list[str], source: str, text: str, limit: in
 
     A claim is a line of five words or more and 400 characters at most with a claim word; a repeated one counts once, and a page has ``limit`` at most.
     """
-    lines = pages.select(*keys, source, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r")).alias("position", "_line")) if source not in keys else pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r")).alias("position", "_line"))
-    rows = lines.withColumn("claim_text", squeeze(F.col("_line"))).where((F.size(words_of(F.col("claim_text"))) >= 5) & (F.length("claim_text") <= 400))
-    rows = rows.where(contains_any(fold_ws(F.col("claim_text")), WORDS)).withColumn("claim_id", claim_id(F.col(source), F.col("claim_text")))
+    lines = pages.select(*dict.fromkeys([*keys, source]), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r")).alias("position", "_line"))
+    # Staged: each line is squeezed once, and folded once if it is a sentence.
+    rows = staged(lines, claim_text=squeeze(F.col("_line"))).where((F.length("claim_text") <= 400) & (F.length("claim_text") - F.length(F.replace("claim_text", F.lit(" "), F.lit(""))) >= 4))
+    rows = staged(rows, _folded=fold_ws(F.col("claim_text"))).where(contains_any(F.col("_folded"), WORDS)).withColumn("claim_id", F.substring(F.sha2(F.concat(source, F.lit("|"), "_folded").cast("binary"), 256), 1, 16))
     first = rows.groupBy(*keys, "claim_id").agg(F.min("position").alias("position"), F.min_by("claim_text", "position").alias("claim_text"))
     ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("position"))).where(F.col("_n") <= limit).drop("_n")
-    day = lambda pattern: F.try_to_date(parse_date(F.regexp_extract("claim_text", pattern, 1)), "yyyy-MM-dd")
-    return ranked.withColumns({"effective_from": day(SINCE), "effective_until": day(UNTIL)})
+    # Most claims name no day: only what was found is read as one.
+    rows = staged(ranked, _since=F.regexp_extract("claim_text", SINCE, 1), _until=F.regexp_extract("claim_text", UNTIL, 1))
+    day = lambda found: F.when(F.col(found) != "", F.try_to_date(parse_date(F.col(found)), "yyyy-MM-dd"))
+    return rows.withColumns({"effective_from": day("_since"), "effective_until": day("_until")}).drop("_since", "_until")
 
 
 def diff(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
@@ -60,10 +66,17 @@ def content_words(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(fold_ws(text), F.lit("([a-z0-9]{4,})"), 1)), F.array(*[F.lit(w) for w in STOP]))
 
 
+def longest_of(words: Iterable[str]) -> str:
+    """A pattern of the longest of the words that fits, by first letters: a place where none begins is left after one look at each letter."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        tails.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+
+
 def quantities(text: Column) -> Column:
     """``value unit`` of each stated quantity, sorted: digits or words, decimal point, unit without its plural s."""
-    words = "|".join(sorted(NUMBERS, key=len, reverse=True))
-    pattern = rf"(\d+(?:[.,]\d+)?|{words})\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})"
+    pattern = rf"(\d+(?:[.,]\d+)?|{longest_of(NUMBERS)})\s*({longest_of(UNITS)})"
     found = F.regexp_extract_all(fold_ws(text), F.lit(f"({pattern})"), 1)
     table = F.create_map(*[x for k, v in NUMBERS.items() for x in (F.lit(k), F.lit(v))])
 
