@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenfold.llm.common import drop_path, map_batches, materialise, new_path
 from lumenfold.llm.encode import forget
@@ -235,6 +236,16 @@ def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
     return (table.filter(mask) if mask is not None else table.slice(0, 0)).select(["uid", "n", "shingles"])
 
 
+def _kept(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(table: pa.Table, kept: pa.Table) -> pa.Table:
+        """Rows of a block whose uid is kept."""
+        if not table.num_rows or not kept.num_rows:
+            return schema.empty_table()
+        return table.filter(pa.compute.is_in(table["uid"], value_set=kept["uid"].combine_chunks()))
+
+    return run
+
+
 def weighted_sets(table: pa.Table, docs: int, with_df: bool = False):
     """Ids and weights of the packed shingles of each row; with them, how many documents hold each."""
     out, held = [], []
@@ -358,12 +369,14 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     stored, name, path, size = bucketed(docs, id_col, text_col, number=True, whole=True)
     rows, sketches, tables = labelled(stored.select("doc_id", "text", "block", "uid"), size)
-    first = F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "key", "uid")).alias("uid")
-    kept, at = materialise(rows.groupBy("label").agg(first).select("uid"), "kept")
+    first = F.min_by(F.struct("uid", "block"), F.struct(F.col("doc_id").isNull(), "doc_id", "key", "uid")).alias("first")
+    kept, at = materialise(rows.groupBy("label").agg(first).select("first.*"), "kept")
     spark.sql(f"DROP TABLE {sketches}")
     drop_path(spark, *tables)
     text = F.col("text").cast("string").cast(docs.schema[text_col].dataType)
-    found = stored.join(kept, "uid", "left_semi").select(*[(text if c == text_col else F.col("others").getField(c)).alias(c) for c in docs.columns])
+    # Rows stay where they lie: a join by uid would move every text, and sort it.
+    whole = stored.select("uid", "text", "others", "block")
+    found = whole.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_kept(to_arrow_schema(whole.schema)), whole.schema).select(*[(text if c == text_col else F.col("others").getField(c)).alias(c) for c in docs.columns])
     out, _ = materialise(found, "kept-rows")
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, path, at)
@@ -371,7 +384,7 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def labelled(stored: DataFrame, size: int) -> tuple[DataFrame, str, list[str]]:
-    """(uid, doc_id, key, label) of each row of a bucketed table, key a hash of its text and label its class; the name and paths of the tables that this reads.
+    """(uid, doc_id, block, key, label) of each row of a bucketed table, key a hash of its text and label its class; the name and paths of the tables that this reads.
 
     Small sides of joins on a key that may be hot (a bucket, a class) are written tables, so that the other side can be split.
     """
@@ -420,4 +433,4 @@ def labelled(stored: DataFrame, size: int) -> tuple[DataFrame, str, list[str]]:
     labels, at = components(spark, checked.unionByName(more).where(F.col("sim") >= LEAST))
     tables.append(at)
     named = ones.select("key", "uid").join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
-    return sketched.select("uid", "doc_id", "key").join(named, "key").select("uid", "doc_id", "key", "label"), sketches, tables
+    return sketched.select("uid", "doc_id", "block", "key").join(named, "key").select("uid", "doc_id", "block", "key", "label"), sketches, tables

@@ -5,7 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline as P
-from lumenfold.llm import decontaminate, minhash
+from lumenfold.llm import decontaminate, minhash, substring
 from lumenfold.llm.common import shared_dir
 from lumenfold.llm.queries import table
 
@@ -95,3 +95,24 @@ def test_run_leaves_only_its_result(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     # What the stages returned may still be read by who holds it; the tables between stages are gone.
     assert out.count() > 0 and sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == ["kept-rows", "pieces", "stage-packing", "substring"]
+
+
+def test_texts_do_not_move_to_the_rows_that_stay(spark, monkeypatch):
+    """Of each class one row stays where it lies, however many there are: no join moves texts by a row's number."""
+    plans, write = {}, minhash.materialise
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 400)
+    docs = spark.createDataFrame([(i, f"text {i // 2} has a few words of number {i // 2} only", "fr", None) for i in range(60)], "doc_id long, text string, lang string, n long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash.one_of_each_class(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [tuple(r) for r in docs.where("doc_id % 2 = 0").orderBy("doc_id").collect()]
+    assert "Join" not in plans["kept-rows"] and plans["kept-rows"].count("Exchange ") <= 1  # of the numbers of rows that stay
