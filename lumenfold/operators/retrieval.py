@@ -14,6 +14,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, EVIDENCE = 60, 4  # of rank fusion, and passages that a model is shown
 MAX_QUERY_BYTES, MAX_ASKED = 64 << 20, 500_000  # of vectors, and rows of query terms of about 50 bytes, that are sent to all tasks
 QUERY_CHUNK, DOC_CHUNK, SHARD = 1024, 8192, 1 << 16  # queries and documents scored at once, documents in a shard
+CELLS, SLICE_TOKENS = 1 << 20, 1 << 18  # scores, or numbers of vectors, and tokens that a worker holds at once, some times over
 
 
 def top(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -25,14 +26,17 @@ def top(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank")
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    for b in batches:
-        t = b.column("t")
-        size = t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = t.flatten().dictionary_encode()
-        many = max(1, len(coded.dictionary))
-        cell, tf = np.unique(np.repeat(np.arange(len(size)), size) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        row = pa.array(cell // many)
-        yield pa.RecordBatch.from_arrays([b.column("doc").take(row), pa.array(size.astype(np.int32)).take(row), coded.dictionary.take(pa.array(cell % many)), pa.array(tf.astype(np.int64))], names=["doc", "dl", "term", "tf"])
+    for whole in batches:
+        sizes = whole.column("t").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        slices = np.cumsum(sizes) // SLICE_TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(sizes)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            b, size = whole.slice(i, j - i), sizes[i:j]
+            coded = b.column("t").flatten().dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            cell, tf = np.unique(np.repeat(np.arange(len(size)), size) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = pa.array(cell // many)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(row), pa.array(size.astype(np.int32)).take(row), coded.dictionary.take(pa.array(cell % many)), pa.array(tf.astype(np.int64))], names=["doc", "dl", "term", "tf"])
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,19 +132,19 @@ def _dense(ids: list[int], matrix: bytes, dim: int, k: int) -> Callable[[Iterato
         import numpy as np
 
         q = np.frombuffer(matrix, np.float64).reshape(-1, dim)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = max(1, CELLS // max(1, dim))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             v = np.asarray(b.column("v").flatten(), np.float64).reshape(b.num_rows, dim)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             doc = b.column("doc").to_numpy()
             kept = min(len(doc), 4 * k + 16)  # enough of a batch for ties at the k-th place to be seen by rank
-            for at in range(0, len(q), QUERY_CHUNK):
-                sims = np.maximum(0.0, q[at : at + QUERY_CHUNK] @ v.T)
+            chunk = max(1, min(QUERY_CHUNK, CELLS // len(doc)))
+            for at in range(0, len(q), chunk):
+                sims = np.maximum(0.0, q[at : at + chunk] @ v.T)
                 part = np.argsort(-np.round(sims, 9), axis=1, kind="stable")
                 rows = part[:, :kept] if kept < len(doc) else part
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(ids[at : at + QUERY_CHUNK], np.int64), rows.shape[1])), pa.array(doc[rows].ravel()), pa.array(np.take_along_axis(sims, rows, 1).ravel())],
+                    [pa.array(np.repeat(np.array(ids[at : at + chunk], np.int64), rows.shape[1])), pa.array(doc[rows].ravel()), pa.array(np.take_along_axis(sims, rows, 1).ravel())],
                     names=["query", "doc", "dense_score"],
                 )
 
