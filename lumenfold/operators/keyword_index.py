@@ -25,6 +25,7 @@ SLICE = 8  # documents
 SEEDS = 64  # slices of each query that are scored first
 FAN = 4  # segments of a level that are merged
 BUCKETS = 32  # that a table of a segment is dealt to
+FEW = 1024  # queries whose slices are looked up in a list with each row
 EXACT = 1e-6  # bounds give way to rounding by more than sums can be off
 
 
@@ -130,54 +131,68 @@ class KeywordIndex:
         kind = queries.schema[query_id].dataType.simpleString()
         if not self.segments(version):
             return self.spark.createDataFrame([], f"query {kind}, doc {self.id_type}, keyword_score double, keyword_rank int")
-        weights, average = self._weights(queries, query_id, query_text, version)
-        seeds, wanted = self._two_rounds(weights, average, k, version)
-        both = seeds.unionByName(self._scores(weights, average, wanted, version)).withColumn("_s", F.round("keyword_score", 9))
+        weights, average, few = self._weights(queries, query_id, query_text, version)
+        seeds, wanted = self._two_rounds(weights, average, few, k, version)
+        both = seeds.unionByName(self._scores(weights, average, few, wanted, version)).withColumn("_s", F.round("keyword_score", 9))
         return top(both, "query", [F.desc("_s"), F.asc("doc")], k, "keyword_rank").drop("_s")
 
-    def _two_rounds(self, weights: DataFrame, average: float, k: int, version: int) -> tuple[DataFrame, DataFrame]:
+    def _two_rounds(self, weights: DataFrame, average: float, few: bool, k: int, version: int) -> tuple[DataFrame, DataFrame]:
         """The scores in the slices with the highest bounds, and the other slices whose bound reaches the threshold that these set."""
         path = working_dir(self.spark, "keyword-bounds")
-        self._bounds(weights, average, version).write.parquet(f"{path}/bounds")
+        self._bounds(weights, average, few, version).write.parquet(f"{path}/bounds")
         ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "segment", "slice"))
         bounds = self.spark.read.parquet(f"{path}/bounds")
         first = bounds.withColumn("_n", ranked).where(F.col("_n") <= SEEDS)
-        self._scores(weights, average, first, version).write.parquet(f"{path}/seeds")
+        self._scores(weights, average, few, first, version, F.broadcast).write.parquet(f"{path}/seeds")
         seeds = self.spark.read.parquet(f"{path}/seeds")
         least = top(seeds, "query", [F.desc("keyword_score")], k, "_n").groupBy("query").agg(F.when(F.count("*") == k, F.min("keyword_score")).otherwise(0.0).alias("least"))
         open_ = bounds.join(least, "query", "left").where(F.col("bound") + EXACT >= F.coalesce("least", F.lit(0.0)))
         return seeds, open_.join(first, ["query", "segment", "slice"], "left_anti")
 
-    def _weights(self, queries: DataFrame, query_id: str, query_text: str, version: int) -> tuple[DataFrame, float]:
-        """(query, term, w) of the queries' terms, and the mean length of documents."""
+    def _weights(self, queries: DataFrame, query_id: str, query_text: str, version: int) -> tuple[DataFrame, float, bool]:
+        """(query, term, w) of the queries' terms, the mean length of documents, and whether weights are sent to all tasks and for FEW queries at most."""
         n, average, mean = self.statistics(version)
         asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
         side = F.broadcast if asked.count() <= MAX_ASKED else lambda df: df.hint("shuffle_merge")  # as for BM25: postings meet more terms in a shuffle
         idf = F.when(_idf(n) < 0, EPSILON * mean).otherwise(_idf(n))
         weighed = self._counts(version, side(asked.select("term").distinct())).join(side(asked), "term").select("query", "term", (F.col("qtf") * idf * (K1 + 1)).alias("w"))
-        few = side is F.broadcast
-        return (F.broadcast(self.spark.createDataFrame(weighed.collect(), weighed.schema)) if few else side(weighed)), average  # at most MAX_ASKED rows are sent
-
-    def _bounds(self, weights: DataFrame, average: float, version: int) -> DataFrame:
-        """(query, segment, slice, bound), from the narrow columns of slices alone."""
-        rows = self._all("slices", version).select("segment", "slice", "term", "most", "shortest").join(weights, "term")
+        if side is not F.broadcast:
+            return side(weighed), average, False
+        got = weighed.collect()  # at most MAX_ASKED rows are sent
+        return F.broadcast(self.spark.createDataFrame(got, weighed.schema)), average, len({r["query"] for r in got}) <= FEW
+
+    def _bounds(self, weights: DataFrame, average: float, few: bool, version: int) -> DataFrame:
+        """(query, segment, slice, bound), from the narrow columns of slices alone.
+
+        Of few queries, a slice's terms meet once, before each of them becomes a row for each query that asks for it.
+        """
+        rows = self._all("slices", version).select("segment", "slice", "term", "most", "shortest")
+        if few:
+            rows = rows.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").repartition("slice")  # a single segment is a constant, by which nothing is dealt
+        rows = rows.join(weights, "term")
         part = F.greatest(F.col("w"), F.lit(0.0)) * _share(F.col("most"), F.col("shortest"), average)
         return rows.groupBy("query", "segment", "slice").agg(F.sum(part).alias("bound")).where("bound > 0")
 
-    def _scores(self, weights: DataFrame, average: float, slices: DataFrame, version: int) -> DataFrame:
-        """(query, doc, keyword_score) of live documents in slices, positive scores only."""
-        rows = self._all("slices", version).select("segment", "slice", "term", "p").join(weights, "term").join(slices, ["query", "segment", "slice"], "left_semi")
-        each = rows.select("query", "segment", "w", F.explode("p").alias("p")).select("query", "segment", "p.doc", (F.col("w") * _share(F.col("p.tf"), F.col("p.dl"), average)).alias("part"))
-        scored = each.groupBy("query", "segment", "doc").agg(F.sum("part").alias("keyword_score")).where("keyword_score > 0")
+    def _scores(self, weights: DataFrame, average: float, few: bool, slices: DataFrame, version: int, side=lambda df: df.hint("shuffle_merge")) -> DataFrame:
+        """(query, doc, keyword_score) of live documents in slices, positive scores only. ``side`` says how slices of few queries meet postings, which move once or, if slices are sent to them, not at all."""
+        rows = self._all("slices", version).select("segment", "slice", "term", "p")
+        if few:
+            asked = slices.groupBy("segment", "slice").agg(F.collect_set("query").alias("asked"))
+            rows = rows.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").join(side(asked), ["segment", "slice"])
+            rows = rows.join(weights, "term").where(F.array_contains("asked", F.col("query"))).drop("asked")
+        else:
+            rows = rows.join(weights, "term").join(slices, ["query", "segment", "slice"], "left_semi")
+        each = rows.select("query", "segment", "slice", "w", F.explode("p").alias("p")).select("query", "segment", "slice", "p.doc", (F.col("w") * _share(F.col("p.tf"), F.col("p.dl"), average)).alias("part"))
+        scored = each.groupBy("query", "segment", "slice", "doc").agg(F.sum("part").alias("keyword_score")).where("keyword_score > 0")
         return scored.join(self._dead(version).select("segment", "doc"), ["segment", "doc"], "left_anti").select("query", "doc", "keyword_score")
 
     def postings_read(self, queries: DataFrame, k: int, query_id: str, query_text: str) -> tuple[int, int]:
         """(postings that a search scores, postings that its terms have)."""
         version = self.store.version()
-        weights, average = self._weights(queries, query_id, query_text, version)
+        weights, average, few = self._weights(queries, query_id, query_text, version)
         every = self._all("slices", version).select("segment", "slice", "term", "n").join(weights, "term")
-        first = top(self._bounds(weights, average, version), "query", [F.desc("bound"), "segment", "slice"], SEEDS, "_n")
-        wanted = first.select("query", "segment", "slice").unionByName(self._two_rounds(weights, average, k, version)[1].select("query", "segment", "slice"))
+        first = top(self._bounds(weights, average, few, version), "query", [F.desc("bound"), "segment", "slice"], SEEDS, "_n")
+        wanted = first.select("query", "segment", "slice").unionByName(self._two_rounds(weights, average, few, k, version)[1].select("query", "segment", "slice"))
         read = every.join(wanted, ["query", "segment", "slice"], "left_semi")
         return read.agg(F.sum("n")).first()[0] or 0, every.agg(F.sum("n")).first()[0] or 0
 
