@@ -96,7 +96,7 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claim_verdicts_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims against evidence by the cosine of sentence vectors (W9, J23): each different sentence is embedded once, in a store by hash."""
     store = AtomicStore(spark, working_dir(spark, "sentences"))
-    judged = V.judge(*drafts(spark, sf_dir), V.by_vectors, (store, lambda df: I.embed(df, "text", "vector", 128)))
+    judged = V.judge(*drafts(spark, sf_dir), vectors=(store, lambda df: I.embed(df, "text", "vector", 128)))
     return judged.select("answer", F.col("claim_no").cast("long").alias("claim_no"), "support", "action")
 
 
