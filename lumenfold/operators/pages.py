@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import contains_any, fold_ws, plain, words_of
+from lumenfold.functions.text import contains_any, fold_ws, plain
 
 # Words that mark a line as something a reader acts on.
 SIGNAL_WORDS = (
@@ -49,10 +49,18 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*df.columns, row).select(*df.columns, "_row.*")
 
 
+def folded_lines(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), fold_ws)
+
+
+def signals_of(lines: Column) -> Column:
+    """Of folded lines, those of at least three words that hold a signal word, each once, in order of text."""
+    return F.array_distinct(F.filter(lines, lambda x: (F.size(F.split(x, " ")) >= 3) & contains_any(x, SIGNALS)))
+
+
 def signal_lines(text: Column) -> Column:
     """Folded lines of at least three words that hold a signal word, each once, in order of text."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), fold_ws)
-    return F.array_distinct(F.filter(lines, lambda x: (F.size(words_of(x)) >= 3) & contains_any(x, SIGNALS)))
+    return signals_of(folded_lines(text))
 
 
 def numbers_in(text: Column) -> Column:
@@ -93,39 +101,76 @@ def topics(names: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, lambda n: F.element_at(table, n))))
 
 
-def compare(pairs: DataFrame, old: str, new: str, old_title: str, new_title: str) -> DataFrame:
-    """Adds change_type, severity, categories, affected_topics, added, removed (20 at most), the three flags and a summary.
+#: What a comparison finds.
+FOUND = ("title_changed", "numbers_changed", "links_changed", "change_type", "categories", "severity", "affected_topics", "added", "removed", "summary")
 
-    Steps are staged, so that each signal line is found once and a filter on the kind of change doesn't copy the work.
+
+def compare(pairs: DataFrame, old: str, new: str, old_title: str, new_title: str, only: tuple[str, ...] = FOUND) -> DataFrame:
+    """Adds change_type, severity, categories, affected_topics, added, removed (20 at most), the three flags and a summary, or what of these ``only`` names.
+
+    Steps are staged, so that each signal line is found once and a filter on the kind of change doesn't copy the work. Nothing is made that
+    isn't asked for, and categories are looked for where something changed.
     """
     was, now = F.coalesce(F.col(old), F.lit("")), F.coalesce(F.col(new), F.lit(""))
     t0, t1 = F.coalesce(F.col(old_title), F.lit("")), F.coalesce(F.col(new_title), F.lit(""))
-    none, many = F.array().cast("array<string>"), lambda c: F.size(c).cast("string")
+    figures = {"numbers_changed": lambda: numbers_in(was) != numbers_in(now), "links_changed": lambda: links_in(was) != links_in(now)}
     df = staged(
         pairs, _a=signal_lines(was), _b=signal_lines(now), _first=was == "", _same=(fold_ws(was) == fold_ws(now)) & (t0 == t1), title_changed=(t0 != "") & (t0 != t1),
-        numbers_changed=numbers_in(was) != numbers_in(now), links_changed=links_in(was) != links_in(now),
+        **{n: of() for n, of in figures.items() if n in _needed(only)},
     )
-    df = staged(df, _add=F.array_sort(F.array_except("_b", "_a")), _rem=F.array_sort(F.array_except("_a", "_b")))
-    df = staged(df, _touched=fold_ws(F.array_join(F.concat("_add", "_rem"), " ")), _quiet=(F.size("_add") == 0) & (F.size("_rem") == 0) & ~F.col("title_changed"))
-    df = staged(df, _names=categories(F.col("_touched")))
+    return _told(df, pairs.columns, only)
+
+
+def compare_along(versions: DataFrame, page: str, order: list[str], text: str, title: str, only: tuple[str, ...] = FOUND, after: DataFrame | None = None, at: str = "retrieved_at") -> DataFrame:
+    """As :func:`compare`, each version of a page against the one before it; those later than ``after``, a row of one time, where that is given.
+
+    What a comparison reads of a text is found once a version, before versions meet, and goes along in place of the text.
+    """
+    said, none = F.coalesce(text, F.lit("")), F.array().cast("array<string>")
+    parts = {"numbers_changed": ("_numbers", lambda: numbers_in(said)), "links_changed": ("_links", lambda: links_in(said))}
+    parts = {n: x for n, x in parts.items() if n in _needed(only)}
+    df = staged(versions, _lines=folded_lines(said))
+    df = df.withColumns({"_b": signals_of(F.col("_lines")), "_now": F.array_join(F.filter("_lines", lambda x: x != ""), " "), "_none": said == "", "_title": F.coalesce(title, F.lit("")), **{c: of() for c, of in parts.values()}})
+    w = Window.partitionBy(page).orderBy(*order)
+    before = lambda c, default: F.coalesce(F.lag(c).over(w), default)
+    df = df.withColumns({"_a": before("_b", none), "_was": before("_now", F.lit("")), "_first": before("_none", F.lit(True)), "_t0": before("_title", F.lit("")), **{f"{c}0": before(c, none) for c, _ in parts.values()}})
+    if after is not None:
+        df = df.join(F.broadcast(after.toDF("_after")), F.col(at) > F.col("_after"))  # one row
+    t0, t1 = F.col("_t0"), F.col("_title")
+    df = df.withColumns({"_same": (F.col("_was") == F.col("_now")) & (t0 == t1), "title_changed": (t0 != "") & (t0 != t1), **{n: F.col(f"{c}0") != F.col(c) for n, (c, _) in parts.items()}})
+    return _told(df, versions.columns, only)
+
+
+def _needed(only: tuple[str, ...]) -> set[str]:
+    return {*only, *(["numbers_changed"] if "summary" in only else [])}
+
+
+def _told(df: DataFrame, columns: list[str], only: tuple[str, ...]) -> DataFrame:
+    """``columns`` and what of FOUND ``only`` names, from the signal lines of both texts (_a, _b), _first, _same and the flags."""
+    none, many = F.array().cast("array<string>"), lambda c: F.size(c).cast("string")
     settled = F.col("_first") | F.col("_same")
+    df = staged(df, _add=F.array_sort(F.array_except("_b", "_a")), _rem=F.array_sort(F.array_except("_a", "_b")))
+    df = staged(df, _quiet=(F.size("_add") == 0) & (F.size("_rem") == 0) & ~F.col("title_changed"))
+    df = staged(df, _touched=F.when(settled | F.col("_quiet"), "").otherwise(fold_ws(F.array_join(F.concat("_add", "_rem"), " "))))
+    if set(only) & {"categories", "severity", "affected_topics", "summary"}:
+        df = staged(df, _names=F.when(F.col("_touched") == "", none).otherwise(categories(F.col("_touched"))))
     loud = contains_any(F.col("_touched"), CRITICAL)
-    parts = F.array_compact(F.array(
+    parts = lambda: F.array_compact(F.array(
         F.when(F.size("_add") > 0, F.concat(many("_add"), F.lit(" line(s) added"))), F.when(F.size("_rem") > 0, F.concat(many("_rem"), F.lit(" line(s) removed"))),
         F.when(F.col("title_changed"), F.lit("title changed")), F.when(F.col("numbers_changed"), F.lit("numbers changed")),
         F.when(F.size("_names") > 0, F.concat(F.lit("touches "), F.array_join(F.slice("_names", 1, 3), ", "))),
     ))
-    df = staged(
-        df,
-        change_type=F.when(F.col("_first"), "new").when(F.col("_same"), "none").when(F.col("_quiet"), "cosmetic").when(loud, "critical").otherwise("substantive"),
-        categories=F.when(settled, none).when(F.col("_quiet"), F.array(F.lit("cosmetic"))).otherwise(F.col("_names")),
-        severity=F.when(settled | F.col("_quiet"), "low").otherwise(severity(F.col("_names"))),
-        affected_topics=F.when(settled | F.col("_quiet"), none).otherwise(topics(F.col("_names"))),
-        added=F.when(settled, none).otherwise(F.slice("_add", 1, 20)),
-        removed=F.when(settled, none).otherwise(F.slice("_rem", 1, 20)),
-        summary=F.when(F.col("_first"), "first version").when(F.col("_same"), "identical").when(F.col("_quiet"), "wording or layout only; nothing a reader acts on changed").otherwise(F.array_join(parts, ", ")),
-    )
-    return df.drop("_a", "_b", "_add", "_rem", "_touched", "_names", "_first", "_same", "_quiet")
+    made = {
+        "change_type": lambda: F.when(F.col("_first"), "new").when(F.col("_same"), "none").when(F.col("_quiet"), "cosmetic").when(loud, "critical").otherwise("substantive"),
+        "categories": lambda: F.when(settled, none).when(F.col("_quiet"), F.array(F.lit("cosmetic"))).otherwise(F.col("_names")),
+        "severity": lambda: F.when(settled | F.col("_quiet"), "low").otherwise(severity(F.col("_names"))),
+        "affected_topics": lambda: F.when(settled | F.col("_quiet"), none).otherwise(topics(F.col("_names"))),
+        "added": lambda: F.when(settled, none).otherwise(F.slice("_add", 1, 20)),
+        "removed": lambda: F.when(settled, none).otherwise(F.slice("_rem", 1, 20)),
+        "summary": lambda: F.when(F.col("_first"), "first version").when(F.col("_same"), "identical").when(F.col("_quiet"), "wording or layout only; nothing a reader acts on changed").otherwise(F.array_join(parts(), ", ")),
+    }
+    df = staged(df, **{n: of() for n, of in made.items() if n in only})
+    return df.select(*columns, *[n for n in FOUND if n in only])
 
 
 def is_substantive(change_type: Column) -> Column:

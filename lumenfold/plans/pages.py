@@ -70,18 +70,14 @@ BY_LEVEL = lambda level: "[" + quoted(n for n, (_, s, _) in P.CATEGORIES.items()
    CASE WHEN change_type IN ('new', 'none', 'cosmetic') THEN 'low' WHEN list_has_any(names, {BY_LEVEL("critical")}) THEN 'critical' WHEN list_has_any(names, {BY_LEVEL("high")}) THEN 'high' WHEN list_has_any(names, {BY_LEVEL("medium")}) THEN 'medium' ELSE 'low' END AS severity,
    CASE WHEN change_type IN ('new', 'none') THEN '' ELSE array_to_string(add_[1:20], '/') END AS added, CASE WHEN change_type IN ('new', 'none') THEN '' ELSE array_to_string(rem_[1:20], '/') END AS removed FROM k""")
 def change_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = changes(spark, sf_dir)
+    out = changes(spark, sf_dir, tuple(n for n in P.FOUND if n not in ("affected_topics", "summary")))
     text = lambda c, by: F.array_join(c, by).alias(c)
     return out.select("version_id", "change_type", "title_changed", "numbers_changed", "links_changed", text("categories", ","), "severity", text("added", "/"), text("removed", "/"))
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each version of a page against the one before it."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("page_id").orderBy("retrieved_at", "version_id")
-    rows = notices(spark, sf_dir).withColumns({"old_text": F.lag("text").over(w), "old_title": F.lag("title").over(w)})
-    return P.compare(rows, "old_text", "text", "old_title", "title")
+def changes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = P.FOUND, after: DataFrame | None = None) -> DataFrame:
+    """Each version of a page against the one before it; those that came later than ``after``, a row of one time, where that is given."""
+    return P.compare_along(notices(spark, sf_dir), "page_id", ["retrieved_at", "version_id"], "text", "title", only, after)
 
 
 #: Expected values of the notices' changes: which topics each category makes doubtful.
@@ -103,7 +99,7 @@ CHANGED = f"""{NOTICES}, l AS (SELECT *, coalesce(lag(text) OVER w, '') AS old_t
  SELECT topic, epoch_us(max(retrieved_at)) AS invalidated_at, count(DISTINCT source_id) AS sources FROM x GROUP BY topic""")
 def change_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics that substantive changes make doubtful, when last, and by how many sources."""
-    out = changes(spark, sf_dir).where(P.is_substantive(F.col("change_type")))
+    out = changes(spark, sf_dir, ("change_type", "affected_topics")).where(P.is_substantive(F.col("change_type")))
     rows = out.select("source_id", "retrieved_at", F.explode("affected_topics").alias("topic"))
     return rows.groupBy("topic").agg(F.unix_micros(F.max("retrieved_at").cast("timestamp")).alias("invalidated_at"), F.countDistinct("source_id").alias("sources"))
 
@@ -112,13 +108,13 @@ def change_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
  st AS (SELECT topic, max(retrieved_at) AS at FROM x GROUP BY topic), an AS (SELECT c_custkey AS answer, CASE c_custkey % 3 WHEN 0 THEN ['taxes', 'deadline'] WHEN 1 THEN ['housing'] ELSE ['nothing'] END AS topics, TIMESTAMP '1998-07-31' + INTERVAL (c_custkey % 5) DAY AS made_at FROM customer)
  SELECT answer, NOT EXISTS (SELECT 1 FROM st WHERE list_contains(an.topics, st.topic) AND st.at > an.made_at) AS valid FROM an""")
 def answers_still_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers whose topics were not made doubtful after they were made."""
-    stamps = P.invalidations(changes(spark, sf_dir).select("source_id", "version_id", "retrieved_at", "change_type", "affected_topics"))
+    """Answers whose topics were not made doubtful after they were made (D12). A change that came before all answers can't; what it touched isn't looked into."""
     answers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("answer"), F.expr("CASE c_custkey % 3 WHEN 0 THEN array('taxes', 'deadline') WHEN 1 THEN array('housing') ELSE array('nothing') END").alias("topics"),
         F.expr("timestamp_ntz'1998-07-31 00:00:00' + make_dt_interval(CAST(c_custkey % 5 AS INT))").alias("made_at"),
     )
-    return P.still_valid(answers, stamps).select("answer", "valid")
+    late = changes(spark, sf_dir, ("change_type", "affected_topics"), answers.agg(F.min("made_at")))
+    return P.still_valid(answers, P.invalidations(late.select("source_id", "version_id", "retrieved_at", "change_type", "affected_topics"))).select("answer", "valid")
 
 
 @query(f"""WITH {NOTICES} SELECT version_id, lag(version_id) OVER w AS previous_version, row_number() OVER w AS number, row_number() OVER (PARTITION BY page_id ORDER BY retrieved_at DESC, version_id DESC) AS newest_first,
