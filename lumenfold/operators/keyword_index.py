@@ -24,7 +24,7 @@ from lumenfold.sources.atomic import AtomicStore, Change, working_dir
 SLICE = 8  # documents
 SEEDS = 64  # slices of each query that are scored first
 FAN = 4  # segments of a level that are merged
-BUCKETS = 32  # that a table of a segment is dealt to
+BUCKETS = 32  # that the tables of what is dead are dealt to
 FEW = 1024  # queries whose slices are looked up in a list with each row
 EXACT = 1e-6  # bounds give way to rounding by more than sums can be off
 
@@ -72,18 +72,22 @@ class KeywordIndex:
         return self.store.commit(*self._gone(ids.select(F.col("doc").cast(self.id_type))))
 
     def _segment(self, lengths: DataFrame, posts: DataFrame, level: int) -> list[Change]:
-        """The tables of a new segment: documents with their lengths, postings by document, slices of postings by term, and counts of terms."""
+        """The tables of a new segment: documents with their lengths, postings by document, slices of postings by term, and counts of terms.
+
+        They are read whole, so none is dealt to buckets: postings stay where their documents lie and move once, to the others of their slice.
+        """
         s, name = self.store, uuid.uuid4().hex
-        docs = s.append(f"docs-{name}-{level}", lengths, ["doc"], self.buckets)
+        docs = s.append(f"docs-{name}-{level}", lengths)
         kinds = s.staged(docs).groupBy(_length_class(F.col("dl")).alias("kind")).count().collect()  # a row for each class of length, of which there are few
         many = F.coalesce(*[F.when(_length_class(F.col("dl")) == r["kind"], -(-r["count"] // SLICE)) for r in kinds], F.lit(1))
-        number = (F.pmod(F.xxhash64("doc"), many) * 256 + _length_class(F.col("dl"))).alias("slice")
-        by_doc = s.append(f"posts-{name}-{level}", posts.select("doc", "dl", "term", "tf"), ["doc"], self.buckets)
+        number = F.pmod(F.xxhash64("doc"), many) * 256 + _length_class(F.col("dl"))
+        by_doc = s.append(f"posts-{name}-{level}", posts.select("doc", "dl", "term", "tf"))
         each = F.array_sort(F.collect_list(F.struct("doc", F.col("tf").cast("int").alias("tf"), "dl")))
-        rows = s.staged(by_doc).groupBy("term", number).agg(each.alias("p"), F.max("tf").cast("int").alias("most"), F.min("dl").alias("shortest"))
-        cut = s.append(f"slices-{name}-{level}", rows.select("term", "slice", "most", "shortest", F.size("p").alias("n"), "p"), ["term"], self.buckets, ["term", "slice"])
+        dealt = s.staged(by_doc).withColumn("slice", number).repartition("slice")
+        rows = dealt.groupBy("term", "slice").agg(each.alias("p"), F.max("tf").cast("int").alias("most"), F.min("dl").alias("shortest"))
+        cut = s.append(f"slices-{name}-{level}", rows.select("term", "slice", "most", "shortest", F.size("p").alias("n"), "p"), sort=["term", "slice"])
         counts = s.staged(by_doc).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        return [docs, by_doc, cut, s.append(f"terms-{name}-{level}", counts, ["term"], self.buckets)]
+        return [docs, by_doc, cut, s.append(f"terms-{name}-{level}", counts)]
 
     def _gone(self, ids: DataFrame) -> list[Change]:
         """Tombstones of documents that the index has, and what goes with them from the counts."""
